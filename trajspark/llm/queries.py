@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, quality_model, quality_rules, simhash_dedup, token_store, url_rules
+from . import bpe, html_extract, quality_model, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_store, url_rules
 from .common import scratch_path
 
 #: (host, path, verdict)
@@ -36,6 +36,14 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digests(table(spark, sf_dir, "documents"))
+
+
+def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -57,7 +65,9 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": quality,
     "op3_bpe": bpe_digests,
+    "op4_substring_dedup": substrings,
     "op5_simhash_dedup": simhash,
+    "op6_suffix_array_dedup": suffixes,
     "op7_html_extraction": html,
     "op8_quality_rules": rules,
     "op9_url_filters": urls,
