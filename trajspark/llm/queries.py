@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, quality_model, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_store, url_rules
+from . import bpe, decontamination, html_extract, quality_model, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_store, url_rules
 from .common import scratch_path
 
 #: (host, path, verdict)
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_rid")
+
+
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.score_documents(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
@@ -63,6 +67,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": leaks,
     "op2_quality_classifier": quality,
     "op3_bpe": bpe_digests,
     "op4_substring_dedup": substrings,

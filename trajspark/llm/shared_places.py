@@ -8,6 +8,8 @@ sends one row for each name that it has several times; its other rows are known
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from .common import materialise, small_batches
 from .words import mix, signed
 
 #: Characters of the texts that are worked on at once in Python; one longer text is worked on by itself.
-CHARS = 2_000_000
+CHARS = 500_000
 #: names, places and texts' numbers of the places that a batch of texts has
 Namer = Callable[[list[str | None]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -59,7 +61,7 @@ def _named(namer: Namer, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
             own = rids[part][which] if len(which) else np.empty(0, np.int64)
             first, other = firsts_and_others(names)
             key = np.where(other, scattered(own, places), names)
-            yield pa.RecordBatch.from_arrays([signed(key), pa.array(own, pa.int64()), pa.array(places, pa.int64()), pa.array(first | other)], names=["key", "rid", "place", "known"])
+            yield pa.RecordBatch.from_arrays([signed(key), pa.array(own, pa.int64()), pa.array(places.astype(np.int32)), pa.array(first | other)], names=["key", "rid", "place", "known"])
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,16 +86,20 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def release_shuffles(spark) -> None:
-    """Have the JVM notice that earlier jobs' shuffle files are no longer needed, so that Spark deletes them now."""
-    spark.sparkContext._jvm.System.gc()
+    """Have Python and the JVM notice that earlier jobs' shuffle files are no longer needed, so that Spark deletes them now."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def with_shared_places(docs: DataFrame, namer: Namer) -> DataFrame:
     """``docs`` (_rid, _text, ...) with ``_places``: those of the places named in its text whose name occurs twice or more."""
     spark = docs.sparkSession
     small_batches(spark)
-    named = docs.select("_rid", "_text").mapInArrow(lambda b: _named(namer, b), "key long, rid long, place long, known boolean")
-    found = named.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "rid long, place long")
+    named = docs.select("_rid", "_text").mapInArrow(lambda b: _named(namer, b), "key long, rid long, place int, known boolean")
+    found = named.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "rid long, place int")
+    # What two batches have in common is the least that a lost executor costs from here on.
     lists = materialise(found.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list("place").alias("_places")), "places")
     release_shuffles(spark)
     return docs.join(lists, "_rid", "left")

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_ids, scratch_path
+from .common import row_ids
 from .recompression import levels
-from .shared_places import by_size, firsts_and_others, release_shuffles, with_shared_places
+from .shared_places import by_size, firsts_and_others, scattered, with_shared_places
 from .words import BASES, signed, text_of, window_hashes, word_names
 
 SIZE, TOP = 20, 5
@@ -49,12 +49,11 @@ def represented(names: np.ndarray, edges: np.ndarray, size: int):
     open_ = _windows(edges, size)
     for level, name, start, low, high in levels(names, edges, TOP):
         a, b = np.maximum(high - size + 1, 0), low
-        fits = (b >= a) & (low >= 0)
-        # A symbol at a text's edge has looked beyond it, and no window of the text holds that place.
-        name, start, a, b = name[fits], start[fits], a[fits], b[fits]
-        held = (_inside(a, b, n) > 0) & open_
         before = np.concatenate([[0], np.cumsum(open_)])
-        used = before[b + 1] > before[a]
+        # A symbol at a text's edge has looked beyond it, and no window of the text holds that place.
+        used = (b >= a) & (low >= 0)
+        used[used] = before[b[used] + 1] > before[a[used]]
+        held = (_inside(a[used], b[used], n) > 0) & open_
         yield level, name[used], start[used], a[used], b[used], held
         open_ &= ~held
         if not open_.any():
@@ -62,7 +61,7 @@ def represented(names: np.ndarray, edges: np.ndarray, size: int):
 
 
 def symbol_names(size: int, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, names, edges = word_names().of(texts)
+    names, edges = word_names(texts)
     found = [(name + np.uint64(level), start, np.full(len(start), level)) for level, name, start, _, _, _ in represented(names, edges, size)] or [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
     name, start, level = (np.concatenate(x) for x in zip(*found, strict=True))
     which = text_of(start, edges)
@@ -88,87 +87,96 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-OUT = "kind string, _rid long, _id {}, n_words long, sha string, text string, known array<int>, h1 long, h2 long, start int"
+DOC = "struct<id:{}, n_words:bigint, sha:string, text:string, known:array<int>>"
+OUT = "h1 long, h2 long, _rid long, start int, doc {}"
 
 
 def _find(size: int, schema: pa.Schema, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document a row with what is already known of it, and for each open candidate window a row."""
+    """A row for each document, with what is already known of it and start -1; a row for each open candidate window."""
     for batch in batches:
         rows = sorted(batch.to_pylist(), key=lambda r: r["_rid"])
         for part in by_size([r["_text"] for r in rows]):
             some = rows[part]
-            words, names, edges = word_names().of([r["_text"] for r in some])
+            names, edges = word_names([r["_text"] for r in some])
+            words = [(r["_text"] or "").encode("utf-8", "surrogatepass").split() for r in some]
             at = candidates(names, edges, [r["_places"] for r in some], size)
             hashes = [window_hashes(names, size, b)[at] for b in BASES]
             which = text_of(at, edges)
             start = at - edges[which]
             _, later = firsts_and_others(*hashes)
-            cut = np.searchsorted(which, np.arange(len(some) + 1))
+            cut = np.searchsorted(which, np.arange(len(some) + 1)).tolist()
             docs = [
-                {"kind": "d", "_rid": r["_rid"], "_id": r["_id"], "n_words": len(w), "sha": _digest(w), "text": r["_text"] if a < b else None, "known": start[a:b][later[a:b]].tolist()}
-                for r, w, a, b in zip(some, words, cut[:-1].tolist(), cut[1:].tolist(), strict=True)
+                {"id": r["_id"], "n_words": len(w), "sha": _digest(w), "text": r["_text"] if a < b else None, "known": start[a:b][later[a:b]].tolist()}
+                for r, w, a, b in zip(some, words, cut[:-1], cut[1:], strict=True)
             ]
-            yield pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | d for d in docs], schema=schema)
-            keep = ~later
-            if keep.any():
-                rid = np.array([r["_rid"] for r in some], np.int64)[which[keep]]
-                n = len(rid)
-                cols = {"kind": pa.array(["w"] * n), "_rid": pa.array(rid), "h1": signed(hashes[0][keep]), "h2": signed(hashes[1][keep]), "start": pa.array(start[keep].astype(np.int32))}
-                yield pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+            rid, keep = np.array([r["_rid"] for r in some], np.int64), ~later
+            n, k = len(some), int(keep.sum())
+            key = [np.concatenate([scattered(rid, np.full(n, i)), h[keep]]) for i, h in enumerate(hashes)]
+            yield pa.RecordBatch.from_arrays([signed(key[0]), signed(key[1]), pa.array(np.concatenate([rid, rid[which[keep]]])), pa.array(np.concatenate([np.full(n, -1), start[keep]]).astype(np.int32)), pa.array([*docs, *[None] * k], schema.field("doc").type)], schema=schema)
 
 
-def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h1, h2, _rid, start): all but the first of each (h1, h2)."""
+def _later(schema: pa.Schema, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h1, h2, _rid, start): the documents, and all windows but the first of each (h1, h2)."""
     last = None
     for batch in batches:
-        h1, h2, rid, start = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        h1, h2, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
         if not len(h1):
             continue
-        same = np.zeros(len(h1), bool)
-        same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        same[0] = last == (h1[0], h2[0])
+        keep = start < 0
+        keep[1:] |= (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        keep[0] |= last == (h1[0], h2[0])
         last = h1[-1], h2[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(rid[same]), pa.array(start[same])], names=["_rid", "start"])
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (2, 3, 4)], schema=schema)
+
 
+def _cut(size: int, schema: pa.Schema, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (_rid, start): a document, then where its repeated windows start."""
 
-def _cut(size: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def done(rid: int, doc: dict, starts: list[int]) -> tuple:
+        starts = [*doc["known"], *starts]
+        if not starts:
+            return rid, doc["id"], doc["n_words"], 0, doc["sha"], None
+        words = doc["text"].encode("utf-8", "surrogatepass").split()
+        edge, at = np.zeros(len(words) + 1, np.int64), np.array(starts)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + size, -1)
+        out = np.cumsum(edge)[:-1] > 0
+        left = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
+        return rid, doc["id"], doc["n_words"], int(out.sum()), _digest(left), b" ".join(left).decode("utf-8", "surrogatepass")
+
+    open_: tuple | None = None
     for batch in batches:
-        ids, n_words, shas, removed, kept_texts = [], [], [], [], []
-        for r in batch.to_pylist():
-            starts = [*(r["known"] or ()), *(r["starts"] or ())]
-            gone, sha, kept = 0, r["sha"], None
-            if starts:
-                words = r["text"].encode("utf-8", "surrogatepass").split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, np.array(starts) + size, -1)
-                out = np.cumsum(edge)[:-1] > 0
-                left = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
-                gone, sha, kept = int(out.sum()), _digest(left), b" ".join(left).decode("utf-8", "surrogatepass")
-            ids.append(r["_rid"])
-            n_words.append(r["n_words"])
-            removed.append(gone)
-            shas.append(sha)
-            kept_texts.append(kept)
-        col = batch.column(batch.schema.get_field_index("_id"))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), col, pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.string())], names=["_rid", "_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        rows = []
+        rid, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        at = np.flatnonzero(start < 0)
+        docs = batch.column(2).take(pa.array(at)).to_pylist()
+        if open_ is not None:
+            open_[2].extend(start[: at[0] if len(at) else len(start)].tolist())
+        for a, b, doc in zip(at.tolist(), [*at[1:].tolist(), len(start)][: len(at)], docs, strict=True):
+            if open_ is not None:
+                rows.append(done(*open_[:2], open_[2]))
+            open_ = int(rid[a]), doc, start[a + 1 : b].tolist()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    if open_ is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(done(*open_), schema, strict=True)], schema=schema)
 
 
 def _removed(rows: DataFrame, kind: str, size: int) -> DataFrame:
-    """(_rid, _id, n_words, n_removed, kept_sha256, kept_text) for rows (_rid, _id, _text); kept_text is null where nothing is removed."""
+    """(_rid, _id, n_words, n_removed, kept_sha256, kept_text) for rows (_rid, _id, _text); kept_text is null where nothing is removed.
+
+    A document travels with the windows twice: with its text only if it has candidates.
+    """
     spark = rows.sparkSession
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = spark.createDataFrame([], OUT.format(kind)).schema
-    arrow, path = to_arrow_schema(schema), scratch_path(spark, "windows")
-    with_shared_places(rows, lambda texts: symbol_names(size, texts)).mapInArrow(lambda b: _find(size, arrow, b), schema).write.partitionBy("kind").parquet(path)
-    release_shuffles(spark)
-    found = spark.read.schema(schema).parquet(path)
-    windows = found.where("kind = 'w'").select("h1", "h2", "_rid", "start")
-    later = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "_rid", "start").mapInArrow(_later, "_rid long, start int")
-    starts = later.groupBy("_rid").agg(F.collect_list("start").alias("starts"))
-    docs = found.where("kind = 'd'").select("_rid", "_id", "n_words", "sha", "text", "known")
-    return docs.join(starts, "_rid", "left").mapInArrow(lambda b: _cut(size, b), f"_rid long, _id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    shape = lambda ddl: (s := spark.createDataFrame([], ddl).schema, to_arrow_schema(s))
+    found, found_arrow = shape(OUT.format(DOC.format(kind)))
+    later, later_arrow = shape(f"_rid long, start int, doc {DOC.format(kind)}")
+    last, last_arrow = shape(f"_rid long, _id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    windows = with_shared_places(rows, lambda texts: symbol_names(size, texts)).mapInArrow(lambda b: _find(size, found_arrow, b), found)
+    repeats = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "_rid", "start").mapInArrow(lambda b: _later(later_arrow, b), later)
+    return repeats.repartition("_rid").sortWithinPartitions("_rid", "start").mapInArrow(lambda b: _cut(size, last_arrow, b), last)
 
 
 def substring_digests(docs: DataFrame, *, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

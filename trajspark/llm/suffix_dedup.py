@@ -45,7 +45,7 @@ def kept_places(names: np.ndarray, edges: np.ndarray, core: int) -> np.ndarray:
 
 
 def suffix_names(core: int, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, names, edges = word_names().of(texts)
+    names, edges = word_names(texts)
     places = kept_places(names, edges, core)
     which = text_of(places, edges)
     h = window_hashes(names, core, BASES[0])
@@ -68,7 +68,7 @@ def _rows(core: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         every = [r for r in batch.to_pylist() if r["_places"]]
         for part in by_size([r["_text"] for r in every]):
             some = every[part]
-            _, names, edges = word_names().of([r["_text"] for r in some])
+            names, edges = word_names([r["_text"] for r in some])
             counts = [len(r["_places"]) for r in some]
             place = np.fromiter((p for r in some for p in r["_places"]), np.int64, sum(counts))
             at, rid = place + np.repeat(edges[:-1], counts), np.repeat(np.array([r["_rid"] for r in some], np.int64), counts)
