@@ -16,8 +16,8 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table is broadcast only if a count of it shows at most this many rows.
 BROADCAST_ROWS = 200_000
-#: Rows of one Arrow batch given to Python; documents can be long, so fewer than Spark's default.
-ARROW_ROWS = 512
+#: Bytes of one Arrow batch given to Python: documents can be long, so a bound on rows alone bounds nothing.
+ARROW_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -68,9 +68,10 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch can hold; a smaller setting of the session is kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = str(spark.conf.get(key, "0") or 0)
+    if not held.isdigit() or not 0 < int(held) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_ids
+from .common import materialise, row_ids
 from .recompression import levels
-from .shared_places import by_size, firsts_and_others, scattered, with_shared_places
+from .shared_places import by_size, firsts_and_others, release_shuffles, scattered, with_shared_places
 from .words import BASES, signed, text_of, window_hashes, word_names
 
 SIZE, TOP = 20, 5
@@ -87,96 +87,80 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-DOC = "struct<id:{}, n_words:bigint, sha:string, text:string, known:array<int>>"
-OUT = "h1 long, h2 long, _rid long, start int, doc {}"
+def _find(size: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (h1, h2, _rid, start) for each candidate window.
 
-
-def _find(size: int, schema: pa.Schema, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, with what is already known of it and start -1; a row for each open candidate window."""
+    Of windows that are equal in one batch, the first one stands for all. The others are known to be later ones: they go
+    under a random key, with -1 - start for their start.
+    """
     for batch in batches:
-        rows = sorted(batch.to_pylist(), key=lambda r: r["_rid"])
-        for part in by_size([r["_text"] for r in rows]):
-            some = rows[part]
-            names, edges = word_names([r["_text"] for r in some])
-            words = [(r["_text"] or "").encode("utf-8", "surrogatepass").split() for r in some]
-            at = candidates(names, edges, [r["_places"] for r in some], size)
+        rows = sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[0])
+        texts = [r[1] for r in rows]
+        for part in by_size(texts):
+            names, edges = word_names(texts[part])
+            at = candidates(names, edges, [r[2] for r in rows[part]], size)
+            if not len(at):
+                continue
             hashes = [window_hashes(names, size, b)[at] for b in BASES]
             which = text_of(at, edges)
-            start = at - edges[which]
+            start, rid = at - edges[which], np.array([r[0] for r in rows[part]], np.int64)[which]
             _, later = firsts_and_others(*hashes)
-            cut = np.searchsorted(which, np.arange(len(some) + 1)).tolist()
-            docs = [
-                {"id": r["_id"], "n_words": len(w), "sha": _digest(w), "text": r["_text"] if a < b else None, "known": start[a:b][later[a:b]].tolist()}
-                for r, w, a, b in zip(some, words, cut[:-1], cut[1:], strict=True)
-            ]
-            rid, keep = np.array([r["_rid"] for r in some], np.int64), ~later
-            n, k = len(some), int(keep.sum())
-            key = [np.concatenate([scattered(rid, np.full(n, i)), h[keep]]) for i, h in enumerate(hashes)]
-            yield pa.RecordBatch.from_arrays([signed(key[0]), signed(key[1]), pa.array(np.concatenate([rid, rid[which[keep]]])), pa.array(np.concatenate([np.full(n, -1), start[keep]]).astype(np.int32)), pa.array([*docs, *[None] * k], schema.field("doc").type)], schema=schema)
-
-
-def _later(schema: pa.Schema, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h1, h2, _rid, start): the documents, and all windows but the first of each (h1, h2)."""
-    last = None
+            h1 = np.where(later, scattered(rid, start), hashes[0])
+            yield pa.RecordBatch.from_arrays([signed(h1), signed(hashes[1]), pa.array(rid), pa.array(np.where(later, -1 - start, start).astype(np.int32))], names=["h1", "h2", "_rid", "start"])
+
+
+def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h1: all windows but the first of each (h1, h2). Of the last h1, the firsts so far wait for the next batch."""
+    kept: list[np.ndarray] | None = None
     for batch in batches:
-        h1, h2, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-        if not len(h1):
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        known = now[3] < 0
+        if known.any():
+            yield pa.RecordBatch.from_arrays([pa.array(now[2][known]), pa.array(-1 - now[3][known])], names=["_rid", "start"])
+            now = [c[~known] for c in now]
+        if not len(now[0]):
             continue
-        keep = start < 0
-        keep[1:] |= (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        keep[0] |= last == (h1[0], h2[0])
-        last = h1[-1], h2[-1]
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (2, 3, 4)], schema=schema)
+        rows = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
+        rows = [c[order] for order in [np.lexsort(rows[::-1])] for c in rows]
+        same = np.insert((rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1]), 0, False)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[2][same]), pa.array(rows[3][same])], names=["_rid", "start"])
+        wait = ~same & (rows[0] == rows[0][-1])
+        kept = [c[wait] for c in rows]
 
 
 def _cut(size: int, schema: pa.Schema, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (_rid, start): a document, then where its repeated windows start."""
-
-    def done(rid: int, doc: dict, starts: list[int]) -> tuple:
-        starts = [*doc["known"], *starts]
-        if not starts:
-            return rid, doc["id"], doc["n_words"], 0, doc["sha"], None
-        words = doc["text"].encode("utf-8", "surrogatepass").split()
-        edge, at = np.zeros(len(words) + 1, np.int64), np.array(starts)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + size, -1)
-        out = np.cumsum(edge)[:-1] > 0
-        left = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
-        return rid, doc["id"], doc["n_words"], int(out.sum()), _digest(left), b" ".join(left).decode("utf-8", "surrogatepass")
-
-    open_: tuple | None = None
+    """Take the words of the windows at ``starts`` out of each text."""
     for batch in batches:
         rows = []
-        rid, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        at = np.flatnonzero(start < 0)
-        docs = batch.column(2).take(pa.array(at)).to_pylist()
-        if open_ is not None:
-            open_[2].extend(start[: at[0] if len(at) else len(start)].tolist())
-        for a, b, doc in zip(at.tolist(), [*at[1:].tolist(), len(start)][: len(at)], docs, strict=True):
-            if open_ is not None:
-                rows.append(done(*open_[:2], open_[2]))
-            open_ = int(rid[a]), doc, start[a + 1 : b].tolist()
+        for text, starts in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+            words, gone, kept = (text or "").encode("utf-8", "surrogatepass").split(), 0, None
+            n = len(words)
+            if starts.is_valid:
+                edge, at = np.zeros(n + 1, np.int64), starts.values.to_numpy(zero_copy_only=False)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + size, -1)
+                out = np.cumsum(edge)[:-1] > 0
+                words = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
+                gone, kept = int(out.sum()), b" ".join(words).decode("utf-8", "surrogatepass")
+            rows.append((n, gone, hashlib.sha256(b" ".join(words)).hexdigest(), kept))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-    if open_ is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(done(*open_), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, schema.field(i + 2).type) for i, c in enumerate(zip(*rows, strict=True)))], schema=schema)
 
 
 def _removed(rows: DataFrame, kind: str, size: int) -> DataFrame:
-    """(_rid, _id, n_words, n_removed, kept_sha256, kept_text) for rows (_rid, _id, _text); kept_text is null where nothing is removed.
-
-    A document travels with the windows twice: with its text only if it has candidates.
-    """
+    """(_rid, _id, n_words, n_removed, kept_sha256, kept_text) for rows (_rid, _id, _text); kept_text is null where nothing is removed."""
     spark = rows.sparkSession
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    shape = lambda ddl: (s := spark.createDataFrame([], ddl).schema, to_arrow_schema(s))
-    found, found_arrow = shape(OUT.format(DOC.format(kind)))
-    later, later_arrow = shape(f"_rid long, start int, doc {DOC.format(kind)}")
-    last, last_arrow = shape(f"_rid long, _id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    windows = with_shared_places(rows, lambda texts: symbol_names(size, texts)).mapInArrow(lambda b: _find(size, found_arrow, b), found)
-    repeats = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "_rid", "start").mapInArrow(lambda b: _later(later_arrow, b), later)
-    return repeats.repartition("_rid").sortWithinPartitions("_rid", "start").mapInArrow(lambda b: _cut(size, last_arrow, b), last)
+    out = spark.createDataFrame([], f"_rid long, _id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string").schema
+    arrow = to_arrow_schema(out)
+    shared = with_shared_places(rows.select("_rid", "_text"), lambda texts: symbol_names(size, texts))
+    windows = shared.select("_rid", "_text", "_places").mapInArrow(lambda b: _find(size, b), "h1 long, h2 long, _rid long, start int")
+    # One sort key, so that Spark sorts by radix; ties are settled in the stream.
+    later = windows.repartition("h1").sortWithinPartitions("h1").mapInArrow(_later, "_rid long, start int")
+    starts = materialise(later.groupBy("_rid").agg(F.collect_list("start").alias("starts")), "starts")
+    release_shuffles(spark)
+    return rows.join(starts, "_rid", "left").select("_rid", "_id", "_text", "starts").mapInArrow(lambda b: _cut(size, arrow, b), out)
 
 
 def substring_digests(docs: DataFrame, *, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
