@@ -69,8 +69,8 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch can hold; a smaller setting of the session is kept."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = str(spark.conf.get(key, "0") or 0)
-    if not held.isdigit() or not 0 < int(held) <= ARROW_BYTES:
+    held = spark.conf.get(key).lower().removesuffix("b")
+    if not held.isdigit() or int(held) > ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
