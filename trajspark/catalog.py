@@ -1,8 +1,328 @@
 """Queries of the library and their SQL, by name."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as fn
+from .operators import aggregates as agg
+from .operators import graphs, overlap, sequences, sets, upsert
+from .plans.testdata import Tables, sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+def query(oracle: str | None = None) -> Callable:
+    def add(f: Callable[[Tables], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _details(t: Tables) -> DataFrame:
+    scored = overlap.min_distance(t.reads(), t.nodes(), t.records())
+    return t.records().select("record_index", "data_source", "model_label", "run_step").join(scored, "record_index")
+
+
+R4 = lambda c: F.round(c, 6)
+BASE = ("records", "steps", "reads", "nodes")
+RATES = "count(*) AS n_records, count(*) FILTER (min_distance >= 0) AS n_hit, count(*) FILTER (min_distance = 0) AS n_ground_truth, round(count(*) FILTER (min_distance >= 0) / count(*)::DOUBLE, 6) AS hit_call_graph_rate, round(count(*) FILTER (min_distance = 0) / count(*)::DOUBLE, 6) AS hit_ground_truth_rate, round(count(*) FILTER (min_distance BETWEEN 0 AND 0.5) / count(*)::DOUBLE, 6) AS hit_near_rate, round(avg(min_distance) FILTER (min_distance >= 0), 6) AS avg_distance"
+
+
+@query(sql(*BASE, "details", body="SELECT record_index, n_reads, min_distance::DOUBLE AS min_distance FROM details"))
+def overlap_min_distance(t):
+    return overlap.min_distance(t.reads(), t.nodes(), t.records()).select("record_index", "n_reads", "min_distance")
+
+
+FLAGSHIP = QUERIES["overlap_min_distance"]
+
+
+@query(sql(*BASE, "details", body=f"SELECT {RATES} FROM details"))
+def graph_hit_rates(t):
+    return agg.hit_rates(_details(t))
+
+
+@query(sql(*BASE, "details", body=f"SELECT data_source, {RATES} FROM details GROUP BY data_source"))
+def summary_by_source(t):
+    return agg.hit_rates(_details(t), "data_source")
+
+
+@query(sql(*BASE, "details", body=f"SELECT data_source, run_step, {RATES} FROM details WHERE run_step IS NOT NULL GROUP BY ALL"))
+def trend_by_step(t):
+    return agg.trends(_details(t))
+
+
+@query(sql(*BASE, "details", body=f"SELECT 'val-p2a/' || data_source || '/' || name AS metric, value FROM (UNPIVOT (SELECT data_source, n_records::DOUBLE AS n_records, n_hit::DOUBLE AS n_hit, n_ground_truth::DOUBLE AS n_ground_truth, hit_call_graph_rate, hit_ground_truth_rate, hit_near_rate, avg_distance FROM (SELECT data_source, {RATES} FROM details GROUP BY data_source)) ON COLUMNS(* EXCLUDE data_source) INTO NAME name VALUE value) WHERE value IS NOT NULL"))
+def metric_unpivot(t):
+    return agg.metric_rows(_details(t))
+
+
+@query(sql(*BASE, "hits", body="SELECT record_index, count(*) AS n_nodes, min(trace_idx)::INT AS first_hit_step, min(CASE WHEN d = 0 THEN trace_idx END)::INT AS first_root_step FROM hits GROUP BY record_index"))
+def node_hits(t):
+    return overlap.hit_nodes(t.reads(), t.nodes()).groupBy("record_index").agg(F.count("*").alias("n_nodes"), F.min("trace_idx").alias("first_hit_step"), F.min(F.when(F.col("normalized_distance") == 0, F.col("trace_idx"))).alias("first_root_step"))
+
+
+PRECISION = """, read_hits AS (SELECT record_index, trace_idx, bool_or(n.node_key IS NOT NULL) AS hit FROM reads q LEFT JOIN nodes n ON n.file_path = q.file_path AND rewardable AND start_line <= node_end AND end_line >= node_start GROUP BY ALL),
+p AS (SELECT record_index, avg(hit::INT) AS precision FROM read_hits GROUP BY record_index), r AS (SELECT record_index, count(*) / (SELECT count(*) FROM nodes WHERE rewardable)::DOUBLE AS recall FROM hits GROUP BY record_index)
+"""
+
+
+@query(sql(*BASE, "hits", body=PRECISION + "SELECT record_index, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM p JOIN r USING (record_index)"))
+def read_precision_recall(t):
+    return overlap.precision_recall(t.reads(), t.nodes()).select("record_index", *[R4(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(sql(*BASE, "hits", body=PRECISION + "SELECT printf('%.1f', floor(precision * 10) / 10) AS bucket, count(*) AS n FROM p JOIN r USING (record_index) GROUP BY ALL"))
+def recall_histogram(t):
+    return agg.recall_histogram(overlap.precision_recall(t.reads(), t.nodes()).select(F.col("precision").alias("recall")))
+
+
+@query(sql(*BASE, "details", body="SELECT record_index, round(CASE WHEN min_distance < 0 THEN 1.0 ELSE pow(3.0, 1 - min_distance) END, 6) AS multiplier FROM details"))
+def multiplier_by_record(t):
+    return _details(t).select("record_index", R4(fn.multiplier(F.col("min_distance"), 3.0, F.lit(1))).alias("multiplier"))
+
+
+@query(sql("steps", "blocks", body="SELECT * FROM blocks"))
+def purpose_blocks(t):
+    return sequences.block_rows(t.steps())
+
+
+@query(sql("steps", "blocks", body="SELECT record_index, count(*) AS n_blocks, count(*) FILTER (family = 'read') AS n_read_blocks, count(*) FILTER (is_loop) AS n_loop_blocks, sum(CASE WHEN family = 'read' THEN n_steps ELSE 0 END)::BIGINT AS n_read_steps FROM blocks GROUP BY record_index"))
+def block_stats(t):
+    return sequences.block_stats(sequences.block_rows(t.steps()))
+
+
+@query("WITH g AS (SELECT user_id, event_type = 'error' AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS g FROM events), runs AS (SELECT user_id, f, g, count(*) AS n FROM g GROUP BY ALL) SELECT user_id, coalesce(max(CASE WHEN f THEN n END), 0) AS longest FROM runs GROUP BY user_id")
+def longest_error_run(t):
+    return sequences.longest_run(t.events, F.col("event_type") == "error", "user_id", ["ts", "event_id"])
+
+
+@query(sql(*BASE, "hits", body=", g AS (SELECT record_index, trace_idx, d, count(*) AS n FROM hits GROUP BY ALL) SELECT a.record_index, round(sum(sign(a.d - b.d) * a.n * b.n) / sum(a.n * b.n), 6) AS order_score FROM g a JOIN g b ON a.record_index = b.record_index AND a.trace_idx < b.trace_idx AND a.d <> b.d GROUP BY ALL"))
+def order_score(t):
+    return sequences.order_score(overlap.hit_nodes(t.reads(), t.nodes())).select("record_index", R4("order_score").alias("order_score"))
+
+
+@query(sql(*BASE, "hits", body=", m AS (SELECT record_index, min(CASE WHEN d = 0 THEN trace_idx END) AS root, min(CASE WHEN d > 0 AND d < 1 THEN trace_idx END) AS mid FROM hits GROUP BY ALL) SELECT record_index, root IS NOT NULL AND (mid IS NULL OR mid > root) AS is_miracle, CASE WHEN root IS NOT NULL AND (mid IS NULL OR mid > root) THEN 3 ELSE 0 END AS severity FROM m"))
+def miracle(t):
+    return sequences.miracles(overlap.hit_nodes(t.reads(), t.nodes()), 3)
+
+
+STEP_HITS = ", s AS (SELECT record_index, trace_idx, bool_or(d IS NOT NULL) AS on_chain, coalesce(bool_or(d = 1), false) AS on_anchor, coalesce(bool_or(d = 0), false) AS on_root FROM reads q LEFT JOIN nodes n ON n.file_path = q.file_path AND rewardable AND start_line <= node_end AND end_line >= node_start GROUP BY ALL)"
+
+
+def _chain_steps(t):
+    n = t.nodes().where("rewardable").groupBy("instance_id", "file_path", F.col("start_line").alias("s"), F.col("end_line").alias("e")).agg(F.min("normalized_distance").alias("normalized_distance"))
+    q = t.reads()
+    hit = q.join(n, (q.file_path == n.file_path) & (q.start_line <= n.e) & (q.end_line >= n.s), "left").select("record_index", "trace_idx", "normalized_distance")
+    return sequences.chain_step_hits(hit)
+
+
+@query(sql(*BASE, body=STEP_HITS + " SELECT * REPLACE (trace_idx::INT AS trace_idx) FROM s"))
+def chain_step_hits(t):
+    return _chain_steps(t)
+
+
+@query(sql(*BASE, body=STEP_HITS + ", a AS (SELECT record_index, min(trace_idx) FILTER (on_anchor) AS anchor, min(trace_idx) FILTER (on_root) AS root, max(trace_idx) FILTER (on_root) AS last_root, count(*) FILTER (on_chain) AS n_on, count(*) FILTER (NOT on_chain) AS n_off FROM s GROUP BY ALL), c AS (SELECT s.record_index, count(*) AS after FROM s JOIN a USING (record_index) WHERE on_chain AND trace_idx > anchor GROUP BY ALL) SELECT record_index, anchor IS NULL AS missed_anchor, root IS NULL AS missed_root, coalesce(root < anchor, false) AS root_before_anchor, anchor IS NOT NULL AND NOT coalesce(last_root >= anchor, false) AND coalesce(after, 0) >= 2 AS chain_stall, n_off >= 3 AND n_off > n_on AS off_chain_read_spree FROM a LEFT JOIN c USING (record_index)"))
+def bad_patterns(t):
+    return sequences.chain_patterns(_chain_steps(t))
+
+
+CELLS = ", cells AS (SELECT r.record_index, model_label, status, (price > 100000)::INT AS resolved, count(l.l_orderkey) AS turns, sum(l_quantity) AS input_tokens, sum(l_discount) AS cache_hit_tokens, sum(l_tax) AS cost FROM records r LEFT JOIN lineitem l ON l_orderkey = r.record_index GROUP BY ALL), metrics AS (SELECT model_label, count(*) AS target, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'error') AS error, round(avg(resolved) FILTER (status = 'done'), 6) AS resolved_rate, round(avg(turns) FILTER (status = 'done'), 6) AS avg_turns, round(sum(cache_hit_tokens) FILTER (status = 'done') / (sum(input_tokens) FILTER (status = 'done') + sum(cache_hit_tokens) FILTER (status = 'done')), 6) AS cache_hit_rate, round(sum(cost), 2) AS total_cost FROM cells GROUP BY model_label)"
+
+
+def _cells(t):
+    per = t.lineitem.groupBy(F.col("l_orderkey").alias("record_index")).agg(F.count("*").alias("turns"), F.sum("l_quantity").alias("input_tokens"), F.sum("l_discount").alias("cache_hit_tokens"), F.sum("l_tax").alias("cost"))
+    return t.records().join(per, "record_index", "left").withColumn("turns", F.coalesce("turns", F.lit(0))).withColumn("resolved", (F.col("price") > 100000).cast("int"))
+
+
+@query(sql("records", body=CELLS + " SELECT * FROM metrics"))
+def model_metrics(t):
+    return agg.model_metrics(_cells(t))
+
+
+@query(sql("records", body=CELLS + " SELECT model_label, row_number() OVER (ORDER BY resolved_rate DESC NULLS LAST, model_label)::INT AS place FROM metrics"))
+def model_ranking(t):
+    return agg.model_ranking(agg.model_metrics(_cells(t))).select("model_label", "place")
+
+
+@query("SELECT doc_id, source FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND toxic = 1)")
+def skip_anti_join(t):
+    return sets.without(t.documents.select("doc_id", "source"), t.labels.where("toxic = 1"), "doc_id")
+
+
+@query("SELECT o_orderkey AS cell_id FROM orders WHERE o_orderstatus <> 'F'")
+def resume_anti_join(t):
+    cells = t.orders.select(F.col("o_orderkey").alias("cell_id"), "o_orderstatus")
+    return sets.without(cells.select("cell_id"), cells.where("o_orderstatus = 'F'"), "cell_id")
+
+
+@query("SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id)")
+def difficulty_left_join(t):
+    return t.documents.select("doc_id").join(t.labels, "doc_id", "left").select("doc_id", "quality", "toxic")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem JOIN part p ON l_partkey = p_partkey WHERE EXISTS (SELECT 1 FROM part r WHERE r.p_brand = p.p_brand AND r.p_size % 7 = 0 AND trunc(l_quantity)::INT BETWEEN r.p_size AND r.p_size + 1) GROUP BY ALL")
+def point_in_range(t):
+    points = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.col("p_brand").alias("file_path"), F.col("l_quantity").cast("int").alias("line_no"))
+    ranges = t.part.where("p_size % 7 = 0").select(F.col("p_brand").alias("file_path"), F.col("p_size").alias("start_line"), (F.col("p_size") + 1).alias("end_line"))
+    return overlap.in_some_range(points, ranges).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+@query("WITH pt AS (SELECT DISTINCT p_brand AS b, p_size AS n FROM part), r AS (SELECT DISTINCT p_brand AS b, p_size AS s, p_size + p_size % 9 AS e FROM part), h AS (SELECT pt.b, n, r.b || '-' || s AS name, e - s AS span, s FROM pt JOIN r ON pt.b = r.b AND n BETWEEN s AND e) SELECT b AS file_path, n AS line_no, name AS callable FROM (SELECT *, row_number() OVER (PARTITION BY b, n ORDER BY span, s DESC, name) AS k FROM h) WHERE k = 1")
+def innermost_enclosing(t):
+    points = t.part.select(F.col("p_brand").alias("file_path"), F.col("p_size").alias("line_no"), F.lit("").alias("qualified_name")).distinct()
+    ranges = t.part.select(F.col("p_brand").alias("file_path"), F.col("p_size").alias("start_line"), (F.col("p_size") + F.col("p_size") % 9).alias("end_line"), F.concat_ws("-", "p_brand", "p_size").alias("qualified_name")).distinct()
+    return overlap.innermost(points, ranges, ["file_path", "line_no"])
+
+
+@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+def added_keys(t):
+    side = lambda f: t.lineitem.where(F.col("l_returnflag") == f).select("l_partkey").distinct()
+    return sets.added(side("R"), side("A"), "l_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 2 <> 0")
+def modified_keys(t):
+    return sets.modified(t.part.select("p_partkey", F.col("p_size").alias("v")), t.part.select("p_partkey", (F.col("p_size") - F.col("p_size") % 2).alias("v")), "p_partkey", "v")
+
+
+@query("SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A'")
+def failed_and_passed(t):
+    side = lambda f: t.lineitem.where(F.col("l_returnflag") == f).select("l_suppkey")
+    return side("R").intersect(side("A"))
+
+
+@query(sql("steps", "frames", body=", t AS (SELECT trace_idx, string_agg(node_key::VARCHAR, ',' ORDER BY frame_idx) AS frames FROM frames GROUP BY trace_idx) SELECT frames, count(*) AS n FROM t GROUP BY frames"))
+def distinct_traces(t):
+    traces = t.frames().groupBy("trace_idx").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "node_key"))).alias("f"))
+    return traces.select(F.array_join(F.transform("f", lambda x: x["node_key"].cast("string")), ",").alias("frames")).groupBy("frames").agg(F.count("*").alias("n"))
+
+
+@query()
+def maximal_traces(t):
+    owner = t.orders.select(F.col("o_orderkey").alias("trace_idx"), F.col("o_custkey").alias("instance_id"))
+    traces = t.frames().drop("instance_id").join(owner, "trace_idx").groupBy("instance_id", "trace_idx").agg(F.array_sort(F.collect_list(F.struct("frame_idx", (F.col("node_key") % 12).alias("k")))).alias("f"))
+    m = graphs.maximal_traces(traces.select("instance_id", F.transform("f", lambda x: x["k"]).alias("frames")))
+    return m.select("instance_id", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"))
+
+
+@query(sql("steps", "frames", "edges", body="SELECT DISTINCT node_key AS caller, callee FROM lead_frames WHERE frame_idx < last AND callee <> node_key"))
+def call_edges(t):
+    return graphs.call_edges(t.frames()).select("caller", "callee")
+
+
+@query(sql("steps", "frames", body=", roots AS (SELECT trace_idx, node_key, min(frame_idx) AS root_idx FROM frames WHERE is_patched GROUP BY ALL) SELECT f.node_key, min(root_idx - frame_idx)::INT AS hop FROM frames f JOIN roots r ON f.trace_idx = r.trace_idx AND frame_idx <= root_idx GROUP BY f.node_key"))
+def hop_distance(t):
+    f = t.frames()
+    return graphs.hop_distances(f, f.where("is_patched").select("instance_id", "node_key").distinct()).select("node_key", "hop")
+
+
+REACH = ", reach(node_key) AS (SELECT s FROM (VALUES (3::BIGINT), (7::BIGINT)) v(s) UNION SELECT {dst} FROM small_edges JOIN reach ON {src} = node_key) SELECT node_key FROM reach"
+
+
+def _starts(t):
+    return t.spark.createDataFrame([("g", 3), ("g", 7)], "instance_id string, node_key long")
+
+
+@query(sql("steps", "frames", "edges", body=REACH.format(src="caller", dst="callee"), recursive=True))
+def forward_reach(t):
+    return graphs.reachable(t.small_edges(), _starts(t)).select("node_key")
+
+
+@query(sql("steps", "frames", "edges", body=REACH.format(src="callee", dst="caller"), recursive=True))
+def backward_reach(t):
+    return graphs.reachable(t.small_edges(), _starts(t), forward=False).select("node_key")
+
+
+PATHS = ", paths(source, target) AS (SELECT caller, callee FROM small_edges UNION SELECT source, callee FROM paths JOIN small_edges ON target = caller)"
+
+
+@query(sql("steps", "frames", "edges", body=PATHS + ", n AS (SELECT caller AS node_key FROM small_edges UNION SELECT callee FROM small_edges) SELECT node_key FROM n WHERE NOT EXISTS (SELECT 1 FROM paths p WHERE p.source = node_key AND NOT EXISTS (SELECT 1 FROM paths q WHERE q.source = p.target AND q.target = p.source))", recursive=True))
+def terminal_components(t):
+    e = t.small_edges()
+    nodes = e.select("instance_id", F.col("caller").alias("node_key")).unionByName(e.select("instance_id", F.col("callee").alias("node_key"))).distinct()
+    return graphs.terminal_nodes(nodes, e).select("node_key")
+
+
+@query(sql("steps", "frames", "edges", body=PATHS + ", f AS (SELECT 3 AS k UNION SELECT target FROM paths WHERE source = 3), b AS (SELECT 20 AS k UNION SELECT source FROM paths WHERE target = 20), i AS (SELECT k FROM f INTERSECT SELECT k FROM b) SELECT caller, callee FROM small_edges WHERE caller IN (SELECT k FROM i) AND callee IN (SELECT k FROM i)", recursive=True))
+def chain_projection(t):
+    one = lambda k: t.spark.createDataFrame([("g", k)], "instance_id string, node_key long")
+    return graphs.chain(t.small_edges(), one(3), one(20)).select("caller", "callee")
+
+
+@query(sql("steps", "frames", "edges", body=", r AS (SELECT DISTINCT s_suppkey % 40 AS k, CASE s_suppkey % 40 % 4 WHEN 0 THEN 'root_cause' WHEN 1 THEN 'symptom' WHEN 2 THEN 'test_harness' ELSE 'intermediate' END AS role FROM supplier) SELECT a.role || '->' || b.role AS role_transition, a.role <> 'test_harness' AS reward_path_edge, count(*) AS n FROM small_edges JOIN r a ON caller = a.k JOIN r b ON callee = b.k GROUP BY ALL"))
+def node_roles(t):
+    role = F.when(F.col("s_suppkey") % 4 == 0, "root_cause").when(F.col("s_suppkey") % 4 == 1, "symptom").when(F.col("s_suppkey") % 4 == 2, "test_harness").otherwise("intermediate")
+    roles = t.supplier.select((F.col("s_suppkey") % 40).alias("s_suppkey")).distinct().select(F.lit("g").alias("instance_id"), F.col("s_suppkey").alias("node_key"), role.alias("node_role"))
+    return graphs.edge_roles(t.small_edges(), roles).groupBy("role_transition", "reward_path_edge").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def upsert_last_wins(t):
+    return upsert.latest(t.events.select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT o_orderkey AS cell_id, CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS created_at, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS updated_at FROM orders")
+def upsert_preserve_created(t):
+    rows = lambda n, k: t.orders.where(F.col("o_orderstatus") != k).select(F.col("o_orderkey").alias("cell_id"), F.lit(n).alias("created_at"), F.lit(n).alias("updated_at"))
+    return upsert.upsert(rows(1, "P"), rows(2, "F"), ["cell_id"], keep_old=["created_at"])
+
+
+@query("SELECT coalesce(b.source, a.source) AS source, coalesce(b.n, a.n) AS n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) a FULL JOIN (SELECT source, 0 AS n FROM documents WHERE lang = 'de' GROUP BY source) b USING (source)")
+def merge_skip_list(t):
+    new = t.documents.where("lang = 'de'").select("source").distinct().withColumn("n", F.lit(0).cast("long"))
+    return sets.merge_skips(t.documents.groupBy("source").agg(F.count("*").alias("n")), new, "source")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 10")
+def offset_limit(t):
+    return sets.select_rows(t.orders.select("o_orderkey"), "o_orderkey", offset=10, limit=50)
+
+
+@query("SELECT conv_id, turn, length(text)::INT AS n_chars FROM conversations WHERE role = 'assistant'")
+def assistant_turns(t):
+    return t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.length("text").alias("n_chars"))
+
+
+@query(sql("steps", body=", ones AS (SELECT record_index, trace_idx, trace_idx - row_number() OVER (PARTITION BY record_index ORDER BY trace_idx) AS g FROM steps WHERE family = 'read') SELECT record_index, (row_number() OVER (PARTITION BY record_index ORDER BY min(trace_idx)) - 1)::INT AS span_index, min(trace_idx)::INT AS start, (max(trace_idx) + 1)::INT AS \"end\" FROM ones GROUP BY record_index, g"))
+def token_spans(t):
+    masks = t.steps().groupBy("record_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("trace_idx", (F.col("family") == "read").cast("int").alias("m")))), lambda x: x["m"]).alias("response_mask"))
+    return sequences.mask_spans(masks, "record_index")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_path_get(t):
+    return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query(r"SELECT page_id, CASE WHEN starts_with(p, '/testbed/') THEN substr(p, 10) WHEN starts_with(p, './') THEN regexp_replace(p, '^[./]+', '') ELSE p END AS path FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/testbed/' WHEN 1 THEN './' ELSE '' END || url AS p FROM pages)")
+def path_normalize(t):
+    prefix = F.when(F.col("page_id") % 3 == 0, "/testbed/").when(F.col("page_id") % 3 == 1, "./").otherwise("")
+    return t.pages.select("page_id", fn.normalize_path(F.concat(prefix, "url")).alias("path"))
+
+
+@query("SELECT page_id, array_to_string(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)).list_sort(), ' ') AS hrefs FROM pages")
+def href_extract(t):
+    return t.pages.select("page_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))), " ").alias("hrefs"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'network_error' WHEN event_type = 'view' THEN 'runtime_timeout' ELSE 'runtime_error' END AS kind FROM events")
+def error_kinds(t):
+    message = F.when(F.col("event_type") == "error", "Connection reset by peer").when(F.col("event_type") == "view", "it TIMED OUT").otherwise("other")
+    return t.events.select("event_id", fn.error_kind(message).alias("kind"))
+
+
+@query()
+def reshape_spans(t):
+    rows = t.steps().groupBy("record_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("trace_idx", (F.col("family") == "read").cast("int").alias("m")))), lambda x: x["m"]).alias("mask"))
+    spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit(3.0).alias("multiplier")))
+    out = sequences.reshape_advantages(F.transform("mask", lambda m: F.lit(1.0)), F.col("mask"), spans)
+    return rows.select("record_index", F.array_join(F.transform(out, lambda x: x.cast("string")), ",").alias("advantages"))
