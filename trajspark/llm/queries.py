@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontamination, html_extract, quality_model, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_store, url_rules
 from .common import scratch_path
@@ -53,7 +54,8 @@ def html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
+    out = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_store": tokens,
 }
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_LISTS = ", ".join(f"('{lang}', {k}, '{w}')" for lang, ws in quality_rules.COMMON_WORDS.items() for k, w in enumerate(ws))
+_CLASS_COUNTS = ", ".join(f"length(text) - length(translate(text, {'||'.join(f'chr({ord(c)})' for c in chars)}, ''))" for chars in quality_rules.CLASSES.values())
+_JS = """SELECT n, CASE WHEN sum(c) > 0 AND sum(r) > 0 THEN sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) END AS d
+  FROM (SELECT f.n, f.c, r.r, f.c / sum(f.c) OVER (PARTITION BY f.n)::DOUBLE AS p, r.r / sum(r.r) OVER (PARTITION BY f.n)::DOUBLE AS q
+        FROM {0} f JOIN (SELECT lang, k, sum(c) AS r FROM {0} WHERE NOT base_failed GROUP BY ALL) r USING (lang, k)) GROUP BY n"""
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE_SQL: dict[str, str] = {
     "op9_url_filters": rf"""
@@ -93,5 +101,39 @@ matched AS (
          row_number() OVER (PARTITION BY n ORDER BY length(rule_host) + length(rule_path) DESC NULLS LAST, length(rule_host) DESC) AS place
   FROM parts p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM matched WHERE place = 1
+""",
+    "op4_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM later, range(0, 20) t(o)),
+counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN left_over USING (doc_id)
+""",
+    "op8_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, lower(coalesce(lang, '')) AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+tri AS (SELECT n, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT n, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (SELECT n, count(DISTINCT i + o) AS r FROM (SELECT n, i, count(*) OVER (PARTITION BY n, s) AS k FROM tri), range(0, 3) t(o) WHERE k > 1 GROUP BY n),
+lines AS (SELECT n, [x for x in string_split(text, chr(10)) if regexp_matches(x, '{_WORD}')] AS l FROM d),
+base AS (
+  SELECT n, doc_id, lang, text, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words,
+         len(w) < {quality_rules.BASE_WORDS} OR 100 * coalesce(r, 0) > 50 * len(w) AS base_failed
+  FROM d JOIN lines USING (n) LEFT JOIN rep USING (n)),
+class_lists AS (SELECT n, lang, base_failed, length(text) AS size, [{_CLASS_COUNTS}] AS c FROM base),
+char_counts AS (SELECT n, lang, base_failed, unnest(list_append(c, size - list_sum(c)::BIGINT)) AS c, unnest(range(0, {len(quality_rules.CLASSES) + 1})) AS k FROM class_lists),
+lists(lang, k, word) AS (VALUES {_LISTS}),
+spoken AS (SELECT n, lang, rtrim(translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?') AS word FROM base),
+listed AS (SELECT n, k, count(*) AS c FROM spoken JOIN lists USING (lang, word) GROUP BY ALL),
+word_counts AS (
+  SELECT n, lang, base_failed, lists.k, coalesce(c, 0) AS c FROM base JOIN lists USING (lang) LEFT JOIN listed USING (n, k)
+  UNION ALL SELECT n, lang, base_failed, {quality_rules.N_WORDS}, n_words - coalesce((SELECT sum(c) FROM listed WHERE listed.n = base.n), 0) FROM base WHERE lang IN (SELECT lang FROM lists)),
+char_d AS ({_JS.format('char_counts')}),
+word_d AS ({_JS.format('word_counts')})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_words >= {quality_rules.LEAST_WORDS} AND (coalesce(c.d > {quality_rules.CHAR_LIMIT[0]} + {quality_rules.CHAR_LIMIT[1]} / sqrt(length(text)), false) OR coalesce(v.d > {quality_rules.WORD_LIMIT[0]} + {quality_rules.WORD_LIMIT[1]} / sqrt(n_words), false))) AS kept,
+       round(c.d, 6) AS char_distance, round(v.d, 6) AS word_distance
+FROM base LEFT JOIN char_d c USING (n) LEFT JOIN word_d v USING (n)
 """,
 }
