@@ -60,7 +60,7 @@ def trend_by_step(t):
     return agg.trends(_details(t))
 
 
-@query(sql(*BASE, "details", body=f"SELECT 'val-p2a/' || data_source || '/' || name AS metric, value FROM (UNPIVOT (SELECT data_source, n_records::DOUBLE AS n_records, n_hit::DOUBLE AS n_hit, n_ground_truth::DOUBLE AS n_ground_truth, hit_call_graph_rate, hit_ground_truth_rate, hit_near_rate, avg_distance FROM (SELECT data_source, {RATES} FROM details GROUP BY data_source)) ON COLUMNS(* EXCLUDE data_source) INTO NAME name VALUE value) WHERE value IS NOT NULL"))
+@query(sql(*BASE, "details", body=f"SELECT 'val/' || data_source || '/' || name AS metric, value FROM (UNPIVOT (SELECT data_source, n_records::DOUBLE AS n_records, n_hit::DOUBLE AS n_hit, n_ground_truth::DOUBLE AS n_ground_truth, hit_call_graph_rate, hit_ground_truth_rate, hit_near_rate, avg_distance FROM (SELECT data_source, {RATES} FROM details GROUP BY data_source)) ON COLUMNS(* EXCLUDE data_source) INTO NAME name VALUE value) WHERE value IS NOT NULL"))
 def metric_unpivot(t):
     return agg.metric_rows(_details(t))
 

@@ -53,7 +53,7 @@ def status_lines(raw: Column) -> Column:
 
 
 def error_kind(error: Column) -> Column:
-    """Kind of an error by ordered rules over its text; null stays null."""
+    """Kind of an error by ordered rules over its text; null stays null. The words and kinds are fixed values."""
     low = F.lower(error)
     has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
     rules = [

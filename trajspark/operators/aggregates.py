@@ -29,12 +29,12 @@ def trends(details: DataFrame, source: str = "data_source", step: str = "run_ste
     return hit_rates(details.where(F.col(step).isNotNull()), source, step)
 
 
-def metric_rows(details: DataFrame, source: str = "data_source") -> DataFrame:
-    """(metric, value): one row for each metric of each source, named ``val-p2a/<source>/<metric>``; nulls are left out."""
+def metric_rows(details: DataFrame, source: str = "data_source", prefix: str = "val") -> DataFrame:
+    """(metric, value): one row for each metric of each source, named ``<prefix>/<source>/<metric>``; nulls are left out."""
     wide = hit_rates(details, source)
     cols = [c for c in wide.columns if c != source]
     long = wide.select(F.coalesce(source, F.lit("unknown")).alias("s"), *[F.col(c).cast("double") for c in cols]).unpivot("s", cols, "name", "value")
-    return long.where("value is not null").select(F.concat(F.lit("val-p2a/"), "s", F.lit("/"), "name").alias("metric"), "value")
+    return long.where("value is not null").select(F.concat(F.lit(f"{prefix}/"), "s", F.lit("/"), "name").alias("metric"), "value")
 
 
 def recall_histogram(scores: DataFrame) -> DataFrame:
