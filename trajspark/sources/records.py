@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys under which a record list may stand, and where an id may.
+from ..functions.steps import is_object, items_of, kind_of, nested
+
+#: Keys under which a record list may stand, and where ids, sources and step numbers may.
 ENVELOPES = ("records", "rollouts", "data", "items", "samples")
-ID_PATHS = ("$.instance_id", "$.extra_info.instance_id", "$.extra_fields.instance_id", "$.metadata.instance_id", "$.extra_info.tools_kwargs.reward.metadata.instance_id")
-SOURCE_PATHS = ("$.data_source", "$.extra_fields.data_source", "$.extra_info.data_source", "$.metadata.data_source")
-STEP_NAMES = ("run_step", "global_step", "step", "training_step", "trainer_step", "validation_step")
-CONTAINERS = ("$", "$.extra_fields", "$.extra_info", "$.metadata")
+ID_KEYS = ("instance_id", "uid", "task_id", "sample_id", "id")
+ID_PATHS = ("metadata.instance_id", "extra_fields.instance_id", "extra_info.instance_id", "extra_info.tools_kwargs.reward.metadata.instance_id", "tools_kwargs.reward.metadata.instance_id", "reward.metadata.instance_id")
+CONTAINERS = ("", "extra_fields", "extra_info", "metadata")
+STEP_NAMES = ("global_step", "trainer_step", "validation_step", "training_step", "step", "iteration")
+STEP_LISTS = ("p2a_step_traces", "steps", "traces")
 
 
 def unwrap(raw: Column) -> Column:
@@ -37,24 +40,41 @@ def scan_records(spark: SparkSession, path: str, *, strict: bool = True) -> Data
     return both.select("file", "line", F.posexplode(unwrap(F.col("value"))).alias("place", "raw"))
 
 
-def first_of(raw: Column, paths: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(raw, p)), F.lit("")) for p in paths])
+def text_at(raw: Column, path: str) -> Column:
+    """The trimmed string at a dotted path; null for other types and for empty strings."""
+    *outer, key = path.split(".")
+    held = nested(raw, *outer)
+    return F.when(kind_of(held, key) == "STRING", F.nullif(F.trim(nested(held, key)), F.lit("")))
+
+
+def containers(raw: Column) -> list[Column]:
+    """The record and the objects in it that may carry its fields."""
+    return [raw if not c else nested(raw, c) for c in CONTAINERS]
 
 
 def instance_id(raw: Column) -> Column:
-    return first_of(raw, ID_PATHS)
+    """The first id: under a key of the record (one with a double underscore, but for ``instance_id``), then in the objects below."""
+    direct = [text_at(raw, k) if k == "instance_id" else F.when(text_at(raw, k).contains("__"), text_at(raw, k)) for k in ID_KEYS]
+    return F.coalesce(*direct, *[text_at(raw, p) for p in ID_PATHS])
 
 
 def data_source(raw: Column) -> Column:
-    return F.coalesce(first_of(raw, SOURCE_PATHS), F.lit("unknown"))
+    return F.coalesce(*[text_at(c, "data_source") for c in containers(raw)], F.lit("unknown"))
 
 
 def run_step(raw: Column) -> Column:
     """The first finite number under a step name, container by container, cut to a whole one."""
-    found = [F.get_json_object(raw, f"{c}.{n}").try_cast("double") for c in CONTAINERS for n in STEP_NAMES]
+    found = [nested(c, n).try_cast("double") for c in containers(raw) for n in STEP_NAMES]
     return F.coalesce(*[F.when(~F.isnan(x) & (F.abs(x) < 1e15), x) for x in found]).cast("long")
 
 
+def step_list(raw: Column) -> Column:
+    """The record's steps as array<string>: of the first container that has a list of them, itself or one level down; else empty."""
+    listed = lambda c: F.when(F.ltrim(c).startswith("["), c)
+    held = [nested(c, STEP_LISTS[0]) for c in containers(raw)]
+    return items_of(F.coalesce(*[x for h in held for x in (listed(h), *[F.when(is_object(h), listed(nested(h, k))) for k in STEP_LISTS])]))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
