@@ -94,7 +94,7 @@ def test_tool_calls(spark):
 def test_content_and_messages(spark):
     m = {"messages": [{"role": "user", "content": "cat no.py"}, {"role": "Assistant", "content": [{"type": "t", "text": "cat a.py"}, "cat b.py", {"content": "x"}]}, {"role": "tool", "tool_calls": [view("c.py")["tool_calls"][0]]}]}
     df = spark.createDataFrame([(json.dumps(m),)], "raw string")
-    assert [r.file_path for r in df.select(st.container_reads(F.col("raw"))).first()[0]] == ["a.py", "b.py", "c.py"]
+    assert [r.file_path for r in st.with_reads(df, "raw").first().reads] == ["c.py", "a.py", "b.py"]
 
 
 def test_actions(spark):

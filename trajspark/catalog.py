@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as fn
 from .operators import aggregates as agg
 from .operators import graphs, overlap, sequences, sets, upsert
+from .plans import scoring
 from .plans.testdata import Tables, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -326,3 +327,23 @@ def reshape_spans(t):
     spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit(3.0).alias("multiplier")))
     out = sequences.reshape_advantages(F.transform("mask", lambda m: F.lit(1.0)), F.col("mask"), spans)
     return rows.select("record_index", F.array_join(F.transform(out, lambda x: x.cast("string")), ",").alias("advantages"))
+
+
+@query(sql(*BASE, "hits", body=PRECISION + """, n AS (SELECT record_index, count(DISTINCT (file_path, start_line, end_line)) AS n_reads, count(DISTINCT CASE WHEN n.node_key IS NOT NULL THEN (file_path, start_line, end_line) END) AS n_hit_reads FROM (SELECT q.*, n.node_key FROM reads q LEFT JOIN nodes n ON n.file_path = q.file_path AND rewardable AND start_line <= node_end AND end_line >= node_start) n GROUP BY ALL),
+h AS (SELECT record_index, min(d)::DOUBLE AS min_distance, count(*) AS n_hit_nodes, min(trace_idx)::INT AS first_hit_step, min(CASE WHEN d = 0 THEN trace_idx END)::INT AS first_ground_truth_step FROM hits GROUP BY ALL)
+SELECT r.record_index, (SELECT count(*) FROM steps s WHERE s.record_index = r.record_index) AS n_trace_steps, coalesce(n_reads, 0) AS n_reads, min_distance, coalesce(n_hit_nodes, 0) AS n_hit_nodes, first_hit_step, first_ground_truth_step,
+CASE WHEN n_hit_nodes > 0 THEN round(n_hit_reads / n_reads::DOUBLE, 6) END AS hit_precision, round(n_hit_nodes / (SELECT count(*) FROM nodes WHERE rewardable)::DOUBLE, 6) AS hit_recall
+FROM records r LEFT JOIN n USING (record_index) LEFT JOIN h USING (record_index)"""))
+def score_rollouts(t):
+    """The scorer over rollouts written as JSON: views of files where a step reads, shell calls elsewhere."""
+    reads = t.reads().select("record_index", "trace_idx", F.to_json(F.struct(F.lit("view").alias("command"), F.col("file_path").alias("path"), F.array("start_line", "end_line").alias("view_range"))).alias("view"))
+    steps = t.steps().select("record_index", "trace_idx").join(reads, ["record_index", "trace_idx"], "left")
+    function = F.struct(F.when(F.col("view").isNull(), "execute_bash").otherwise("str_replace_editor").alias("name"), F.coalesce("view", F.lit('{"command": "ls"}')).alias("arguments"))
+    per = steps.groupBy("record_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("trace_idx", function.alias("function")))), lambda x: F.struct(F.array(F.struct(x["function"].alias("function"))).alias("tool_calls"))).alias("p2a_step_traces"))
+    raw = F.to_json(F.struct(F.lit("i").alias("instance_id"), "p2a_step_traces"))
+    records = t.records().select("record_index").join(per, "record_index", "left").select("record_index", raw.alias("raw"))
+    maps = t.spark.createDataFrame([("i", "standard", None, [], [])], "map_id string, case_type string, reason_code string, anchors array<string>, roots array<string>")
+    nodes = t.nodes().withColumn("node_key", F.col("node_key").cast("string")).withColumn("node_role", F.lit(None).cast("string"))
+    edges = t.spark.createDataFrame([], "instance_id string, caller string, callee string, reward boolean")
+    d = scoring.score_records(records, maps, nodes, edges)
+    return d.select("record_index", "n_trace_steps", "n_reads", "min_distance", "n_hit_nodes", "first_hit_step", "first_ground_truth_step", R4("hit_precision").alias("hit_precision"), R4("hit_recall").alias("hit_recall"))

@@ -9,7 +9,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,43 +74,44 @@ def content_text(raw: Column, key: str) -> Column:
     return F.when(kind == "STRING", value).when(kind.startswith("ARRAY"), F.array_join(parts, "\n")).otherwise("")
 
 
-def _reads_in_texts(texts: Column, mode: str) -> Column:
-    # One copy of the patterns for all fields keeps the plan small.
-    return F.flatten(F.transform(F.filter(texts, lambda t: t != ""), lambda t: reads_in_text(t, mode)))
+def _agent_messages(messages: Column) -> Column:
+    speaks = lambda m: F.coalesce(F.lower(nested(m, "role")).isin(*AGENT_ROLES), F.lit(False)) | nested(m, "tool_calls").isNotNull()
+    return F.filter(F.filter(items_of(messages), is_object), speaks)
 
 
-def message_reads(messages: Column, mode: str) -> Column:
-    """Reads of the agent's messages, and of any message with tool calls."""
+def said(raw: Column) -> Column:
+    """struct(texts, calls, n_own): what an object says in its text fields and agent messages, and calls there; the first ``n_own`` calls are its own.
 
-    def one(m: Column) -> Column:
-        agent = F.lower(nested(m, "role")).isin(*AGENT_ROLES) | nested(m, "tool_calls").isNotNull()
-        found = F.concat(reads_in_tool_calls(tool_calls(nested(m, "tool_calls"))), _reads_in_texts(F.array(content_text(m, "content")), mode))
-        return F.when(F.coalesce(agent, F.lit(False)), found).otherwise(F.array().cast(READ))
-
-    return F.flatten(F.transform(F.filter(items_of(messages), is_object), one))
+    Lists of calls and texts, and plain texts, are read as such. Null says nothing.
+    """
+    none = F.array().cast("array<string>")
+    object_, messages = is_object(raw), _agent_messages(nested(raw, "messages"))
+    texts = F.concat(F.array(*[content_text(raw, f) for f in TEXT_FIELDS]), F.transform(messages, lambda m: content_text(m, "content")))
+    plain = F.when(F.ltrim(raw).startswith("["), F.filter(items_of(raw), lambda i: ~is_object(i))).otherwise(F.array(raw))
+    own = tool_calls(F.when(object_, nested(raw, "tool_calls")).otherwise(raw))
+    theirs = F.when(object_, F.flatten(F.transform(messages, lambda m: tool_calls(nested(m, "tool_calls"))))).otherwise(F.array().cast(CALLS))
+    spoken = F.array_distinct(F.filter(F.coalesce(F.when(object_, texts).otherwise(plain), none), lambda t: t.isNotNull() & (t != "")))
+    return F.struct(spoken.alias("texts"), F.concat(own, theirs).alias("calls"), F.size(own).alias("n_own"))
 
 
 def distinct_reads(reads: Column) -> Column:
     return F.array_distinct(F.filter(reads, lambda r: r["file_path"].isNotNull() & (r["file_path"] != "")))
 
 
-def container_reads(raw: Column, mode: str = "view_and_bash") -> Column:
-    """Reads of an object: of its tool calls, its text fields and its messages."""
-    texts = _reads_in_texts(F.array(*[content_text(raw, f) for f in TEXT_FIELDS]), mode)
-    return distinct_reads(F.concat(reads_in_tool_calls(tool_calls(nested(raw, "tool_calls"))), texts, message_reads(nested(raw, "messages"), mode)))
-
+def with_reads(df: DataFrame, raw: str, mode: str = "view_and_bash") -> DataFrame:
+    """``df`` with ``reads`` of the JSON column ``raw``, each once, and ``core``: those of its own calls and its first filled text, repeats included.
 
-def step_reads(step: Column, mode: str = "view_and_bash") -> Column:
-    """Reads of a step, each once; a step may be an object, a list of calls and texts, or a text. Null has none."""
-    listed = F.concat(reads_in_tool_calls(tool_calls(step)), _reads_in_texts(F.filter(items_of(step), lambda i: ~is_object(i)), mode))
-    found = F.when(is_object(step), container_reads(step, mode)).when(F.ltrim(step).startswith("["), listed).otherwise(_reads_in_texts(F.array(step), mode))
-    return distinct_reads(F.coalesce(found, F.array().cast(READ)))
-
-
-def core_reads(step: Column, mode: str = "view_and_bash") -> Column:
-    """Reads of a step's tool calls and of the first text field that is filled, repeats included."""
-    first = F.coalesce(*[F.nullif(nested(step, f), F.lit("")) for f in FIRST_TEXT], F.lit(""))
-    return F.concat(reads_in_tool_calls(tool_calls(nested(step, "tool_calls"))), _reads_in_texts(F.array(first), mode))
+    The patterns, the costly part, run once over each distinct text of a row.
+    """
+    first = F.coalesce(*[F.nullif(nested(F.col(raw), f), F.lit("")) for f in FIRST_TEXT])
+    df = df.withColumn("_said", said(F.col(raw)))
+    by_text = F.transform("_said.texts", lambda t: F.struct(t.alias("text"), reads_in_text(t, mode).alias("reads")))
+    by_call = F.transform("_said.calls", lambda c: reads_in_tool_calls(F.array(c)))
+    df = df.withColumn("_first", first).withColumn("_texts", by_text).withColumn("_calls", by_call)
+    own = F.flatten(F.slice("_calls", F.lit(1), F.col("_said.n_own")))
+    of_first = F.flatten(F.transform(F.filter("_texts", lambda x: x["text"] == F.col("_first")), lambda x: x["reads"]))
+    reads = distinct_reads(F.concat(F.flatten("_calls"), F.flatten(F.transform("_texts", lambda x: x["reads"]))))
+    return df.withColumn("reads", reads).withColumn("core", F.when(is_object(F.col(raw)), F.concat(own, of_first)).otherwise(F.array().cast(READ))).drop("_said", "_first", "_texts", "_calls")
 
 
 def action(step: Column, mode: str = "view_and_bash") -> Column:

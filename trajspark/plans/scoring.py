@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import steps as st
 from ..functions.text import instance_candidates, multiplier, rate
 from ..operators import graphs, overlap, sequences
+from ..operators.staging import stage
 from ..sources.records import containers, data_source, instance_id, run_step, step_list
 
 #: Cases that have a chain, and roles around one.
@@ -33,8 +34,14 @@ def resolve(records: DataFrame, maps: DataFrame) -> DataFrame:
 def step_rows(records: DataFrame, mode: str = "view_and_bash") -> DataFrame:
     """One row for each step: trace_idx, step, family, target, signature, error, reads and the reads of its first text alone."""
     s = records.select("record_index", "map_id", F.posexplode(step_list(F.col("raw"))).alias("trace_idx", "step"))
-    s = s.withColumn("a", st.action(F.col("step"), mode))
-    return s.select("record_index", "map_id", "trace_idx", F.coalesce("a.family", F.lit("other")).alias("family"), "a.target", st.signature(F.col("a")).alias("signature"), st.is_object(F.col("step")).alias("is_object"), st.has_error("step").alias("error"), st.step_reads(F.col("step"), mode).alias("reads"), st.core_reads(F.col("step"), mode).alias("core"))
+    s = st.with_reads(s, "step", mode).withColumn("a", st.action(F.col("step"), mode))
+    return s.select("record_index", "map_id", "trace_idx", F.coalesce("a.family", F.lit("other")).alias("family"), "a.target", st.signature(F.col("a")).alias("signature"), st.is_object(F.col("step")).alias("is_object"), st.has_error("step").alias("error"), "reads", "core")
+
+
+def container_reads(records: DataFrame, mode: str = "view_and_bash") -> DataFrame:
+    """(record_index, map_id, reads) of each record and of each object in it that may carry its fields."""
+    boxes = records.select("record_index", "map_id", F.explode(F.array(*containers(F.col("raw")))).alias("box")).where(st.is_object(F.col("box")))
+    return st.with_reads(boxes, "box", mode).select("record_index", "map_id", "reads")
 
 
 def _explode(df: DataFrame, reads: str, *keys: str) -> DataFrame:
@@ -122,11 +129,11 @@ def score_records(records: DataFrame, maps: DataFrame, nodes: DataFrame, edges:
     columns are null for records without an evaluable chain.
     """
     m = maps.select("map_id", "case_type", "reason_code", "anchors", "roots", F.lit(True).alias("_mapped"))
-    recs = resolve(records, m)
-    steps = step_rows(recs, mode)
+    # Texts are parsed once: what follows reads the staged tables, and recomputes no pattern if an executor is lost.
+    recs = stage(resolve(records, m), "records")
+    steps = stage(step_rows(recs, mode), "steps")
     in_steps = _explode(steps, "reads", "trace_idx")
-    boxes = F.flatten(F.array(*[F.coalesce(st.container_reads(c, mode), F.array().cast(st.READ)) for c in containers(F.col("raw"))]))
-    in_boxes = _explode(recs.select("record_index", "map_id", boxes.alias("reads")), "reads")
+    in_boxes = _explode(stage(container_reads(recs, mode), "boxes"), "reads")
     reads = in_steps.drop("trace_idx").unionByName(in_boxes).distinct()
 
     step_stats = steps.groupBy("record_index").agg(F.count("*").alias("n_trace_steps"), F.count_if(F.size("reads") > 0).alias("n_steps_with_reads"))
@@ -146,7 +153,7 @@ def score_records(records: DataFrame, maps: DataFrame, nodes: DataFrame, edges:
     outcome = block_summary(blocks(steps, nodes))
     errors = sequences.longest_run(steps, F.col("error")).withColumnRenamed("longest", "max_error_run")
 
-    chain, context = chain_nodes(maps, nodes, edges)
+    chain, context = (stage(t, "chain") for t in chain_nodes(maps, nodes, edges))
     size = chain.groupBy(F.col("instance_id").alias("map_id")).agg(F.count("*").alias("n_chain_nodes"), F.count_if("is_anchor").alias("n_anchors"), F.count_if("is_root").alias("n_roots"))
     around = context.groupBy(F.col("instance_id").alias("map_id")).agg(F.count("*").alias("n_context_nodes"))
     without = reads.join(in_steps.select("record_index").distinct(), "record_index", "left_anti").withColumn("trace_idx", F.lit(0))
