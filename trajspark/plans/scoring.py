@@ -28,7 +28,7 @@ def resolve(records: DataFrame, maps: DataFrame) -> DataFrame:
     """``records`` with instance_id, data_source, run_step and the id of their map: the whole id's, or that of its short form."""
     raw = F.col("raw")
     named = records.select("record_index", "raw", instance_id(raw).alias("instance_id"), data_source(raw).alias("data_source"), run_step(raw).alias("run_step"))
-    return overlap.with_alias(named.withColumn("_ids", instance_candidates(F.coalesce("instance_id", F.lit("")))), maps, "_ids").drop("_ids")
+    return overlap.with_alias(named.withColumn("_ids", F.flatten(F.transform(F.array(F.coalesce("instance_id", F.lit(""))), instance_candidates))), maps, "_ids").drop("_ids")
 
 
 def step_rows(records: DataFrame, mode: str = "view_and_bash") -> DataFrame:

@@ -54,8 +54,10 @@ def containers(raw: Column) -> list[Column]:
 
 def instance_id(raw: Column) -> Column:
     """The first id: under a key of the record (one with a double underscore, but for ``instance_id``), then in the objects below."""
-    direct = [text_at(raw, k) if k == "instance_id" else F.when(text_at(raw, k).contains("__"), text_at(raw, k)) for k in ID_KEYS]
-    return F.coalesce(*direct, *[text_at(raw, p) for p in ID_PATHS])
+    # Arrays and lambda variables name each value once, so that the generated code stays small.
+    others = F.filter(F.array(*[text_at(raw, k) for k in ID_KEYS[1:]]), lambda v: v.contains("__"))
+    found = F.concat(F.array(text_at(raw, ID_KEYS[0])), others, F.array(*[text_at(raw, p) for p in ID_PATHS]))
+    return F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
 
 
 def data_source(raw: Column) -> Column:
@@ -64,8 +66,8 @@ def data_source(raw: Column) -> Column:
 
 def run_step(raw: Column) -> Column:
     """The first finite number under a step name, container by container, cut to a whole one."""
-    found = [nested(c, n).try_cast("double") for c in containers(raw) for n in STEP_NAMES]
-    return F.coalesce(*[F.when(~F.isnan(x) & (F.abs(x) < 1e15), x) for x in found]).cast("long")
+    found = F.array(*[nested(c, n).try_cast("double") for c in containers(raw) for n in STEP_NAMES])
+    return F.get(F.filter(found, lambda x: ~F.isnan(x) & (F.abs(x) < 1e15)), F.lit(0)).cast("long")
 
 
 def step_list(raw: Column) -> Column:
