@@ -110,7 +110,7 @@ def test_upsert(spark):
 
 
 def test_scan(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text('{"instance_id": "x__1", "extra_info": {"run_step": "7.9"}}\n\n{"data": [{"instance_id": "y"}, {"extra_info": {"instance_id": "z"}}]}\n')
+    (tmp_path / "a.jsonl").write_text('{"instance_id": "x__1", "extra_info": {"trainer_step": "7.9"}}\n\n{"data": [{"instance_id": "y"}, {"extra_info": {"instance_id": "z"}}]}\n')
     (tmp_path / "b.json").write_text('[{"instance_id": "w", "data_source": "d"}, 3]')
     got = records.scan_records(spark, str(tmp_path)).select(records.instance_id(F.col("raw")).alias("i"), records.data_source(F.col("raw")).alias("d"), records.run_step(F.col("raw")).alias("s"))
     assert sorted(map(tuple, got.collect())) == [("w", "d", None), ("x__1", "unknown", 7), ("y", "unknown", None), ("z", "unknown", None)]
