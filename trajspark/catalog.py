@@ -266,6 +266,42 @@ def node_roles(t):
     return graphs.edge_roles(t.small_edges(), roles).groupBy("role_transition", "reward_path_edge").agg(F.count("*").alias("n"))
 
 
+WHOLE = ("steps", "frames", "all_edges")
+REACH_BY_INSTANCE = "{name}(instance_id, node_key) AS (SELECT DISTINCT instance_id, node_key FROM owned WHERE {start} UNION SELECT e.instance_id, {dst} FROM all_edges e JOIN {name} r ON e.instance_id = r.instance_id AND {src} = r.node_key)"
+
+
+def _nodes_where(t, condition):
+    return t.owned_frames().where(condition).select("instance_id", "node_key").distinct()
+
+
+@query(sql(*WHOLE, body=", " + REACH_BY_INSTANCE.format(name="reach", start="is_patched", src="caller", dst="callee") + " SELECT * FROM reach", recursive=True))
+def forward_reach_whole(t):
+    return graphs.reachable(t.all_edges(), _nodes_where(t, "is_patched"))
+
+
+@query(sql(*WHOLE, body=", " + REACH_BY_INSTANCE.format(name="reach", start="is_patched", src="callee", dst="caller") + " SELECT * FROM reach", recursive=True))
+def backward_reach_whole(t):
+    return graphs.reachable(t.all_edges(), _nodes_where(t, "is_patched"), forward=False)
+
+
+@query(sql(*WHOLE, body=", paths(instance_id, source, target) AS (SELECT * FROM all_edges UNION SELECT p.instance_id, source, callee FROM paths p JOIN all_edges e ON p.instance_id = e.instance_id AND target = caller), one_way AS (SELECT p.instance_id, p.source AS node_key FROM paths p ANTI JOIN paths q ON p.instance_id = q.instance_id AND q.source = p.target AND q.target = p.source) SELECT DISTINCT instance_id, node_key FROM owned ANTI JOIN one_way USING (instance_id, node_key)", recursive=True))
+def terminal_components_whole(t):
+    return graphs.terminal_nodes(_nodes_where(t, "true"), t.all_edges())
+
+
+@query(sql(*WHOLE, body=", " + REACH_BY_INSTANCE.format(name="f", start="node_key % 4 = 1", src="caller", dst="callee") + ", " + REACH_BY_INSTANCE.format(name="b", start="is_patched", src="callee", dst="caller") + ", i AS (SELECT * FROM f INTERSECT SELECT * FROM b) SELECT e.* FROM all_edges e SEMI JOIN i a ON e.instance_id = a.instance_id AND caller = a.node_key SEMI JOIN i z ON e.instance_id = z.instance_id AND callee = z.node_key", recursive=True))
+def chain_projection_whole(t):
+    """From the symptoms of each instance to its patched nodes."""
+    return graphs.chain(t.all_edges(), _nodes_where(t, "node_key % 4 = 1"), _nodes_where(t, "is_patched")).select("instance_id", "caller", "callee")
+
+
+@query(sql(*WHOLE, body=", r AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'root_cause' WHEN 1 THEN 'symptom' WHEN 2 THEN 'test_harness' ELSE 'intermediate' END AS role FROM supplier) SELECT instance_id, a.role || '->' || b.role AS role_transition, a.role <> 'test_harness' AS reward_path_edge, count(*) AS n FROM all_edges JOIN r a ON caller = a.k JOIN r b ON callee = b.k GROUP BY ALL"))
+def node_roles_whole(t):
+    role = F.when(F.col("s_suppkey") % 4 == 0, "root_cause").when(F.col("s_suppkey") % 4 == 1, "symptom").when(F.col("s_suppkey") % 4 == 2, "test_harness").otherwise("intermediate")
+    roles = _nodes_where(t, "true").join(t.supplier.select(F.col("s_suppkey").alias("node_key"), role.alias("node_role")), "node_key")
+    return graphs.edge_roles(t.all_edges(), roles).groupBy("instance_id", "role_transition", "reward_path_edge").agg(F.count("*").alias("n"))
+
+
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def upsert_last_wins(t):
     return upsert.latest(t.events.select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
