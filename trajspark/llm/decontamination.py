@@ -5,7 +5,9 @@ leaks the item if their five-word shingles, weighted by how often they occur, ha
 greatest weights) of at least 0.8. Such a window holds a shingle of the item, so windows are laid where a document's
 shingle falls on the same shingle of an item of that size. Each distinct window content gets a SimHash fingerprint. The
 items' fingerprints are indexed by eight blocks of eight bits, with all values that differ in at most one bit: of two
-fingerprints within 15 bits, some block differs in at most one, so the index gives all of them. The exact similarity decides.
+fingerprints within 15 bits, some block differs in at most one, so the index gives all of them. Alike texts can be further
+apart than that, so beside the index every window is held against each item of its size with which it shares a shingle. The
+exact similarity decides.
 """
 
 from __future__ import annotations
@@ -52,6 +54,15 @@ def fingerprint_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.where(F.floor(F.log2(first)) == BLOCKS - F.col("block")).drop("block", "value")
 
 
+def shared_pairs(contents: DataFrame, items: DataFrame) -> DataFrame:
+    """(content, _item, similarity) of all contents (content, length, _s) and items (_key, _item, _iw, _is) of that length with a shingle in common."""
+    bag = lambda c: F.expr(f"transform(array_distinct({c}), x -> named_struct('s', x, 'n', size(filter({c}, y -> y = x))))")
+    left = contents.select("content", "length", F.size("_s").alias("_n"), F.explode(bag("_s")).alias("e")).select("content", "length", "_n", "e.s", F.col("e.n").alias("_c"))
+    right = items.select("_key", "_item", F.size("_iw").alias("length"), F.size("_is").alias("_in"), F.explode(bag("_is")).alias("e")).select("_key", "_item", "length", "_in", "e.s", F.col("e.n").alias("_ic"))
+    common = left.join(broadcast_if_small(right), ["length", "s"]).groupBy("content", "_n", "_key", "_item", "_in").agg(F.sum(F.least("_c", "_ic")).alias("_common"))
+    return common.select("content", "_item", F.expr("_common / (_n + _in - _common)").alias("similarity"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(_rid, id, item, start_word, n_words, similarity): for each document row and item that it leaks, the most similar window, the first of equals.
 
@@ -61,7 +72,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     may be empty.
     """
     items = benchmark.select(F.col(item_col).alias("_item"), plain_words(F.col(item_text_col)).alias("_iw")).withColumn("_is", _shingles("_iw"))
-    items = materialise(items.withColumn("item_fp", simhash("_is")), "items").where("size(_is) > 0")
+    items = materialise(items.withColumn("item_fp", simhash("_is")).withColumn("_key", F.monotonically_increasing_id()), "items").where("size(_is) > 0")
     places = items.select(F.size("_iw").alias("length"), F.posexplode("_is").alias("offset", "s")).select(F.xxhash64("s").alias("h"), "length", "offset").distinct()
     rows = row_ids(docs.select(id_col, text_col), id_col, text_col).select("_rid", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     at = " || ' ' || ".join(f"_w[i + {k}]" for k in range(SHINGLE))
@@ -69,17 +80,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     hashed = hashed.select("_rid", F.size("_w").alias("n"), F.expr(f"if(size(_w) >= {SHINGLE}, transform(sequence(0, size(_w) - {SHINGLE}), i -> xxhash64({at})), null)").alias("_h"))
     # Outer: for an inner explode the optimizer adds a filter below the projection, where words are split anew for each shingle.
     hits = hashed.select("_rid", "n", F.posexplode_outer("_h").alias("pos", "h")).join(broadcast_if_small(places), "h")
-    windows = hits.select("_rid", F.expr("greatest(0, least(pos - offset, n - length))").alias("start"), F.expr("least(length, n)").alias("size")).distinct()
-    lists = materialise(windows.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("_windows")), "windows")
+    windows = hits.select("_rid", F.expr("greatest(0, least(pos - offset, n - length))").alias("start"), F.expr("least(length, n)").alias("size"), "length").distinct()
+    lists = materialise(windows.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "size", "length"))).alias("_windows")), "windows")
     texts = rows.join(lists, "_rid").withColumn("_w", plain_words(F.col("_text")))
-    laid = texts.select("_rid", "_id", F.expr("if(size(_w) > 0, transform(_windows, v -> named_struct('start', v.start, 'size', v.size, 'content', array_join(slice(_w, v.start + 1, v.size), ' '))), null)").alias("v"))
+    laid = texts.select("_rid", "_id", F.expr("if(size(_w) > 0, transform(_windows, v -> named_struct('start', v.start, 'size', v.size, 'length', v.length, 'content', array_join(slice(_w, v.start + 1, v.size), ' '))), null)").alias("v"))
     laid = materialise(laid.select("_rid", "_id", F.explode_outer("v").alias("v")).where("v is not null").select("_rid", "_id", "v.*"), "laid")
-    contents = laid.select("content").distinct().withColumn("_w", F.split("content", " ")).withColumn("_s", _shingles("_w"))
-    contents = contents.select("content", "_s", simhash("_s").alias("fp"))
-    pairs = fingerprint_pairs(contents, items.select("_item", "_is", "item_fp"))
+    contents = laid.select("content", "length").distinct().withColumn("_w", F.split("content", " ")).withColumn("_s", _shingles("_w"))
+    prints = contents.select("content", "_s").distinct().select("content", "_s", simhash("_s").alias("fp"))
+    pairs = fingerprint_pairs(prints, items.select("_item", "_is", "item_fp"))
     common = "aggregate(array_distinct(_s), 0, (a, x) -> a + least(size(filter(_s, y -> y = x)), size(filter(_is, y -> y = x))))"
     pairs = pairs.withColumn("_common", F.expr(common)).withColumn("similarity", F.expr("_common / (size(_s) + size(_is) - _common)"))
-    alike = pairs.where(F.col("similarity") >= similarity).select("content", "_item", "similarity").distinct()
+    alike = pairs.where(F.col("similarity") >= similarity).select("content", "_item", "similarity")
+    alike = alike.unionByName(shared_pairs(contents, items).where(F.col("similarity") >= similarity)).distinct()
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "size")).alias("b")
     found = laid.join(alike, "content").groupBy("_rid", "_id", "_item").agg(best)
     return found.select("_rid", F.col("_id").alias(id_col), F.col("_item").alias(item_col), (-F.col("b.start")).alias("start_word"), F.col("b.size").alias("n_words"), "b.similarity")
