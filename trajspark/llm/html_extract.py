@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from . import labelled_pages
 from .common import small_batches
 
-#: Element names by their part in a page.
-RAW = "script style template noscript textarea iframe object svg math select canvas audio video title"
+#: Element names by their part in a page. What is in a RAW element is no markup, up to the end of the page if it is never closed.
+RAW = "script style textarea title"
+#: Dropped with all they hold where they are closed; svg and math can close themselves.
+DROPPED = frozenset("template noscript iframe object svg math select canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BOILER_TAGS = frozenset("nav footer aside form button dialog menu head fieldset input datalist".split())
@@ -38,6 +40,7 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_RAW_ELEMENT = r"<!--.*?-->|<(script|style|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?</\1\s*>"
 KINDS = ("word", "link_word", "boiler_word", "block_tag", "inline_tag", "boiler_tag")
 WORD, LINK, BOILER, BLOCK_TAG, INLINE_TAG, BOILER_TAG = range(len(KINDS))
 
@@ -53,6 +56,17 @@ def _boiler_attrs(attrs: str) -> bool:
     return False
 
 
+def _closed(page: str, name: str) -> dict[int, int]:
+    """End of the closing tag by the end of the opening tag, for the elements of a name that are closed."""
+    ends, opened = {}, []
+    for m in re.finditer(rf"{_RAW_ELEMENT}|<(/?){name}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", page, re.S | re.I):
+        if m[2] == "" and not (name in ("svg", "math") and m[3].endswith("/")):
+            opened.append(m.end())
+        elif m[2] and opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def parse(page: str) -> tuple[list[tuple[int, int, int, str]], list[int]]:
     """Events (kind, words, element, text) in page order, and each element's parent; element 0 is the page.
 
@@ -68,13 +82,20 @@ def parse(page: str) -> tuple[list[tuple[int, int, int, str]], list[int]]:
             text = html.unescape(text)
             events.append((BOILER if boiler[here] else LINK if links[here] else WORD, len(text.split()), here, text))
 
-    for m in TOKEN.finditer(page):
+    closed: dict[str, dict[int, int]] = {}
+    while m := TOKEN.search(page, at):
         add_text(page[at : m.start()])
         at = m.end()
         name = m["name"]
         if not name:
             continue
         name, here = name.lower(), stack[-1]
+        if name in DROPPED and not m["close"]:
+            if name not in closed:
+                closed[name] = _closed(page, name)
+            if at in closed[name] or name in ("svg", "math") and m["attrs"].endswith("/"):
+                at = closed[name].get(at, at)
+                continue
         inline = name in INLINE
         if m["close"]:
             for i in range(len(stack) - 1, 0, -1):
