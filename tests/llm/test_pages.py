@@ -21,3 +21,25 @@ def test_dropped():
     assert main_text(f"<body><article><p>{WORDS}</p><svg><title/><text>no</text></svg><object>a<object>b</object>c</object><select><option>d</select><p>The end.</p></article></body>") == TEXT
     assert main_text(f"<body>{ARTICLE}<script>if (a < b) '<svg>'") == TEXT
     assert main_text(f"<body><script>'</svg><svg>'</script><svg><!-- </svg> --><text>no</text></svg>{ARTICLE}") == TEXT
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [
+        '<div class="content with-sidebar">', '<div id="content" class="no-sidebar">', '<article class="post meta-x">', '<div class="post comments-open">', '<div class="has-comments">', '<div class="sidebar-layout">',
+        '<div id="page" class="menu-x"><div class="widget">',
+    ],
+)
+def test_names_around_the_article(opening):
+    closing = "".join(f"</{t.split()[0]}>" for t in opening.split("<")[:0:-1])
+    assert main_text(f"<body><p>Stray</p><nav><a href='/'>Home</a></nav>{opening}<p>{WORDS}</p><p>The end.</p>{closing}<footer>Foot</footer></body>").removeprefix("Stray ") == TEXT
+
+
+@pytest.mark.parametrize("attrs", ['class="entry-header"', 'id="page-header"', 'id="more-of-it"'])
+def test_headline(attrs):
+    assert main_text(f"<body><nav><a href='/'>Home</a></nav><article><h1 {attrs}>Head line</h1><p>{WORDS}</p><p>The end.</p></article></body>") == f"Head line {TEXT}"
+
+
+def test_names_of_other_text():
+    assert main_text(f'<body>{ARTICLE}<div class="comments"><p>{WORDS} {WORDS} {WORDS}</p></div><div class="sidebar-content"><p>{WORDS}</p></div></body>') == TEXT
+    assert main_text('<body><nav><a href="/">Home</a></nav><div class="cookie"><p>We use some.</p></div></body>') == ""

@@ -4,6 +4,9 @@ A page is a sequence of words and tags. A word in running text scores positive,
 is no article (menus, footers, forms, adverts, comments ...) and a tag score negative, with weights that a logistic
 regression learns from labelled pages. One linear scan finds the contiguous region with the highest sum. The region is
 widened to the innermost element that holds all of it, below the body, so that a short first or last block is not cut.
+
+A container can be marked by its tag or as hidden, or only by a name (class, id, role). A name is a hint: it does not hold for
+headings, nor beside a name of content, and where the text under a name outweighs all other text by far, the name is passed over.
 """
 
 from __future__ import annotations
@@ -33,6 +36,12 @@ BOILER_WORDS = frozenset(
     "footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist reply replies respond disqus discussion share sharing social "
     "related recommended recommendations more newsletter subscribe subscription signup login search form skip copyright legal disclaimer meta tags byline contentinfo complementary teaser".split()
 )
+#: A name that ends in one of these, without a word of BOILER_WORDS, is content; a name that begins with a modifier says what is beside or absent.
+CONTENT_WORDS = frozenset("article body content entry hentry main post story".split())
+MODIFIERS = frozenset("with without no not has is".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Text under a name is the article if it scores so many times what the best other region does, after so much for the name itself.
+NAME_FACTOR, NAME_COST = 32, 16
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)",
@@ -46,14 +55,23 @@ WORD, LINK, BOILER, BLOCK_TAG, INLINE_TAG, BOILER_TAG = range(len(KINDS))
 
 
 @lru_cache(maxsize=4096)
-def _boiler_attrs(attrs: str) -> bool:
+def _marks(attrs: str) -> tuple[bool, bool]:
+    """Whether attributes hide an element, and whether they name it as one without article text."""
+    named = content = False
     for name, a, b, c in ATTR.findall(attrs):
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id", "role") and not BOILER_WORDS.isdisjoint(p.lower() for p in PARTS.findall(value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id", "role"):
+            for part in value.split():
+                words = [p.lower() for p in PARTS.findall(part)]
+                if len(words) > 1 and words[0] in MODIFIERS:
+                    continue
+                if not BOILER_WORDS.isdisjoint(words):
+                    named = True
+                elif words and words[-1] in CONTENT_WORDS:
+                    content = True
+    return False, named and not content
 
 
 def _closed(page: str, name: str) -> dict[int, int]:
@@ -67,20 +85,26 @@ def _closed(page: str, name: str) -> dict[int, int]:
     return ends
 
 
-def parse(page: str) -> tuple[list[tuple[int, int, int, str]], list[int]]:
+def parse(page: str, spared: frozenset[int] = frozenset(), under: dict[int, list[tuple[int, int]]] | None = None) -> tuple[list[tuple[int, int, int, str]], list[int]]:
     """Events (kind, words, element, text) in page order, and each element's parent; element 0 is the page.
 
     A tag has no words; its text is a blank if it parts blocks. Tags that are never closed end with what holds them.
+    Names of the elements in ``spared`` are passed over. ``under`` takes, by the innermost named element, the (kind, words)
+    that its words and tags would have without any name.
     """
     events: list[tuple[int, int, int, str]] = []
-    parents, names, boiler, links = [-1], [""], [False], [False]
+    # hard: in a container by tag or hidden; named: the innermost element around, or itself, that is marked by a name; 0 for none
+    parents, names, hard, named, links = [-1], [""], [False], [0], [False]
     stack, at = [0], 0
 
     def add_text(text: str) -> None:
         if text:
             here = stack[-1]
             text = html.unescape(text)
-            events.append((BOILER if boiler[here] else LINK if links[here] else WORD, len(text.split()), here, text))
+            kind, n = LINK if links[here] else WORD, len(text.split())
+            events.append((BOILER if hard[here] or named[here] else kind, n, here, text))
+            if under is not None and named[here] and not hard[here]:
+                under.setdefault(named[here], []).append((kind, n))
 
     closed: dict[str, dict[int, int]] = {}
     while m := TOKEN.search(page, at):
@@ -102,17 +126,24 @@ def parse(page: str) -> tuple[list[tuple[int, int, int, str]], list[int]]:
                 if names[stack[i]] == name:
                     del stack[i:]
                     break
-            bad = boiler[here]
+            bad, mark = hard[here], named[here]
         else:
             inside = name == "header" and not any(names[e] in ("article", "main") for e in stack)
-            bad = boiler[here] or name in BOILER_TAGS or inside or (bool(m["attrs"]) and name not in ("html", "body", "main") and _boiler_attrs(m["attrs"]))
+            hides, names_it = _marks(m["attrs"]) if m["attrs"] and name not in ("html", "body", "main") else (False, False)
+            bad, mark = hard[here] or name in BOILER_TAGS or inside or hides, named[here]
+            if names_it and name not in HEADINGS and len(parents) not in spared:
+                mark = len(parents)
             if name not in VOID and not m["attrs"].rstrip().endswith("/"):
                 parents.append(here)
                 names.append(name)
-                boiler.append(bad)
+                hard.append(bad)
+                named.append(mark)
                 links.append(links[here] or name == "a")
                 stack.append(len(parents) - 1)
-        events.append((BOILER_TAG if bad else INLINE_TAG if inline else BLOCK_TAG, 0, stack[-1], "" if inline else " " if name == "br" else "\n"))
+        kind = INLINE_TAG if inline else BLOCK_TAG
+        events.append((BOILER_TAG if bad or mark else kind, 0, stack[-1], "" if inline else " " if name == "br" else "\n"))
+        if under is not None and mark and not bad and mark < len(parents):
+            under.setdefault(mark, []).append((kind, 0))
     add_text(page[at:])
     top = [e for e, n in enumerate(names) if n in ("", "html", "body")]
     return events, [(-1 if e in top else p) for e, p in enumerate(parents)]
@@ -140,19 +171,37 @@ def weights() -> tuple[float, ...]:
     return tuple(score.tolist())
 
 
-def main_text(page: str | None, score: tuple[float, ...] | None = None) -> str:
-    """The article's text; empty for an empty or null page, or one without a word outside other containers."""
-    if not page:
-        return ""
-    score = score or weights()
-    events, parents = parse(page)
+def _best(score: tuple[float, ...], steps: Iterable[tuple[int, int]]) -> tuple[float, int, int]:
+    """The highest sum of a contiguous region of (kind, words), and its ends."""
     best, low, high, total, start = 0.0, 0, 0, 0.0, 0
-    for i, (kind, n, _, _) in enumerate(events):
+    for i, (kind, n) in enumerate(steps):
         total += score[kind] * (n if kind < BLOCK_TAG else 1)
         if total > best:
             best, low, high = total, start, i + 1
         elif total <= 0:
             total, start = 0.0, i + 1
+    return best, low, high
+
+
+def main_text(page: str | None, score: tuple[float, ...] | None = None) -> str:
+    """The article's text; empty for an empty or null page, or one without a word outside other containers."""
+    if not page:
+        return ""
+    score = score or weights()
+    spared: frozenset[int] = frozenset()
+    while True:
+        under: dict[int, list[tuple[int, int]]] = {}
+        events, parents = parse(page, spared, under)
+        best, low, high = _best(score, (e[:2] for e in events))
+        rival, e = max(((_best(score, steps)[0], e) for e, steps in under.items()), default=(0.0, 0))
+        if rival - NAME_COST <= NAME_FACTOR * best:
+            break
+        # Names of the elements around it, too; each round spares one more at least.
+        around = set()
+        while e > 0:
+            around.add(e)
+            e = parents[e]
+        spared |= around
     if not high:
         return ""
 
