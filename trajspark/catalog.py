@@ -177,6 +177,14 @@ def point_in_range(t):
     return overlap.in_some_range(points, ranges).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
 
 
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem JOIN part p ON l_partkey = p_partkey WHERE EXISTS (SELECT 1 FROM part r WHERE r.p_brand = p.p_brand AND trunc(l_quantity)::INT BETWEEN r.p_size AND r.p_size + 1) GROUP BY ALL")
+def point_in_range_whole(t):
+    """With the ranges of all parts."""
+    points = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.col("p_brand").alias("file_path"), F.col("l_quantity").cast("int").alias("line_no"))
+    ranges = t.part.select(F.col("p_brand").alias("file_path"), F.col("p_size").alias("start_line"), (F.col("p_size") + 1).alias("end_line"))
+    return overlap.in_some_range(points, ranges).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
 @query("WITH pt AS (SELECT DISTINCT p_brand AS b, p_size AS n FROM part), r AS (SELECT DISTINCT p_brand AS b, p_size AS s, p_size + p_size % 9 AS e FROM part), h AS (SELECT pt.b, n, r.b || '-' || s AS name, e - s AS span, s FROM pt JOIN r ON pt.b = r.b AND n BETWEEN s AND e) SELECT b AS file_path, n AS line_no, name AS callable FROM (SELECT *, row_number() OVER (PARTITION BY b, n ORDER BY span, s DESC, name) AS k FROM h) WHERE k = 1")
 def innermost_enclosing(t):
     points = t.part.select(F.col("p_brand").alias("file_path"), F.col("p_size").alias("line_no"), F.lit("").alias("qualified_name")).distinct()
@@ -209,8 +217,7 @@ def distinct_traces(t):
 
 @query()
 def maximal_traces(t):
-    owner = t.orders.select(F.col("o_orderkey").alias("trace_idx"), F.col("o_custkey").alias("instance_id"))
-    traces = t.frames().drop("instance_id").join(owner, "trace_idx").groupBy("instance_id", "trace_idx").agg(F.array_sort(F.collect_list(F.struct("frame_idx", (F.col("node_key") % 12).alias("k")))).alias("f"))
+    traces = t.owned_frames().groupBy("instance_id", "trace_idx").agg(F.array_sort(F.collect_list(F.struct("frame_idx", F.col("node_key").alias("k")))).alias("f"))
     m = graphs.maximal_traces(traces.select("instance_id", F.transform("f", lambda x: x["k"]).alias("frames")))
     return m.select("instance_id", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"))
 
