@@ -61,6 +61,8 @@ def _stage(path: str, end: int | None, dtype: str, names: list[str], batches: It
         n, hashes, sizes, data = [], [], [], []
         for ids in code.encode([t or "" for t in batch.column(2).to_pylist()]):
             ids = np.concatenate([ids, tail])
+            if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
+                raise ValueError(f"id {ids.max()} does not fit into {np.dtype(dtype).itemsize} bytes; write a wide store")
             edges, raw = chunk_edges(ids), ids.astype(dtype).tobytes()
             w = len(raw) // max(len(ids), 1)
             n.append(len(ids))
@@ -149,7 +151,7 @@ def _assemble(dtype: str, names: list[str], digest: bool, batches: Iterable[pa.R
         out = []
         for r in rows:
             if r["shared"]:
-                fetched, pieces, at = {x["place"]: x["ids"] for x in r["fetched"]}, [], 0
+                fetched, pieces, at = {x["place"]: x["ids"] for x in r["fetched"] or []}, [], 0
                 for i, n in enumerate(r["sizes"]):
                     if i in fetched:
                         pieces.append(fetched[i])
@@ -174,12 +176,15 @@ def _assemble(dtype: str, names: list[str], digest: bool, batches: Iterable[pa.R
 def read_store(spark: SparkSession, path: str, *, wide: bool = False, id_col: str = "doc_id", digest: bool = False) -> DataFrame:
     """(id, start, n_tokens, ids) for each document, or with ``digest`` ids_crc32 in place of ids.
 
-    Each chunk is hashed again and each document's root compared with its recipe; a difference stops the job.
+    The parts' counts and roots are compared with the manifest, each chunk is hashed again and each document's root compared
+    with its recipe; a difference, or a missing chunk, stops the job.
     """
     small_batches(spark)
     store, dtype = _read(spark, path), "<u4" if wide else "<u2"
     if "_id" not in store.columns:
         raise ValueError(f"{path} holds no store")
+    if not verify_manifest(spark, path):
+        raise ValueError(f"{path}: the parts are not those of the manifest")
     kind = store.schema["_id"].dataType.simpleString()
     docs = store.select("kind", "_rid", "_id", "part", "start", "n_tokens", "hashes", "sizes", "shared", "root", "ids")
     last = ("ids_crc32", "long") if digest else ("ids", "array<int>")
@@ -191,7 +196,7 @@ def read_store(spark: SparkSession, path: str, *, wide: bool = False, id_col: st
     wanted = ref.select("_rid", F.explode("shared").alias("place"), "hashes").select("_rid", "place", F.expr("hashes[place]").alias("hash"))
     fetched = wanted.join(chunks, "hash").groupBy("_rid").agg(F.collect_list(F.struct("place", F.col("chunk").alias("ids"))).alias("fetched"))
     assemble = lambda b: _assemble(dtype, names, digest, b)
-    out = own.mapInArrow(assemble, shape).unionByName(ref.join(fetched, "_rid").mapInArrow(assemble, shape))
+    out = own.mapInArrow(assemble, shape).unionByName(ref.join(fetched, "_rid", "left").mapInArrow(assemble, shape))
     before = {r["part"]: r["before"] for r in spark.read.parquet(f"{path}/manifest").select("part", "before").collect()}
     offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("part")] if before else F.lit(0)
     return out.select(F.col("_id").alias(id_col), (F.col("start") + offset).alias("start"), "n_tokens", last[0])
