@@ -1,12 +1,12 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A text's bytes are cut where a rolling hash of the last 32 bytes ends in zeros, so equal passages of different documents
-give equal chunks wherever they stand. A task encodes each chunk that it knows once and keeps it in a bounded cache. A
-cut can fall inside a pretoken, so each join is repaired: a window around the cut is encoded anew, between two places
-where any scan must end a pretoken, and is widened until its tokens agree with both chunks' own on either side; if none
-do, the document is encoded whole. The result equals the library's for the whole text.
+give equal chunks wherever they stand. A process encodes each chunk that it knows once and keeps it, with those still in use,
+in a bounded cache. A cut can fall inside a pretoken, so each join is repaired: a window around it, between two places where
+any scan must end a pretoken, is encoded anew, and its ids have to agree with both chunks' own on either side; where they
+don't, the document is encoded whole. The result equals the library's for the whole text.
 
-Chunks are shared among the documents that one task reads. Sharing them across the cluster would shuffle all texts for a
+Chunks are shared among the documents that one process reads. Sharing them across the cluster would shuffle all texts for a
 few per cent of repeated ones; see the README.
 """
 
@@ -23,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .pretokens import PretokenTable
+from .shared_places import by_size
 
 WINDOW = 32
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
-#: What Unicode versions have at some time counted as white space besides str.isspace.
-_SPACES = frozenset("᠎​﻿")
+#: Bytes of texts that are cut into pretokens at once; one longer text is worked on by itself.
+BYTES = 1 << 20
+#: Bytes on each side of a join that are searched for places where it can be repaired.
+REACH = 400
 
 
 def rolling_hash(gear: np.ndarray) -> np.ndarray:
@@ -65,18 +69,20 @@ def _byte_of() -> dict[str, int]:
 class Codec:
     """A tokenizer file with exact memos. Byte-level BPE without normalizer or post-processor only."""
 
-    def __init__(self, path: str, *, memo: int = 400_000, chunk: int = 2048, chunks: int = 4_000):
+    def __init__(self, path: str, *, memo: int = 1_200_000, chunk: int = 2048, chunks: int = 6_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         spec = json.loads(Tokenizer.from_file(path).to_str())
-        assert spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["normalizer"] and not spec["post_processor"], "byte-level BPE only"
+        pre = spec["pre_tokenizer"]
+        if pre["type"] != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"] or spec["normalizer"] or spec["post_processor"] or spec["model"]["dropout"]:
+            raise ValueError("byte-level BPE without normalizer, prefix space, dropout or post-processor only")
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.memo_size, self.chunk, self.chunks = memo, chunk, chunks
+        self.chunk, self.chunks = chunk, chunks
         byte_of = _byte_of()
         added = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
@@ -87,60 +93,38 @@ class Codec:
         for i, s in added.items():
             self.piece[i] = s
         self.size = np.array([len(p) for p in self.piece], np.int64)
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}  # the generation before: what is still in use moves on from it
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _ask_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each " word", asked for many at a time and told apart by the tokens' byte lengths."""
-        out: list[bytes] = []
-        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for group, e in zip(groups, self.lib.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        self.pretokens = PretokenTable(self._ask_pretokens, limit=memo)
+        self.known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # ids, and where each ends in the chunk
+        self.older: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # the generation before: what is still in use moves on from it
+
+    def _ask_pretokens(self, tokens: list[bytes]) -> list[np.ndarray]:
+        """Ids of each pretoken. Those that begin with a space are asked for many at a time and told apart by the ids' byte lengths."""
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(tokens)
+        spaced = [i for i, t in enumerate(tokens) if t[0] == 32 and t[-1] > 32]
+        lone = [i for i, t in enumerate(tokens) if not (t[0] == 32 and t[-1] > 32)]
+        groups = [spaced[i : i + 256] for i in range(0, len(spaced), 256)]
+        for group, e in zip(groups, self.lib.encode_batch_fast([b"".join([tokens[i] for i in g]).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
-            ends = np.cumsum([len(w.encode()) + 1 for w in group])
-            at = [0, *(4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)).tolist()]
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            ends = np.cumsum([len(tokens[i]) for i in group])
+            cut = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+            for i, a, b in zip(group, [0, *cut[:-1].tolist()], cut.tolist(), strict=True):
+                out[i] = ids[a:b]
+        for i, e in zip(lone, self.lib.encode_batch_fast([tokens[i].decode() for i in lone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the library gives them.
-
-        A pretoken always starts at a space that stands between two characters which are no white space, so the text
-        between two such spaces is encoded by itself, and its ids are kept.
-        """
-        cut = [t.split(" ") for t in texts]
-        if len(self.rest) + len(self.first) > self.memo_size:
-            self.older, self.rest, self.first = self.rest, {}, {}
-        rest, first, older = self.rest, self.first, self.older
-        new = set().union(*(pieces[1:] for pieces in cut)).difference(rest)
-        if older:
-            rest.update([(p, older[p]) for p in new if p in older])
-            new = new.difference(rest)
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace() or p[0] in _SPACES or p[-1] in _SPACES}
-        rest.update(dict.fromkeys(odd))
-        plain = list(new - odd)
-        rest.update(zip(plain, self._ask_words(plain), strict=True))
-        heads = list({pieces[0] for pieces in cut}.difference(first))
-        first.update(zip(heads, self._ask(heads), strict=True))
-        out: list[bytes | None] = []
-        for pieces in cut:
-            head = pieces[0]
-            if len(pieces) > 1 and (not head or head[-1].isspace() or head[-1] in _SPACES):
-                out.append(None)
-                continue
-            try:
-                out.append(first[head] + b"".join(map(rest.__getitem__, pieces[1:])))
-            except TypeError:  # a piece at white space
-                out.append(None)
+        """Ids of each text, as the library gives them; pretokens that were seen before are not asked for again."""
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = [i for i, d in enumerate(data) if not any(s in d for s in self.special)]
+        for part in by_size([data[i] for i in plain], BYTES):
+            for i, ids in zip(plain[part], self.pretokens.encode([data[i] for i in plain[part]]), strict=True):
+                out[i] = ids
         slow = [i for i, o in enumerate(out) if o is None]
-        for i, o in zip(slow, self._ask([texts[i] for i in slow]), strict=True):
-            out[i] = o
-        return [np.frombuffer(o, np.uint32) for o in out]
+        for i, e in zip(slow, self.lib.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
@@ -151,10 +135,18 @@ class Codec:
         data = [t.encode("utf-8", "surrogatepass") for t in texts]
         parts = [self._chunks(b) for b in data]
         if len(self.known) > self.chunks:
-            self.known = {}
-        new = list({c for p in parts for c in p}.difference(self.known))
-        self.known.update(zip(new, self.encode([c.decode() for c in new]), strict=True))
-        return [self._joined(b, p) for b, p in zip(data, parts, strict=True)]
+            self.known, self.older = {}, self.known
+        new = {c for p in parts for c in p}.difference(self.known)
+        self.known.update([(c, self.older[c]) for c in new if c in self.older])
+        new = list(new.difference(self.known))
+        self.known.update((c, (ids, np.cumsum(self.size[ids]))) for c, ids in zip(new, self.encode([c.decode() for c in new]), strict=True))
+        windows = [_join_windows(p) for p in parts]
+        again = iter(self.encode([b[w[0] : w[3]].decode() for b, ws in zip(data, windows, strict=True) for w in ws or ()]))
+        out = [self._joined(p, ws, [next(again) for _ in ws or ()]) for p, ws in zip(parts, windows, strict=True)]
+        whole = [i for i, o in enumerate(out) if o is None]
+        for i, ids in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
     def _chunks(self, data: bytes) -> list[bytes]:
         if any(s in data for s in self.special):
@@ -165,46 +157,30 @@ class Codec:
         edges = [0, *at.tolist(), len(data)]
         return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
-    def _joined(self, data: bytes, parts: list[bytes]) -> np.ndarray:
-        if len(parts) == 1:
-            return self.known[parts[0]]
-        ids = self.known[parts[0]]
-        ends = np.cumsum(self.size[ids])
-        out, at = [], len(parts[0])  # settled ids; bytes of data that ids and out cover
-        base = 0  # where ids begin in data
-        for part in parts[1:]:
-            right = self.known[part]
-            r_ends = np.cumsum(self.size[right])
-            fixed = self._repair(data, at, base, ids, ends, right, r_ends)
-            if fixed is None:
-                return self.encode([data.decode()])[0]
-            keep, middle, skip = fixed
-            out += [ids[:keep], middle]
-            base = at + (int(r_ends[skip - 1]) if skip else 0)
-            ids, ends = right[skip:], r_ends[skip:] - (int(r_ends[skip - 1]) if skip else 0)
-            at += len(part)
-        out.append(ids)
-        return np.concatenate(out)
+    def _joined(self, parts: list[bytes], windows: list[tuple[int, int, int, int]] | None, again: list[np.ndarray]) -> np.ndarray | None:
+        """Ids of the whole: each chunk's own between the joins, and of each join's window what lies between its inner places.
 
-    def _repair(self, data, at, base, left, l_ends, right, r_ends):
-        """How many ids of the left to keep, the ids between, how many of the right to skip."""
-        reach = 48
-        while True:
-            lo, hi = max(base, at - reach), min(at + int(r_ends[-1] if len(r_ends) else 0), at + reach)
-            lefts = [p for p in range(lo + 1, at) if _ends_letters(data, p)]
-            rights = [p for p in range(at + 1, hi) if _ends_letters(data, p)]
-            if len(lefts) >= 2 and len(rights) >= 2:
-                a, s, e, z = lefts[-2], lefts[-1], rights[0], rights[1]
-                i, j = (int(np.searchsorted(l_ends, p - base)) for p in (a, s))
-                k, m = (int(np.searchsorted(r_ends, p - at)) for p in (e, z))
-                if l_ends[i] == a - base and l_ends[j] == s - base and r_ends[k] == e - at and r_ends[m] == z - at:
-                    again = self.encode([data[a:z].decode()])[0]
-                    x, y = j - i, m - k
-                    if len(again) >= x + y and np.array_equal(again[:x], left[i + 1 : j + 1]) and np.array_equal(again[len(again) - y :], right[k + 1 : m + 1]):
-                        return j + 1, again[x : len(again) - y], k + 1
-            if lo == base and hi == at + (int(r_ends[-1]) if len(r_ends) else 0):
+        None if the window's ids don't agree with the chunks' own on both sides of the join.
+        """
+        if windows is None:
+            return None
+        if len(parts) == 1:
+            return self.known[parts[0]][0]
+        out, at, low = [], 0, 0
+        for part, right, (a, s, e, z), ids in zip(parts[:-1], parts[1:], windows, again, strict=True):
+            (left_ids, left_ends), (right_ids, right_ends) = self.known[part], self.known[right]
+            behind = at + len(part)
+            i, j = np.searchsorted(left_ends, (a - at, s - at)).tolist()
+            k, m = np.searchsorted(right_ends, (e - behind, z - behind)).tolist()
+            x, y = j - i, m - k
+            if left_ends[i] != a - at or left_ends[j] != s - at or right_ends[k] != e - behind or right_ends[m] != z - behind or len(ids) < x + y:
+                return None
+            if not (np.array_equal(ids[:x], left_ids[i + 1 : j + 1]) and np.array_equal(ids[len(ids) - y :], right_ids[k + 1 : m + 1])):
                 return None
-            reach *= 4
+            out += [left_ids[low : j + 1], ids[x : len(ids) - y]]
+            at, low = behind, k + 1
+        out.append(self.known[parts[-1]][0][low:])
+        return np.concatenate(out)
 
 
 def _ends_letters(data: bytes, p: int) -> bool:
@@ -213,6 +189,29 @@ def _ends_letters(data: bytes, p: int) -> bool:
     return 97 <= a <= 122 and b < 128 and not 97 <= b | 32 <= 122
 
 
+def _join_windows(parts: list[bytes]) -> list[tuple[int, int, int, int]] | None:
+    """For each join two places before it and two behind, all where a run of letters ends; None if there are none within reach or windows meet."""
+    out, at, free = [], 0, 0
+    for left, right in zip(parts[:-1], parts[1:], strict=True):
+        found = []
+        for p in range(len(left) - 1, max(0, len(left) - REACH), -1):
+            if _ends_letters(left, p):
+                found.append(at + p)
+                if len(found) == 2:
+                    break
+        at += len(left)
+        for p in range(1, min(len(right), REACH)):
+            if _ends_letters(right, p):
+                found.append(at + p)
+                if len(found) == 4:
+                    break
+        if len(found) < 4 or found[0] < at - len(left) or found[1] < free or not found[1] < found[0] < at < found[2]:
+            return None
+        out.append((found[1], found[0], found[2], found[3]))
+        free = found[3]
+    return out
+
+
 def _digest(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code = codec(path)
     for batch in batches:

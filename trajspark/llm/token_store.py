@@ -9,7 +9,9 @@ bytes. The store is one Parquet table in three folders:
 
 So every distinct chunk is stored once, and reading most documents needs no join. Rows are in ascending order of the id:
 ``part`` numbers the range partitions, ``start`` counts a part's ids before the document. ``manifest`` (a second table) has
-for each part its documents, ids, the ids of all parts before it, and a Merkle root over its documents' roots.
+for each part its documents, ids, the ids of all parts before it, and a Merkle root over its documents' roots. ``meta`` (one
+row) has the type of the document ids, the bytes of an id, the number of parts and the Merkle root over the parts' roots:
+one value that stands for the whole store.
 
 Steps: encode once and write (staging); count addresses from the staged recipes (no ids read); one range shuffle brings
 staged documents and their list of shared chunks together in id order; write. Two copies of the ids exist at most.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import codec, cut_places
-from .common import _delete, row_ids, scratch_path, small_batches
+from .common import _delete, broadcast_if_small, row_ids, scratch_path, small_batches
 
 #: Ids in a chunk, on average; chunks have 32 at least but for a document's last.
 MEAN_IDS = 512
@@ -35,18 +37,41 @@ STAGED = "_rid long, {id} {kind}, n_tokens long, hashes array<binary>, sizes arr
 FINAL = "kind string, part int, _rid long, {id} {type}, start long, n_tokens long, hashes array<binary>, sizes array<int>, shared array<int>, root binary, ids binary"
 
 
+MANIFEST = "part int, n_docs long, n_tokens long, before long, root string"
+META = "id_type string, width int, n_parts long, root string"
+
+
 def address(data: bytes) -> bytes:
     return blake2b(data, digest_size=16).digest()
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Root over addresses: pairs are hashed level by level, an odd last one moves up; no leaf: the hash of nothing."""
-    if not leaves:
-        return address(b"")
-    while len(leaves) > 1:
-        pairs = [address(b"\1" + leaves[i] + leaves[i + 1]) for i in range(0, len(leaves) - 1, 2)]
-        leaves = pairs + leaves[len(pairs) * 2 :]
-    return leaves[0]
+    tree = MerkleTree()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
+
+
+class MerkleTree:
+    """The root of leaves that come one by one; holds one hash for each level."""
+
+    def __init__(self):
+        self.peaks: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level = 0
+        while self.peaks and self.peaks[-1][0] == level:
+            leaf, level = address(b"\1" + self.peaks.pop()[1] + leaf), level + 1
+        self.peaks.append((level, leaf))
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return address(b"")
+        out = self.peaks[-1][1]
+        for _, peak in self.peaks[-2::-1]:
+            out = address(b"\1" + peak + out)
+        return out
 
 
 def chunk_edges(ids: np.ndarray, mean: int = MEAN_IDS) -> list[int]:
@@ -100,7 +125,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | Non
     """Encode every text and write the store to ``path``, in ascending order of ``id_col`` (nulls last).
 
     Null and empty texts have only the end id. Repeated ids are separate documents, ordered by text; other columns are not
-    read. An empty table gives a store without parts. ``wide``: ids of 4 bytes instead of 2, for vocabularies beyond 65,536.
+    read. An empty table gives a store without parts. ``wide``: ids of 4 bytes instead of 2, for vocabularies beyond 65,536; an
+    id that doesn't fit stops the job.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -125,23 +151,52 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | Non
     arrow, width = to_arrow_schema(schema), 4 if wide else 2
     ordered.mapInArrow(lambda b: _seal(width, arrow, b), schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/store")
     _delete(spark, staged_at)
-    _manifest(_read(spark, path, schema)).write.parquet(f"{path}/manifest")
+    parts = _parts(spark.read.schema(schema).parquet(f"{path}/store"))
+    spark.createDataFrame(parts, MANIFEST).write.parquet(f"{path}/manifest")
+    spark.createDataFrame([(kind, width, *_whole(parts))], META).write.parquet(f"{path}/meta")
+
+
+def _meta(spark: SparkSession, path: str):
+    try:
+        return spark.read.schema(META).parquet(f"{path}/meta").first()
+    except Exception as e:
+        raise ValueError(f"{path} holds no store") from e
 
 
-def _read(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{path}/store")
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FINAL.format(id="_id", type=_meta(spark, path).id_type)).parquet(f"{path}/store")
 
 
-def _manifest(store: DataFrame) -> DataFrame:
-    """One row for each part. A part's root covers (id number, document root) in order."""
-    parts = store.where("kind in ('own', 'ref')").groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("_rid").alias("first_rid"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_rid", F.hex("root").alias("root")))), lambda x: x["root"])), 256).alias("root"))
-    # As many rows as parts: the running sum needs no partitions.
-    rows, before, out = sorted(parts.collect(), key=lambda r: r["first_rid"]), 0, []
-    for r in rows:
+def _part_roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents come sorted by (part, number); one row for each part."""
+    part = tree = None
+    docs = tokens = 0
+    row = lambda: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": pa.array([docs], pa.int64()), "n_tokens": pa.array([tokens], pa.int64()), "first_rid": pa.array([first], pa.int64()), "root": [tree.root().hex()]})
+    for batch in batches:
+        for p, rid, n, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if p != part:
+                if tree:
+                    yield row()
+                part, first, tree, docs, tokens = p, rid, MerkleTree(), 0, 0
+            tree.add(root)
+            docs, tokens = docs + 1, tokens + n
+    if tree:
+        yield row()
+
+
+def _parts(store: DataFrame) -> list[tuple]:
+    """(part, n_docs, n_tokens, ids of all parts before it, root) in the order of the documents: as many rows as parts."""
+    docs = store.where("kind in ('own', 'ref')").select("part", "_rid", "n_tokens", "root")
+    found = docs.repartition("part").sortWithinPartitions("part", "_rid").mapInArrow(_part_roots, "part int, n_docs long, n_tokens long, first_rid long, root string")
+    before, out = 0, []
+    for r in sorted(found.collect(), key=lambda r: r["first_rid"]):
         out.append((r["part"], r["n_docs"], r["n_tokens"], before, r["root"]))
         before += r["n_tokens"]
-    return store.sparkSession.createDataFrame(out, "part int, n_docs long, n_tokens long, before long, root string")
+    return out
+
+
+def _whole(parts: list[tuple]) -> tuple[int, str]:
+    return len(parts), merkle_root([bytes.fromhex(p[-1]) for p in parts]).hex()
 
 
 def _assemble(dtype: str, names: list[str], digest: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,19 +228,20 @@ def _assemble(dtype: str, names: list[str], digest: bool, batches: Iterable[pa.R
         yield pa.RecordBatch.from_arrays([col("_id"), col("part"), col("start"), col("n_tokens"), last], names=names)
 
 
-def read_store(spark: SparkSession, path: str, *, wide: bool = False, id_col: str = "doc_id", digest: bool = False) -> DataFrame:
+def read_store(spark: SparkSession, path: str, *, wide: bool | None = None, id_col: str = "doc_id", digest: bool = False) -> DataFrame:
     """(id, start, n_tokens, ids) for each document, or with ``digest`` ids_crc32 in place of ids.
 
-    The parts' counts and roots are compared with the manifest, each chunk is hashed again and each document's root compared
-    with its recipe; a difference, or a missing chunk, stops the job.
+    The parts' counts and roots are compared with the manifest, and their common root with ``meta``; each chunk is hashed
+    again and each document's root compared with its recipe; a difference, or a missing chunk, stops the job. An empty store
+    gives an empty result. The bytes of an id are known from the store; ``wide`` only says what is expected.
     """
     small_batches(spark)
-    store, dtype = _read(spark, path), "<u4" if wide else "<u2"
-    if "_id" not in store.columns:
-        raise ValueError(f"{path} holds no store")
+    meta = _meta(spark, path)
+    if wide is not None and meta.width != (4 if wide else 2):
+        raise ValueError(f"{path}: ids have {meta.width} bytes")
     if not verify_manifest(spark, path):
         raise ValueError(f"{path}: the parts are not those of the manifest")
-    kind = store.schema["_id"].dataType.simpleString()
+    store, dtype, kind = _read(spark, path), f"<u{meta.width}", meta.id_type
     docs = store.select("kind", "_rid", "_id", "part", "start", "n_tokens", "hashes", "sizes", "shared", "root", "ids")
     last = ("ids_crc32", "long") if digest else ("ids", "array<int>")
     names = ["_id", "part", "start", "n_tokens", last[0]]
@@ -197,12 +253,13 @@ def read_store(spark: SparkSession, path: str, *, wide: bool = False, id_col: st
     fetched = wanted.join(chunks, "hash").groupBy("_rid").agg(F.collect_list(F.struct("place", F.col("chunk").alias("ids"))).alias("fetched"))
     assemble = lambda b: _assemble(dtype, names, digest, b)
     out = own.mapInArrow(assemble, shape).unionByName(ref.join(fetched, "_rid", "left").mapInArrow(assemble, shape))
-    before = {r["part"]: r["before"] for r in spark.read.parquet(f"{path}/manifest").select("part", "before").collect()}
-    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("part")] if before else F.lit(0)
-    return out.select(F.col("_id").alias(id_col), (F.col("start") + offset).alias("start"), "n_tokens", last[0])
+    before = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("part", "before")
+    out = out.join(broadcast_if_small(before), "part")
+    return out.select(F.col("_id").alias(id_col), (F.col("start") + F.col("before")).alias("start"), "n_tokens", last[0])
 
 
 def verify_manifest(spark: SparkSession, path: str) -> bool:
-    """Whether the manifest, made again from the store, is the written one."""
-    rows = lambda df: sorted(map(tuple, df.collect()))
-    return rows(_manifest(_read(spark, path))) == rows(spark.read.parquet(f"{path}/manifest"))
+    """Whether the parts, made again from the store's documents, are those of the manifest, and their root that of ``meta``."""
+    parts, meta = _parts(_read(spark, path)), _meta(spark, path)
+    held = sorted(map(tuple, spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()))
+    return sorted(parts) == held and _whole(parts) == (meta.n_parts, meta.root)
