@@ -27,6 +27,8 @@ def scratch_root(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="trajspark-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -84,22 +86,32 @@ def split_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
 
 
-def row_ids(df: DataFrame, id_col: str, *order: str) -> DataFrame:
-    """``df`` with a unique long ``_rid`` that sorts like ``id_col``.
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem = f"_{stem}"
+    return stem
 
-    Where ids are unique, whole numbers and never null, ``_rid`` is the id. Otherwise rows are numbered in the order of
+
+def row_ids(df: DataFrame, id_col: str, *order: str) -> tuple[DataFrame, str]:
+    """``df`` with one more column, a unique long that sorts like ``id_col``; and that column's name, which no other column has.
+
+    Where ids are unique, whole numbers and never null, the number is the id. Otherwise rows are numbered in the order of
     (id, nulls last, then ``order``); equal rows may take their numbers in any order, which changes no result.
     """
+    rid = free_name(df, "_rid")
     if isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         seen = df.groupBy(F.col(id_col).alias("i")).count().agg(F.max("count").alias("c"), F.sum(F.col("i").isNull().cast("int")).alias("n")).first()
         if (seen.c or 0) <= 1 and not seen.n:
-            return df.withColumn("_rid", F.col(id_col).cast("long"))
-    ranged = materialise(df.repartitionByRange(F.col(id_col).asc_nulls_last(), *order).sortWithinPartitions(F.col(id_col).asc_nulls_last(), *order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "rows")
-    # The numbers of one written partition are consecutive; its offset is the count of those before it.
-    counts = {r["_part"]: (r["n"], r["low"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("low")).collect()}
-    shift, before = {}, 0
-    for part in sorted(counts):
-        shift[part] = before - counts[part][1]
-        before += counts[part][0]
-    table = F.create_map(*[F.lit(x) for kv in shift.items() for x in kv]) if shift else None
-    return ranged.withColumn("_rid", F.col("_at") + (table[F.col("_part")] if table is not None else F.lit(0))).drop("_part", "_at")
+            return df.withColumn(rid, F.col(id_col).cast("long")), rid
+    part, at = free_name(df, "_part"), free_name(df, "_at")
+    ranged = materialise(df.repartitionByRange(F.col(id_col).asc_nulls_last(), *order).sortWithinPartitions(F.col(id_col).asc_nulls_last(), *order).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "rows")
+    # The numbers of one written partition are consecutive; its offset is the count of those before it. One row a partition.
+    counts = sorted(tuple(r) for r in ranged.groupBy(part).agg(F.count("*"), F.min(at)).collect())
+    shift, before = [], 0
+    for number, n, low in counts:
+        shift.append((number, before - low))
+        before += n
+    shifts = df.sparkSession.createDataFrame(shift, f"`{part}` int, `{rid}` long")
+    return ranged.join(broadcast_if_small(shifts), part).withColumn(rid, F.col(at) + F.col(rid)).select(*df.columns, rid), rid

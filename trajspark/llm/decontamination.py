@@ -74,7 +74,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     items = benchmark.select(F.col(item_col).alias("_item"), plain_words(F.col(item_text_col)).alias("_iw")).withColumn("_is", _shingles("_iw"))
     items = materialise(items.withColumn("item_fp", simhash("_is")).withColumn("_key", F.monotonically_increasing_id()), "items").where("size(_is) > 0")
     places = items.select(F.size("_iw").alias("length"), F.posexplode("_is").alias("offset", "s")).select(F.xxhash64("s").alias("h"), "length", "offset").distinct()
-    rows = row_ids(docs.select(id_col, text_col), id_col, text_col).select("_rid", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows, rid = row_ids(docs.select(id_col, text_col), id_col, text_col)
+    rows = rows.select(F.col(rid).alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     at = " || ' ' || ".join(f"_w[i + {k}]" for k in range(SHINGLE))
     hashed = rows.select("_rid", plain_words(F.col("_text")).alias("_w"))
     hashed = hashed.select("_rid", F.size("_w").alias("n"), F.expr(f"if(size(_w) >= {SHINGLE}, transform(sequence(0, size(_w) - {SHINGLE}), i -> xxhash64({at})), null)").alias("_h"))
@@ -98,7 +99,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """``docs`` without the rows that leak an item; all columns are kept."""
-    rows = row_ids(docs, id_col, text_col)
-    found = leaks(rows.select(F.col("_rid").alias(id_col), text_col), benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
-    return rows.join(found.select(F.col(id_col).alias("_rid")).distinct(), "_rid", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that leak an item; all columns are kept, whatever their names."""
+    rows, rid = row_ids(docs, id_col, text_col)
+    found = leaks(rows.select(F.col(rid).alias(id_col), text_col), benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
+    return rows.join(found.select(F.col(id_col).alias(rid)).distinct(), rid, "left_anti").select(*docs.columns)

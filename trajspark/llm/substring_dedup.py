@@ -5,7 +5,7 @@ recompressed round by round (see ``recompression``): a repeated window then hold
 those whose making looked beyond its ends. Each window is represented by the symbols of the highest level that has any
 inside it, looks included. Phase one finds the symbols that occur twice or more in the corpus. A window all of whose
 symbols do is a candidate, as is one without any inside it (a long run of one word); no other window can have an equal.
-Phase two gives each candidate its identity, 128 bits of hash over its words, and brings equal ones together.
+Phase two gives each candidate its identity, 128 bits over the words' two independent names, and brings equal ones together.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_ids
+from .common import free_name, materialise, row_ids
 from .recompression import levels
 from .shared_places import by_size, firsts_and_others, release_shuffles, scattered, with_shared_places
 from .words import BASES, signed, text_of, window_hashes, word_names
@@ -61,7 +61,7 @@ def represented(names: np.ndarray, edges: np.ndarray, size: int):
 
 
 def symbol_names(size: int, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    names, edges = word_names(texts)
+    names, _, edges = word_names(texts)
     found = [(name + np.uint64(level), start, np.full(len(start), level)) for level, name, start, _, _, _ in represented(names, edges, size)] or [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
     name, start, level = (np.concatenate(x) for x in zip(*found, strict=True))
     which = text_of(start, edges)
@@ -97,11 +97,11 @@ def _find(size: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         rows = sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[0])
         texts = [r[1] for r in rows]
         for part in by_size(texts):
-            names, edges = word_names(texts[part])
+            names, more, edges = word_names(texts[part])
             at = candidates(names, edges, [r[2] for r in rows[part]], size)
             if not len(at):
                 continue
-            hashes = [window_hashes(names, size, b)[at] for b in BASES]
+            hashes = [window_hashes(x, size, b)[at] for x, b in zip((names, more), BASES, strict=True)]
             which = text_of(at, edges)
             start, rid = at - edges[which], np.array([r[0] for r in rows[part]], np.int64)[which]
             _, later = firsts_and_others(*hashes)
@@ -171,17 +171,19 @@ def substring_digests(docs: DataFrame, *, size: int = SIZE, id_col: str = "doc_i
     not read; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = row_ids(docs.select(id_col, text_col), id_col, text_col).select("_rid", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows, rid = row_ids(docs.select(id_col, text_col), id_col, text_col)
+    rows = rows.select(F.col(rid).alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return _removed(rows, kind, size).select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, *, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the words of repeated windows taken out of ``text_col``; the words that stay are joined by one space.
 
-    A text that loses nothing stays as it is, white space included. All columns are kept.
+    A text that loses nothing stays as it is, white space included. All columns are kept, whatever their names.
     """
-    rows = row_ids(docs, id_col, text_col)
+    rows, rid = row_ids(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    cut = _removed(rows.select("_rid", F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), kind, size)
-    out = rows.join(cut.where("kept_text is not null").select("_rid", "kept_text"), "_rid", "left")
-    return out.withColumn(text_col, F.coalesce("kept_text", F.col(text_col))).select(*docs.columns)
+    cut = _removed(rows.select(F.col(rid).alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), kind, size)
+    kept = free_name(rows, "_kept")
+    out = rows.join(cut.where("kept_text is not null").select(F.col("_rid").alias(rid), F.col("kept_text").alias(kept)), rid, "left")
+    return out.withColumn(text_col, F.coalesce(kept, text_col)).select(*docs.columns)

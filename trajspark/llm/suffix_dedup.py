@@ -45,7 +45,7 @@ def kept_places(names: np.ndarray, edges: np.ndarray, core: int) -> np.ndarray:
 
 
 def suffix_names(core: int, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    names, edges = word_names(texts)
+    names, _, edges = word_names(texts)
     places = kept_places(names, edges, core)
     which = text_of(places, edges)
     h = window_hashes(names, core, BASES[0])
@@ -68,11 +68,11 @@ def _rows(core: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         every = [r for r in batch.to_pylist() if r["_places"]]
         for part in by_size([r["_text"] for r in every]):
             some = every[part]
-            names, edges = word_names([r["_text"] for r in some])
+            names, more, edges = word_names([r["_text"] for r in some])
             counts = [len(r["_places"]) for r in some]
             place = np.fromiter((p for r in some for p in r["_places"]), np.int64, sum(counts))
             at, rid = place + np.repeat(edges[:-1], counts), np.repeat(np.array([r["_rid"] for r in some], np.int64), counts)
-            h = [window_hashes(names, core, b)[at] for b in BASES]
+            h = [window_hashes(x, core, b)[at] for x, b in zip((names, more), BASES, strict=True)]
             for side in range(2):
                 context = _contexts(names, edges, at, rid, core, side)
                 # Rows that agree in all of core and context need no partner: one goes on to meet others, flagged.
@@ -125,7 +125,8 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
     core = min_words - NEAR + 1
     if core < GRAM + NEAR:
         raise ValueError("passages of less than 26 words are too short for these places")
-    rows = row_ids(docs.select(id_col, text_col), id_col, text_col).select("_rid", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows, rid = row_ids(docs.select(id_col, text_col), id_col, text_col)
+    rows = rows.select(F.col(rid).alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     shared = with_shared_places(rows.select("_rid", "_text"), lambda texts: suffix_names(core, texts)).where("_places is not null")
     suffixes = shared.mapInArrow(lambda b: _rows(core, b), ROW)
     found = suffixes.repartition("side", "h1").sortWithinPartitions("side", "h1", "h2", "context").mapInArrow(lambda b: _spans(core, b), "_rid long, low long, high long")

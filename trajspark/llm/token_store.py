@@ -131,7 +131,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | Non
     spark = docs.sparkSession
     small_batches(spark)
     kind, dtype = docs.schema[id_col].dataType.simpleString(), "<u4" if wide else "<u2"
-    rows = row_ids(docs.select(id_col, text_col), id_col, text_col).select("_rid", F.col(id_col).alias("_id"), text_col)
+    rows, rid = row_ids(docs.select(id_col, text_col), id_col, text_col)
+    rows = rows.select(F.col(rid).alias("_rid"), F.col(id_col).alias("_id"), text_col)
     staged_at = scratch_path(spark, "staged")
     names = ["_rid", "_id", "n_tokens", "hashes", "sizes", "ids"]
     staged = rows.mapInArrow(lambda b: _stage(tokenizer, end_id, dtype, names, b), STAGED.format(id="_id", kind=kind))

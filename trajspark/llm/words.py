@@ -3,34 +3,53 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE = np.random.default_rng(3).integers(0, 2**64, 256, dtype=np.uint64)
-_WORD_BASE = 0xC2B2AE3D27D4EB4F
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Names of longer words are remembered, up to so many.
+_LONG_WORDS = 100_000
+_long: dict[bytes, tuple[int, int]] = {}
 
 
-def word_names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit names of all words ``[^\\x20\\x09-\\x0D]+`` in a row, the same in every process; and where each text's names begin, and the last one's end.
+def _long_name(word: bytes) -> tuple[int, int]:
+    found = _long.get(word)
+    if found is None:
+        if len(_long) >= _LONG_WORDS:
+            _long.clear()
+        d = blake2b(word, digest_size=16, key=b"trajspark words").digest()
+        found = _long[word] = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
+    return found
 
-    A name is a polynomial of the word's bytes modulo 2**64, mixed; all are made from one running sum over the bytes.
+
+def word_names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit names of each word ``[^\\x20\\x09-\\x0D]+``, all words in a row; and where each text's names begin, and the last one's end.
+
+    A name is the same in every process. The two are made independently of each other: for words of up to 16 bytes from all
+    their bytes and their length, by bijections of 64-bit numbers; for longer ones from a keyed BLAKE2b digest of 128 bits.
     """
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    buf = np.frombuffer(b" ".join([*data, b""]), np.uint8)
+    raw = b" ".join([*data, b" " * 17])
+    buf = np.frombuffer(raw, np.uint8)
     space = _SPACE[buf]
-    start = np.flatnonzero(~space & np.insert(space[:-1], 0, True)) if len(buf) else np.empty(0, np.int64)
-    end = np.flatnonzero(~space[:-1] & space[1:]) + 1 if len(buf) else start
+    start = np.flatnonzero(~space & np.insert(space[:-1], 0, True))
+    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
     first = np.concatenate([[0], np.cumsum([len(d) + 1 for d in data])]).astype(np.int64)
     edges = np.searchsorted(start, first)
     if not len(start):
-        return np.empty(0, np.uint64), edges
-    up, down = _powers(_WORD_BASE, 1 << max(12, len(buf).bit_length()))
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), edges
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), edges
+    eight, size = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,)), end - start
+    low, high = eight[start] & _MASK[np.minimum(size, 8)], eight[start + 8] & _MASK[np.clip(size - 8, 0, 8)]
+    n = size.astype(np.uint64)
+    one = mix(low ^ mix(high + mix(n)))
+    two = mix(high ^ mix(low + mix(n + np.uint64(1 << 32))))
+    for i in np.flatnonzero(size > 16).tolist():
+        one[i], two[i] = _long_name(raw[start[i] : end[i]])
+    return one, two, edges
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,7 +66,12 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hashes(names: np.ndarray, size: int, base: int) -> np.ndarray:
-    """For each place a hash of the ``size`` names from there: a polynomial modulo 2**64, mixed. Windows may span texts."""
+    """For each place a hash of the ``size`` names from there: a polynomial modulo 2**64, mixed. Windows may span texts.
+
+    Such polynomials have known collisions between sequences of two values from some 1,000 terms on; windows are held well below.
+    """
+    if size > 512:
+        raise ValueError("windows of more than 512 words need another hash")
     n = len(names)
     if n < size:
         return np.empty(0, np.uint64)
@@ -57,7 +81,7 @@ def window_hashes(names: np.ndarray, size: int, base: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * down[: n - size + 1])
 
 
-#: Two odd bases; a window's identity is both hashes, 128 bits.
+#: Two odd bases; a window's identity is 128 bits: a hash of its words' first names by one, and of their second names by the other.
 BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
