@@ -43,3 +43,33 @@ def test_headline(attrs):
 def test_names_of_other_text():
     assert main_text(f'<body>{ARTICLE}<div class="comments"><p>{WORDS} {WORDS} {WORDS}</p></div><div class="sidebar-content"><p>{WORDS}</p></div></body>') == TEXT
     assert main_text('<body><nav><a href="/">Home</a></nav><div class="cookie"><p>We use some.</p></div></body>') == ""
+
+
+@pytest.mark.parametrize("name", ["more", "related", "meta", "post-share"])
+def test_article_under_a_name(name):
+    assert main_text(f"<body><nav><a href='/'>Home</a></nav><article class='{name}'><p>{WORDS}</p><p>The end.</p></article><footer>Foot</footer></body>") == TEXT
+    assert main_text(f"<body><article class='{name}'><p>Only a few words.</p></article></body>") == "Only a few words."
+
+
+@pytest.mark.parametrize("name", ["related-work", "skip", "share", "alert", "meta", "read-more"])
+def test_section_under_a_name(name):
+    assert main_text(f"<body><article><p>Start.</p><section class='{name}'><p>{WORDS}</p></section><p>The end.</p></article></body>") == f"Start. {TEXT}"
+    assert main_text(f"<body><article><p>{WORDS}</p><div class='{name}'><a href='/a'>One</a> <a href='/b'>Two</a></div><p>The end.</p></article></body>") == TEXT
+
+
+def test_formula():
+    formula = "<math><mi>x</mi><mo>+</mo><mn>1</mn><semantics><annotation>x+1</annotation></semantics></math>"
+    assert main_text(f"<body><article><p>{WORDS}</p><p>Let {formula} be.</p></article></body>") == f"{WORDS} Let x+1 be."
+
+
+@pytest.mark.parametrize("part", ["<a x=\"", "<a 'b", "<div>", "<div class=sidebar>", "</b>", "<p>a</i>", "<svg x='", "<", "<!", "a < b ", "<script>'"])
+def test_hostile_pages(part):
+    """Time grows with the length: a page of some megabytes is read within seconds."""
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        start = time.process_time()
+        main_text("<body>" + part * n + ARTICLE)
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * max(took[0], 0.05)

@@ -3,16 +3,20 @@
 A page is a sequence of words and tags. A word in running text scores positive, a word in a link or in a container that
 is no article (menus, footers, forms, adverts, comments ...) and a tag score negative, with weights that a logistic
 regression learns from labelled pages. One linear scan finds the contiguous region with the highest sum. The region is
-widened to the innermost element that holds all of it, below the body, so that a short first or last block is not cut.
+widened to the innermost container that holds all of it, below the body, and to the article around that, so that a short first
+or last block is not cut.
 
 A container can be marked by its tag or as hidden, or only by a name (class, id, role). A name is a hint: it does not hold for
-headings, nor beside a name of content, and where the text under a name outweighs all other text by far, the name is passed over.
+headings, for the first article of a page, nor beside a name of content; inside an article, a name of little weight (``related``,
+``more`` ...) does not hold for text that scores like running text; and where the text under a name outweighs all other text by
+far, the name is passed over. All passes over a page take time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,10 +29,10 @@ from .common import small_batches
 
 #: Element names by their part in a page. What is in a RAW element is no markup, up to the end of the page if it is never closed.
 RAW = "script style textarea title"
-#: Dropped with all they hold where they are closed; svg and math can close themselves.
-DROPPED = frozenset("template noscript iframe object svg math select canvas audio video".split())
+#: Dropped with all they hold where they are closed; svg can close itself.
+DROPPED = frozenset("template noscript iframe object svg select canvas audio video annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mrow mtext msub msup msubsup mfrac msqrt mroot mover munder munderover mspace mstyle semantics".split())
 BOILER_TAGS = frozenset("nav footer aside form button dialog menu head fieldset input datalist".split())
 #: Words of class, id or role that name a container without article text.
 BOILER_WORDS = frozenset(
@@ -36,32 +40,40 @@ BOILER_WORDS = frozenset(
     "footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist reply replies respond disqus discussion share sharing social "
     "related recommended recommendations more newsletter subscribe subscription signup login search form skip copyright legal disclaimer meta tags byline contentinfo complementary teaser".split()
 )
+#: Those of them that sections of an article bear too.
+WEAK_WORDS = frozenset("alert copyright discussion legal meta more notice notices recommended recommendations related share sharing side skip social tags".split())
 #: A name that ends in one of these, without a word of BOILER_WORDS, is content; a name that begins with a modifier says what is beside or absent.
 CONTENT_WORDS = frozenset("article body content entry hentry main post story".split())
 MODIFIERS = frozenset("with without no not has is".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of text, which hold no other part of a page.
+TEXT_BLOCKS = HEADINGS | INLINE | frozenset("p li ul ol dl dt dd blockquote pre figure figcaption".split())
 #: Text under a name is the article if it scores so many times what the best other region does, after so much for the name itself.
 NAME_FACTOR, NAME_COST = 32, 16
+#: Tags that never end may be searched for so often; after that, any > ends a tag.
+OPEN_TAGS = 16
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+_PLAIN_TAG = re.compile(r"(?P<raw>(?!))?<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*+)>|<[!?/][^>]*(?:>|\Z)")
 ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_RAW_ELEMENT = r"<!--.*?-->|<(script|style|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?</\1\s*>"
+_RAW_ELEMENT = r"<!--.*?-->|<(script|style|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?</\1\s*>"
+TOP = ("", "html", "body")
 KINDS = ("word", "link_word", "boiler_word", "block_tag", "inline_tag", "boiler_tag")
 WORD, LINK, BOILER, BLOCK_TAG, INLINE_TAG, BOILER_TAG = range(len(KINDS))
 
 
 @lru_cache(maxsize=4096)
-def _marks(attrs: str) -> tuple[bool, bool]:
-    """Whether attributes hide an element, and whether they name it as one without article text."""
-    named = content = False
+def _marks(attrs: str) -> tuple[bool, bool, bool]:
+    """Whether attributes hide an element, whether they name it as one without article text, and whether only by names of little weight."""
+    named = content = strong = False
     for name, a, b, c in ATTR.findall(attrs):
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True, False
+            return True, False, False
         if name in ("class", "id", "role"):
             for part in value.split():
                 words = [p.lower() for p in PARTS.findall(part)]
@@ -69,15 +81,16 @@ def _marks(attrs: str) -> tuple[bool, bool]:
                     continue
                 if not BOILER_WORDS.isdisjoint(words):
                     named = True
+                    strong = strong or not BOILER_WORDS.isdisjoint(set(words) - WEAK_WORDS)
                 elif words and words[-1] in CONTENT_WORDS:
                     content = True
-    return False, named and not content
+    return False, named and not content, not strong
 
 
 def _closed(page: str, name: str) -> dict[int, int]:
     """End of the closing tag by the end of the opening tag, for the elements of a name that are closed."""
     ends, opened = {}, []
-    for m in re.finditer(rf"{_RAW_ELEMENT}|<(/?){name}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", page, re.S | re.I):
+    for m in re.finditer(rf"{_RAW_ELEMENT}|<(/?){name}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", page[: page.rfind(">") + 1], re.S | re.I):
         if m[2] == "" and not (name in ("svg", "math") and m[3].endswith("/")):
             opened.append(m.end())
         elif m[2] and opened:
@@ -85,68 +98,108 @@ def _closed(page: str, name: str) -> dict[int, int]:
     return ends
 
 
-def parse(page: str, spared: frozenset[int] = frozenset(), under: dict[int, list[tuple[int, int]]] | None = None) -> tuple[list[tuple[int, int, int, str]], list[int]]:
-    """Events (kind, words, element, text) in page order, and each element's parent; element 0 is the page.
+class Tree:
+    """A page's elements in the order in which they open; element 0 is the page, and those below an element follow it."""
+
+    def __init__(self):
+        self.parent, self.name, self.last = [-1], [""], [0]
+        #: In a container by its tag, or hidden; the innermost element around, or itself, that is marked by a name (0 for none); in a link; in an article.
+        self.hard, self.named, self.link, self.article = [False], [0], [False], [False]
+        #: Named elements inside an article whose names are of little weight.
+        self.weak: set[int] = set()
+
+    def add(self, parent: int, name: str, hard: bool, named: int) -> int:
+        e = len(self.parent)
+        for row, value in ((self.parent, parent), (self.name, name), (self.last, e), (self.hard, hard), (self.named, named), (self.link, self.link[parent] or name == "a"), (self.article, self.article[parent] or name in ("article", "main"))):
+            row.append(value)
+        return e
+
+    def close(self) -> None:
+        """Settle the last element below each, and let the page, html and body have no parent."""
+        for e in range(len(self.parent) - 1, 0, -1):
+            p = self.parent[e]
+            self.last[p] = max(self.last[p], self.last[e])
+        self.parent = [-1 if n in TOP else p for n, p in zip(self.name, self.parent, strict=True)]
+
+
+def tokens(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """The texts between tags, and the tag (or comment, or raw element) behind each; None behind the last text.
+
+    ``send`` a place in the page to go on from there.
+    """
+    at = look = opened = 0
+    final = page.rfind(">")
+    while (i := page.find("<", look)) >= 0:
+        m = (_PLAIN_TAG if opened > OPEN_TAGS else TOKEN).match(page, i) if i < final or page.startswith(("<!", "<?", "</"), i) else None
+        if m is None:  # a sign, or a tag that never ends
+            opened += page[i + 1 : i + 2].isalpha()
+            look = i + 1
+            continue
+        jump = yield page[at:i], m
+        at = look = m.end() if jump is None else jump
+        if jump is not None:
+            yield "", None
+    yield page[at:], None
+
+
+def parse(page: str, spared: frozenset[int] = frozenset(), under: dict[int, list[tuple[int, int]]] | None = None) -> tuple[list[tuple[int, int, int, str]], Tree]:
+    """Events (kind, words, element, text) in page order, and the tree of elements.
 
     A tag has no words; its text is a blank if it parts blocks. Tags that are never closed end with what holds them.
     Names of the elements in ``spared`` are passed over. ``under`` takes, by the innermost named element, the (kind, words)
     that its words and tags would have without any name.
     """
     events: list[tuple[int, int, int, str]] = []
-    # hard: in a container by tag or hidden; named: the innermost element around, or itself, that is marked by a name; 0 for none
-    parents, names, hard, named, links = [-1], [""], [False], [0], [False]
-    stack, at = [0], 0
-
-    def add_text(text: str) -> None:
+    tree, stack, open_names, articles = Tree(), [0], Counter(), 0
+    closed: dict[str, dict[int, int]] = {}
+    found = tokens(page)
+    for text, m in found:
+        here = stack[-1]
         if text:
-            here = stack[-1]
             text = html.unescape(text)
-            kind, n = LINK if links[here] else WORD, len(text.split())
-            events.append((BOILER if hard[here] or named[here] else kind, n, here, text))
-            if under is not None and named[here] and not hard[here]:
-                under.setdefault(named[here], []).append((kind, n))
-
-    closed: dict[str, dict[int, int]] = {}
-    while m := TOKEN.search(page, at):
-        add_text(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if not name:
+            kind, n = LINK if tree.link[here] else WORD, len(text.split())
+            events.append((BOILER if tree.hard[here] or tree.named[here] else kind, n, here, text))
+            if under is not None and tree.named[here] and not tree.hard[here]:
+                under.setdefault(tree.named[here], []).append((kind, n))
+        if m is None or not m["name"]:
             continue
-        name, here = name.lower(), stack[-1]
-        if name in DROPPED and not m["close"]:
+        name, attrs = m["name"].lower(), m["attrs"]
+        # A formula belongs to the text around it; one that stands by itself in the body is no article.
+        if (name in DROPPED or name == "math" and tree.name[here] in TOP) and not m["close"]:
             if name not in closed:
                 closed[name] = _closed(page, name)
-            if at in closed[name] or name in ("svg", "math") and m["attrs"].endswith("/"):
-                at = closed[name].get(at, at)
+            if m.end() in closed[name] or name in ("svg", "math") and attrs.endswith("/"):
+                found.send(closed[name].get(m.end(), m.end()))
                 continue
         inline = name in INLINE
         if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if names[stack[i]] == name:
-                    del stack[i:]
-                    break
-            bad, mark = hard[here], named[here]
+            if open_names[name]:
+                while True:
+                    gone = tree.name[stack.pop()]
+                    open_names[gone] -= 1
+                    if gone == name:
+                        break
+            bad, mark = tree.hard[here], tree.named[here]
         else:
-            inside = name == "header" and not any(names[e] in ("article", "main") for e in stack)
-            hides, names_it = _marks(m["attrs"]) if m["attrs"] and name not in ("html", "body", "main") else (False, False)
-            bad, mark = hard[here] or name in BOILER_TAGS or inside or hides, named[here]
-            if names_it and name not in HEADINGS and len(parents) not in spared:
-                mark = len(parents)
-            if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-                parents.append(here)
-                names.append(name)
-                hard.append(bad)
-                named.append(mark)
-                links.append(links[here] or name == "a")
-                stack.append(len(parents) - 1)
+            new = len(tree.parent)
+            hides, names_it, weak = _marks(attrs) if attrs and name not in ("html", "body", "main") else (False, False, False)
+            bad = tree.hard[here] or name in BOILER_TAGS or hides or name == "header" and not tree.article[here]
+            mark = tree.named[here]
+            if names_it and name not in HEADINGS and new not in spared and (name != "article" or articles):
+                mark = new
+            articles += name == "article" and not mark and not bad
+            if name not in VOID and not attrs.rstrip().endswith("/"):
+                tree.add(here, name, bad, mark)
+                if mark == new and weak and tree.article[here]:
+                    tree.weak.add(new)
+                stack.append(new)
+                open_names[name] += 1
         kind = INLINE_TAG if inline else BLOCK_TAG
         events.append((BOILER_TAG if bad or mark else kind, 0, stack[-1], "" if inline else " " if name == "br" else "\n"))
-        if under is not None and mark and not bad and mark < len(parents):
+        if under is not None and mark and not bad and mark < len(tree.parent):
             under.setdefault(mark, []).append((kind, 0))
-    add_text(page[at:])
-    top = [e for e, n in enumerate(names) if n in ("", "html", "body")]
-    return events, [(-1 if e in top else p) for e, p in enumerate(parents)]
+    tree.close()
+    return events, tree
 
 
 @lru_cache(maxsize=1)
@@ -191,7 +244,13 @@ def main_text(page: str | None, score: tuple[float, ...] | None = None) -> str:
     spared: frozenset[int] = frozenset()
     while True:
         under: dict[int, list[tuple[int, int]]] = {}
-        events, parents = parse(page, spared, under)
+        events, tree = parse(page, spared, under)
+        parents = tree.parent
+        # What scores like running text inside an article is part of it, if only a name of little weight speaks against it.
+        running = {e for e in tree.weak if _best(score, under.get(e, ()))[0] >= NAME_COST}
+        if running:
+            spared |= running
+            continue
         best, low, high = _best(score, (e[:2] for e in events))
         rival, e = max(((_best(score, steps)[0], e) for e, steps in under.items()), default=(0.0, 0))
         if rival - NAME_COST <= NAME_FACTOR * best:
@@ -205,21 +264,17 @@ def main_text(page: str | None, score: tuple[float, ...] | None = None) -> str:
     if not high:
         return ""
 
-    def line(e: int) -> list[int]:
-        out = []
-        while e >= 0:
-            out.append(e)
-            e = parents[e]
-        return out[::-1]
-
-    common: list[int] | None = None
+    holder = None  # the innermost element that holds the whole region
     for kind, n, e, _ in events[low:high]:
         if kind == WORD and n:
-            own = line(e)
-            common = own if common is None else [a for a, b in zip(common, own, strict=False) if a == b]
-    if common and len(common) > 1:  # an element below the body holds the whole region
-        holder = common[-1]
-        inside = [holder in line(e) for _, _, e, _ in events]
+            holder = e if holder is None else holder
+            while holder >= 0 and not holder <= e <= tree.last[holder]:
+                holder = parents[holder]
+    below = holder is not None and holder >= 0 and parents[holder] >= 0
+    while below and parents[parents[holder]] >= 0 and (tree.name[holder] in TEXT_BLOCKS or tree.article[parents[holder]] and tree.name[holder] not in ("article", "main")):
+        holder = parents[holder]
+    if below:
+        inside = [holder <= e <= tree.last[holder] for _, _, e, _ in events]
     else:
         inside = [low <= i < high for i in range(len(events))]
     blocks, block = [], []
