@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings, trained by stochastic gradient descent in numpy.
 
-A text's features are its words, the byte n-grams of its words, and its pairs of adjacent words, hashed into one table of
+A text's features are its words, the character n-grams of its words, and its pairs of adjacent words, hashed into one table of
 vectors. Their mean goes through a linear layer and a softmax. As both steps are linear before the softmax, a trained
 model needs one number a bucket to score: what its vector adds to the difference of the two outputs.
 """
@@ -28,10 +28,10 @@ MEMO = 300_000
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word; and for each byte n-gram of ``<word>``, its word's place and its bucket."""
-    data = [b"<" + w.encode("utf-8", "surrogatepass") + b">" for w in words]
+    """Hash of each word; and for each character n-gram of ``<word>``, its word's place and its bucket."""
+    data = [f"<{w}>" for w in words]
     sizes = np.array([len(d) for d in data], np.int64)
-    buf = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
+    buf = np.frombuffer("".join(data).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(data)), sizes)
     owners, buckets = [], []
     for n in GRAMS:
@@ -44,7 +44,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = owner[: len(h)] == owner[n - 1 :]
         owners.append(owner[: len(h)][inside])
         buckets.append((h[inside] >> np.uint64(20)) % np.uint64(BUCKETS - 1))
-    whole = np.array([zlib.crc32(d) for d in data], np.uint64)
+    whole = np.array([zlib.crc32(d.encode("utf-8", "surrogatepass")) for d in data], np.uint64)
     return whole, np.concatenate(owners or [np.empty(0, np.int64)]), np.concatenate(buckets or [np.empty(0, np.uint64)]).astype(np.int64)
 
 
@@ -136,13 +136,14 @@ def held_out(id_col: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
     """Train on labelled rows that are not held out, at most ``rows`` of each class. One executor trains; the driver gets the numbers.
 
-    Rows with a null id or label count for nothing; of an id with several labels, the greatest counts. With no labelled row, or one class only, every text scores alike.
+    Rows with a null id or label count for nothing; of an id with several labels, the greatest counts; of one with several
+    texts, the least. With no labelled row, or one class only, every text scores alike.
     """
     known = labels.where(~held_out(id_col)).where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     order = [F.xxhash64("_id"), F.col("_id")]
     sample = known.where("_label = 0").orderBy(*order).limit(rows).unionByName(known.where("_label = 1").orderBy(*order).limit(rows))
     # The limits prove the bound of what is broadcast.
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_text", "_label")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(sample), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(((r["_id"], r["_text"], r["_label"]) for b in batches for r in b.to_pylist()), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1]))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, UPPER, LOWER, ascii_lower, materialise, split_words
+from .common import LOWER, SPACES, UPPER, ascii_lower, broadcast_if_small, materialise, split_words
 
 #: Frequent function words of each language.
 COMMON_WORDS = {
@@ -33,11 +33,12 @@ def _repeat_words(words: str, n: str) -> list[tuple[str, Column]]:
 
     A window's hash and place share one long, so that a sort of plain numbers brings equal hashes together. Windows whose
     hash has a neighbour are compared as text: sorted with their places, equal neighbours give the places of repeated
-    windows, and a fold over those in order adds up the words that they cover. Texts of over 2**20 words skip the hashes.
+    windows, and a fold over those in order adds up the words that they cover. A place takes 31 bits, as many as any array
+    has; the 33 bits of hash above it only choose what is compared.
     """
-    hashes = F.when(F.expr(f"{n} between 3 and 1048576"), F.expr(f"sort_array(transform(sequence(0, {n} - 3), i -> shiftleft(shiftright(xxhash64({words}[i], {words}[i + 1], {words}[i + 2]), 20), 20) | i))"))
-    same = "shiftright(_hashes[{}], 20) = shiftright(x, 20)"
-    candidates = F.when(F.expr(f"{n} > 1048576"), F.expr(f"sequence(0, {n} - 3)")).otherwise(F.expr(f"transform(filter(_hashes, (x, i) -> (i > 0 and {same.format('i - 1')}) or (i + 1 < size(_hashes) and {same.format('i + 1')})), x -> cast(x & 1048575 as int))"))
+    hashes = F.when(F.expr(f"{n} >= 3"), F.expr(f"sort_array(transform(sequence(0, {n} - 3), i -> shiftleft(shiftright(xxhash64({words}[i], {words}[i + 1], {words}[i + 2]), 31), 31) | i))"))
+    same = "shiftright(_hashes[{}], 31) = shiftright(x, 31)"
+    candidates = F.expr(f"transform(filter(_hashes, (x, i) -> (i > 0 and {same.format('i - 1')}) or (i + 1 < size(_hashes) and {same.format('i + 1')})), x -> cast(x & 2147483647 as int))")
     windows = F.expr(f"transform(_candidates, i -> struct(concat_ws(' ', {words}[i], {words}[i + 1], {words}[i + 2]) as t, i as i))")
     sorted_windows = F.array_sort(windows)
     twins = F.expr("filter(_sorted, (x, i) -> (i > 0 and _sorted[i - 1].t = x.t) or (i + 1 < size(_sorted) and _sorted[i + 1].t = x.t))")
@@ -99,7 +100,8 @@ def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     verdicts are made from them.
     """
     features = materialise(document_features(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), "features")
-    df = features.join(language_references(features), "_lang", "left")
+    references = broadcast_if_small(materialise(language_references(features), "references"))
+    df = features.join(references, "_lang", "left")
     df = df.withColumn("char_distance", js_distance("chars")).withColumn("word_distance", js_distance("common"))
     chars = F.col("word_chars") + F.col("chars")[2]
     far = lambda name, limit, n: F.coalesce(F.col(name) > limit[0] + limit[1] / F.sqrt(n), F.lit(False))

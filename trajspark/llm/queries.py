@@ -59,7 +59,8 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.filter_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    rows = F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(r, ("host", "path", "verdict"), strict=True)]) for r in URL_RULES]))
+    return url_rules.filter_urls(table(spark, sf_dir, "pages"), spark.range(1).select(rows))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,5 +69,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     host, path = url_parts(F.col(url_col))
     pages = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
     matched = match_rules(pages.select("host", "path").where("host <> ''").distinct(), rules, salts=salts)
-    out = pages.join(matched, ["host", "path"], "left")
+    # Urls without a host, which may be many, match nothing and would all meet in one task of the join.
+    none = F.lit(None).cast("string")
+    out = pages.where("host <> ''").join(matched, ["host", "path"], "left").select("_id", "host", "path", "rule", "verdict")
+    out = out.unionByName(pages.where("host = ''").select("_id", "host", "path", none.alias("rule"), none.alias("verdict")))
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
