@@ -17,15 +17,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = row_ids(docs, "doc_id", "text")
-    kept = quality_rules.quality_verdicts(rows.drop("doc_id"), id_col="_rid").where("kept").select("_rid")
-    return rows.join(kept, "_rid", "left_semi").select(*docs.columns)
+    rows, rid = row_ids(docs, "doc_id", "text")
+    kept = quality_rules.quality_verdicts(rows.select(rid, "text", "lang"), id_col=rid).where("kept").select(rid)
+    return rows.join(kept, rid, "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = row_ids(docs, "doc_id", "text")
-    kept = simhash_dedup.near_duplicates(rows.drop("doc_id"), id_col="_rid").where("_rid = component_id").select("_rid")
-    return rows.join(kept, "_rid", "left_semi").select(*docs.columns)
+    rows, rid = row_ids(docs, "doc_id", "text")
+    found = simhash_dedup.near_duplicates(rows.select(rid, "text"), id_col=rid)
+    return rows.join(found.where(F.col(rid) == F.col("component_id")).select(rid), rid, "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
