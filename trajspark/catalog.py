@@ -68,7 +68,7 @@ def metric_unpivot(t):
 
 @query(sql(*BASE, "hits", body="SELECT record_index, count(*) AS n_nodes, min(trace_idx)::INT AS first_hit_step, min(CASE WHEN d = 0 THEN trace_idx END)::INT AS first_root_step FROM hits GROUP BY record_index"))
 def node_hits(t):
-    return overlap.hit_nodes(t.reads(), t.nodes()).groupBy("record_index").agg(F.count("*").alias("n_nodes"), F.min("trace_idx").alias("first_hit_step"), F.min(F.when(F.col("normalized_distance") == 0, F.col("trace_idx"))).alias("first_root_step"))
+    return overlap.hit_classes(t.reads(), t.nodes()).groupBy("record_index").agg(F.sum("n").alias("n_nodes"), F.min("trace_idx").alias("first_hit_step"), F.min(F.when(F.col("normalized_distance") == 0, F.col("trace_idx"))).alias("first_root_step"))
 
 
 PRECISION = """, read_hits AS (SELECT record_index, trace_idx, bool_or(n.node_key IS NOT NULL) AS hit FROM reads q LEFT JOIN nodes n ON n.file_path = q.file_path AND rewardable AND start_line <= node_end AND end_line >= node_start GROUP BY ALL),
@@ -108,12 +108,12 @@ def longest_error_run(t):
 
 @query(sql(*BASE, "hits", body=", g AS (SELECT record_index, trace_idx, d, count(*) AS n FROM hits GROUP BY ALL) SELECT a.record_index, round(sum(sign(a.d - b.d) * a.n * b.n) / sum(a.n * b.n), 6) AS order_score FROM g a JOIN g b ON a.record_index = b.record_index AND a.trace_idx < b.trace_idx AND a.d <> b.d GROUP BY ALL"))
 def order_score(t):
-    return sequences.order_score(overlap.hit_nodes(t.reads(), t.nodes())).select("record_index", R4("order_score").alias("order_score"))
+    return sequences.order_score(overlap.hit_classes(t.reads(), t.nodes())).select("record_index", R4("order_score").alias("order_score"))
 
 
 @query(sql(*BASE, "hits", body=", m AS (SELECT record_index, min(CASE WHEN d = 0 THEN trace_idx END) AS root, min(CASE WHEN d > 0 AND d < 1 THEN trace_idx END) AS mid FROM hits GROUP BY ALL) SELECT record_index, root IS NOT NULL AND (mid IS NULL OR mid > root) AS is_miracle, CASE WHEN root IS NOT NULL AND (mid IS NULL OR mid > root) THEN 3 ELSE 0 END AS severity FROM m"))
 def miracle(t):
-    return sequences.miracles(overlap.hit_nodes(t.reads(), t.nodes()), 3)
+    return sequences.miracles(overlap.hit_classes(t.reads(), t.nodes()), 3)
 
 
 STEP_HITS = ", s AS (SELECT record_index, trace_idx, bool_or(d IS NOT NULL) AS on_chain, coalesce(bool_or(d = 1), false) AS on_anchor, coalesce(bool_or(d = 0), false) AS on_root FROM reads q LEFT JOIN nodes n ON n.file_path = q.file_path AND rewardable AND start_line <= node_end AND end_line >= node_start GROUP BY ALL)"
@@ -390,3 +390,6 @@ def score_rollouts(t):
     edges = t.spark.createDataFrame([], "instance_id string, caller string, callee string, reward boolean")
     d = scoring.score_records(records, maps, nodes, edges)
     return d.select("record_index", "n_trace_steps", "n_reads", "min_distance", "n_hit_nodes", "first_hit_step", "first_ground_truth_step", R4("hit_precision").alias("hit_precision"), R4("hit_recall").alias("hit_recall"))
+
+
+from . import catalog_records  # noqa: E402, F401  registers its queries

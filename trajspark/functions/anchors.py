@@ -2,54 +2,132 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Names too common to point at anything by themselves.
-GENERIC = ("get", "set", "run", "main", "call", "wrapper", "inner", "init", "__init__", "__call__", "test", "name", "value", "self", "cls", "args", "kwargs")
-#: Kinds of anchors, each with the pattern of its value; group 1 is the value.
+GENERIC = "__call__ __new__ call delete dispatch func function get handle head inner main method options patch post put run setup teardown test view wrapper".split()
+#: Kinds of anchors in the order in which they are looked for, each with its pattern; a traceback names a path and a function.
+TRACEBACK = r'(?U)File "([^"\n]+\.py)", line \d+, in ([A-Za-z_]\w*|<[^>]+>)'
 KINDS = {
-    "traceback_frame": r'File "([^"]+)", line \d+, in \w+',
-    "backtick": r"`([^`\n]{3,120})`",
-    "file_path": r"(?<![\w/])((?:[\w.-]+/)+[\w.-]+\.py)\b",
-    "dotted_name": r"(?<![\w./])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+)(?![\w/])",
-    "call": r"(?<![\w.])([A-Za-z_]\w*)\(",
+    "backtick": (r"`([^`\n]{1,200})`", 1),
+    "file_path": (r"(?U)(?<![\w/.-])(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.py(?::\d+)?", 0),
+    "dotted_name": (r"(?U)(?<![\w.])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+)(?![\w.])", 1),
+    "call": (r"(?U)(?<![\w.])([A-Za-z_]\w*)\s*\(", 1),
 }
 
 
+def _none_if_empty(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def anchor_path(path: Column) -> Column:
+    """A path with forward slashes, without quotes, fragment, line number and leading dots and slashes."""
+    p = F.regexp_replace(F.regexp_replace(F.translate(path, "\\", "/"), r"(?U)^\s+|\s+$", ""), r"^[\"']+|[\"']+$", "")
+    return F.regexp_replace(F.regexp_replace(F.substring_index(p, "#", 1), r":\d+(?::\d+)?$", ""), r"^[./]+", "")
+
+
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, r"\(\)$", "")
+
+
+def _cleaned(raw: Column) -> Column:
+    v = F.regexp_replace(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""), r"^[`\"']+|[`\"']+$", "")
+    return _bare(F.regexp_replace(v, r"^[ \t\r\n.,;:)\]}]+|[ \t\r\n.,;:)\]}]+$", ""))
+
+
 def leaf(name: Column) -> Column:
-    return F.substring_index(F.regexp_replace(name, r"\(.*$", ""), ".", -1)
+    """The last part of a dotted name, of what is behind its last double colon."""
+    return F.substring_index(F.substring_index(_bare(name), "::", -1), ".", -1)
 
 
 def is_generic(name: Column) -> Column:
-    """Names that never anchor alone; short ones too, unless they start with two underscores."""
-    last = F.lower(leaf(name))
-    return (~name.endswith(".py") & (last.isin(*GENERIC) | ((F.length(last) < 3) & ~last.startswith("__")))) | name.endswith("__init__.py")
+    return F.lower(name).isin(*GENERIC)
+
+
+def candidates(issues: DataFrame, text: str = "issue_text") -> DataFrame:
+    """(instance_id, kind, raw, value, file_path, qualified_name, name, place) of the mentions in each issue's text that can be an anchor.
+
+    Of mentions with equal kind, path, qualified name and name the first counts; ``place`` numbers them in the order of kinds.
+    Names that are too common or too short don't count unless a path or a dotted name stands with them. A null or blank text
+    has none.
+    """
+    t = F.coalesce(text, F.lit(""))
+    none = F.lit(None).cast("string")
+    pair = F.arrays_zip(F.regexp_extract_all(t, F.lit(TRACEBACK), F.lit(1)).alias("p"), F.regexp_extract_all(t, F.lit(TRACEBACK), F.lit(2)).alias("f"))
+    frames = F.transform(F.filter(pair, lambda x: ~x["f"].startswith("<")), lambda x: F.struct(F.lit("traceback_frame").alias("kind"), F.concat(anchor_path(x["p"]), F.lit("::"), x["f"]).alias("raw"), anchor_path(x["p"]).alias("p"), x["f"].alias("q")))
+    others = [F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(g)), _mention(kind, none)) for kind, (p, g) in KINDS.items()]
+    rows = issues.select("instance_id", F.posexplode(F.concat(frames, *others)).alias("place", "m")).select("instance_id", "place", "m.*").withColumn("value", _cleaned(F.col("raw")))
+    rows = rows.where((F.col("value") != "") & ~F.col("value").rlike(r"(?U)\s"))
+    v, given = F.col("value"), F.col("q").isNotNull()
+    split, pathlike, dotted = v.contains("::") & ~given, v.contains(".py") | v.contains("/"), v.contains(".")
+    left, right = F.substring_index(v, "::", 1), F.regexp_extract(v, r"(?s)^.*?::(.*)$", 1)
+    path = F.when(F.col("p").isNotNull(), F.col("p")).when(split, F.when(left.contains(".py") | left.contains("/"), anchor_path(left))).when(pathlike, anchor_path(v))
+    rows = rows.withColumn("file_path", _none_if_empty(path))
+    qualified = F.when(given, _bare(F.col("q"))).when(split, _bare(right)).when(~pathlike & dotted, _bare(v))
+    rows = rows.withColumn("qualified_name", _none_if_empty(qualified))
+    name = F.when(F.col("qualified_name").isNotNull(), leaf(F.col("qualified_name"))).when(F.col("file_path").isNull() & ~split, _bare(v))
+    rows = rows.withColumn("name", _none_if_empty(name))
+    alone = F.col("file_path").isNull() & ~F.coalesce(F.col("qualified_name").contains("."), F.lit(False))
+    weak = (is_generic(F.col("name")) & alone) | ((F.length("name") < 3) & ~F.col("name").startswith("__"))
+    rows = rows.where(~F.coalesce(weak, F.lit(False)))
+    first = F.min_by(F.struct("raw", "value", "place"), "place").alias("m")
+    return rows.groupBy("instance_id", "kind", "file_path", "qualified_name", "name").agg(first).select("instance_id", "kind", "m.raw", "m.value", "file_path", "qualified_name", "name", "m.place")
+
+
+def _mention(kind: str, none: Column):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("raw"), none.alias("p"), none.alias("q"))
 
 
 def issue_anchors(issues: DataFrame, text: str = "issue_text") -> DataFrame:
-    """(instance_id, kind, value) of the anchors in each issue's text, kind by kind, each once, generic names left out."""
-    found = [F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(1))) for p in KINDS.values()]
-    rows = issues.select("instance_id", F.explode(F.concat(*[F.transform(f, _with_kind(k)) for k, f in zip(KINDS, found, strict=True)])).alias("a"))
-    return rows.select("instance_id", "a.kind", "a.value").where(~is_generic(F.col("value")))
+    """(instance_id, kind, value, file_path, qualified_name, name): the candidates, without their places."""
+    return candidates(issues, text).drop("raw", "place")
+
+
+def plain_qualname(name: Column) -> Column:
+    return F.replace(F.replace(name, F.lit(".<locals>."), F.lit(".")), F.lit("<locals>."), F.lit(""))
+
+
+def _ends(whole: Column, part: Column, sign: str) -> Column:
+    return (whole == part) | F.endswith(whole, F.concat(F.lit(sign), part))
+
+
+def name_matches(qualified: Column, name: Column) -> Column:
+    """Whether a frame's own name is the given one, or for a name that isn't common that name with ``_value`` or ``_values``."""
+    own = F.substring_index(plain_qualname(qualified), ".", -1)
+    return (own == name) | (~is_generic(name) & own.isin(F.concat(name, F.lit("_value")), F.concat(name, F.lit("_values"))))
+
 
+def match_score(path: Column, qualified: Column, c_path: Column, c_qualified: Column, c_name: Column) -> Column:
+    """Score of a frame under a candidate; null without a match.
 
-def _with_kind(kind: str):
-    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    With a path: 100 path and qualified name, 80 path and name, 30 the path alone, which has to have a folder. Without: 90 the
+    end of the qualified name, 70 a class on it, 60 its last part, 50 the name.
+    """
+    a, b = anchor_path(path), anchor_path(c_path)
+    same_path = _ends(a, b, "/") | F.endswith(b, F.concat(F.lit("/"), a))
+    frame = plain_qualname(qualified)
+    same_name = _ends(frame, plain_qualname(_bare(c_qualified)), ".")
+    last = leaf(c_qualified)
+    same_class = (F.substring(last, 1, 1) != F.lower(F.substring(last, 1, 1))) & F.contains(F.concat(F.lit("."), frame, F.lit(".")), F.concat(F.lit("."), last, F.lit(".")))
+    same_leaf = ~is_generic(last) & name_matches(qualified, last)
+    with_path = F.when(~same_path, None).when(c_qualified.isNotNull(), F.when(same_name, 100)).when(c_name.isNotNull(), F.when(name_matches(qualified, c_name), 80)).when(b.contains("/"), 30)
+    without = F.when(c_qualified.isNotNull(), F.when(same_name, 90).when(same_class, 70).when(same_leaf, 60)).when(c_name.isNotNull(), F.when(name_matches(qualified, c_name), 50))
+    return F.when(c_path.isNotNull(), with_path).otherwise(without)
 
 
-def match_score(kind: Column, value: Column, path: Column, qualified: Column, name: Column) -> Column:
-    """Score of a frame under an anchor: 90 the end of its qualified name, 70 its class, 60 its last part, 50 its name, 30 its path; null without a match."""
-    ends = lambda a, b: (a == b) | F.endswith(a, F.concat(F.lit("."), b)) | F.endswith(b, F.concat(F.lit("."), a))
-    is_path = F.endswith(value, F.lit(".py"))
-    cls = F.substring_index(qualified, ".", 1)
-    rules = [(~is_path & F.contains(value, F.lit(".")) & ends(qualified, value), 90), (~is_path & (leaf(value) == cls) & (cls != qualified), 70), (~is_path & F.contains(value, F.lit(".")) & (leaf(value) == leaf(qualified)), 60), (~is_path & (leaf(value) == name), 50), (is_path & (F.endswith(path, value) | F.endswith(value, path)), 30)]
-    return reduce(lambda w, r: w.when(*r), rules[1:], F.when(*rules[0]))
+def frame_scores(frames: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(instance_id, file_path, qualified_name, score): the best score of each distinct frame of an instance under its anchors."""
+    f = frames.select("instance_id", F.coalesce("file_path", F.lit("")).alias("path"), F.coalesce(_none_if_empty(F.col("qualified_name")), "func_name", F.lit("")).alias("own")).distinct()
+    a = anchors.select("instance_id", F.col("file_path").alias("p"), F.col("qualified_name").alias("q"), F.col("name").alias("n")).distinct()
+    scored = f.join(a, "instance_id").withColumn("score", match_score(F.col("path"), F.col("own"), F.col("p"), F.col("q"), F.col("n")))
+    return scored.where("score is not null").groupBy("instance_id", "path", "own").agg(F.max("score").alias("score"))
 
 
 def select_anchors(frames: DataFrame, anchors: DataFrame) -> DataFrame:
     """For each trace the frame with the best score, the deepest of equals. ``frames`` have no test files and end at the root."""
-    j = frames.join(anchors, "instance_id").withColumn("score", match_score(F.col("kind"), F.col("value"), F.col("file_path"), F.col("qualified_name"), F.col("func_name"))).where("score is not null")
-    return j.groupBy("instance_id", "trace_idx").agg(F.max_by(F.struct("frame_idx", "score"), F.struct("score", "frame_idx")).alias("b")).select("instance_id", "trace_idx", "b.*")
+    own = frames.withColumn("path", F.coalesce("file_path", F.lit(""))).withColumn("own", F.coalesce(_none_if_empty(F.col("qualified_name")), "func_name", F.lit("")))
+    scored = own.join(frame_scores(frames, anchors), ["instance_id", "path", "own"]).drop("path", "own")
+    best = scored.withColumn("_n", F.row_number().over(W.partitionBy("instance_id", "trace_idx").orderBy(F.desc("score"), F.desc("frame_idx"))))
+    return best.where("_n = 1").drop("_n")

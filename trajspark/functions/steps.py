@@ -149,11 +149,18 @@ def error_in(step: str | None) -> bool:
 
 
 @F.pandas_udf(T.BooleanType())
-def has_error(step: pd.Series) -> pd.Series:
+def _has_error(step: pd.Series) -> pd.Series:
     # The JVM's to_json escapes and spaces differently, which moves both word ends and the cut.
     return step.map(error_in)
 
 
+def has_error(step: Column | str) -> Column:
+    """``error_in`` of a step. Only texts with one of the words, or with an escape that could hide one, go through Python; the others are sent as null."""
+    c = F.col(step) if isinstance(step, str) else step
+    words = "(?i)" + ERROR_WORDS.replace(r"\b", "")
+    return _has_error(F.when(c.rlike(words) | c.contains("\\u"), c))
+
+
 def native_calls(text: Column, block: str, invoke: str, parameter: str) -> Column:
     """Calls (name, arguments as JSON) written in a provider's own markup; patterns give body, (name, body) and (name, value)."""
 

@@ -79,13 +79,20 @@ def tail_text(text: Column, n: int) -> Column:
 
 
 def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    """A name for files: all but letters, digits, dots, underscores and hyphens become underscores."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}._-]", "_")
 
 
 def duration_seconds(text: Column) -> Column:
-    """Seconds of ``15m``, ``2h``, ``30s`` or a plain number."""
-    n, unit = F.regexp_extract(text, r"^\s*([\d.]+)\s*([smh]?)\s*$", 1), F.regexp_extract(text, r"^\s*([\d.]+)\s*([smh]?)\s*$", 2)
-    return n.try_cast("double") * F.when(unit == "m", 60).when(unit == "h", 3600).otherwise(1)
+    """Seconds of ``15m``, ``2h``, ``30s`` or a plain number; null for an empty text, for ``0`` and for what is no duration."""
+    n, unit = (F.regexp_extract(F.lower(text), r"^\s*([\d.]+)\s*([smh]?)\s*$", g) for g in (1, 2))
+    return F.when(text != "0", n.try_cast("double") * F.when(unit == "m", 60).when(unit == "h", 3600).otherwise(1))
+
+
+def redacted(text: Column, words: tuple[str, ...] = ("key", "token", "secret", "password", "authorization")) -> Column:
+    """A JSON text in which every string or number under a name with one of the words is replaced."""
+    names = "|".join(words)
+    return F.regexp_replace(text, rf'(?i)("[^"]*(?:{names})[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|-?[\d.eE+-]+|true|false)', '$1"<redacted>"')
 
 
 def instance_candidates(instance_id: Column) -> Column:

@@ -7,13 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEYS = ["instance_id", "file_path"]
+#: Lines of a bin in joins of ranges.
+BIN = 32
 
 
-def _pairs(reads: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct read ranges with the node ranges that they touch, both ends included."""
-    r = reads.select(*KEYS, "start_line", "end_line").distinct()
-    n = nodes.withColumnsRenamed({"start_line": "node_start", "end_line": "node_end"})
-    return r.join(n, KEYS).where("start_line <= node_end and end_line >= node_start")
+def _pairs(reads: DataFrame, nodes: DataFrame, width: int = BIN) -> DataFrame:
+    """Distinct read ranges with the node ranges that they touch, both ends included.
+
+    Ranges are cut into bins of lines, and the bin is part of the join key, so a file with many reads and nodes is no single
+    key; a pair that meets in several bins counts in the first one. A read is cut to the lines that the file's nodes cover,
+    so one of a whole file has as many bins as they do.
+    """
+    bin_ = lambda c: F.floor(c / width)
+    n = nodes.withColumnsRenamed({"start_line": "node_start", "end_line": "node_end"}).withColumn("_low", F.least("node_start", "node_end")).withColumn("_high", F.greatest("node_start", "node_end"))
+    extent = n.groupBy(*KEYS).agg(F.min("_low").alias("_first"), F.max("_high").alias("_last"))
+    r = reads.select(*KEYS, "start_line", "end_line").distinct().join(extent, KEYS)
+    r = r.withColumn("_from", F.greatest(F.least("start_line", "end_line"), "_first")).withColumn("_to", F.least(F.greatest("start_line", "end_line"), "_last")).where("_from <= _to")
+    r = r.select(*KEYS, "start_line", "end_line", bin_(F.col("_from")).alias("_r"), F.explode(F.sequence(bin_(F.col("_from")), bin_(F.col("_to")))).alias("_bin"))
+    n = n.where("_low is not null").withColumn("_n", bin_(F.col("_low"))).withColumn("_bin", F.explode(F.sequence(bin_(F.col("_low")), bin_(F.col("_high")))))
+    met = r.join(n, [*KEYS, "_bin"]).where("start_line <= node_end and end_line >= node_start and _bin = greatest(_r, _n)")
+    return met.drop("_r", "_n", "_bin", "_low", "_high")
 
 
 def read_distances(reads: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -40,10 +53,22 @@ def hit_nodes(reads: DataFrame, nodes: DataFrame, *, rewardable_only: bool = Tru
     return seen.join(pairs, [*KEYS, "start_line", "end_line"]).groupBy("record_index", "node_key").agg(F.min("normalized_distance").alias("normalized_distance"), F.min("trace_idx").alias("trace_idx"))
 
 
+def hit_classes(reads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(record_index, normalized_distance, trace_idx of the first step that reads it, n): the rewardable nodes that a record hits, as classes.
+
+    A class holds the ``n`` nodes of one range and distance, which any read hits or misses together; so a record has a row for
+    each range, not for each node. Nodes have one row each.
+    """
+    n = nodes.where(F.coalesce("rewardable", F.lit(True))).groupBy(*KEYS, "start_line", "end_line", "normalized_distance").agg(F.count("*").alias("n"))
+    seen = reads.groupBy("record_index", *KEYS, "start_line", "end_line").agg(F.min("trace_idx").alias("trace_idx"))
+    met = seen.join(_pairs(reads, n), [*KEYS, "start_line", "end_line"])
+    return met.groupBy("record_index", *KEYS, "node_start", "node_end", "normalized_distance").agg(F.min("trace_idx").alias("trace_idx"), F.first("n").alias("n")).select("record_index", "normalized_distance", "trace_idx", "n")
+
+
 def precision_recall(reads: DataFrame, nodes: DataFrame) -> DataFrame:
     """(record_index, precision, recall, f1) of the records that touch a node: reads that hit, rewardable nodes hit, of all."""
     total = nodes.where(F.coalesce("rewardable", F.lit(True))).groupBy("instance_id").agg(F.countDistinct("node_key").alias("n_nodes"))
-    hits = hit_nodes(reads, nodes).groupBy("record_index").agg(F.count("*").alias("n_hit"))
+    hits = hit_classes(reads, nodes).groupBy("record_index").agg(F.sum("n").alias("n_hit"))
     ratio = read_distances(reads, nodes).groupBy("record_index", "instance_id").agg((F.count("distance") / F.count("*")).alias("precision"))
     out = ratio.join(hits, "record_index").join(total, "instance_id").withColumn("recall", F.col("n_hit") / F.col("n_nodes"))
     return out.select("record_index", "precision", "recall", (2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).alias("f1"))

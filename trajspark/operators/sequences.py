@@ -41,9 +41,11 @@ def longest_run(steps: DataFrame, flag: Column, key: str = "record_index", order
 def order_score(first_hits: DataFrame, key: str = "record_index") -> DataFrame:
     """(key, order_score): agreement of the order of first hits with falling distance, over pairs without ties on either side.
 
-    Counts of each (step, distance) stand for the nodes, so a record costs the square of its distinct levels, not nodes.
+    Counts of each (step, distance) stand for the nodes, so a record costs the square of its distinct levels, not nodes. A
+    column ``n`` says how many nodes a row stands for.
     """
-    g = first_hits.groupBy(key, "trace_idx", "normalized_distance").agg(F.count("*").alias("n"))
+    size = F.sum("n") if "n" in first_hits.columns else F.count("*")
+    g = first_hits.groupBy(key, "trace_idx", "normalized_distance").agg(size.alias("n"))
     a, b = g.alias("a"), g.alias("b")
     pairs = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).where("a.trace_idx < b.trace_idx and a.normalized_distance <> b.normalized_distance")
     sign = F.signum(F.col("a.normalized_distance") - F.col("b.normalized_distance"))

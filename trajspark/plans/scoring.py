@@ -84,7 +84,7 @@ def _order(hits: DataFrame, levels: DataFrame, prefix: str) -> DataFrame:
 
 def _first_hits(reads: DataFrame, nodes: DataFrame) -> DataFrame:
     owner = reads.select("record_index", "instance_id").distinct()
-    return overlap.hit_nodes(reads, nodes).join(owner, "record_index")
+    return overlap.hit_classes(reads, nodes).join(owner, "record_index")
 
 
 def blocks(steps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def score_records(records: DataFrame, maps: DataFrame, nodes: DataFrame, edges:
     node_stats = nodes.groupBy(F.col("instance_id").alias("map_id")).agg(F.countDistinct("node_key").alias("n_call_graph_nodes"), F.countDistinct(F.when(good, F.col("node_key"))).alias("n_rewardable"))
     levels = nodes.groupBy("instance_id").agg(F.countDistinct(F.when((F.col("normalized_distance") > 0) & (F.col("normalized_distance") < 1), F.col("normalized_distance"))).cast("int").alias("levels"))
     dist = overlap.read_distances(reads, nodes).groupBy("record_index").agg(F.min("distance").alias("min_distance"), F.count("distance").alias("n_hit_reads"))
-    n_hit = overlap.hit_nodes(reads.withColumn("trace_idx", F.lit(0)), nodes).groupBy("record_index").agg(F.count("*").alias("n_hit_nodes"))
+    n_hit = overlap.hit_classes(reads.withColumn("trace_idx", F.lit(0)), nodes).groupBy("record_index").agg(F.sum("n").alias("n_hit_nodes"))
     first = overlap.read_distances(in_steps, nodes).groupBy("record_index").agg(F.min(F.when(F.col("distance").isNotNull(), F.col("trace_idx"))).alias("first_step_hit"), F.min(F.when(F.col("distance") == 0, F.col("trace_idx"))).alias("first_step_root"))
     order = _order(_first_hits(in_steps, nodes), levels, "")
 

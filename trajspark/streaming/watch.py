@@ -23,3 +23,32 @@ def distinct_events(events: DataFrame, key: str = "event_id", time: str = "ts",
 
 def windowed_counts(events: DataFrame, *, time: str = "ts", kind: str = "event_type", size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     return events.withWatermark(time, late).groupBy(F.window(time, size), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def poll(refresh, *, interval: float = 5.0, rounds: int | None = None, sleep=None) -> int:
+    """Call ``refresh()`` every ``interval`` seconds (one at least) until it returns True or ``rounds`` are over; returns the rounds."""
+    import time
+
+    wait, done = sleep or time.sleep, 0
+    while rounds is None or done < rounds:
+        done += 1
+        if refresh() is True:
+            break
+        if rounds is None or done < rounds:
+            wait(max(interval, 1.0))
+    return done
+
+
+def score_steps(batches: DataFrame, score, folder: str, *, step: str = "step", checkpoint: str, prefix: str = "val"):
+    """Start a stream that scores each micro-batch: ``score(rows)`` gives details, written as JSON lines under ``<folder>/step=<n>``.
+
+    A batch that fails leaves one row ``<prefix>/error`` = 1 under ``<folder>/errors`` instead, and the stream goes on.
+    """
+
+    def one(rows: DataFrame, number: int) -> None:
+        try:
+            score(rows).write.mode("append").partitionBy(step).json(f"{folder}/details")
+        except Exception as e:  # a batch's failure is its result
+            rows.sparkSession.createDataFrame([(number, f"{prefix}/error", 1.0, str(e)[:500])], "batch long, metric string, value double, message string").write.mode("append").json(f"{folder}/errors")
+
+    return batches.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
