@@ -32,7 +32,7 @@ def test_anchor_candidates(spark):
     # Closing brackets are stripped before a pair of them, so "func_b()" leaves an opening one; names of two letters don't count.
     assert got == {
         ("traceback_frame", "src/a/b.py", "going", "going"), ("backtick", "pkg/m.py", "K.func_b(", "func_b("), ("backtick", "a/b.py", None, None), ("file_path", "pkg/m.py", None, None), ("file_path", "a/b.py", None, None), ("file_path", "lib/x.py", None, None),
-        ("dotted_name", "b.py", None, None), ("dotted_name", "m.py", None, None), ("dotted_name", "x.py", None, None), ("dotted_name", None, "K.func_b", "func_b"), ("dotted_name", None, "os.path.join", "join"), ("call", None, None, "func_b"),
+        ("dotted_name", "b.py", None, None), ("dotted_name", "m.py", None, None), ("dotted_name", "x.py", None, None), ("dotted_name", None, "K.func_b", "func_b"), ("dotted_name", None, "os.path.join", "join"),
     }
 
 
@@ -189,3 +189,21 @@ def test_poll_and_stream(spark, tmp_path):
         q.stop()
     assert spark.read.json(str(tmp_path / "good/details")).count() == 2
     assert [(r.metric, r.value) for r in spark.read.json(str(tmp_path / "bad/errors")).collect()] == [("val/error", 1.0)]
+
+
+def test_large_graphs_go_by_rounds(spark):
+    """Both ways give the same nodes: in a group of its own, and by rounds over distributed tables."""
+    import random
+
+    from trajspark.operators import graphs
+
+    rng = random.Random(4)
+    rows = [(g, rng.randrange(12), rng.randrange(12)) for g in range(6) for _ in range(14)]
+    edges = spark.createDataFrame(rows, "instance_id int, caller long, callee long")
+    starts = spark.createDataFrame([(g, 3) for g in range(7)], "instance_id int, node_key long")
+    nodes = spark.createDataFrame([(g, k) for g in range(7) for k in range(12)], "instance_id int, node_key long")
+    for forward in (True, False):
+        small, large = ({tuple(r) for r in graphs.reachable(edges, starts, forward=forward, limit=n).collect()} for n in (1000, 12))
+        assert small == large and (6, 3) in small
+    small, large = ({tuple(r) for r in graphs.terminal_nodes(nodes, edges, limit=n).collect()} for n in (1000, 12))
+    assert small == large and {(6, k) for k in range(12)} <= small

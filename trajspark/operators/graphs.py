@@ -5,11 +5,18 @@ Graphs are many and small, one for each instance; all operators work on all of t
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .staging import shared_folder, stage
+
 KEY = "instance_id"
+#: An instance with more edges is not settled inside one task.
+GROUP_EDGES = 1_000_000
 
 
 def call_edges(frames: DataFrame) -> DataFrame:
@@ -35,14 +42,53 @@ def normalized_distances(hops: DataFrame) -> DataFrame:
     return df.withColumn("normalized_distance", F.when(F.col("rewardable"), F.least("hop", "hop_max") / F.col("hop_max")).otherwise(1.0))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, *, forward: bool = True, rounds: int = 200) -> DataFrame:
+def _large(edges: DataFrame, limit: int) -> DataFrame | None:
+    """Instances with more edges than one task should hold; None if there are none."""
+    big = edges.groupBy(KEY).count().where(f"count > {limit}").select(KEY)
+    return None if big.isEmpty() else stage(big, "large")
+
+
+def _split(edges: DataFrame, others: DataFrame, limit: int, small, large) -> DataFrame:
+    """``small`` of the instances that fit into a task each, and ``large`` of the others, by rounds over all of them."""
+    big = _large(edges, limit)
+    if big is None:
+        return small(edges, others)
+    part = lambda how: [df.join(big, KEY, how) for df in (edges, others)]
+    return small(*part("left_anti")).unionByName(large(*part("left_semi")))
+
+
+def reachable(edges: DataFrame, starts: DataFrame, *, forward: bool = True, rounds: int = 200, limit: int = GROUP_EDGES) -> DataFrame:
     """(instance_id, node_key) that can be reached from ``starts``, those included; backwards against the edges.
 
-    Only what the last round has added is followed. Each round cuts its lineage by a reliable checkpoint.
+    Each instance is settled inside its own group; one with more than ``limit`` edges by rounds over distributed tables.
     """
     src, dst = ("caller", "callee") if forward else ("callee", "caller")
-    e = edges.select(KEY, F.col(src).alias("node_key"), F.col(dst).alias("next")).distinct()
-    seen = new = _cut(starts.select(KEY, "node_key").distinct())
+    e = stage(edges.select(KEY, F.col(src).alias("node_key"), F.col(dst).alias("next")).distinct(), "edges")
+    s = starts.select(KEY, "node_key").distinct()
+    shape = f"{KEY} {s.schema[KEY].dataType.simpleString()}, node_key {s.schema['node_key'].dataType.simpleString()}"
+
+    def spread(key: tuple, ways: pd.DataFrame, begun: pd.DataFrame) -> pd.DataFrame:
+        out: dict = {}
+        for a, b in zip(ways["node_key"].tolist(), ways["next"].tolist(), strict=True):
+            out.setdefault(a, []).append(b)
+        seen = set(begun["node_key"].tolist())
+        todo = list(seen)
+        while todo:
+            for b in out.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return pd.DataFrame({KEY: [key[0]] * len(seen), "node_key": list(seen)})
+
+    def small(e: DataFrame, s: DataFrame) -> DataFrame:
+        return e.groupBy(KEY).cogroup(s.groupBy(KEY)).applyInPandas(spread, shape)
+
+    return _split(e, s, limit, small, lambda e, s: _by_rounds(e, s, rounds))
+
+
+def _by_rounds(e: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
+    """Only what the last round has added is followed. Each round cuts its lineage by a reliable checkpoint."""
+    seen = new = _cut(starts)
     for _ in range(rounds):
         new = _cut(new.join(e, [KEY, "node_key"]).select(KEY, F.col("next").alias("node_key")).distinct().join(seen, [KEY, "node_key"], "left_anti"))
         if new.isEmpty():
@@ -52,11 +98,9 @@ def reachable(edges: DataFrame, starts: DataFrame, *, forward: bool = True, roun
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="trajspark-"))
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -73,12 +117,68 @@ def closure(edges: DataFrame, *, rounds: int = 40) -> DataFrame:
     raise RuntimeError("closure has not settled")
 
 
-def terminal_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes of the components that lead to no other: all that a node reaches also reaches it."""
+def terminal_nodes(nodes: DataFrame, edges: DataFrame, *, limit: int = GROUP_EDGES) -> DataFrame:
+    """Nodes of the components that lead to no other: all that a node reaches also reaches it.
+
+    Each instance is settled inside its own group, in linear time; one with more than ``limit`` edges by the closure of its paths.
+    """
+    n = nodes.select(KEY, "node_key").distinct()
+    e = stage(edges.select(KEY, "caller", "callee").distinct(), "edges")
+    shape = f"{KEY} {n.schema[KEY].dataType.simpleString()}, node_key {n.schema['node_key'].dataType.simpleString()}"
+
+    def settle(key: tuple, ways: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        found = sinks(own["node_key"].tolist(), zip(ways["caller"].tolist(), ways["callee"].tolist(), strict=True))
+        return pd.DataFrame({KEY: [key[0]] * len(found), "node_key": found})
+
+    def small(e: DataFrame, n: DataFrame) -> DataFrame:
+        return e.groupBy(KEY).cogroup(n.groupBy(KEY)).applyInPandas(settle, shape)
+
+    return _split(e, n, limit, small, _by_closure)
+
+
+def sinks(nodes: list, edges: Iterable[tuple]) -> list:
+    """Those of ``nodes`` from which every way leads back: components that no edge leaves.
+
+    Components are taken along reversed edges, in the order in which a depth-first search finishes last.
+    """
+    out: dict = {n: [] for n in nodes}
+    back: dict = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+        back.setdefault(b, []).append(a)
+    finished, seen = [], set()
+    for start in out:
+        if start in seen:
+            continue
+        seen.add(start)
+        stack = [(start, iter(out[start]))]
+        while stack:
+            node, ways = stack[-1]
+            step = next((w for w in ways if w not in seen), None)
+            if step is None:
+                finished.append(node)
+                stack.pop()
+            else:
+                seen.add(step)
+                stack.append((step, iter(out[step])))
+    part: dict = {}
+    for start in reversed(finished):
+        todo = [] if start in part else [start]
+        while todo:
+            node = todo.pop()
+            if node not in part:
+                part[node] = start
+                todo += [b for b in back.get(node, ()) if b not in part]
+    left = {part[a] for a, ways in out.items() for b in ways if part[a] != part[b]}
+    return [n for n in nodes if part[n] not in left]
+
+
+def _by_closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     paths = closure(edges)
     back = paths.select(KEY, F.col("source").alias("t"), F.col("target").alias("s"))
     one_way = paths.join(back, (paths[KEY] == back[KEY]) & (paths.source == back.s) & (paths.target == back.t), "left_anti")
-    return nodes.select(KEY, "node_key").join(one_way.select(KEY, F.col("source").alias("node_key")).distinct(), [KEY, "node_key"], "left_anti")
+    return nodes.join(one_way.select(KEY, F.col("source").alias("node_key")).distinct(), [KEY, "node_key"], "left_anti")
 
 
 def edge_roles(edges: DataFrame, roles: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not root:
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="trajspark-"))
         root = context._jsc.sc().getCheckpointDir().get()
     return root

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import anchors
 from ..functions.testout import test_file_reason
+from ..operators.graphs import call_edges, terminal_nodes
+from ..operators.staging import stage
 
 KEY = "instance_id"
 #: The roles of nodes between which credit flows.
@@ -38,6 +39,11 @@ def node_key(path: str = "file_path", qualified: str = "qualified_name", func: s
     return F.concat_ws("::", path, F.coalesce(qualified, func))
 
 
+def prepared(frames: DataFrame) -> DataFrame:
+    """``frames`` with node_key, is_patched without nulls, and test_reason: why a frame's file is a test, null if it isn't."""
+    return frames.withColumn("node_key", node_key()).withColumn("is_patched", F.coalesce("is_patched", F.lit(False))).withColumn("test_reason", test_file_reason(F.coalesce("file_path", F.lit(""))))
+
+
 def patched_dependencies(frames: DataFrame) -> DataFrame:
     """(instance_id, caller, callee) of different patched nodes of which the second stands somewhere behind the first in a trace."""
     seen = frames.where("is_patched").groupBy(KEY, "trace_idx", "node_key").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"))
@@ -45,53 +51,9 @@ def patched_dependencies(frames: DataFrame) -> DataFrame:
     return a.join(b, [KEY, "trace_idx"]).where("first < last and caller <> callee").select(KEY, "caller", "callee").distinct()
 
 
-def _sinks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of one instance from which every way leads back: those of the components that no edge leaves.
-
-    Depth-first search in the order of Kosaraju: components are taken along reversed edges, by falling finishing time.
-    """
-    out: dict[str, list[str]] = {}
-    back: dict[str, list[str]] = {}
-    for a, b in zip(rows["caller"], rows["callee"], strict=True):
-        out.setdefault(a, [])
-        back.setdefault(a, [])
-        if b is not None:
-            out.setdefault(b, [])
-            out[a].append(b)
-            back.setdefault(b, []).append(a)
-    finished, seen = [], set()
-    for start in out:
-        if start in seen:
-            continue
-        seen.add(start)
-        stack = [(start, iter(out[start]))]
-        while stack:
-            node, ways = stack[-1]
-            step = next((w for w in ways if w not in seen), None)
-            if step is None:
-                finished.append(node)
-                stack.pop()
-            else:
-                seen.add(step)
-                stack.append((step, iter(out[step])))
-    part: dict[str, str] = {}
-    for start in reversed(finished):
-        todo = [start] if start not in part else []
-        while todo:
-            node = todo.pop()
-            if node not in part:
-                part[node] = start
-                todo += [b for b in back[node] if b not in part]
-    left = {part[a] for a, ways in out.items() for b in ways if part[a] != part[b]}
-    roots = [n for n in out if part[n] not in left]
-    return pd.DataFrame({KEY: [key[0]] * len(roots), "node_key": roots})
-
-
 def terminal_roots(frames: DataFrame) -> DataFrame:
-    """(instance_id, node_key) of the patched nodes in sink components of the dependencies; an instance's patched nodes are few."""
-    kind = frames.schema[KEY].dataType.simpleString()
-    nodes = frames.where("is_patched").select(KEY, F.col("node_key").alias("caller"), F.lit(None).cast("string").alias("callee")).distinct()
-    return nodes.unionByName(patched_dependencies(frames)).groupBy(KEY).applyInPandas(_sinks, f"{KEY} {kind}, node_key string")
+    """(instance_id, node_key) of the patched nodes in sink components of the dependencies."""
+    return terminal_nodes(frames.where("is_patched").select(KEY, "node_key"), patched_dependencies(frames))
 
 
 def reward_starts(frames: DataFrame, roots: DataFrame, issues: DataFrame | None) -> DataFrame:
@@ -99,7 +61,7 @@ def reward_starts(frames: DataFrame, roots: DataFrame, issues: DataFrame | None)
     first = frames.join(roots, [KEY, "node_key"], "left_semi").groupBy(KEY, "trace_idx", F.col("node_key").alias("root_key")).agg(F.min("frame_idx").alias("root_idx"))
     if issues is None:
         return first.withColumn("start_idx", F.lit(None).cast("int"))
-    own = frames.where(test_file_reason(F.coalesce("file_path", F.lit(""))).isNull()).withColumn("path", F.coalesce("file_path", F.lit(""))).withColumn("own", F.coalesce(F.nullif("qualified_name", F.lit("")), "func_name", F.lit("")))
+    own = frames.where(F.col("test_reason").isNull()).withColumn("path", F.coalesce("file_path", F.lit(""))).withColumn("own", F.coalesce(F.nullif("qualified_name", F.lit("")), "func_name", F.lit("")))
     scored = own.join(anchors.frame_scores(frames, anchors.candidates(issues)), [KEY, "path", "own"]).select(KEY, "trace_idx", "frame_idx", "score")
     best = first.join(scored, [KEY, "trace_idx"]).where("frame_idx <= root_idx").groupBy(KEY, "trace_idx", "root_key").agg(F.max_by("frame_idx", F.struct("score", "frame_idx")).alias("start_idx"))
     return first.join(best, [KEY, "trace_idx", "root_key"], "left")
@@ -112,8 +74,7 @@ def node_table(frames: DataFrame, starts: DataFrame, roots: DataFrame) -> DataFr
     A test frame is never rewarded; one in front of the anchor only if another walk rewards it. Distances are hops over the
     greatest rewarded hop, which is 1 at least; nodes without reward are at distance 1.
     """
-    test = test_file_reason(F.coalesce("file_path", F.lit("")))
-    visits = frames.withColumn("_test", test).join(starts, [KEY, "trace_idx"]).where("frame_idx <= root_idx")
+    visits = frames.withColumnRenamed("test_reason", "_test").join(starts, [KEY, "trace_idx"]).where("frame_idx <= root_idx")
     before = F.col("_test").isNull() & F.coalesce(F.col("frame_idx") < F.col("start_idx"), F.lit(False))
     visits = visits.withColumn("hop", (F.col("root_idx") - F.col("frame_idx")).cast("int")).withColumn("_before", before)
     reason = F.when(F.col("_test").isNotNull(), F.concat(F.lit(HARNESS), "_test")).when(F.col("_before"), "pre_symptom")
@@ -161,12 +122,11 @@ def edge_metadata(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def build(frames: DataFrame, modified: DataFrame, issues: DataFrame | None = None, callables: DataFrame | None = None) -> CallGraph:
     """The call graph of every instance. An instance without patched frames has a row in ``summary`` alone, and is not traceable."""
-    from ..operators.graphs import call_edges
-
-    f = frames.withColumn("node_key", node_key()).withColumn("is_patched", F.coalesce("is_patched", F.lit(False)))
-    roots = terminal_roots(f)
-    starts = reward_starts(f, roots, issues)
-    nodes = node_table(f, starts, roots)
+    # Frames are read by every step below; they are made once, and so are the tables that several steps read.
+    f = stage(prepared(frames), "frames")
+    roots = stage(terminal_roots(f), "roots")
+    starts = stage(reward_starts(f, roots, issues), "starts")
+    nodes = stage(node_table(f, starts, roots), "nodes")
     edges = edge_metadata(call_edges(f), nodes)
     observed = f.where("is_patched").select(KEY, "node_key").distinct()
     unobserved = modified.withColumn("node_key", F.concat_ws("::", "file_path", "qualified_name")).join(observed, [KEY, "node_key"], "left_anti")
