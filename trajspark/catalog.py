@@ -170,16 +170,8 @@ def difficulty_left_join(t):
     return t.documents.select("doc_id").join(t.labels, "doc_id", "left").select("doc_id", "quality", "toxic")
 
 
-@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem JOIN part p ON l_partkey = p_partkey WHERE EXISTS (SELECT 1 FROM part r WHERE r.p_brand = p.p_brand AND r.p_size % 7 = 0 AND trunc(l_quantity)::INT BETWEEN r.p_size AND r.p_size + 1) GROUP BY ALL")
-def point_in_range(t):
-    points = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.col("p_brand").alias("file_path"), F.col("l_quantity").cast("int").alias("line_no"))
-    ranges = t.part.where("p_size % 7 = 0").select(F.col("p_brand").alias("file_path"), F.col("p_size").alias("start_line"), (F.col("p_size") + 1).alias("end_line"))
-    return overlap.in_some_range(points, ranges).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
-
-
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem JOIN part p ON l_partkey = p_partkey WHERE EXISTS (SELECT 1 FROM part r WHERE r.p_brand = p.p_brand AND trunc(l_quantity)::INT BETWEEN r.p_size AND r.p_size + 1) GROUP BY ALL")
 def point_in_range_whole(t):
-    """With the ranges of all parts."""
     points = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.col("p_brand").alias("file_path"), F.col("l_quantity").cast("int").alias("line_no"))
     ranges = t.part.select(F.col("p_brand").alias("file_path"), F.col("p_size").alias("start_line"), (F.col("p_size") + 1).alias("end_line"))
     return overlap.in_some_range(points, ranges).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
@@ -222,7 +214,7 @@ def maximal_traces(t):
     return m.select("instance_id", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"))
 
 
-@query(sql("steps", "frames", "edges", body="SELECT DISTINCT node_key AS caller, callee FROM lead_frames WHERE frame_idx < last AND callee <> node_key"))
+@query(sql("steps", "frames", "lead_frames", body="SELECT DISTINCT node_key AS caller, callee FROM lead_frames WHERE frame_idx < last AND callee <> node_key"))
 def call_edges(t):
     return graphs.call_edges(t.frames()).select("caller", "callee")
 
@@ -233,46 +225,6 @@ def hop_distance(t):
     return graphs.hop_distances(f, f.where("is_patched").select("instance_id", "node_key").distinct()).select("node_key", "hop")
 
 
-REACH = ", reach(node_key) AS (SELECT s FROM (VALUES (3::BIGINT), (7::BIGINT)) v(s) UNION SELECT {dst} FROM small_edges JOIN reach ON {src} = node_key) SELECT node_key FROM reach"
-
-
-def _starts(t):
-    return t.spark.createDataFrame([("g", 3), ("g", 7)], "instance_id string, node_key long")
-
-
-@query(sql("steps", "frames", "edges", body=REACH.format(src="caller", dst="callee"), recursive=True))
-def forward_reach(t):
-    return graphs.reachable(t.small_edges(), _starts(t)).select("node_key")
-
-
-@query(sql("steps", "frames", "edges", body=REACH.format(src="callee", dst="caller"), recursive=True))
-def backward_reach(t):
-    return graphs.reachable(t.small_edges(), _starts(t), forward=False).select("node_key")
-
-
-PATHS = ", paths(source, target) AS (SELECT caller, callee FROM small_edges UNION SELECT source, callee FROM paths JOIN small_edges ON target = caller)"
-
-
-@query(sql("steps", "frames", "edges", body=PATHS + ", n AS (SELECT caller AS node_key FROM small_edges UNION SELECT callee FROM small_edges) SELECT node_key FROM n WHERE NOT EXISTS (SELECT 1 FROM paths p WHERE p.source = node_key AND NOT EXISTS (SELECT 1 FROM paths q WHERE q.source = p.target AND q.target = p.source))", recursive=True))
-def terminal_components(t):
-    e = t.small_edges()
-    nodes = e.select("instance_id", F.col("caller").alias("node_key")).unionByName(e.select("instance_id", F.col("callee").alias("node_key"))).distinct()
-    return graphs.terminal_nodes(nodes, e).select("node_key")
-
-
-@query(sql("steps", "frames", "edges", body=PATHS + ", f AS (SELECT 3 AS k UNION SELECT target FROM paths WHERE source = 3), b AS (SELECT 20 AS k UNION SELECT source FROM paths WHERE target = 20), i AS (SELECT k FROM f INTERSECT SELECT k FROM b) SELECT caller, callee FROM small_edges WHERE caller IN (SELECT k FROM i) AND callee IN (SELECT k FROM i)", recursive=True))
-def chain_projection(t):
-    one = lambda k: t.spark.createDataFrame([("g", k)], "instance_id string, node_key long")
-    return graphs.chain(t.small_edges(), one(3), one(20)).select("caller", "callee")
-
-
-@query(sql("steps", "frames", "edges", body=", r AS (SELECT DISTINCT s_suppkey % 40 AS k, CASE s_suppkey % 40 % 4 WHEN 0 THEN 'root_cause' WHEN 1 THEN 'symptom' WHEN 2 THEN 'test_harness' ELSE 'intermediate' END AS role FROM supplier) SELECT a.role || '->' || b.role AS role_transition, a.role <> 'test_harness' AS reward_path_edge, count(*) AS n FROM small_edges JOIN r a ON caller = a.k JOIN r b ON callee = b.k GROUP BY ALL"))
-def node_roles(t):
-    role = F.when(F.col("s_suppkey") % 4 == 0, "root_cause").when(F.col("s_suppkey") % 4 == 1, "symptom").when(F.col("s_suppkey") % 4 == 2, "test_harness").otherwise("intermediate")
-    roles = t.supplier.select((F.col("s_suppkey") % 40).alias("s_suppkey")).distinct().select(F.lit("g").alias("instance_id"), F.col("s_suppkey").alias("node_key"), role.alias("node_role"))
-    return graphs.edge_roles(t.small_edges(), roles).groupBy("role_transition", "reward_path_edge").agg(F.count("*").alias("n"))
-
-
 WHOLE = ("steps", "frames", "all_edges")
 REACH_BY_INSTANCE = "{name}(instance_id, node_key) AS (SELECT DISTINCT instance_id, node_key FROM owned WHERE {start} UNION SELECT e.instance_id, {dst} FROM all_edges e JOIN {name} r ON e.instance_id = r.instance_id AND {src} = r.node_key)"
 

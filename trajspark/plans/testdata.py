@@ -36,11 +36,6 @@ class Tables:
     def frames(self) -> DataFrame:
         return self.steps().select(F.lit("g").alias("instance_id"), F.col("record_index").alias("trace_idx"), F.col("trace_idx").alias("frame_idx"), F.col("l_suppkey").alias("node_key"), (F.col("l_suppkey") % 10 == 0).alias("is_patched"))
 
-    def small_edges(self) -> DataFrame:
-        """Edges among 40 groups of suppliers, so that closures stay small: neighbouring steps of every order, upwards, but from every fifth group also three down."""
-        e = self.frames().withColumn("callee", F.lead("node_key").over(W.partitionBy("trace_idx").orderBy("frame_idx")) % 40).withColumn("caller", F.col("node_key") % 40)
-        return e.where("callee between caller + 1 and caller + 4 or (caller % 5 = 0 and callee between caller - 3 and caller - 1)").select("instance_id", "caller", "callee").distinct()
-
     def owned_frames(self) -> DataFrame:
         """All frames with their real node keys; an instance is the customer of the order."""
         owner = self.orders.select(F.col("o_orderkey").alias("trace_idx"), F.col("o_custkey").alias("instance_id"))
@@ -61,7 +56,7 @@ SQL = {
     "details": "details AS (SELECT r.record_index, r.data_source, r.model_label, r.run_step, coalesce(min(d), -1.0) AS min_distance, count(DISTINCT q.trace_idx) AS n_reads FROM records r LEFT JOIN reads q USING (record_index) LEFT JOIN nodes n ON n.file_path = q.file_path AND rewardable AND start_line <= node_end AND end_line >= node_start GROUP BY ALL)",
     "hits": "hits AS (SELECT record_index, node_key, min(d) AS d, min(trace_idx) AS trace_idx FROM reads q JOIN nodes n ON n.file_path = q.file_path AND rewardable AND start_line <= node_end AND end_line >= node_start GROUP BY ALL)",
     "blocks": "flagged AS (SELECT *, CASE WHEN family IS NOT DISTINCT FROM lag(family) OVER w AND target IS NOT DISTINCT FROM lag(target) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM steps WINDOW w AS (PARTITION BY record_index ORDER BY trace_idx)), numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY record_index ORDER BY trace_idx) - 1 AS block_index FROM flagged), blocks AS (SELECT record_index, block_index::BIGINT AS block_index, family, target, count(*) AS n_steps, min(trace_idx)::INT AS first_step, max(trace_idx)::INT AS last_step, count(*) >= 3 AND count(DISTINCT signature) = 1 AS is_loop FROM numbered GROUP BY ALL)",
-    "edges": "lead_frames AS (SELECT *, lead(node_key) OVER (PARTITION BY trace_idx ORDER BY frame_idx) AS callee, max(CASE WHEN is_patched THEN frame_idx END) OVER (PARTITION BY trace_idx) AS last FROM frames), small_edges AS (SELECT DISTINCT caller, callee FROM (SELECT node_key % 40 AS caller, callee % 40 AS callee FROM lead_frames WHERE callee IS NOT NULL) WHERE callee BETWEEN caller + 1 AND caller + 4 OR (caller % 5 = 0 AND callee BETWEEN caller - 3 AND caller - 1))",
+    "lead_frames": "lead_frames AS (SELECT *, lead(node_key) OVER (PARTITION BY trace_idx ORDER BY frame_idx) AS callee, max(CASE WHEN is_patched THEN frame_idx END) OVER (PARTITION BY trace_idx) AS last FROM frames)",
     "all_edges": "owned AS (SELECT o_custkey AS instance_id, f.*, lead(node_key) OVER (PARTITION BY trace_idx ORDER BY frame_idx) AS callee FROM frames f JOIN orders ON trace_idx = o_orderkey), all_edges AS (SELECT DISTINCT instance_id, node_key AS caller, callee FROM owned WHERE callee IS NOT NULL)",
 }
 
