@@ -68,6 +68,24 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Keys with more rows than this are joined on the map side, where they are few enough.
+CROWD = 10_000
+
+
+def join_keyed(rows: DataFrame, table: DataFrame, keys: str | list[str], size: str) -> DataFrame:
+    """Inner join of rows with a table of one row for each key, where ``size`` says how many rows a key has.
+
+    Crowded keys travel to the rows; only the rows of the others are shuffled, so no task has more than some crowds' worth.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    few = table.where(F.col(size) <= CROWD)
+    crowds = table.where(F.col(size) > CROWD)
+    if crowds.isEmpty():
+        return rows.join(few, keys)
+    crowds = broadcast_if_small(crowds)
+    return rows.join(crowds, keys).unionByName(rows.join(crowds.select(*keys), keys, "left_anti").join(few, keys))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch can hold; a smaller setting of the session is kept."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and their SQL where SQL can express them."""
+"""The thirteen operators as queries over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_extract, quality_model, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_store, url_rules
+from . import bpe, decontamination, html_extract, minhash_dedup, quality_model, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_store, url_rules
 from .common import scratch_path
 
 #: (host, path, verdict)
@@ -69,6 +69,10 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path, digest=True)
 
 
+def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": leaks,
     "op2_quality_classifier": quality,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": rules,
     "op9_url_filters": urls,
     "op10_token_store": tokens,
+    "op13_minhash_dedup": minhash,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -136,5 +141,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT (n_words >= {quality_rules.LEAST_WORDS} AND (coalesce(c.d > {quality_rules.CHAR_LIMIT[0]} + {quality_rules.CHAR_LIMIT[1]} / sqrt(length(text)), false) OR coalesce(v.d > {quality_rules.WORD_LIMIT[0]} + {quality_rules.WORD_LIMIT[1]} / sqrt(n_words), false))) AS kept,
        round(c.d, 6) AS char_distance, round(v.d, 6) AS word_distance
 FROM base LEFT JOIN char_d c USING (n) LEFT JOIN word_d v USING (n)
+""",
+    "op13_minhash_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM met JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least AS (SELECT x AS doc_id, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id, doc_id <= coalesce(y, doc_id) AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """,
 }
