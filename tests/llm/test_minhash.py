@@ -56,7 +56,8 @@ def family(seed, n, words=60, edits=3):
 
 @pytest.mark.parametrize("pivots", [0, 1, 3])
 def test_families(spark, monkeypatch, pivots):
-    """The same components whichever step compares a bucket: its least members, or blocks."""
+    """The same components whichever step compares a bucket: its first members, or blocks."""
+    monkeypatch.setattr(minhash_dedup, "WORTH", 0)
     texts = [t for seed in range(6) for t in family(seed, 25)]
     random.Random(1).shuffle(texts)
     check(spark, list(enumerate(texts)), pivots=pivots)
@@ -67,6 +68,7 @@ def test_crowds(spark, monkeypatch):
     monkeypatch.setattr("trajspark.llm.common.CROWD", 3)
     monkeypatch.setattr(minhash_dedup, "PARTNERS", 4)
     monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    monkeypatch.setattr(minhash_dedup, "WORTH", 2)
     texts = family(3, 60) + ["same text of five words"] * 40
     check(spark, list(enumerate(texts)), pivots=1)
 

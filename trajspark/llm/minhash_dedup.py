@@ -6,10 +6,10 @@ coordinates, round 128 + i throws all shingles into coordinate i, so that every
 shingle that is as good as drawn from the set; two sets agree in a coordinate with a probability equal to their similarity,
 and the number of agreements is concentrated about it. Large sets are done after a round or two.
 
-Sets that share a band of four coordinates meet. In a bucket, all are compared with the least of them, on their full sets of
-shingles; what that has not tied together meets again, without the one that everyone has been compared with. After three such
-rounds, pairs that are still apart are taken in blocks, and those whose sketches agree in 80 coordinates are compared. Equal sets
-are one node from the start, so copies cost nothing.
+Sets that share a band of four coordinates meet. In a bucket, all are compared with the one that meets most others, on their
+full sets of shingles; what that has not tied together meets again, without the one that everyone has been compared with. When
+such a round ties little, those that are still apart are taken in blocks, and pairs whose sketches agree in 80 coordinates are
+compared, but for those that the task has tied by then. Equal sets are one node from the start, so copies cost nothing.
 
 32 bands leave out a pair at a similarity of 0.8 with a probability of 5e-8 (at 0.85: 6e-11); 80 agreements, five deviations
 below the mean, another 1e-6 of the pairs that only the last step sees. No pair is linked that does not reach the threshold.
@@ -34,10 +34,10 @@ COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 #: Agreeing coordinates that a pair has to have in the last step.
 AGREE = 80
-#: Rounds in which a bucket is compared with its least member, before blocks are.
-PIVOTS = 3
-#: Sets of one block in the last step; two blocks with their sketches are half a megabyte.
-BLOCK = 1024
+#: Rounds in which a bucket is compared with its first member, before blocks are; and the share of links that is worth one more.
+PIVOTS, WORTH = 8, 0.02
+#: Sets of one block in the last step, and their shingles: two blocks are some tens of megabytes.
+BLOCK, SHINGLES = 1024, 1_000_000
 #: Pairs that one copy of a frequent member's text is joined with.
 PARTNERS = 2_000
 _EMPTY = np.uint64(2**64 - 1)
@@ -148,27 +148,41 @@ def verified_links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: in
     return materialise(found, "links")
 
 
-def _agreeing(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each pair of blocks; rows come sorted by it. Only members of unlike roots, and of two blocks if there are two."""
+def _tied(shingle: int, percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that tie what isn't tied yet, of each pair of blocks; rows come sorted by it. Only members of two blocks, if there are two.
+
+    Pairs whose sketches agree often enough are compared by the names of all their shingles.
+    """
 
     def compared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, rep, root, n, own, sketch = rows
-        two, out = own[0] != own[-1] or len(np.unique(own)) > 1, []
+        _, rep, root, own, sketch, texts = rows
+        two, out = (own != own[0]).any(), []
+        names, _, edges = shingle_names(texts.tolist(), shingle)
+        n, (_, group) = np.diff(edges), np.unique(root, return_inverse=True)
         for i in range(len(rep) - 1):
-            ok = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
+            ok = (group[i + 1 :] != group[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
             at = np.flatnonzero(ok & (own[i + 1 :] != own[i]) if two else ok) + i + 1
             at = at[np.count_nonzero(sketch[at] == sketch[i], axis=1) >= AGREE]
-            out.append(np.stack([np.minimum(rep[i], rep[at]), np.maximum(rep[i], rep[at])]))
+            if not len(at):
+                continue
+            mine = names[edges[i] : edges[i + 1]]
+            others = names[np.repeat(edges[at] - np.concatenate([[0], np.cumsum(n[at])[:-1]]), n[at]) + np.arange(n[at].sum())]
+            hit = mine[np.minimum(np.searchsorted(mine, others), len(mine) - 1)] == others
+            both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(n[at])[:-1]]))
+            for j in at[100 * both >= percent * (n[i] + n[at] - both)].tolist():
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
         if out:
-            a, b = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     kept: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
-        rows.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u2").reshape(-1, COORDINATES))
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        rows += [np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u2").reshape(-1, COORDINATES), np.array(batch.column(5).to_pylist(), object)]
         rows = rows if kept is None else [np.concatenate(x) for x in zip(kept, rows, strict=True)]
         starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]]).tolist()
         for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -178,34 +192,44 @@ def _agreeing(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Re
         yield from compared(kept)
 
 
-def block_pairs(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of unlike roots among the members (key, rep, root) of each bucket, all against all in blocks."""
-    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("size"))
+def block_links(met: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) that tie members (key, rep, root) of a bucket with unlike roots, found all against all in blocks.
+
+    A block has ``BLOCK`` members at most or so, and ``SHINGLES`` shingles unless one text has more.
+    """
+    met = met.join(nodes.select("rep", "n", "sketch"), "rep")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("int")
+    sizes = met.groupBy("key").agg(blocks.alias("blocks"), F.count("*").alias("size"))
     dealt = join_keyed(met, sizes, "key", "size").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "rep", "root", "own")
-    rows = cells.join(nodes.select("rep", "n", "sketch"), "rep").select("cell", "rep", "root", "n", "own", "sketch")
-    return rows.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(lambda t: _agreeing(percent, t), "a long, b long")
+    cells = pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "rep", "root", "own", "sketch")
+    held = materialise(texts.join(broadcast_if_small(met.select("rep").distinct()), "rep", "left_semi"), "texts")
+    rows = cells.join(held, "rep").select("cell", "rep", "root", "own", "sketch", "text").repartition("cell").sortWithinPartitions("cell", "rep")
+    return materialise(rows.mapInArrow(lambda t: _tied(shingle, percent, t), "a long, b long"), "links")
 
 
 def links(nodes: DataFrame, texts: DataFrame, *, shingle: int = 4, percent: int = 80, pivots: int = PIVOTS) -> DataFrame:
     """Links (a, b) between distinct sets whose graph has the components of all links. ``nodes``: rep, n, sketch; ``texts``: rep, text."""
     bands = nodes.select("rep", "sketch").mapInArrow(_bands, "key long, rep long")
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = materialise(join_keyed(bands, sizes, "key", "size").select("key", "rep", F.col("rep").alias("root")), "buckets")
+    met = materialise(join_keyed(bands, sizes, "key", "size"), "buckets")
+    # A text that others were made from is in the fullest bucket of every band: its rank is the sum of its buckets' sizes.
+    ranks = met.groupBy("rep").agg(F.sum("size").alias("rank"))
+    met = materialise(met.join(ranks, "rep").select("key", "rep", F.col("rep").alias("root"), "rank"), "buckets")
     found: list[DataFrame] = []
     for _ in range(pivots):
-        least = met.groupBy("key").agg(F.min(F.struct("rep", "root")).alias("least"), F.count("*").alias("size"))
-        beside = join_keyed(met, least, "key", "size").where("rep <> least.rep").select("key", "rep", "root", F.col("least.rep").alias("a"), F.col("least.root").alias("other"))
+        pivot = met.groupBy("key").agg(F.max(F.struct("rank", "rep", "root")).alias("first"), F.count("*").alias("size"))
+        beside = join_keyed(met, pivot, "key", "size").where("rep <> first.rep").select("key", "rep", "root", "rank", F.col("first.rep").alias("a"), F.col("first.root").alias("other"))
         found.append(verified_links(beside.where("root <> other").select("a", F.col("rep").alias("b")), texts, shingle, percent))
         roots = components(reduce(DataFrame.unionAll, found))
-        rest = materialise(beside.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "rest")
+        rest = materialise(beside.select("key", "rep", "rank").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"), "rank"), "rest")
         apart = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
-        met = materialise(join_keyed(rest, apart, "key", "size").select("key", "rep", "root"), "buckets")
+        met = materialise(join_keyed(rest, apart, "key", "size").select("key", "rep", "root", "rank"), "buckets")
         if met.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        if found[-1].count() < WORTH * met.select("rep").distinct().count():
             break
-    else:
-        found.append(verified_links(block_pairs(met, nodes, percent), texts, shingle, percent))
+    found.append(block_links(met.select("key", "rep", "root"), nodes, texts, shingle, percent))
     return reduce(DataFrame.unionAll, found)
 
 
