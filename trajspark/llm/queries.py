@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_extract, minhash_dedup, quality_model, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_store, url_rules
+from . import bpe, decontamination, html_extract, lexical_search, minhash_dedup, quality_model, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_alignment, token_store, url_rules
 from .common import scratch_path
 
 #: (host, path, verdict)
@@ -69,6 +69,14 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path, digest=True)
 
 
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"), digest=True)
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -84,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": rules,
     "op9_url_filters": urls,
     "op10_token_store": tokens,
+    "op11_token_alignment": alignment,
+    "op12_lexical_search": ranked,
     "op13_minhash_dedup": minhash,
 }
 
@@ -141,6 +151,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT (n_words >= {quality_rules.LEAST_WORDS} AND (coalesce(c.d > {quality_rules.CHAR_LIMIT[0]} + {quality_rules.CHAR_LIMIT[1]} / sqrt(length(text)), false) OR coalesce(v.d > {quality_rules.WORD_LIMIT[0]} + {quality_rules.WORD_LIMIT[1]} / sqrt(n_words), false))) AS kept,
        round(c.d, 6) AS char_distance, round(v.d, 6) AS word_distance
 FROM base LEFT JOIN char_d c USING (n) LEFT JOIN word_d v USING (n)
+""",
+    "op12_lexical_search": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical_search.TERM}') AS t FROM documents),
+totals AS (SELECT count(*) AS c, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+lengths AS (SELECT doc_id, len(t) AS n, 100 - 90 + (90 * len(t) * c) // l AS m FROM d, totals WHERE len(t) > 0),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * c + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY term, c),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical_search.TERM}')) AS term FROM benchmark),
+scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM scores WHERE score > 0) WHERE rank <= 10
 """,
     "op13_minhash_dedup": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
