@@ -67,9 +67,12 @@ def _byte_of() -> dict[str, int]:
 
 
 class Codec:
-    """A tokenizer file with exact memos. Byte-level BPE without normalizer or post-processor only."""
+    """A tokenizer file with exact memos. Byte-level BPE without normalizer or post-processor only.
 
-    def __init__(self, path: str, *, memo: int = 1_200_000, chunk: int = 2048, chunks: int = 6_000):
+    Without ``specials``, strings of special tokens in a text are plain text.
+    """
+
+    def __init__(self, path: str, *, memo: int = 1_200_000, chunk: int = 2048, chunks: int = 6_000, specials: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,7 +88,8 @@ class Codec:
         self.chunk, self.chunks = chunk, chunks
         byte_of = _byte_of()
         added = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.special = [t["content"].encode() for t in spec["added_tokens"]] if specials else []
+        self.lib.encode_special_tokens = not specials
         n = 1 + max([*spec["model"]["vocab"].values(), *added])
         self.piece = [b""] * n
         for s, i in spec["model"]["vocab"].items():

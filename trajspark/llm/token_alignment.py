@@ -8,17 +8,16 @@ of a stripe meet in one task that adds them into a dense block of the matrix, id
 and gives its entries. Links of a stripe meet that block again and are scored by it and by its row maxima; a stripe with many links
 is dealt out over several tasks, each with the block. Last, the scores of a batch's texts meet their rows.
 
-Between two words with one space, a token of either tokenizer ends (no piece of the second has a space behind another sign, and
-the first never joins a space to what is before it), so what lies between two such places is aligned once in a process and then
-looked up. A text whose tokens do not give back its own bytes is aligned, and found wanting, as a whole.
+Over the bytes of a batch of texts, the ends of either side's tokens are marked in two arrays. Between two marks next to each
+other lies a piece of one token of either side, and no two pieces of the same two: pieces are links, and marks on both sides
+end groups. Running counts of the marks give everything else without a loop over tokens.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bpe import _byte_of
+from .bpe import Codec
 from .common import materialise, small_batches
 from .shared_places import by_size
 
@@ -39,131 +38,83 @@ CHARS = 2_000_000
 PAIRS, ENTRIES = 2_000_000, 500_000
 #: Links that one task scores with a block: between these bounds, a 256th of all.
 LEAST, MOST = 100_000, 4_000_000
-#: Pieces of texts that a process remembers, the longest of them, and the ids and links that they hold at most.
-PIECES, PIECE, HELD = 400_000, 64, 8_000_000
-#: One space between two signs that are no white space (ranges without any of it).
-_SIGN = r"!-~¡-ᙿᚁ-῿⺀-⿿、-퟿\U00010000-\U0010ffff"
-_CUT = re.compile(f"(?<=[{_SIGN}]) (?=[{_SIGN}])")
 _BITS = np.uint64(20)
 _MASK = np.uint64((1 << 20) - 1)
 TEXT, LINKS, COUNTS = 0, 1, 2
 SCHEMA = "kind int, batch long, stripe int, at array<int>, a array<int>, b array<int>, n array<long>, doc {id}, place int, n_a long, n_b long, n_groups long, n_links long, groups string"
 
 
-def align(a_sizes: list[int], b_sizes: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Groups (first and last token of each side, half open) and links of two rows of tokens over the same bytes."""
-    groups, links = [], []
-    i = j = left = right = 0
-    low = (0, 0)
-    while i < len(a_sizes) and j < len(b_sizes):
-        links.append((i, j))
-        a_end, b_end = left + a_sizes[i], right + b_sizes[j]
-        if a_end <= b_end:
-            i, left = i + 1, a_end
-        if b_end <= a_end:
-            j, right = j + 1, b_end
-        if a_end == b_end:
-            groups.append((low[0], i, low[1], j))
-            low = i, j
-    return groups, links
-
-
-class _Rows:
-    """Rows of unlike lengths of one growing array."""
-
-    def __init__(self, kind: type):
-        self.data, self.ends, self.used, self.count = np.zeros(1 << 12, kind), np.zeros(1 << 10, np.int64), 0, 0
-
-    def extend(self, rows: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((x for r in rows for x in r), self.data.dtype, int(sizes.sum()))
-        while self.used + len(flat) > len(self.data):
-            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
-        while self.count + len(rows) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.data[self.used : self.used + len(flat)] = flat
-        self.ends[self.count + 1 : self.count + 1 + len(rows)] = self.used + np.cumsum(sizes)
-        self.used, self.count = self.used + len(flat), self.count + len(rows)
-
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows one after the other, and each one's length."""
-        n = self.ends[rows + 1] - self.ends[rows]
-        where = np.repeat(self.ends[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return self.data[where], n
-
-
 @lru_cache(maxsize=1)
 def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
+@dataclass
+class Aligned:
+    """A batch of texts: bounds of each one's links, groups and tokens (both sides' in one row), links' ids, and a code for each token.
+
+    Codes are numbers of ``Aligner.words``: in the order of groups, each one's tokens of the first side and then of the second.
+    """
+
+    links: np.ndarray
+    groups: np.ndarray
+    tokens: tuple[np.ndarray, np.ndarray]
+    a: np.ndarray
+    b: np.ndarray
+    codes: np.ndarray
+
+
 class Aligner:
     """Two tokenizer files: byte-level BPE, and pieces with a dummy prefix and byte fallback."""
 
     def __init__(self, a_path: str, b_path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(a_path)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
-        spec = json.loads(self.a.to_str())
-        byte_of = _byte_of()
-        vocabulary = spec["model"]["vocab"]
-        self.a_bytes = [b""] * (1 + max([*vocabulary.values(), *[t["id"] for t in spec["added_tokens"]]]))
-        for s, i in vocabulary.items():
-            self.a_bytes[i] = b"".join(bytes([byte_of[c]]) if c in byte_of else c.encode() for c in s)
+
+        self.a = Codec(a_path, specials=False)
         self.b = SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        # Words may be cut apart only if no piece runs on over a space and the text reaches the model as it is.
-        pre = spec["pre_tokenizer"]
-        plain = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not spec["normalizer"] and not spec["post_processor"]
-        kept = self.b.encode("  ﬁ  é ", out_type=str)
-        self.cuts = plain and "".join(kept) == "▁▁ ﬁ▁▁é▁" and not any("▁" in p.lstrip("▁") for p in pieces)
-        if max(len(self.a_bytes), len(pieces)) > 1 << 20:
+        self.b_piece = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_size = np.array([len(p) for p in self.b_piece], np.int64)
+        self.widths = len(self.a.piece), len(pieces)
+        if max(self.widths) > 1 << 20:
             raise ValueError("ids of more than 20 bits")
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.linked, self.sizes, self.groups = _Rows(np.uint64), _Rows(np.int64), []
-
-    def _learn(self, pieces: list[str]) -> list[int]:
-        """Align pieces, each with a space before it; the number of each, or -1 where the tokens don't give its bytes."""
-        spaced = [" " + p for p in pieces]
-        rows, numbers = [], []
-        for text, a, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(pieces, num_threads=1), strict=True):
-            ids, data = a.ids, text.encode("utf-8", "surrogatepass")
-            x, y = [self.a_bytes[i] for i in ids], [self.b_bytes[i] for i in b]
-            if b"".join(x) != data or b"".join(y) != data:
-                numbers.append(-1)
-                continue
-            groups, links = align([len(t) for t in x], [len(t) for t in y])
-            numbers.append(len(self.groups) + len(rows))
-            rows.append(([(ids[i] << 20) | b[j] for i, j in links], [len(ids), len(b), len(groups)], ";".join(f"{','.join(map(str, ids[i:j]))}|{','.join(map(str, b[k:m]))}" for i, j, k, m in groups)))
-        self.linked.extend([r[0] for r in rows])
-        self.sizes.extend([r[1] for r in rows])
-        self.groups += [r[2] for r in rows]
-        return numbers
-
-    def texts(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Numbers of the aligned pieces of each text, and whether its tokens give back its bytes."""
-        if len(self.groups) > PIECES or self.linked.used > HELD:
-            self.clear()
-        parts = [_CUT.split(t) if self.cuts and "▁" not in t else [t] for t in texts]
-        new = list({p for t, ps in zip(texts, parts, strict=True) if t for p in ps}.difference(self.known))
-        self.known.update(zip(new, self._learn(new), strict=True))
-        found = [[self.known[p] for p in ps] if t else [] for t, ps in zip(texts, parts, strict=True)]
-        for p in [p for p in new if len(p) > PIECE]:
-            del self.known[p]
-        for i in [i for i, ns in enumerate(found) if -1 in ns]:
-            found[i] = self._learn([texts[i]]) if len(parts[i]) > 1 else [-1]
-        return [ns if -1 not in ns else [] for ns in found], [bool(ns) and -1 not in ns for ns in found]
+        # Each id with the sign behind it: inside a group, and at the end of its group's side.
+        self.words = [b"%d%s" % (i, sign) for n, signs in zip(self.widths, ((b",", b"|"), (b",", b";")), strict=True) for sign in signs for i in range(n)]
+
+    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both sides for each text; none where they don't give back a space and the text."""
+        a, b, none = [], [], np.empty(0, np.int64)
+        for text, x, y in zip(texts, self.a.encode([" " + t for t in texts]), self.b.encode(texts, num_threads=1), strict=True):
+            data = (" " + text).encode("utf-8", "surrogatepass")
+            same = text and b"".join(map(self.b_piece.__getitem__, y)) == data and b"".join(map(self.a.piece.__getitem__, x.tolist())) == data
+            a.append(x.astype(np.int64) if same else none)
+            b.append(np.array(y, np.int64) if same else none)
+        return a, b
+
+    def align(self, texts: list[str]) -> Aligned:
+        of_a, of_b = self.tokens(texts)
+        sizes = [np.array([len(x) for x in side], np.int64) for side in (of_a, of_b)]
+        bounds = [np.concatenate([[0], np.cumsum(n)]) for n in sizes]
+        a, b = (np.concatenate([*side, np.empty(0, np.int64)]) for side in (of_a, of_b))
+        a_end, b_end = np.cumsum(self.a.size[a]), np.cumsum(self.b_size[b])
+        total = int(a_end[-1]) if len(a) else 0
+        is_a, is_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
+        is_a[a_end], is_b[b_end] = True, True
+        upto_a, upto_b, upto_both, upto_any = (np.cumsum(x) for x in (is_a, is_b, is_a & is_b, is_a | is_b))
+        ends, common = np.flatnonzero(is_a | is_b), np.flatnonzero(is_a & is_b)
+        text_end = np.concatenate([[0], a_end])[bounds[0]]
+        group_a, group_b = upto_both[a_end - 1], upto_both[b_end - 1]
+        before = np.concatenate([[0], upto_b[common]])
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + before[group_a]] = a + self.widths[0] * is_b[a_end]
+        codes[np.arange(len(b)) + upto_a[common[group_b]] if len(b) else slice(0)] = b + 2 * self.widths[0] + self.widths[1] * is_a[b_end]
+        return Aligned(upto_any[text_end], upto_both[text_end], tuple(bounds), a[upto_a[ends - 1]], b[upto_b[ends - 1]], codes)
+
+    def strings(self, found: Aligned) -> Iterator[bytes]:
+        codes, word = found.codes.tolist(), self.words.__getitem__
+        bounds = (found.tokens[0] + found.tokens[1]).tolist()
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            yield b"".join(map(word, codes[i:j]))[:-1]
 
 
 def _striped(stripe: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -205,26 +156,18 @@ def _aligned(a_path: str, b_path: str, digest: bool, id_type: pa.DataType, batch
         docs, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
         for part in by_size(texts, CHARS):
             number += 1
-            found, ok = tool.texts(texts[part])
-            pieces = np.fromiter((n for ns in found for n in ns), np.int64)
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            of = np.repeat(np.arange(len(found)), size)
-            linked, n = tool.linked.take(pieces)
-            sizes = np.zeros((len(found), 3), np.int64)
-            np.add.at(sizes, of, tool.sizes.take(pieces)[0].reshape(-1, 3))
-            at = np.repeat(of, n)
-            n_links = np.bincount(at, minlength=len(found))
-            key, times = np.unique((at.astype(np.uint64) << np.uint64(40)) | linked, return_counts=True)
+            found = tool.align(texts[part])
+            m = len(found.links) - 1
+            at = np.repeat(np.arange(m), np.diff(found.links))
+            key, times = np.unique((at.astype(np.uint64) << np.uint64(40)) | (found.a.astype(np.uint64) << _BITS) | found.b.astype(np.uint64), return_counts=True)
             pair = key & np.uint64((1 << 40) - 1)
             a, b = (pair >> _BITS).astype(np.int32), (pair & _MASK).astype(np.int32)
             rows = [{"kind": LINKS, "batch": number, "stripe": s, "at": w, "a": x, "b": y, "n": c} for s, (w, x, y, c) in _striped(a % STRIPES, (key >> np.uint64(40)).astype(np.int32), a, b, times)]
             yield _record(rows, schema)
-            strings = [";".join([tool.groups[k] for k in ns]) for ns in found]
-            if digest:
-                strings = [hashlib.sha256(s.encode()).hexdigest() if good else "" for s, good in zip(strings, ok, strict=True)]
-            m = len(found)
-            texts_of = {"kind": pa.array([TEXT] * m, pa.int32()), "batch": pa.array([number] * m, pa.int64()), "doc": docs.slice(part.start, m), "place": pa.array(np.arange(m, dtype=np.int32)), "n_links": pa.array(n_links), "groups": pa.array(strings, pa.string())}
-            texts_of |= {c: pa.array(sizes[:, i]) for i, c in enumerate(("n_a", "n_b", "n_groups"))}
+            strings = [hashlib.sha256(s).hexdigest() if s else "" for s in tool.strings(found)] if digest else [s.decode() for s in tool.strings(found)]
+            counts_of = {"n_a": found.tokens[0], "n_b": found.tokens[1], "n_groups": found.groups, "n_links": found.links}
+            texts_of = {"kind": pa.array([TEXT] * m, pa.int32()), "batch": pa.array([number] * m, pa.int64()), "doc": docs.slice(part.start, m), "place": pa.array(np.arange(m, dtype=np.int32)), "groups": pa.array(strings, pa.string())}
+            texts_of |= {c: pa.array(np.diff(n).astype(np.int64)) for c, n in counts_of.items()}
             yield pa.RecordBatch.from_arrays([texts_of.get(f.name, pa.nulls(m, f.type)) for f in schema], schema=schema)
             pairs = _added(np.concatenate([pairs[0], pair]), np.concatenate([pairs[1], np.ones(len(pair), np.int64)]))
             if len(pairs[0]) > PAIRS:
@@ -331,8 +274,7 @@ def _counted(written: DataFrame, a_ids: int, b_ids: int) -> DataFrame:
 
 
 def _widths(a_path: str, b_path: str) -> tuple[int, int]:
-    tool = aligner(a_path, b_path)
-    return len(tool.a_bytes), len(tool.b_bytes)
+    return aligner(a_path, b_path).widths
 
 
 def pair_counts(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
