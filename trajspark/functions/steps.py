@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import objects
+from .objects import CALL, TEXT_FIELDS, let
 from .reads import READ, reads_in_command, reads_in_text, reads_in_tool_calls
 from .text import normalize_path
 
 CALLS = "array<struct<name:string,arguments:string>>"
-#: Fields that hold a response's text, roles that speak for the agent, arguments that tell calls apart.
-TEXT_FIELDS = ("response_text", "assistant_response", "completion", "response", "output", "text")
+#: Fields of which the first filled one is a response, roles that speak for the agent, arguments that tell calls apart.
 FIRST_TEXT = ("response_text", "response", "assistant_response")
 AGENT_ROLES = ("assistant", "agent", "model")
 SIGNED = ("command", "path", "view_range", "old_str", "new_str")
@@ -55,80 +56,113 @@ def tool_calls(value: Column) -> Column:
     Three spellings count: ``function``, ``name`` with arguments, and ``tool_name``; other items are left out.
     """
     inner = F.when(is_object(value), F.coalesce(nested(value, "tool_calls"), value)).otherwise(value)
+    return let(inner, _calls)
+
+
+def _calls(inner: Column) -> Column:
     found = F.when(is_object(inner), F.array(inner)).otherwise(items_of(inner))
 
     def one(c: Column) -> Column:
-        own = F.coalesce(nested(c, "arguments"), nested(c, "args"))
-        function = nested(c, "function")
-        name = F.when(is_object(function), nested(function, "name")).when(own.isNotNull() & nested(c, "name").isNotNull(), nested(c, "name")).otherwise(nested(c, "tool_name"))
-        return F.struct(name.alias("name"), F.when(is_object(function), nested(function, "arguments")).otherwise(own).alias("arguments"))
+        own, function = F.coalesce(c["arguments"], c["args"]), F.from_json(c["function"], "name string, arguments string")
+        name = F.when(is_object(c["function"]), function["name"]).when(own.isNotNull() & c["name"].isNotNull(), c["name"]).otherwise(c["tool_name"])
+        return F.struct(name.alias("name"), F.when(is_object(c["function"]), function["arguments"]).otherwise(own).alias("arguments"))
 
-    return F.filter(F.transform(F.filter(found, is_object), one), lambda c: c["name"].isNotNull()).cast(CALLS)
+    calls = F.transform(F.transform(F.filter(found, is_object), lambda c: F.from_json(c, CALL)), one)
+    return F.filter(calls, lambda c: c["name"].isNotNull()).cast(CALLS)
 
 
-def content_text(raw: Column, key: str) -> Column:
-    """The text under a key: a string as it is, or the texts of a list of parts, one to a line; else empty."""
-    value, kind = nested(raw, key), kind_of(raw, key)
+def content_of(value: Column) -> Column:
+    """The text of a VARIANT: a string as it is, or the texts of a list of parts, one to a line; else empty."""
     part = lambda p: F.when(is_object(p), F.coalesce(nested(p, "text"), nested(p, "content"))).otherwise(p)
-    parts = F.filter(F.transform(items_of(value), part), lambda p: p.isNotNull())
-    return F.when(kind == "STRING", value).when(kind.startswith("ARRAY"), F.array_join(parts, "\n")).otherwise("")
+    parts = lambda v: F.filter(F.transform(items_of(objects.written(v)), part), lambda p: p.isNotNull())
+    return F.when(objects.kind(value) == "STRING", objects.written(value)).when(objects.kind(value).startswith("ARRAY"), F.array_join(parts(value), "\n")).otherwise("")
 
 
 def _agent_messages(messages: Column) -> Column:
-    speaks = lambda m: F.coalesce(F.lower(nested(m, "role")).isin(*AGENT_ROLES), F.lit(False)) | nested(m, "tool_calls").isNotNull()
-    return F.filter(F.filter(items_of(messages), is_object), speaks)
+    speaks = lambda m: F.coalesce(F.lower(m["role"]).isin(*AGENT_ROLES), F.lit(False)) | m["tool_calls"].isNotNull()
+    return F.filter(F.transform(F.filter(items_of(messages), is_object), lambda m: F.from_json(m, "role string, content variant, tool_calls string")), speaks)
 
 
 def said(raw: Column) -> Column:
-    """struct(texts, calls, n_own): what an object says in its text fields and agent messages, and calls there; the first ``n_own`` calls are its own.
+    """struct(texts, calls, n_own, first): what an object says in its text fields and agent messages, and calls there.
 
-    Lists of calls and texts, and plain texts, are read as such. Null says nothing.
+    The first ``n_own`` calls are its own; ``first`` is its first filled response. Lists of calls and texts, and plain texts, are
+    read as such. Null says nothing.
     """
-    none = F.array().cast("array<string>")
-    object_, messages = is_object(raw), _agent_messages(nested(raw, "messages"))
-    texts = F.concat(F.array(*[content_text(raw, f) for f in TEXT_FIELDS]), F.transform(messages, lambda m: content_text(m, "content")))
-    plain = F.when(F.ltrim(raw).startswith("["), F.filter(items_of(raw), lambda i: ~is_object(i))).otherwise(F.array(raw))
-    own = tool_calls(F.when(object_, nested(raw, "tool_calls")).otherwise(raw))
-    theirs = F.when(object_, F.flatten(F.transform(messages, lambda m: tool_calls(nested(m, "tool_calls"))))).otherwise(F.array().cast(CALLS))
-    spoken = F.array_distinct(F.filter(F.coalesce(F.when(object_, texts).otherwise(plain), none), lambda t: t.isNotNull() & (t != "")))
-    return F.struct(spoken.alias("texts"), F.concat(own, theirs).alias("calls"), F.size(own).alias("n_own"))
+    return let(objects.opened(raw), lambda o: said_by(raw, o))
+
+
+def said_by(raw: Column, o: Column) -> Column:
+    """``said`` of a text that is opened already."""
+    none, no_calls = F.array().cast("array<string>"), F.array().cast(CALLS)
+
+    def of(messages: Column) -> Column:
+        texts = F.concat(F.array(*[content_of(o[f]) for f in TEXT_FIELDS]), F.transform(messages, lambda m: content_of(m["content"])))
+        plain = F.when(F.ltrim(raw).startswith("["), F.filter(items_of(raw), lambda i: ~is_object(i))).otherwise(F.array(raw))
+        own = F.when(is_object(raw), F.coalesce(tool_calls(o["tool_calls"]), no_calls)).otherwise(tool_calls(raw))
+        theirs = F.when(is_object(raw), F.flatten(F.transform(messages, lambda m: F.coalesce(tool_calls(m["tool_calls"]), no_calls)))).otherwise(no_calls)
+        spoken = F.array_distinct(F.filter(F.coalesce(F.when(is_object(raw), texts).otherwise(plain), none), lambda t: t.isNotNull() & (t != "")))
+        first = F.coalesce(*[F.nullif(objects.written(o[f]), F.lit("")) for f in FIRST_TEXT])
+        return let(F.coalesce(own, no_calls), lambda w: F.struct(spoken.alias("texts"), F.concat(w, F.coalesce(theirs, no_calls)).alias("calls"), F.size(w).alias("n_own"), first.alias("first")))
+
+    return let(_agent_messages(o["messages"]), of)
 
 
 def distinct_reads(reads: Column) -> Column:
     return F.array_distinct(F.filter(reads, lambda r: r["file_path"].isNotNull() & (r["file_path"] != "")))
 
 
-def with_reads(df: DataFrame, raw: str, mode: str = "view_and_bash") -> DataFrame:
-    """``df`` with ``reads`` of the JSON column ``raw``, each once, and ``core``: those of its own calls and its first filled text, repeats included.
+def reads_of(raw: Column, spoken: Column, mode: str = "view_and_bash") -> Column:
+    """struct(reads, core) of a text and what it ``said``: its reads, each once; and those of its own calls and its first filled text, repeats included.
 
-    The patterns, the costly part, run once over each distinct text of a row.
+    The patterns, the costly part, run once over each distinct text.
     """
-    first = F.coalesce(*[F.nullif(nested(F.col(raw), f), F.lit("")) for f in FIRST_TEXT])
-    df = df.withColumn("_said", said(F.col(raw)))
-    by_text = F.transform("_said.texts", lambda t: F.struct(t.alias("text"), reads_in_text(t, mode).alias("reads")))
-    by_call = F.transform("_said.calls", lambda c: reads_in_tool_calls(F.array(c)))
-    df = df.withColumn("_first", first).withColumn("_texts", by_text).withColumn("_calls", by_call)
-    own = F.flatten(F.slice("_calls", F.lit(1), F.col("_said.n_own")))
-    of_first = F.flatten(F.transform(F.filter("_texts", lambda x: x["text"] == F.col("_first")), lambda x: x["reads"]))
-    reads = distinct_reads(F.concat(F.flatten("_calls"), F.flatten(F.transform("_texts", lambda x: x["reads"]))))
-    return df.withColumn("reads", reads).withColumn("core", F.when(is_object(F.col(raw)), F.concat(own, of_first)).otherwise(F.array().cast(READ))).drop("_said", "_first", "_texts", "_calls")
+
+    def of(s: Column) -> Column:
+        texts = F.transform(s["texts"], lambda t: F.struct(t.alias("text"), reads_in_text(t, mode).alias("reads")))
+        calls = F.transform(s["calls"], lambda c: reads_in_tool_calls(F.array(c)))
+        return let(texts, lambda by_text: let(calls, lambda by_call: both(s, by_text, by_call)))
+
+    def both(s: Column, by_text: Column, by_call: Column) -> Column:
+        own = F.flatten(F.slice(by_call, F.lit(1), s["n_own"]))
+        of_first = F.flatten(F.transform(F.filter(by_text, lambda x: x["text"] == s["first"]), lambda x: x["reads"]))
+        reads = distinct_reads(F.concat(F.flatten(by_call), F.flatten(F.transform(by_text, lambda x: x["reads"]))))
+        return F.struct(reads.alias("reads"), F.when(is_object(raw), F.concat(own, of_first)).otherwise(F.array().cast(READ)).alias("core"))
+
+    return let(spoken, of)
+
+
+def with_reads(df: DataFrame, raw: str, mode: str = "view_and_bash") -> DataFrame:
+    """``df`` with ``reads`` and ``core`` of the JSON column ``raw``, as ``reads_of`` gives them."""
+    return df.withColumn("_reads", reads_of(F.col(raw), said(F.col(raw)), mode)).withColumns({"reads": F.col("_reads.reads"), "core": F.col("_reads.core")}).drop("_reads")
 
 
 def action(step: Column, mode: str = "view_and_bash") -> Column:
     """struct(family, target, tool, arguments) of a step's first tool call: read, edit, exec or other."""
-    function = nested(F.get(items_of(nested(step, "tool_calls")), F.lit(0)), "function")
-    name, args = F.coalesce(nested(function, "name"), F.lit("")), nested(function, "arguments")
-    command = F.coalesce(nested(args, "command"), F.lit(""))
-    target = F.when(kind_of(args, "path") == "STRING", normalize_path(F.nullif(nested(args, "path"), F.lit(""))))
-    bash = reads_in_command(command).cast(READ) if mode == "view_and_bash" else F.array().cast(READ)
-    paths = F.array_distinct(F.transform(bash, lambda r: r["file_path"]))
-    viewer = name.isin(*EDITORS)
-    family = (
-        F.when(viewer & (command == "view"), "read").when(viewer & (command != ""), "edit")
-        .when((name == "execute_bash") & (F.size(paths) > 0), "read").when(name == "execute_bash", "exec").otherwise("other")
-    )
-    where = F.when(name == "execute_bash", F.when(F.size(paths) == 1, F.get(paths, F.lit(0)))).otherwise(target)
-    return F.struct(family.alias("family"), where.alias("target"), name.alias("tool"), args.alias("arguments"))
+    return let(nested(step, "tool_calls"), lambda calls: action_of(calls, mode))
+
+
+def action_of(calls: Column, mode: str = "view_and_bash") -> Column:
+    """``action`` of a step's list of calls, as text."""
+    function = F.from_json(nested(F.get(items_of(calls), F.lit(0)), "function"), "name string, arguments string")
+    return let(function, lambda f: let(F.from_json(f["arguments"], "command string, path variant"), lambda a: _action(F.coalesce(f["name"], F.lit("")), f["arguments"], a, mode)))
+
+
+def _action(name: Column, args: Column, a: Column, mode: str) -> Column:
+    command = F.coalesce(a["command"], F.lit(""))
+    target = F.when(objects.kind(a["path"]) == "STRING", normalize_path(F.nullif(objects.written(a["path"]), F.lit(""))))
+    paths = F.when(name == "execute_bash", F.array_distinct(F.transform(reads_in_command(command).cast(READ), lambda r: r["file_path"]))).otherwise(F.array().cast("array<string>"))
+
+    def of(found: Column) -> Column:
+        viewer = name.isin(*EDITORS)
+        family = (
+            F.when(viewer & (command == "view"), "read").when(viewer & (command != ""), "edit")
+            .when((name == "execute_bash") & (F.size(found) > 0), "read").when(name == "execute_bash", "exec").otherwise("other")
+        )
+        where = F.when(name == "execute_bash", F.when(F.size(found) == 1, F.get(found, F.lit(0)))).otherwise(target)
+        return F.struct(family.alias("family"), where.alias("target"), name.alias("tool"), args.alias("arguments"))
+
+    return let(paths if mode == "view_and_bash" else F.array().cast("array<string>"), of)
 
 
 def signature(act: Column) -> Column:
@@ -161,6 +195,18 @@ def has_error(step: Column | str) -> Column:
     return _has_error(F.when(c.rlike(words) | c.contains("\\u"), c))
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _have_errors(steps: pd.Series) -> pd.Series:
+    return steps.map(lambda row: [error_in(s) for s in row])
+
+
+def have_errors(steps: Column | str) -> Column:
+    """``error_in`` of each step of a list; lists without a suspect text don't leave the JVM."""
+    words = "(?i)" + ERROR_WORDS.replace(r"\b", "")
+    suspects = F.transform(steps, lambda c: F.when(c.rlike(words) | c.contains("\\u"), c))
+    return F.coalesce(_have_errors(F.when(F.exists(suspects, lambda c: c.isNotNull()), suspects).otherwise(F.array().cast("array<string>"))), F.array().cast("array<boolean>"))
+
+
 def native_calls(text: Column, block: str, invoke: str, parameter: str) -> Column:
     """Calls (name, arguments as JSON) written in a provider's own markup; patterns give body, (name, body) and (name, value)."""
 

@@ -9,14 +9,15 @@ without steps or without reads keep their row.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import objects
 from ..functions import steps as st
+from ..functions.objects import let
 from ..functions.text import instance_candidates, multiplier, rate
-from ..operators import graphs, overlap, sequences
+from ..operators import graphs, overlap
 from ..operators.staging import stage
-from ..sources.records import containers, data_source, instance_id, run_step, step_list
+from ..sources.records import CONTAINERS, id_in, source_in, step_in, steps_in
 
 #: Cases that have a chain, and roles around one.
 CHAIN_CASES = ("standard", "direct")
@@ -24,28 +25,75 @@ CONTEXT_ROLES = ("test_harness", "pre_symptom")
 RANGE = ["file_path", "start_line", "end_line"]
 
 
-def resolve(records: DataFrame, maps: DataFrame) -> DataFrame:
-    """``records`` with instance_id, data_source, run_step and the id of their map: the whole id's, or that of its short form."""
-    raw = F.col("raw")
-    named = records.select("record_index", "raw", instance_id(raw).alias("instance_id"), data_source(raw).alias("data_source"), run_step(raw).alias("run_step"))
-    return overlap.with_alias(named.withColumn("_ids", F.flatten(F.transform(F.array(F.coalesce("instance_id", F.lit(""))), instance_candidates))), maps, "_ids").drop("_ids")
+#: What a record's read is: of a step, of a box (the record and the objects in it), of a block of steps.
+STEP, BOX, BLOCK = range(3)
 
 
-def step_rows(records: DataFrame, mode: str = "view_and_bash") -> DataFrame:
-    """One row for each step: trace_idx, step, family, target, signature, error, reads and the reads of its first text alone."""
-    s = records.select("record_index", "map_id", F.posexplode(step_list(F.col("raw"))).alias("trace_idx", "step"))
-    s = st.with_reads(s, "step", mode).withColumn("a", st.action(F.col("step"), mode))
-    return s.select("record_index", "map_id", "trace_idx", F.coalesce("a.family", F.lit("other")).alias("family"), "a.target", st.signature(F.col("a")).alias("signature"), st.is_object(F.col("step")).alias("is_object"), st.has_error("step").alias("error"), "reads", "core")
+def _step(text: Column, mode: str) -> Column:
+    """What counts of one step: struct(family, target, signature, is_object, reads, core)."""
 
+    def of(o: Column) -> Column:
+        return let(F.struct(st.action_of(o["tool_calls"], mode).alias("a"), st.reads_of(text, st.said_by(text, o), mode).alias("r")), whole)
 
-def container_reads(records: DataFrame, mode: str = "view_and_bash") -> DataFrame:
-    """(record_index, map_id, reads) of each record and of each object in it that may carry its fields."""
-    boxes = records.select("record_index", "map_id", F.explode(F.array(*containers(F.col("raw")))).alias("box")).where(st.is_object(F.col("box")))
-    return st.with_reads(boxes, "box", mode).select("record_index", "map_id", "reads")
+    def whole(x: Column) -> Column:
+        a = x["a"]
+        return F.struct(F.coalesce(a["family"], F.lit("other")).alias("family"), a["target"].alias("target"), st.signature(a).alias("signature"), st.is_object(text).alias("is_object"), x["r"]["reads"].alias("reads"), x["r"]["core"].alias("core"))
 
+    return let(objects.opened(text), of)
 
-def _explode(df: DataFrame, reads: str, *keys: str) -> DataFrame:
-    return df.select("record_index", F.col("map_id").alias("instance_id"), *keys, F.explode(reads).alias("r")).select("record_index", "instance_id", *keys, "r.*")
+
+def parse(records: DataFrame, mode: str = "view_and_bash") -> DataFrame:
+    """(record_index, instance_id, data_source, run_step, steps, errors, box_reads): all that counts of a record, from one pass over its text.
+
+    A record is opened once, and so are the objects in it and each of its steps; everything else reads what was opened.
+    """
+    opened = records.select("record_index", "raw", objects.boxes(F.col("raw")).alias("b"))
+    texts = F.array(F.col("raw"), *[F.col("b")[0][c] for c in CONTAINERS[1:]])
+    boxed = F.transform(F.arrays_zip(texts.alias("t"), F.col("b").alias("o")), lambda x: F.when(st.is_object(x["t"]), st.reads_of(x["t"], st.said_by(x["t"], x["o"]), mode)["reads"]))
+    named = opened.select("record_index", id_in(F.col("b")).alias("instance_id"), source_in(F.col("b")).alias("data_source"), step_in(F.col("b")).alias("run_step"), steps_in(F.col("b")).alias("texts"), F.array_distinct(F.flatten(F.filter(boxed, lambda r: r.isNotNull()))).alias("box_reads"))
+    steps = F.transform("texts", lambda t: _step(t, mode))
+    return named.select("record_index", "instance_id", "data_source", "run_step", steps.alias("steps"), st.have_errors("texts").alias("errors"), "box_reads")
+
+
+def purpose_starts(steps: Column) -> Column:
+    """Places at which a block of steps of one family and target starts; null equals null."""
+    same = lambda a, b: a["family"].eqNullSafe(b["family"]) & a["target"].eqNullSafe(b["target"])
+    return let(steps, lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | ~same(s[i], s[i - 1])))
+
+
+def blocks_of(steps: Column) -> Column:
+    """The steps of each block, in order: array of arrays."""
+    none = F.slice(F.array(steps), 1, 0)
+
+    def cut(s: Column) -> Column:
+        return let(purpose_starts(s), lambda at: F.transform(at, lambda a, i: F.slice(s, a + 1, F.coalesce(F.get(at, i + 1), F.size(s)) - a)))
+
+    return F.when(F.size(steps) == 0, none).otherwise(let(steps, cut))
+
+
+def longest_run(flags: Column) -> Column:
+    """The longest row of true values in an array; null counts as false."""
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, flag: Column) -> Column:
+        now = F.when(flag, acc["now"] + 1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(flags, start, step, lambda acc: acc["most"])
+
+
+def order_of(levels: Column) -> Column:
+    """Agreement of the order of first hits with falling distance, of levels array<struct<at, d, n>>; null without a pair."""
+    both = F.transform(levels, lambda a: F.aggregate(levels, F.struct(F.lit(0).cast("double").alias("s"), F.lit(0).cast("double").alias("n")), lambda acc, b: F.when((a["at"] < b["at"]) & (a["d"] != b["d"]), F.struct((acc["s"] + F.signum(a["d"] - b["d"]) * a["n"] * b["n"]).alias("s"), (acc["n"] + a["n"] * b["n"]).alias("n"))).otherwise(acc)))
+    total = lambda x, f: F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y[f])
+    return let(both, lambda x: F.try_divide(total(x, "s"), F.nullif(total(x, "n"), F.lit(0.0))))
+
+
+def miracle_in(levels: Column) -> Column:
+    """Whether the root is hit before anything between it and the symptom; null without a hit."""
+    first = lambda f: F.array_min(F.transform(F.filter(levels, f), lambda x: x["at"]))
+    root, between = first(lambda x: x["d"] == 0), first(lambda x: (x["d"] > 0) & (x["d"] < 1))
+    return F.when(F.size(levels) > 0, root.isNotNull() & (between.isNull() | (between > root)))
 
 
 def chain_nodes(maps: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,53 +121,89 @@ def evaluability(has_map: Column, case: Column, reason: Column, n_anchors: Colum
     return F.struct(why.isNull().alias("chain_evaluable"), why.alias("reason"))
 
 
-def _order(hits: DataFrame, levels: DataFrame, prefix: str) -> DataFrame:
-    """Order score and miracles of first hits (record_index, instance_id, node_key, normalized_distance, trace_idx)."""
-    score = sequences.order_score(hits).withColumnRenamed("order_score", f"{prefix}order_score")
-    seen = sequences.miracles(hits, 1).select("record_index", F.col("is_miracle").alias("m"))
-    owner = hits.groupBy("record_index").agg(F.first("instance_id").alias("instance_id")).join(levels, "instance_id").join(seen, "record_index")
-    m = owner.select("record_index", F.when(F.col("levels") > 0, F.col("m")).alias(f"{prefix}miracle_step"), F.when(F.col("levels") > 0, F.when(F.col("m"), F.col("levels")).otherwise(0)).alias(f"{prefix}miracle_severity"))
-    return m.join(score, "record_index", "left")
+def _listed_reads(parsed: DataFrame) -> DataFrame:
+    """(record_index, instance_id, has_step_reads, kind, at, range): reads of steps by place, of boxes, and core reads by block."""
+    tag = lambda reads, kind, at: F.transform(reads, lambda r: F.struct(F.lit(kind).alias("kind"), at.alias("at"), r.alias("r")))
+    of_steps = F.flatten(F.transform("steps", lambda s, i: tag(s["reads"], STEP, i)))
+    of_blocks = F.flatten(F.transform(blocks_of(F.filter("steps", lambda s: s["is_object"])), lambda b, i: tag(F.array_distinct(F.flatten(F.transform(b, lambda s: s["core"]))), BLOCK, i)))
+    listed = F.concat(of_steps, tag(F.col("box_reads"), BOX, F.lit(0)), of_blocks)
+    rows = parsed.select("record_index", F.col("map_id").alias("instance_id"), F.exists("steps", lambda s: F.size(s["reads"]) > 0).alias("has_step_reads"), F.explode(listed).alias("x"))
+    return rows.select("record_index", "instance_id", "has_step_reads", "x.kind", "x.at", "x.r.*")
+
 
+def _range_hits(ranges: DataFrame, nodes: DataFrame, chain: DataFrame) -> DataFrame:
+    """(instance_id, range, distance, hits): each distinct range with the classes of nodes that it touches, joined once.
 
-def _first_hits(reads: DataFrame, nodes: DataFrame) -> DataFrame:
-    owner = reads.select("record_index", "instance_id").distinct()
-    return overlap.hit_classes(reads, nodes).join(owner, "record_index")
+    A class holds the ``n`` nodes of one range, distance, reward and part in the chain, which any read hits or misses together.
+    """
+    flagged = nodes.join(chain.withColumn("chain", F.lit(True)), ["instance_id", "node_key"], "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    good = F.coalesce("rewardable", F.lit(True)).alias("good")
+    classes = flagged.groupBy("instance_id", *RANGE, "normalized_distance", good, yes(F.col("chain")).alias("chain"), yes(F.col("is_anchor")).alias("a"), yes(F.col("is_root")).alias("r")).agg(F.count("*").alias("n"), F.min("node_key").alias("c"))
+    met = overlap._pairs(ranges, classes)
+    hit = F.struct("c", F.col("normalized_distance").alias("d"), "good", "chain", "a", "r", "n")
+    return met.groupBy("instance_id", *RANGE).agg(F.min(F.when(F.col("good"), F.col("normalized_distance"))).alias("distance"), F.collect_list(hit).alias("hits"))
+
+
+def _first_levels(hits: DataFrame) -> DataFrame:
+    """(record_index, n_hit_nodes, levels, block_levels): first hits of rewardable nodes, by place and distance, with how many nodes each stands for."""
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("at")))
+    rows = hits.select("record_index", "kind", "at", F.explode("hits").alias("h")).where("h.good")
+    seen = rows.groupBy("record_index", "h.c", "h.d", "h.n").agg(F.max(F.col("kind") != BLOCK).alias("read"), first(STEP).alias("step"), first(BLOCK).alias("block"))
+    # Each class counts once under its first step and once under its first block; a third row says whether it was read at all.
+    places = F.array(F.struct(F.lit(STEP).alias("k"), F.col("step").alias("at")), F.struct(F.lit(BLOCK).alias("k"), F.col("block").alias("at")), F.struct(F.lit(BOX).alias("k"), F.when(F.col("read"), F.lit(0)).alias("at")))
+    levels = seen.select("record_index", "d", "n", F.explode(places).alias("p")).where("p.at is not null").groupBy("record_index", "p.k", "p.at", "d").agg(F.sum("n").alias("n"))
+    listed = lambda k: F.collect_list(F.when(F.col("k") == k, F.struct("at", "d", "n")))
+    return levels.groupBy("record_index").agg(F.sum(F.when(F.col("k") == BOX, F.col("n"))).alias("n_hit_nodes"), listed(STEP).alias("levels"), listed(BLOCK).alias("block_levels"))
+
+
+def _read_stats(hits: DataFrame) -> DataFrame:
+    """Reads and hits of each record, and the least distance of each step that has one."""
+    read = F.col("kind") != BLOCK
+    ranges = hits.groupBy("record_index", *RANGE).agg(F.max(read).alias("read"), F.min(F.when(F.col("kind") == STEP, F.col("at"))).alias("at"), F.first("distance").alias("distance")).where("read")
+    hit, at = F.col("distance").isNotNull(), F.col("at")
+    by_range = ranges.groupBy("record_index").agg(
+        F.count("*").alias("n_reads"), F.count("distance").alias("n_hit_reads"), F.min("distance").alias("min_distance"), F.array_sort(F.collect_set("file_path")).alias("read_files"),
+        F.min(F.when(hit, at)).alias("first_step_hit"), F.min(F.when(F.col("distance") == 0, at)).alias("first_step_root"),
+    )
+    steps = hits.where((F.col("kind") == STEP) & F.col("distance").isNotNull()).groupBy("record_index", "at").agg(F.min("distance").alias("d")).groupBy("record_index").agg(F.map_from_entries(F.collect_list(F.struct("at", "d"))).alias("step_distances"))
+    return by_range.join(steps, "record_index", "left")
 
 
-def blocks(steps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Purpose blocks with their outcome: a read block of a record with a graph achieves if one of its reads touches a rewardable node, else is wasted."""
-    owner = nodes.select(F.col("instance_id").alias("map_id")).distinct().withColumn("g", F.lit(True))
-    per = overlap.read_distances(_explode(steps, "reads", "trace_idx"), nodes).groupBy("record_index", "trace_idx").agg(F.min("distance").alias("d"), F.count("*").alias("n_reads"))
-    s = sequences.purpose_blocks(steps.select("record_index", "map_id", "trace_idx", "family", "target", "signature")).join(per, ["record_index", "trace_idx"], "left").join(owner, "map_id", "left")
-    first = F.min(F.when(F.col("d").isNotNull(), F.col("trace_idx"))) - F.min("trace_idx") + 1
-    b = s.groupBy("record_index", "block_index", "family", "target").agg(F.count("*").alias("n_steps"), F.coalesce(F.sum("n_reads"), F.lit(0)).alias("n_reads"), F.min("trace_idx").alias("first_step"), F.min("d").alias("min_distance"), first.alias("steps_to_achievement"), F.coalesce(F.max("g"), F.lit(False)).alias("g"), F.countDistinct("signature").alias("n_signatures"))
-    b = b.withColumn("outcome_defined", F.col("g") & (F.col("family") == "read")).withColumn("achieved", F.col("outcome_defined") & F.col("min_distance").isNotNull())
-    return b.withColumn("wasted", F.col("outcome_defined") & ~F.col("achieved")).withColumn("is_loop", (F.col("n_steps") >= 3) & (F.col("n_signatures") == 1)).drop("g", "n_signatures")
+def _chain_stats(hits: DataFrame) -> DataFrame:
+    """What each record reads of its chain, by read, by step and by node. Reads of boxes count, as of step 0, where no step has any; all nodes count."""
+    own = hits.where((F.col("kind") == STEP) | ((F.col("kind") == BOX) & ~F.col("has_step_reads"))).withColumn("hits", F.filter("hits", lambda h: h["chain"]))
+    any_ = lambda f: F.coalesce(F.exists("hits", f), F.lit(False))
+    reads = own.groupBy("record_index", "at", *RANGE).agg(F.bool_or(any_(lambda h: h["chain"])).alias("on"), F.bool_or(any_(lambda h: h["a"])).alias("a"), F.bool_or(any_(lambda h: h["r"])).alias("r"))
+    steps = reads.groupBy("record_index", "at").agg(F.bool_or("on").alias("on"), F.bool_or("a").alias("a"), F.bool_or("r").alias("r"), F.count_if("on").alias("n_on"), F.count_if(~F.col("on")).alias("n_off"))
+    where = lambda c: F.when(F.col(c), F.col("at"))
+    by_step = steps.groupBy("record_index").agg(F.sum("n_on").alias("n_chain_read_hits"), F.sum("n_off").alias("n_off_chain_reads"), F.min(where("a")).alias("first_anchor_step"), F.min(where("r")).alias("first_root_step"), F.max(where("r")).alias("last_root"), F.collect_list(where("on")).alias("chain_steps"))
+    nodes = own.select("record_index", "at", F.explode("hits").alias("h")).groupBy("record_index", "h.c", "h.d", "h.good", "h.n").agg(F.countDistinct("at").alias("times"))
+    by_node = nodes.groupBy("record_index").agg(F.sum("n").alias("n_hit_chain_nodes"), (F.max("times") >= 3).alias("chain_read_loop"))
+    return by_step.join(by_node, "record_index", "left")
 
 
-def block_summary(b: DataFrame) -> DataFrame:
-    kinds = {"": F.lit(True), "_scored_read": F.col("outcome_defined"), "_achieving": F.col("achieved"), "_wasted": F.col("wasted"), "_loop": F.col("is_loop")}
-    counts = [F.count_if(c).alias(f"n{k}_blocks") for k, c in kinds.items()]
-    sums = [F.sum(F.when(c, F.col("n_steps")).otherwise(0)).alias(f"n{k}_block_steps") for k, c in kinds.items()]
-    return b.groupBy("record_index").agg(*counts, *sums, F.avg(F.when(F.col("achieved"), F.col("steps_to_achievement"))).alias("block_efficiency"))
+def _outcomes(steps: Column, distances: Column, has_graph: Column) -> Column:
+    """Each purpose block: how many steps, whether a read block of a record with a graph achieves (one of its reads touches a rewardable node) or is wasted, how soon, and whether it loops."""
+    numbered = F.transform(steps, lambda s, i: F.struct(s["family"].alias("family"), s["target"].alias("target"), s["signature"].alias("signature"), F.element_at(distances, i).alias("d")))
 
+    def one(b: Column) -> Column:
+        defined, soon = has_graph & (b[0]["family"] == "read"), F.array_position(F.transform(b, lambda s: s["d"].isNotNull()), True)
+        loop = (F.size(b) >= 3) & (F.size(F.array_distinct(F.transform(b, lambda s: s["signature"]))) == 1)
+        return F.struct(F.size(b).cast("long").alias("n_steps"), defined.alias("scored_read"), (defined & (soon > 0)).alias("achieving"), (defined & (soon == 0)).alias("wasted"), loop.alias("loop"), soon.alias("soon"))
 
-def chain_scores(reads: DataFrame, steps: DataFrame, chain: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Chain metrics of the records whose reads are given (record_index, instance_id, trace_idx, range); all nodes count, not the rewardable alone."""
-    on = nodes.select("instance_id", "node_key", *RANGE).distinct().join(chain, ["instance_id", "node_key"])
-    touched = overlap._pairs(reads, on).select("instance_id", *RANGE, "node_key", "is_anchor", "is_root")
-    hits = reads.join(touched, ["instance_id", *RANGE], "left")
-    per_read = hits.groupBy("record_index", "trace_idx", *RANGE).agg(F.count("node_key").alias("n")).groupBy("record_index").agg(F.count_if(F.col("n") > 0).alias("n_chain_read_hits"), F.count_if(F.col("n") == 0).alias("n_off_chain_reads"))
-    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    per_step = hits.groupBy("record_index", "trace_idx").agg(any_(F.col("node_key").isNotNull()).alias("on_chain"), any_("is_anchor").alias("on_anchor"), any_("is_root").alias("on_root"))
-    loops = hits.where("node_key is not null").groupBy("record_index", "node_key").agg(F.countDistinct("trace_idx").alias("n")).groupBy("record_index").agg(F.count("*").alias("n_hit_chain_nodes"), (F.max("n") >= 3).alias("chain_read_loop"))
-    first = lambda c: F.min(F.when(F.col(c), F.col("trace_idx")))
-    w = W.partitionBy("record_index")
-    marked = per_step.withColumn("anchor", F.min(F.when(F.col("on_anchor"), F.col("trace_idx"))).over(w))
-    patterns = marked.groupBy("record_index").agg(first("on_anchor").alias("first_anchor_step"), first("on_root").alias("first_root_step"), F.max(F.when(F.col("on_root"), F.col("trace_idx"))).alias("last_root"), F.count_if("on_chain").alias("n_chain_read_steps"), F.count_if(F.col("on_chain") & (F.col("trace_idx") > F.col("anchor"))).alias("after"))
-    spiral = sequences.longest_run(steps.join(per_step, ["record_index", "trace_idx"], "left"), F.col("error") & F.col("on_chain")).withColumnRenamed("longest", "chain_error_run")
-    return patterns.join(per_read, "record_index").join(loops, "record_index", "left").join(spiral, "record_index", "left")
+    return F.transform(blocks_of(numbered), one)
+
+
+def _block_columns(b: Column) -> dict[str, Column]:
+    out = {}
+    for kind in ("", "scored_read", "achieving", "wasted", "loop"):
+        own = F.filter(b, lambda x: x[kind]) if kind else b  # noqa: B023
+        name = f"n_{kind}_" if kind else "n_"
+        out[f"{name}blocks"] = F.size(own).cast("long")
+        out[f"{name}block_steps"] = F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc + x["n_steps"])
+    good = F.filter(b, lambda x: x["achieving"])
+    return out | {"block_efficiency": F.try_divide(F.aggregate(good, F.lit(0.0), lambda acc, x: acc + x["soon"]), F.nullif(F.size(good), F.lit(0)))}
 
 
 def score_records(records: DataFrame, maps: DataFrame, nodes: DataFrame, edges: DataFrame, *, mode: str = "view_and_bash", near: float = 0.5, m_max: float = 3.0) -> DataFrame:
@@ -129,46 +213,42 @@ def score_records(records: DataFrame, maps: DataFrame, nodes: DataFrame, edges:
     columns are null for records without an evaluable chain.
     """
     m = maps.select("map_id", "case_type", "reason_code", "anchors", "roots", F.lit(True).alias("_mapped"))
-    # Texts are parsed once: what follows reads the staged tables, and recomputes no pattern if an executor is lost.
-    recs = stage(resolve(records, m), "records")
-    steps = stage(step_rows(recs, mode), "steps")
-    in_steps = _explode(steps, "reads", "trace_idx")
-    in_boxes = _explode(stage(container_reads(recs, mode), "boxes"), "reads")
-    reads = in_steps.drop("trace_idx").unionByName(in_boxes).distinct()
-
-    step_stats = steps.groupBy("record_index").agg(F.count("*").alias("n_trace_steps"), F.count_if(F.size("reads") > 0).alias("n_steps_with_reads"))
-    read_stats = reads.groupBy("record_index").agg(F.count("*").alias("n_reads"), F.array_sort(F.collect_set("file_path")).alias("read_files"))
-    good = F.coalesce("rewardable", F.lit(True))
-    node_stats = nodes.groupBy(F.col("instance_id").alias("map_id")).agg(F.countDistinct("node_key").alias("n_call_graph_nodes"), F.countDistinct(F.when(good, F.col("node_key"))).alias("n_rewardable"))
-    levels = nodes.groupBy("instance_id").agg(F.countDistinct(F.when((F.col("normalized_distance") > 0) & (F.col("normalized_distance") < 1), F.col("normalized_distance"))).cast("int").alias("levels"))
-    dist = overlap.read_distances(reads, nodes).groupBy("record_index").agg(F.min("distance").alias("min_distance"), F.count("distance").alias("n_hit_reads"))
-    n_hit = overlap.hit_classes(reads.withColumn("trace_idx", F.lit(0)), nodes).groupBy("record_index").agg(F.sum("n").alias("n_hit_nodes"))
-    first = overlap.read_distances(in_steps, nodes).groupBy("record_index").agg(F.min(F.when(F.col("distance").isNotNull(), F.col("trace_idx"))).alias("first_step_hit"), F.min(F.when(F.col("distance") == 0, F.col("trace_idx"))).alias("first_step_root"))
-    order = _order(_first_hits(in_steps, nodes), levels, "")
-
-    numbered = sequences.purpose_blocks(steps.where("is_object").withColumn("trace_idx", F.row_number().over(W.partitionBy("record_index").orderBy("trace_idx")) - 1))
-    by_block = _explode(numbered.select("record_index", "map_id", "block_index", "core"), "core", "block_index").distinct()
-    by_block = by_block.withColumn("trace_idx", F.dense_rank().over(W.partitionBy("record_index").orderBy("block_index")) - 1).drop("block_index")
-    block_order = _order(_first_hits(by_block, nodes), levels, "block_")
-    outcome = block_summary(blocks(steps, nodes))
-    errors = sequences.longest_run(steps, F.col("error")).withColumnRenamed("longest", "max_error_run")
-
+    # Texts are parsed once: what follows reads the staged table, and recomputes no pattern if an executor is lost.
+    parsed = stage(parse(records, mode), "parsed")
+    ids = parsed.select("record_index", F.flatten(F.transform(F.array(F.coalesce("instance_id", F.lit(""))), instance_candidates)).alias("_ids"))
+    rows = stage(parsed.join(overlap.with_alias(ids, m.select("map_id"), "_ids").drop("_ids"), "record_index"), "rows")
     chain, context = (stage(t, "chain") for t in chain_nodes(maps, nodes, edges))
+    reads = _listed_reads(rows)
+    ranges = _range_hits(reads.select("instance_id", *RANGE), nodes, chain)
+    # All that follows is keyed by the record: this is the one exchange of its hits.
+    hits = stage(reads.join(ranges, ["instance_id", *RANGE], "left"), "hits").repartition("record_index")
+
+    good = F.coalesce("rewardable", F.lit(True))
+    levels = F.countDistinct(F.when((F.col("normalized_distance") > 0) & (F.col("normalized_distance") < 1), F.col("normalized_distance"))).cast("int")
+    node_stats = nodes.groupBy(F.col("instance_id").alias("map_id")).agg(F.countDistinct("node_key").alias("n_call_graph_nodes"), F.countDistinct(F.when(good, F.col("node_key"))).alias("n_rewardable"), levels.alias("n_levels"))
     size = chain.groupBy(F.col("instance_id").alias("map_id")).agg(F.count("*").alias("n_chain_nodes"), F.count_if("is_anchor").alias("n_anchors"), F.count_if("is_root").alias("n_roots"))
     around = context.groupBy(F.col("instance_id").alias("map_id")).agg(F.count("*").alias("n_context_nodes"))
-    without = reads.join(in_steps.select("record_index").distinct(), "record_index", "left_anti").withColumn("trace_idx", F.lit(0))
-    chained = chain_scores(in_steps.unionByName(without), steps, chain, nodes)
+    of_map = m.select("map_id", "case_type", "reason_code", F.size("anchors").alias("n_listed"), "_mapped").join(node_stats, "map_id", "left").join(size, "map_id", "left").join(around, "map_id", "left")
 
-    d = recs.drop("raw", "roots")
-    for part in (node_stats, size, around):
-        d = d.join(part, "map_id", "left")
-    for part in (step_stats, read_stats, dist, n_hit, first, order, block_order, outcome, errors, chained):
+    d = rows.join(of_map, "map_id", "left")
+    for part in (_read_stats(hits), _first_levels(hits), _chain_stats(hits)):
         d = d.join(part, "record_index", "left")
-    zero = ["n_trace_steps", "n_steps_with_reads", "n_reads", "n_hit_nodes", "n_call_graph_nodes", "n_chain_nodes", "n_context_nodes", "n_hit_chain_nodes", "max_error_run", "n_chain_read_steps", "n_chain_read_hits", "n_off_chain_reads", "chain_error_run", *[c for c in outcome.columns if c.startswith("n_")]]
-    d = d.fillna(0, zero)
+    none = F.array().cast("array<struct<at:int,d:double,n:long>>")
+    d = d.withColumns({c: F.coalesce(c, none) for c in ("levels", "block_levels")}).withColumn("chain_steps", F.coalesce("chain_steps", F.array().cast("array<int>")))
+    judged_levels = lambda c: F.when((F.col("n_levels") > 0), miracle_in(F.col(c)))
+    d = d.withColumns({
+        "n_trace_steps": F.size("steps").cast("long"), "n_steps_with_reads": F.size(F.filter("steps", lambda x: F.size(x["reads"]) > 0)).cast("long"),
+        "order_score": order_of(F.col("levels")), "miracle_step": judged_levels("levels"), "block_order_score": order_of(F.col("block_levels")), "block_miracle_step": judged_levels("block_levels"),
+        "max_error_run": longest_run(F.col("errors")), "n_chain_read_steps": F.size("chain_steps"), "after": F.size(F.filter("chain_steps", lambda x: x > F.col("first_anchor_step"))),
+        "chain_error_run": longest_run(F.transform("errors", lambda e, i: e & F.array_contains("chain_steps", i))),
+        "outcomes": _outcomes(F.col("steps"), F.coalesce("step_distances", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>"))), F.coalesce(F.col("n_call_graph_nodes") > 0, F.lit(False))),
+    })
+    d = d.withColumns({f"{p}miracle_severity": F.when(F.col(f"{p}miracle_step"), F.col("n_levels")).when(F.col(f"{p}miracle_step").isNotNull(), 0) for p in ("", "block_")})
+    outcome = _block_columns(F.col("outcomes"))
+    d = d.withColumns(outcome).fillna(0, ["n_reads", "n_hit_nodes", "n_call_graph_nodes", "n_chain_nodes", "n_context_nodes", "n_hit_chain_nodes", "n_chain_read_hits", "n_off_chain_reads"])
 
     has_map, hit, has_steps = F.coalesce("_mapped", F.lit(False)), F.col("min_distance").isNotNull(), F.col("n_trace_steps") > 0
-    why = evaluability(has_map, F.col("case_type"), F.col("reason_code"), F.size("anchors"))
+    why = evaluability(has_map, F.col("case_type"), F.col("reason_code"), F.col("n_listed"))
     judged = why["chain_evaluable"] & (F.col("n_chain_nodes") > 0)
     anchor, root = F.col("first_anchor_step"), F.col("first_root_step")
     anchored, later = anchor.isNotNull(), F.coalesce(F.col("last_root") >= anchor, F.lit(False))
@@ -192,7 +272,7 @@ def score_records(records: DataFrame, maps: DataFrame, nodes: DataFrame, edges:
         F.coalesce(multiplier(F.col("min_distance"), m_max, F.lit(1)), F.lit(1.0)).alias("best_positive_multiplier"),
         F.when(hit, F.when(has_steps, F.col("first_step_hit")).otherwise(0)).alias("first_hit_step"), F.when(hit, F.when(has_steps, F.col("first_step_root")).when(F.col("min_distance") == 0, 0)).alias("first_ground_truth_step"),
         precision.alias("hit_precision"), recall.alias("hit_recall"), F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall)).alias("hit_f1"),
-        "order_score", "miracle_step", "miracle_severity", "block_order_score", "block_miracle_step", "block_miracle_severity", *[c for c in outcome.columns if c != "record_index"], "max_error_run",
+        "order_score", "miracle_step", "miracle_severity", "block_order_score", "block_miracle_step", "block_miracle_severity", *outcome, "max_error_run",
         why["chain_evaluable"].alias("chain_evaluable"), why["reason"].alias("not_chain_evaluable_reason"), (judged & (F.coalesce("n_anchors", F.lit(0)) > 0) & (F.coalesce("n_roots", F.lit(0)) > 0)).alias("chain_graph_covered"),
         "n_chain_nodes", "n_context_nodes", F.when(judged, F.col("n_hit_chain_nodes")).otherwise(0).alias("n_hit_chain_nodes"), (judged & (F.col("n_hit_chain_nodes") > 0)).alias("chain_hit"), (judged & anchored).alias("anchor_hit"), (judged & root.isNotNull()).alias("root_hit"),
         F.when(judged, rate(F.col("n_hit_chain_nodes"), F.col("n_chain_nodes"))).alias("chain_node_recall"), F.when(judged, rate(F.col("n_chain_read_hits"), F.col("n_chain_read_hits") + F.col("n_off_chain_reads"))).alias("chain_read_precision"),

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import objects
+from ..functions.objects import ID_KEYS, STEP_LISTS, STEP_NAMES, let
 from ..functions.steps import is_object, items_of, kind_of, nested
 
-#: Keys under which a record list may stand, and where ids, sources and step numbers may.
+#: Keys under which a record list may stand, and objects that may carry a record's fields.
 ENVELOPES = ("records", "rollouts", "data", "items", "samples")
-ID_KEYS = ("instance_id", "uid", "task_id", "sample_id", "id")
-ID_PATHS = ("metadata.instance_id", "extra_fields.instance_id", "extra_info.instance_id", "extra_info.tools_kwargs.reward.metadata.instance_id", "tools_kwargs.reward.metadata.instance_id", "reward.metadata.instance_id")
 CONTAINERS = ("", "extra_fields", "extra_info", "metadata")
-STEP_NAMES = ("global_step", "trainer_step", "validation_step", "training_step", "step", "iteration")
-STEP_LISTS = ("p2a_step_traces", "steps", "traces")
 
 
 def unwrap(raw: Column) -> Column:
@@ -54,26 +52,45 @@ def containers(raw: Column) -> list[Column]:
 
 def instance_id(raw: Column) -> Column:
     """The first id: under a key of the record (one with a double underscore, but for ``instance_id``), then in the objects below."""
-    # Arrays and lambda variables name each value once, so that the generated code stays small.
-    others = F.filter(F.array(*[text_at(raw, k) for k in ID_KEYS[1:]]), lambda v: v.contains("__"))
-    found = F.concat(F.array(text_at(raw, ID_KEYS[0])), others, F.array(*[text_at(raw, p) for p in ID_PATHS]))
+    return let(objects.boxes(raw), id_in)
+
+
+def id_in(boxes: Column) -> Column:
+    """``instance_id`` of a record that is opened already."""
+    own, fields, info, meta = (boxes[i] for i in range(4))
+    others = F.filter(F.array(*[objects.text(own[k]) for k in ID_KEYS[1:]]), lambda v: v.contains("__"))
+    below = [objects.text(b["instance_id"]) for b in (meta, fields, info)]
+    rewards = [text_at(info["tools_kwargs"], "reward.metadata.instance_id"), text_at(own["tools_kwargs"], "reward.metadata.instance_id"), text_at(own["reward"], "metadata.instance_id")]
+    found = F.concat(F.array(objects.text(own[ID_KEYS[0]])), others, F.array(*below, *rewards))
     return F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
 
 
 def data_source(raw: Column) -> Column:
-    return F.coalesce(*[text_at(c, "data_source") for c in containers(raw)], F.lit("unknown"))
+    return let(objects.boxes(raw), source_in)
+
+
+def source_in(boxes: Column) -> Column:
+    return F.coalesce(*[objects.text(boxes[i]["data_source"]) for i in range(len(CONTAINERS))], F.lit("unknown"))
 
 
 def run_step(raw: Column) -> Column:
     """The first finite number under a step name, container by container, cut to a whole one."""
-    found = F.array(*[nested(c, n).try_cast("double") for c in containers(raw) for n in STEP_NAMES])
+    return let(objects.boxes(raw), step_in)
+
+
+def step_in(boxes: Column) -> Column:
+    found = F.array(*[objects.written(boxes[i][n]).try_cast("double") for i in range(len(CONTAINERS)) for n in STEP_NAMES])
     return F.get(F.filter(found, lambda x: ~F.isnan(x) & (F.abs(x) < 1e15)), F.lit(0)).cast("long")
 
 
 def step_list(raw: Column) -> Column:
     """The record's steps as array<string>: of the first container that has a list of them, itself or one level down; else empty."""
+    return let(objects.boxes(raw), steps_in)
+
+
+def steps_in(boxes: Column) -> Column:
     listed = lambda c: F.when(F.ltrim(c).startswith("["), c)
-    held = [nested(c, STEP_LISTS[0]) for c in containers(raw)]
+    held = [boxes[i][STEP_LISTS[0]] for i in range(len(CONTAINERS))]
     return items_of(F.coalesce(*[x for h in held for x in (listed(h), *[F.when(is_object(h), listed(nested(h, k))) for k in STEP_LISTS])]))
 
 
