@@ -324,24 +324,83 @@ def reshape_spans(t):
     return rows.select("record_index", F.array_join(F.transform(out, lambda x: x.cast("string")), ",").alias("advantages"))
 
 
-@query(sql(*BASE, "hits", body=PRECISION + """, n AS (SELECT record_index, count(DISTINCT (file_path, start_line, end_line)) AS n_reads, count(DISTINCT CASE WHEN n.node_key IS NOT NULL THEN (file_path, start_line, end_line) END) AS n_hit_reads FROM (SELECT q.*, n.node_key FROM reads q LEFT JOIN nodes n ON n.file_path = q.file_path AND rewardable AND start_line <= node_end AND end_line >= node_start) n GROUP BY ALL),
-h AS (SELECT record_index, min(d)::DOUBLE AS min_distance, count(*) AS n_hit_nodes, min(trace_idx)::INT AS first_hit_step, min(CASE WHEN d = 0 THEN trace_idx END)::INT AS first_ground_truth_step FROM hits GROUP BY ALL)
-SELECT r.record_index, (SELECT count(*) FROM steps s WHERE s.record_index = r.record_index) AS n_trace_steps, coalesce(n_reads, 0) AS n_reads, min_distance, coalesce(n_hit_nodes, 0) AS n_hit_nodes, first_hit_step, first_ground_truth_step,
-CASE WHEN n_hit_nodes > 0 THEN round(n_hit_reads / n_reads::DOUBLE, 6) END AS hit_precision, round(n_hit_nodes / (SELECT count(*) FROM nodes WHERE rewardable)::DOUBLE, 6) AS hit_recall
-FROM records r LEFT JOIN n USING (record_index) LEFT JOIN h USING (record_index)"""))
+#: The scorer's table, written out: every column from the tables, none from the library's own rules.
+SCORES = """, owned AS (SELECT record_index, data_source, run_step, record_index % 10 > 1 AS mapped, record_index % 10 = 1 AS k FROM records),
+acts AS (SELECT record_index, trace_idx, CASE family WHEN 'read' THEN 'read' WHEN 'edit' THEN 'edit' ELSE 'exec' END AS family, CASE family WHEN 'read' THEN p_brand WHEN 'edit' THEN target || '.py' END AS target, CASE family WHEN 'read' THEN p_brand || trunc(l_quantity)::INT || ',' || round(l_discount * 100)::INT WHEN 'edit' THEN target ELSE 'ls' END AS signature, trunc(l_quantity)::INT % 5 < 3 AS error FROM steps JOIN part ON l_partkey = p_partkey),
+firsts AS (SELECT file_path, d, min(node_key) AS k FROM nodes GROUP BY ALL),
+edges AS (SELECT node_key AS caller, k AS callee, rewardable AS reward FROM nodes n JOIN firsts f ON f.file_path = n.file_path AND f.d = n.d - 0.25),
+anchors AS (SELECT node_key FROM nodes WHERE d = 1 AND node_key % 3 = 0), roots AS (SELECT k AS node_key FROM firsts WHERE d = 0 AND file_path <> 'Brand#11'),
+ahead AS (SELECT node_key FROM anchors UNION SELECT callee FROM edges JOIN ahead ON caller = node_key WHERE reward), behind AS (SELECT node_key FROM roots UNION SELECT caller FROM edges JOIN behind ON callee = node_key WHERE reward),
+kept AS (SELECT caller, callee FROM edges WHERE reward AND caller IN (FROM ahead) AND caller IN (FROM behind) AND callee IN (FROM ahead) AND callee IN (FROM behind)),
+chain AS (SELECT node_key, bool_or(a) AS a, bool_or(r) AS r FROM (SELECT node_key, true AS a, false AS r FROM anchors UNION ALL SELECT node_key, false, true FROM roots UNION ALL SELECT caller, false, false FROM kept UNION ALL SELECT callee, false, false FROM kept) GROUP BY node_key),
+open_edges AS (SELECT caller, callee FROM edges WHERE caller % 11 = 0), reached AS (SELECT node_key FROM chain UNION SELECT caller FROM open_edges JOIN reached ON callee = node_key),
+totals AS (SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM nodes WHERE rewardable) AS n_good, (SELECT count(DISTINCT d) FROM nodes WHERE d > 0 AND d < 1)::INT AS n_levels, (SELECT count(*) FROM chain) AS n_chain, (SELECT count(*) FROM anchors) AS n_anchors, (SELECT count(*) FROM roots) AS n_roots, (SELECT count(DISTINCT caller) FROM open_edges WHERE callee IN (FROM reached)) AS n_context),
+q AS (SELECT r.* FROM reads r JOIN owned USING (record_index) WHERE mapped),
+touched AS (SELECT t.*, node_key, d, rewardable, c.node_key IS NOT NULL AS on_chain, coalesce(a, false) AS a, coalesce(r, false) AS r FROM (SELECT DISTINCT file_path, start_line, end_line FROM q) t JOIN nodes n ON n.file_path = t.file_path AND start_line <= node_end AND end_line >= node_start LEFT JOIN chain c USING (node_key)),
+near AS (SELECT file_path, start_line, end_line, min(d) FILTER (rewardable) AS distance, bool_or(on_chain) AS on_chain, bool_or(a) AS a, bool_or(r) AS r FROM touched GROUP BY ALL),
+seen AS (SELECT r.*, distance, coalesce(on_chain, false) AS on_chain, coalesce(a, false) AS a, coalesce(r.record_index IS NOT NULL AND near.r, false) AS r FROM reads r JOIN owned USING (record_index) LEFT JOIN near ON mapped AND near.file_path = r.file_path AND near.start_line = r.start_line AND near.end_line = r.end_line),
+spans AS (SELECT record_index, file_path, start_line, end_line, min(trace_idx) AS pos, any_value(distance) AS distance FROM seen GROUP BY ALL),
+read_stats AS (SELECT record_index, count(*) AS n_reads, count(distance) AS n_hit_reads, min(distance) AS min_distance, list_sort(list_distinct(list(file_path))) AS read_files, min(pos) FILTER (distance IS NOT NULL) AS first_hit, min(pos) FILTER (distance = 0) AS first_root FROM spans GROUP BY record_index),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY record_index ORDER BY trace_idx) AS block FROM (SELECT *, CASE WHEN family IS NOT DISTINCT FROM lag(family) OVER w AND target IS NOT DISTINCT FROM lag(target) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM acts WINDOW w AS (PARTITION BY record_index ORDER BY trace_idx))),
+node_hits AS (SELECT record_index, node_key, any_value(d) AS d, min(trace_idx) AS step, min(block) AS block FROM q JOIN numbered USING (record_index, trace_idx) JOIN touched USING (file_path, start_line, end_line) WHERE rewardable GROUP BY record_index, node_key),
+hit_counts AS (SELECT record_index, count(*) AS n_hit_nodes, min(step) FILTER (d = 0) AS root, min(step) FILTER (d > 0 AND d < 1) AS mid, min(block) FILTER (d = 0) AS block_root, min(block) FILTER (d > 0 AND d < 1) AS block_mid FROM node_hits GROUP BY record_index),
+by_step AS (SELECT record_index, step AS pos, d, count(*) AS n FROM node_hits GROUP BY ALL), by_block AS (SELECT record_index, block AS pos, d, count(*) AS n FROM node_hits GROUP BY ALL),
+ordered AS (SELECT x.record_index, sum(sign(x.d - y.d) * x.n * y.n) / sum(x.n * y.n) AS score FROM by_step x JOIN by_step y ON x.record_index = y.record_index AND x.pos < y.pos AND x.d <> y.d GROUP BY ALL),
+block_ordered AS (SELECT x.record_index, sum(sign(x.d - y.d) * x.n * y.n) / sum(x.n * y.n) AS score FROM by_block x JOIN by_block y ON x.record_index = y.record_index AND x.pos < y.pos AND x.d <> y.d GROUP BY ALL),
+outcomes AS (SELECT b.record_index, block, any_value(b.family) AS family, count(*) AS n, min(b.trace_idx) FILTER (distance IS NOT NULL) - min(b.trace_idx) + 1 AS soon, count(*) >= 3 AND count(DISTINCT signature) = 1 AS loop, any_value(mapped) AND any_value(b.family) = 'read' AS scored FROM numbered b JOIN owned USING (record_index) LEFT JOIN seen s ON s.record_index = b.record_index AND s.trace_idx = b.trace_idx GROUP BY b.record_index, block),
+block_stats AS (SELECT record_index, count(*) AS n_blocks, sum(n)::BIGINT AS n_block_steps, count(*) FILTER (scored) AS n_scored, coalesce(sum(n) FILTER (scored), 0)::BIGINT AS n_scored_steps, count(*) FILTER (scored AND soon IS NOT NULL) AS n_good, coalesce(sum(n) FILTER (scored AND soon IS NOT NULL), 0)::BIGINT AS n_good_steps, count(*) FILTER (scored AND soon IS NULL) AS n_bad, coalesce(sum(n) FILTER (scored AND soon IS NULL), 0)::BIGINT AS n_bad_steps, count(*) FILTER (loop) AS n_loops, coalesce(sum(n) FILTER (loop), 0)::BIGINT AS n_loop_steps, avg(soon) FILTER (scored) AS efficiency FROM outcomes GROUP BY record_index),
+flagged AS (SELECT c.record_index, c.trace_idx, error, error AND coalesce(on_chain, false) AS spiral FROM acts c LEFT JOIN seen s USING (record_index, trace_idx)),
+runs AS (SELECT record_index, max(n) FILTER (f) AS longest FROM (SELECT record_index, f, g, count(*) AS n FROM (SELECT record_index, error AS f, row_number() OVER (PARTITION BY record_index ORDER BY trace_idx) - row_number() OVER (PARTITION BY record_index, error ORDER BY trace_idx) AS g FROM flagged) GROUP BY ALL) GROUP BY record_index),
+spirals AS (SELECT record_index, max(n) FILTER (f) AS longest FROM (SELECT record_index, f, g, count(*) AS n FROM (SELECT record_index, spiral AS f, row_number() OVER (PARTITION BY record_index ORDER BY trace_idx) - row_number() OVER (PARTITION BY record_index, spiral ORDER BY trace_idx) AS g FROM flagged) GROUP BY ALL) GROUP BY record_index),
+chain_stats AS (SELECT record_index, count(*) FILTER (on_chain) AS n_on, count(*) FILTER (NOT on_chain) AS n_off, min(trace_idx) FILTER (a)::INT AS anchor, min(trace_idx) FILTER (r)::INT AS root, max(trace_idx) FILTER (r) AS last_root FROM seen GROUP BY record_index),
+later AS (SELECT record_index, count(*) AS after FROM seen JOIN chain_stats USING (record_index) WHERE on_chain AND trace_idx > anchor GROUP BY record_index),
+chain_nodes AS (SELECT record_index, count(*) AS n, max(times) >= 3 AS loop FROM (SELECT record_index, node_key, count(DISTINCT trace_idx) AS times FROM q JOIN touched USING (file_path, start_line, end_line) WHERE on_chain GROUP BY ALL) GROUP BY record_index)
+SELECT o.record_index, CASE WHEN mapped THEN 'i' WHEN k THEN 'k' ELSE 'none' END AS instance_id, data_source, run_step::BIGINT AS run_step, mapped OR k AS has_bonus_map, CASE WHEN mapped THEN 'standard' WHEN k THEN 'no_gt' END AS bonus_case_type,
+st.n > 0 AS has_step_traces, st.n AS n_trace_steps, coalesce(c.n_on + c.n_off, 0) AS n_steps_with_reads, coalesce(n_reads, 0) AS n_reads, array_to_string(coalesce(read_files, []), ' ') AS read_files, mapped AS has_call_graph, CASE WHEN mapped THEN n_nodes ELSE 0 END AS n_call_graph_nodes, coalesce(n_hit_nodes, 0) AS n_hit_nodes,
+min_distance IS NOT NULL AS hit_call_graph, coalesce(min_distance = 0, false) AS hit_ground_truth, coalesce(min_distance <= 0.5, false) AS hit_near, min_distance::DOUBLE AS min_distance, round(coalesce(pow(3.0, 1 - min_distance), 1), 6) AS best_positive_multiplier, first_hit::INT AS first_hit_step, first_root::INT AS first_ground_truth_step,
+CASE WHEN min_distance IS NOT NULL THEN round(n_hit_reads / n_reads::DOUBLE, 6) END AS hit_precision, CASE WHEN min_distance IS NOT NULL THEN round(n_hit_nodes / t.n_good::DOUBLE, 6) END AS hit_recall, CASE WHEN min_distance IS NOT NULL THEN round(2 * (n_hit_reads / n_reads::DOUBLE) * (n_hit_nodes / t.n_good::DOUBLE) / (n_hit_reads / n_reads::DOUBLE + n_hit_nodes / t.n_good::DOUBLE), 6) END AS hit_f1,
+round(x.score, 6) AS order_score, CASE WHEN n_hit_nodes > 0 THEN h.root IS NOT NULL AND coalesce(h.mid > h.root, true) END AS miracle_step, CASE WHEN n_hit_nodes > 0 THEN CASE WHEN h.root IS NOT NULL AND coalesce(h.mid > h.root, true) THEN n_levels ELSE 0 END END AS miracle_severity,
+round(y.score, 6) AS block_order_score, CASE WHEN n_hit_nodes > 0 THEN block_root IS NOT NULL AND coalesce(block_mid > block_root, true) END AS block_miracle_step, CASE WHEN n_hit_nodes > 0 THEN CASE WHEN block_root IS NOT NULL AND coalesce(block_mid > block_root, true) THEN n_levels ELSE 0 END END AS block_miracle_severity,
+b.n_blocks, n_block_steps, n_scored AS n_scored_read_blocks, n_scored_steps AS n_scored_read_block_steps, b.n_good AS n_achieving_blocks, n_good_steps AS n_achieving_block_steps, n_bad AS n_wasted_blocks, n_bad_steps AS n_wasted_block_steps, n_loops AS n_loop_blocks, n_loop_steps AS n_loop_block_steps, round(efficiency, 6) AS block_efficiency, coalesce(e.longest, 0)::INT AS max_error_run,
+mapped AS chain_evaluable, CASE WHEN k THEN 'no_gt' WHEN NOT mapped THEN 'missing_bonus_map' END AS not_chain_evaluable_reason, mapped AND n_anchors > 0 AND n_roots > 0 AS chain_graph_covered, CASE WHEN mapped THEN n_chain ELSE 0 END AS n_chain_nodes, CASE WHEN mapped THEN n_context ELSE 0 END AS n_context_nodes, coalesce(cn.n, 0) AS n_hit_chain_nodes, coalesce(cn.n > 0, false) AS chain_hit, mapped AND anchor IS NOT NULL AS anchor_hit, mapped AND c.root IS NOT NULL AS root_hit,
+CASE WHEN mapped THEN round(coalesce(cn.n, 0) / n_chain::DOUBLE, 6) END AS chain_node_recall, CASE WHEN mapped AND n_on + n_off > 0 THEN round(n_on / (n_on + n_off)::DOUBLE, 6) END AS chain_read_precision, anchor AS first_anchor_step, c.root AS first_root_step, c.root - anchor AS steps_anchor_to_root, anchor <= c.root AS anchor_before_root,
+mapped AND anchor IS NULL AS missed_anchor, mapped AND anchor IS NOT NULL AND NOT coalesce(last_root >= anchor, false) AS missed_root_after_anchor, coalesce(c.root < anchor, false) AS root_before_anchor, mapped AND anchor IS NOT NULL AND NOT coalesce(last_root >= anchor, false) AND coalesce(after, 0) >= 2 AS chain_stall, coalesce(cn.loop, false) AS chain_read_loop, mapped AND coalesce(n_off >= 3 AND n_off > n_on, false) AS off_chain_read_spree, mapped AND coalesce(z.longest, 0) >= 3 AS error_spiral_on_chain
+FROM owned o CROSS JOIN totals t JOIN (SELECT record_index, count(*) AS n FROM steps GROUP BY ALL) st USING (record_index) LEFT JOIN read_stats USING (record_index) LEFT JOIN hit_counts h USING (record_index) LEFT JOIN ordered x USING (record_index) LEFT JOIN block_ordered y USING (record_index) LEFT JOIN block_stats b USING (record_index) LEFT JOIN runs e USING (record_index) LEFT JOIN spirals z USING (record_index) LEFT JOIN chain_stats c USING (record_index) LEFT JOIN later USING (record_index) LEFT JOIN chain_nodes cn USING (record_index)"""
+
+
+def _rollouts(t: Tables) -> DataFrame:
+    """(record_index, raw): orders with items as rollouts in JSON. Steps view a file, edit one, or call the shell; some tell of a failure."""
+    edit = F.to_json(F.struct(F.lit("create").alias("command"), F.concat("target", F.lit(".py")).alias("path")))
+    start = F.col("l_quantity").cast("int")
+    view = F.to_json(F.struct(F.lit("view").alias("command"), F.col("p_brand").alias("path"), F.array(start, start + F.round(F.col("l_discount") * 100).cast("int")).alias("view_range")))
+    arguments = F.when(F.col("family") == "read", view).when(F.col("family") == "edit", edit).otherwise(F.lit('{"command": "ls"}'))
+    function = F.struct(F.when(F.col("family").isin("read", "edit"), "str_replace_editor").otherwise("execute_bash").alias("name"), arguments.alias("arguments"))
+    steps = t.steps().join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select("record_index", "trace_idx", F.struct(F.array(F.struct(function.alias("function"))).alias("tool_calls"), F.when(start % 5 < 3, "it failed").otherwise("fine").alias("observation")).alias("step"))
+    per = steps.groupBy("record_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("trace_idx", "step"))), lambda x: x["step"]).alias("p2a_step_traces"))
+    own = F.col("record_index") % 10
+    name = F.when(own > 1, "i").when(own == 1, "k").otherwise("none").alias("instance_id")
+    return t.records().join(per, "record_index").select("record_index", F.to_json(F.struct(name, "p2a_step_traces", F.struct("data_source", F.col("run_step").alias("step")).alias("extra_info"))).alias("raw"))
+
+
+def _graph(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Maps, nodes and edges of one instance: parts, each calling the first part of its brand that is a quarter nearer to the root."""
+    nodes = t.nodes().withColumn("node_role", F.when(F.col("node_key") % 11 == 0, "pre_symptom"))
+    firsts = nodes.groupBy("file_path", F.col("normalized_distance").alias("d")).agg(F.min("node_key").alias("callee"))
+    edges = nodes.join(firsts, (nodes.file_path == firsts.file_path) & (F.col("d") == F.col("normalized_distance") - 0.25)).select("instance_id", F.col("node_key").cast("string").alias("caller"), F.col("callee").cast("string").alias("callee"), F.col("rewardable").alias("reward"))
+    keys = lambda df, c: df.agg(F.collect_list(F.col(c).cast("string")))
+    anchors, roots = keys(nodes.where("normalized_distance = 1 and node_key % 3 = 0"), "node_key"), keys(firsts.where("d = 0 and file_path <> 'Brand#11'"), "callee")
+    listed = anchors.toDF("anchors").join(roots.toDF("roots"))
+    none = F.array().cast("array<string>")
+    maps = listed.select(F.lit("i").alias("map_id"), F.lit("standard").alias("case_type"), F.lit(None).cast("string").alias("reason_code"), "anchors", "roots")
+    maps = maps.unionAll(listed.select(F.lit("k"), F.lit("no_gt"), F.lit("no_gt"), none, none))
+    return maps, nodes.withColumn("node_key", F.col("node_key").cast("string")), edges
+
+
+@query(sql("records", "steps", "reads", "nodes", body=SCORES, recursive=True))
 def score_rollouts(t):
-    """The scorer over rollouts written as JSON: views of files where a step reads, shell calls elsewhere."""
-    reads = t.reads().select("record_index", "trace_idx", F.to_json(F.struct(F.lit("view").alias("command"), F.col("file_path").alias("path"), F.array("start_line", "end_line").alias("view_range"))).alias("view"))
-    steps = t.steps().select("record_index", "trace_idx").join(reads, ["record_index", "trace_idx"], "left")
-    function = F.struct(F.when(F.col("view").isNull(), "execute_bash").otherwise("str_replace_editor").alias("name"), F.coalesce("view", F.lit('{"command": "ls"}')).alias("arguments"))
-    per = steps.groupBy("record_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("trace_idx", function.alias("function")))), lambda x: F.struct(F.array(F.struct(x["function"].alias("function"))).alias("tool_calls"))).alias("p2a_step_traces"))
-    raw = F.to_json(F.struct(F.lit("i").alias("instance_id"), "p2a_step_traces"))
-    records = t.records().select("record_index").join(per, "record_index", "left").select("record_index", raw.alias("raw"))
-    maps = t.spark.createDataFrame([("i", "standard", None, [], [])], "map_id string, case_type string, reason_code string, anchors array<string>, roots array<string>")
-    nodes = t.nodes().withColumn("node_key", F.col("node_key").cast("string")).withColumn("node_role", F.lit(None).cast("string"))
-    edges = t.spark.createDataFrame([], "instance_id string, caller string, callee string, reward boolean")
-    d = scoring.score_records(records, maps, nodes, edges)
-    return d.select("record_index", "n_trace_steps", "n_reads", "min_distance", "n_hit_nodes", "first_hit_step", "first_ground_truth_step", R4("hit_precision").alias("hit_precision"), R4("hit_recall").alias("hit_recall"))
+    """Every column of the scorer."""
+    d = scoring.score_records(_rollouts(t), *_graph(t))
+    return d.withColumn("read_files", F.array_join("read_files", " ")).withColumns({c: R4(c) for c, kind in d.dtypes if kind == "double" and c != "min_distance"})
 
 
 from . import catalog_records  # noqa: E402, F401  registers its queries
