@@ -248,6 +248,11 @@ def terminal_components_whole(t):
     return graphs.terminal_nodes(_nodes_where(t, "true"), t.all_edges())
 
 
+@query(sql(*WHOLE, body=", paths(instance_id, source, target) AS (SELECT * FROM all_edges UNION SELECT p.instance_id, source, callee FROM paths p JOIN all_edges e ON p.instance_id = e.instance_id AND target = caller), tied AS (SELECT p.instance_id, p.source AS node_key, min(p.target) AS least FROM paths p SEMI JOIN paths q ON p.instance_id = q.instance_id AND q.source = p.target AND q.target = p.source GROUP BY ALL) SELECT o.instance_id, o.node_key, least(o.node_key, coalesce(least, o.node_key)) AS component FROM (SELECT DISTINCT instance_id, node_key FROM owned) o LEFT JOIN tied USING (instance_id, node_key)", recursive=True))
+def strong_components_whole(t):
+    return graphs.components(_nodes_where(t, "true"), t.all_edges())
+
+
 @query(sql(*WHOLE, body=", " + REACH_BY_INSTANCE.format(name="f", start="node_key % 4 = 1", src="caller", dst="callee") + ", " + REACH_BY_INSTANCE.format(name="b", start="is_patched", src="callee", dst="caller") + ", i AS (SELECT * FROM f INTERSECT SELECT * FROM b) SELECT e.* FROM all_edges e SEMI JOIN i a ON e.instance_id = a.instance_id AND caller = a.node_key SEMI JOIN i z ON e.instance_id = z.instance_id AND callee = z.node_key", recursive=True))
 def chain_projection_whole(t):
     """From the symptoms of each instance to its patched nodes."""

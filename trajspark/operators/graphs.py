@@ -57,7 +57,7 @@ def _split(edges: DataFrame, others: DataFrame, limit: int, small, large) -> Dat
     return small(*part("left_anti")).unionByName(large(*part("left_semi")))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, *, forward: bool = True, rounds: int = 200, limit: int = GROUP_EDGES) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, *, forward: bool = True, limit: int = GROUP_EDGES) -> DataFrame:
     """(instance_id, node_key) that can be reached from ``starts``, those included; backwards against the edges.
 
     Each instance is settled inside its own group; one with more than ``limit`` edges by rounds over distributed tables.
@@ -83,18 +83,17 @@ def reachable(edges: DataFrame, starts: DataFrame, *, forward: bool = True, roun
     def small(e: DataFrame, s: DataFrame) -> DataFrame:
         return e.groupBy(KEY).cogroup(s.groupBy(KEY)).applyInPandas(spread, shape)
 
-    return _split(e, s, limit, small, lambda e, s: _by_rounds(e, s, rounds))
+    return _split(e, s, limit, small, _by_rounds)
 
 
-def _by_rounds(e: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
-    """Only what the last round has added is followed. Each round cuts its lineage by a reliable checkpoint."""
+def _by_rounds(e: DataFrame, starts: DataFrame) -> DataFrame:
+    """Only what the last round has added is followed, as long as there is any. Each round cuts its lineage by a reliable checkpoint."""
     seen = new = _cut(starts)
-    for _ in range(rounds):
+    while True:
         new = _cut(new.join(e, [KEY, "node_key"]).select(KEY, F.col("next").alias("node_key")).distinct().join(seen, [KEY, "node_key"], "left_anti"))
         if new.isEmpty():
             return seen
         seen = _cut(seen.unionByName(new))
-    raise RuntimeError("reachability has not settled")
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -104,23 +103,106 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, *, rounds: int = 40) -> DataFrame:
-    """All (instance_id, source, target) joined by a path of an edge or more, by doubling: few rounds for long paths."""
-    now = _cut(edges.select(KEY, F.col("caller").alias("source"), F.col("callee").alias("target")).distinct())
-    n = now.count()
-    for _ in range(rounds):
-        step = now.select(KEY, F.col("source").alias("middle"), F.col("target").alias("end")).join(now.select(KEY, "source", F.col("target").alias("middle")), [KEY, "middle"])
-        now = _cut(now.unionByName(step.select(KEY, "source", F.col("end").alias("target"))).distinct())
-        if (m := now.count()) == n:
-            return now
-        n = m
-    raise RuntimeError("closure has not settled")
+#: A round of shrinking is worth another while it takes away such a share of the edges.
+SHRINKS = 0.05
+
+
+def components(nodes: DataFrame, edges: DataFrame, *, limit: int = GROUP_EDGES) -> DataFrame:
+    """(instance_id, node_key, component) of every node: strongly connected components, each named by its least node.
+
+    Edges at nodes that aren't listed, and loops, tie nothing. Each instance is settled inside its own group, in linear time; one with
+    more than ``limit`` edges is shrunk first, by rounds over distributed tables (``_shrunk``), and if that leaves a dense core, the
+    core is settled by colours. No table of pairs is made.
+    """
+    n = nodes.select(KEY, "node_key").distinct()
+    e = edges.where("caller <> callee").select(KEY, "caller", "callee").distinct()
+    e = stage(e.join(n.withColumnRenamed("node_key", "caller"), [KEY, "caller"], "left_semi").join(n.withColumnRenamed("node_key", "callee"), [KEY, "callee"], "left_semi"), "edges")
+    tied = _split(e, n, limit, lambda e, n: _settled(e), lambda e, n: _shrunk(e, limit))
+    return n.join(tied, [KEY, "node_key"], "left").withColumn("component", F.coalesce("component", "node_key"))
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """(instance_id, node_key, component) of the nodes of edges, one group for each instance."""
+    key, node = edges.schema[KEY].dataType.simpleString(), edges.schema["caller"].dataType.simpleString()
+
+    def settle(name: tuple, ways: pd.DataFrame) -> pd.DataFrame:
+        part = parts([], zip(ways["caller"].tolist(), ways["callee"].tolist(), strict=True))
+        least: dict = {}
+        for node, p in part.items():
+            least[p] = min(node, least.get(p, node))
+        return pd.DataFrame({KEY: [name[0]] * len(part), "node_key": list(part), "component": [least[p] for p in part.values()]})
+
+    return edges.groupBy(KEY).applyInPandas(settle, f"{KEY} {key}, node_key {node}, component {node}")
+
+
+def _shrunk(edges: DataFrame, limit: int) -> DataFrame:
+    """Components of large instances. Nodes without a way in or out are alone; a node with one way out is passed by, again and again, in both directions by turns.
+
+    To pass a node by is to lead its ways in on to its one target. Components of the others stay as they are, and the node is in its
+    target's if one of the nodes before it is; so, when the rest is settled, nodes get theirs in the order opposite to that in which
+    they went. Of neighbours that could both go, hashes that change with the round choose; a row of nodes loses a third in a round.
+    """
+    now, steps, size, turn = _cut(edges), [], None, 0
+    while True:
+        now = _cut(now.join(now.select(KEY, F.col("caller").alias("callee")).distinct(), [KEY, "callee"], "left_semi").join(now.select(KEY, F.col("callee").alias("caller")).distinct(), [KEY, "caller"], "left_semi"))
+        n = now.count()
+        if not n or _large(now, limit) is None:
+            tied = _settled(now)
+            break
+        if turn % 2 == 0:
+            if size is not None and n > size * (1 - SHRINKS):
+                tied = _by_colour(now)
+                break
+            size = n
+        ways = ("caller", "callee") if turn % 2 == 0 else ("callee", "caller")
+        e = now.select(KEY, F.col(ways[0]).alias("a"), F.col(ways[1]).alias("b"))
+        one = e.groupBy(KEY, "a").agg(F.count("*").alias("n"), F.min("b").alias("to")).where("n = 1").select(KEY, F.col("a").alias("v"), "to")
+        rank = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: B023, E731
+        free = one.select(KEY, F.col("v").alias("to"), F.lit(True).alias("also"))
+        able = _cut(one.join(free, [KEY, "to"], "left").where(F.col("also").isNull() | (rank("v") < rank("to")) | (rank("v") == rank("to")) & (F.col("v") < F.col("to"))).select(KEY, "v", "to"))
+        gone = _cut(able.join(able.select(KEY, F.col("v").alias("to")), [KEY, "to"], "left_anti"))
+        steps.append(_cut(gone.join(e.select(KEY, F.col("b").alias("v"), F.col("a").alias("before")), [KEY, "v"])))
+        led = e.join(gone.select(KEY, F.col("v").alias("a")), [KEY, "a"], "left_anti").join(gone.select(KEY, F.col("v").alias("b"), "to"), [KEY, "b"], "left")
+        now = led.select(KEY, F.col("a").alias(ways[0]), F.coalesce("to", "b").alias(ways[1])).where("caller <> callee").distinct()
+        turn += 1
+    tied = _cut(tied)
+    for step in reversed(steps):
+        of = lambda c: tied.select(KEY, F.col("node_key").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
+        met = step.join(of("before"), [KEY, "before"], "left").join(of("to"), [KEY, "to"], "left")
+        target = F.coalesce("of_to", "to")
+        found = met.where(F.coalesce("of_before", "before") == target).select(KEY, F.col("v").alias("node_key"), target.alias("component")).distinct()
+        # A target that was alone until now is named by itself.
+        heads = found.join(tied, [KEY, "node_key"], "left_anti").select(KEY, F.col("component").alias("node_key")).distinct().join(tied.select(KEY, "node_key"), [KEY, "node_key"], "left_anti").withColumn("component", F.col("node_key"))
+        tied = _cut(tied.unionByName(found).unionByName(heads))
+    least = tied.groupBy(KEY, "component").agg(F.min("node_key").alias("least"))
+    return tied.join(least, [KEY, "component"]).select(KEY, "node_key", F.col("least").alias("component"))
+
+
+def _by_colour(edges: DataFrame) -> DataFrame:
+    """Components by colours: each node takes the greatest name that leads to it; what of a colour leads back to its name is a component, the rest goes on."""
+    found = None
+    while not edges.isEmpty():
+        colour = _cut(edges.select(KEY, F.explode(F.array("caller", "callee")).alias("node_key")).distinct().withColumn("colour", F.col("node_key")))
+        while True:
+            seen = edges.join(colour.withColumnRenamed("node_key", "caller"), [KEY, "caller"]).groupBy(KEY, F.col("callee").alias("node_key")).agg(F.max("colour").alias("new"))
+            then = _cut(colour.join(seen, [KEY, "node_key"], "left").select(KEY, "node_key", F.greatest("colour", "new").alias("colour"), F.coalesce(F.col("new") > F.col("colour"), F.lit(False)).alias("changed")))
+            colour = then.drop("changed")
+            if then.where("changed").isEmpty():
+                break
+        same = edges.join(colour.withColumnRenamed("node_key", "caller"), [KEY, "caller"]).join(colour.select(KEY, F.col("node_key").alias("callee"), F.col("colour").alias("_c")), [KEY, "callee"]).where("colour = _c").select(KEY, "caller", "callee")
+        back = _cut(same.select(KEY, F.col("callee").alias("node_key"), F.col("caller").alias("next")))
+        reached = _by_rounds(back, colour.where("node_key = colour").select(KEY, "node_key"))
+        own = reached.join(colour, [KEY, "node_key"]).select(KEY, "node_key", F.col("colour").alias("component"))
+        found = own if found is None else found.unionByName(own)
+        left = lambda c: reached.withColumnRenamed("node_key", c)  # noqa: B023, E731
+        edges = _cut(same.join(left("caller"), [KEY, "caller"], "left_anti").join(left("callee"), [KEY, "callee"], "left_anti"))
+    return found
 
 
 def terminal_nodes(nodes: DataFrame, edges: DataFrame, *, limit: int = GROUP_EDGES) -> DataFrame:
     """Nodes of the components that lead to no other: all that a node reaches also reaches it.
 
-    Each instance is settled inside its own group, in linear time; one with more than ``limit`` edges by the closure of its paths.
+    Each instance is settled inside its own group, in linear time; one with more than ``limit`` edges by its components.
     """
     n = nodes.select(KEY, "node_key").distinct()
     e = stage(edges.select(KEY, "caller", "callee").distinct(), "edges")
@@ -133,11 +215,19 @@ def terminal_nodes(nodes: DataFrame, edges: DataFrame, *, limit: int = GROUP_EDG
     def small(e: DataFrame, n: DataFrame) -> DataFrame:
         return e.groupBy(KEY).cogroup(n.groupBy(KEY)).applyInPandas(settle, shape)
 
-    return _split(e, n, limit, small, _by_closure)
+    return _split(e, n, limit, small, lambda e, n: _by_components(e, n, limit))
 
 
 def sinks(nodes: list, edges: Iterable[tuple]) -> list:
-    """Those of ``nodes`` from which every way leads back: components that no edge leaves.
+    """Those of ``nodes`` from which every way leads back: components that no edge leaves."""
+    edges = list(edges)
+    part = parts(nodes, edges)
+    left = {part[a] for a, b in edges if part[a] != part[b]}
+    return [n for n in nodes if part[n] not in left]
+
+
+def parts(nodes: list, edges: Iterable[tuple]) -> dict:
+    """A member of its strongly connected component for each node, of those of edges too.
 
     Components are taken along reversed edges, in the order in which a depth-first search finishes last.
     """
@@ -170,15 +260,16 @@ def sinks(nodes: list, edges: Iterable[tuple]) -> list:
             if node not in part:
                 part[node] = start
                 todo += [b for b in back.get(node, ()) if b not in part]
-    left = {part[a] for a, ways in out.items() for b in ways if part[a] != part[b]}
-    return [n for n in nodes if part[n] not in left]
+    return part
 
 
-def _by_closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    paths = closure(edges)
-    back = paths.select(KEY, F.col("source").alias("t"), F.col("target").alias("s"))
-    one_way = paths.join(back, (paths[KEY] == back[KEY]) & (paths.source == back.s) & (paths.target == back.t), "left_anti")
-    return nodes.join(one_way.select(KEY, F.col("source").alias("node_key")).distinct(), [KEY, "node_key"], "left_anti")
+def _by_components(edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """Nodes of components that no edge leaves. An edge to a node that isn't listed leaves its component, too."""
+    every = edges.select(KEY, F.explode(F.array("caller", "callee")).alias("node_key")).unionByName(nodes).distinct()
+    of = stage(components(every, edges, limit=limit), "components")
+    end = lambda c: of.select(KEY, F.col("node_key").alias(c), F.col("component").alias(f"of_{c}"))
+    left = edges.join(end("caller"), [KEY, "caller"]).join(end("callee"), [KEY, "callee"]).where("of_caller <> of_callee").select(KEY, F.col("of_caller").alias("component")).distinct()
+    return of.join(left, [KEY, "component"], "left_anti").join(nodes, [KEY, "node_key"], "left_semi").select(KEY, "node_key")
 
 
 def edge_roles(edges: DataFrame, roles: DataFrame) -> DataFrame:
