@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .catalog import ORACLE_SQL, R4, query
 from .functions import anchors, tasks, text
 from .operators import credit, graphs, overlap
-from .plans import cache, callgraph, rollout, summary
+from .plans import cache, callgraph, rollout, roots, summary
 from .plans.testdata import sql
 from .sources import registry
 
@@ -75,6 +75,41 @@ def call_graph_summary(t):
     return _graph(t).summary.drop("excluded_non_rewardable_node_count")
 
 
+def _roots(t):
+    return roots.select_roots(_traces(t), _issues(t))
+
+
+@query(sql("steps", "frames", body=GRAPH_SQL + ", at AS (SELECT instance_id, trace_idx, node_key, string_agg(frame_idx::VARCHAR, ',' ORDER BY frame_idx) AS frame_indices FROM keyed WHERE is_patched GROUP BY ALL), down AS (SELECT a.instance_id, a.trace_idx, a.node_key, string_agg(b.node_key, ',' ORDER BY b.node_key) AS downstream FROM seen a JOIN seen b USING (instance_id, trace_idx) WHERE a.first < b.last AND a.node_key <> b.node_key GROUP BY ALL) SELECT s.instance_id, s.trace_idx, s.node_key, first::INT AS frame_index, frame_indices, coalesce(downstream, '') AS downstream, downstream IS NULL AS trace_terminal, r.node_key IS NOT NULL AS selected_root_seed, r.node_key IS NULL AS upstream_adapter FROM seen s JOIN at USING (instance_id, trace_idx, node_key) LEFT JOIN down USING (instance_id, trace_idx, node_key) LEFT JOIN roots r ON r.instance_id = s.instance_id AND r.node_key = s.node_key".replace(" at AS", " held AS").replace("JOIN at ", "JOIN held "), recursive=True))
+def root_frames(t):
+    """Patched callables of each trace, what stands behind each, and which of them are roots."""
+    return _roots(t).frames.withColumns({"frame_indices": F.array_join(F.transform("frame_indices", lambda x: x.cast("string")), ","), "downstream": F.array_join("downstream", ",")})
+
+
+@query(sql("steps", "frames", body=GRAPH_SQL + ", mutual AS (SELECT p.instance_id, p.u, min(p.v) AS least FROM paths p SEMI JOIN paths q ON p.instance_id = q.instance_id AND p.u = q.v AND p.v = q.u GROUP BY ALL), parts AS (SELECT r.instance_id, r.node_key, least(r.node_key, coalesce(least, r.node_key)) AS component FROM roots r LEFT JOIN mutual m ON m.instance_id = r.instance_id AND m.u = r.node_key) SELECT instance_id, (row_number() OVER (PARTITION BY instance_id ORDER BY component) - 1)::INT AS place, string_agg(node_key, ',' ORDER BY node_key) AS members FROM parts GROUP BY instance_id, component", recursive=True))
+def root_components(t):
+    """The sink components of each instance's dependency graph, in order."""
+    return _roots(t).components.withColumn("members", F.array_join("members", ","))
+
+
+WALK = """, {0}b AS (SELECT st.instance_id, st.trace_idx, st.node_key, st.first AS root_idx, arg_max(frame_idx, score * 1000 + frame_idx) FILTER (frame_idx <= st.first) AS start_idx FROM (SELECT * FROM seen {1}) st LEFT JOIN scored USING (instance_id, trace_idx) GROUP BY ALL),
+{0}v AS (SELECT k.instance_id, k.node_key, min(root_idx - frame_idx) AS hop, bool_or(is_test) AS harness, bool_or(NOT is_test AND NOT coalesce(frame_idx < start_idx, false)) AS good FROM keyed k JOIN {0}b b ON b.instance_id = k.instance_id AND b.trace_idx = k.trace_idx WHERE frame_idx <= root_idx GROUP BY ALL),
+{0}c AS (SELECT instance_id, count(*) FILTER (good AND NOT harness AND hop = 0) AS zero, greatest(coalesce(max(hop) FILTER (good AND NOT harness), 0), 1)::INT AS top FROM {0}v GROUP BY ALL)"""
+
+
+@query(sql("steps", "frames", body=GRAPH_SQL + WALK.format("old_", "") + WALK.format("new_", "SEMI JOIN roots USING (instance_id, node_key)") + ", p AS (SELECT s.instance_id, count(DISTINCT s.node_key) AS patched, count(DISTINCT s.node_key) FILTER (r.node_key IS NULL) AS upstream_adapters FROM seen s LEFT JOIN roots r ON r.instance_id = s.instance_id AND r.node_key = s.node_key GROUP BY ALL) SELECT p.*, o.zero AS legacy_distance_zero_node_count, o.top AS legacy_hop_max, n.zero AS distance_zero_node_count, n.top AS hop_max FROM p JOIN old_c o USING (instance_id) JOIN new_c n USING (instance_id)", recursive=True))
+def root_counts(t):
+    """Walks from every patched frame beside walks from the roots."""
+    return _roots(t).counts
+
+
+@query(sql("steps", "frames", body=GRAPH_SQL + " SELECT b.instance_id, b.trace_idx, root_key, root_idx::INT AS root_idx, CASE WHEN start_idx IS NULL THEN 'test_filtered_fallback' ELSE 'issue_anchor' END AS reward_start_source, start_idx::INT AS start_idx, k.node_key AS anchor_key, CASE WHEN start_idx IS NULL THEN '' ELSE 'backtick C' || b.instance_id % 3 || '.f' || (b.instance_id % 50 + 1) || ',dotted_name C' || b.instance_id % 3 || '.f' || (b.instance_id % 50 + 1) END AS matched FROM begun b LEFT JOIN keyed k ON k.instance_id = b.instance_id AND k.trace_idx = b.trace_idx AND k.frame_idx = start_idx", recursive=True))
+def root_starts(t):
+    """Each start with the anchor's node and what of the issue matches it."""
+    f = _traces(t)
+    starts = callgraph.build(f, _modified(t), _issues(t)).starts
+    return roots.start_records(f, starts, _issues(t)).withColumn("matched", F.array_join(F.transform("matched", lambda m: F.concat_ws(" ", m["kind"], m["value"])), ","))
+
+
 @query(sql("steps", "frames", body=f", {TRACE_SQL} SELECT instance_id, node_key FROM (SELECT DISTINCT instance_id, 'pkg/m' || x || '.py::C' || x || '.f' || x AS node_key FROM keyed, (VALUES (0), (1)) v(x)) m ANTI JOIN (SELECT DISTINCT instance_id, node_key FROM keyed WHERE is_patched) USING (instance_id, node_key)"))
 def unobserved_callables(t):
     """Patched callables that no trace has shown."""

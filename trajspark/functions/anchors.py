@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.staging import stage
+
 #: Names too common to point at anything by themselves.
 GENERIC = "__call__ __new__ call delete dispatch func function get handle head inner main method options patch post put run setup teardown test view wrapper".split()
 #: Kinds of anchors in the order in which they are looked for, each with its pattern; a traceback names a path and a function.
@@ -95,8 +97,37 @@ def _ends(whole: Column, part: Column, sign: str) -> Column:
 
 def name_matches(qualified: Column, name: Column) -> Column:
     """Whether a frame's own name is the given one, or for a name that isn't common that name with ``_value`` or ``_values``."""
-    own = F.substring_index(plain_qualname(qualified), ".", -1)
-    return (own == name) | (~is_generic(name) & own.isin(F.concat(name, F.lit("_value")), F.concat(name, F.lit("_values"))))
+    return _named(F.substring_index(plain_qualname(qualified), ".", -1), name, is_generic(name))
+
+
+def _named(own: Column, name: Column, generic: Column) -> Column:
+    return (own == name) | (~generic & own.isin(F.concat(name, F.lit("_value")), F.concat(name, F.lit("_values"))))
+
+
+def _frame_side(path: Column, qualified: Column) -> dict[str, Column]:
+    """What a score needs of a frame."""
+    plain = plain_qualname(qualified)
+    return {"f_path": anchor_path(path), "f_name": plain, "f_own": F.substring_index(plain, ".", -1)}
+
+
+def _anchor_side(path: Column, qualified: Column, name: Column) -> dict[str, Column]:
+    """What a score needs of a candidate."""
+    last = leaf(qualified)
+    is_class = F.substring(last, 1, 1) != F.lower(F.substring(last, 1, 1))
+    return {"c_path": anchor_path(path), "c_name": plain_qualname(_bare(qualified)), "c_last": last, "c_class": is_class, "c_common_last": is_generic(last), "c_own": name, "c_common_own": is_generic(name)}
+
+
+def _score(s: dict[str, Column]) -> Column:
+    same_path = _ends(s["f_path"], s["c_path"], "/") | F.endswith(s["c_path"], F.concat(F.lit("/"), s["f_path"]))
+    same_name = _ends(s["f_name"], s["c_name"], ".")
+    dotted = lambda c: F.concat(F.lit("."), c, F.lit("."))
+    same_class = s["c_class"] & F.contains(dotted(s["f_name"]), dotted(s["c_last"]))
+    same_leaf = ~s["c_common_last"] & _named(s["f_own"], s["c_last"], s["c_common_last"])
+    own = _named(s["f_own"], s["c_own"], s["c_common_own"])
+    # The scores.
+    with_path = F.when(~same_path, None).when(s["c_name"].isNotNull(), F.when(same_name, 100)).when(s["c_own"].isNotNull(), F.when(own, 80)).when(s["c_path"].contains("/"), 30)
+    without = F.when(s["c_name"].isNotNull(), F.when(same_name, 90).when(same_class, 70).when(same_leaf, 60)).when(s["c_own"].isNotNull(), F.when(own, 50))
+    return F.when(s["c_path"].isNotNull(), with_path).otherwise(without)
 
 
 def match_score(path: Column, qualified: Column, c_path: Column, c_qualified: Column, c_name: Column) -> Column:
@@ -105,24 +136,25 @@ def match_score(path: Column, qualified: Column, c_path: Column, c_qualified: Co
     With a path: 100 path and qualified name, 80 path and name, 30 the path alone, which has to have a folder. Without: 90 the
     end of the qualified name, 70 a class on it, 60 its last part, 50 the name.
     """
-    a, b = anchor_path(path), anchor_path(c_path)
-    same_path = _ends(a, b, "/") | F.endswith(b, F.concat(F.lit("/"), a))
-    frame = plain_qualname(qualified)
-    same_name = _ends(frame, plain_qualname(_bare(c_qualified)), ".")
-    last = leaf(c_qualified)
-    same_class = (F.substring(last, 1, 1) != F.lower(F.substring(last, 1, 1))) & F.contains(F.concat(F.lit("."), frame, F.lit(".")), F.concat(F.lit("."), last, F.lit(".")))
-    same_leaf = ~is_generic(last) & name_matches(qualified, last)
-    with_path = F.when(~same_path, None).when(c_qualified.isNotNull(), F.when(same_name, 100)).when(c_name.isNotNull(), F.when(name_matches(qualified, c_name), 80)).when(b.contains("/"), 30)
-    without = F.when(c_qualified.isNotNull(), F.when(same_name, 90).when(same_class, 70).when(same_leaf, 60)).when(c_name.isNotNull(), F.when(name_matches(qualified, c_name), 50))
-    return F.when(c_path.isNotNull(), with_path).otherwise(without)
+    return _score(_frame_side(path, qualified) | _anchor_side(c_path, c_qualified, c_name))
+
+
+def scored_pairs(frames: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Frames (instance_id, path, own) with the anchors of their instance that match them, and the ``score``.
+
+    Names are taken apart once for each frame and each anchor, not for each pair; both are staged, so that the code of the pairs stays small.
+    """
+    sides = _frame_side(F.col("path"), F.col("own")), _anchor_side(F.col("file_path"), F.col("qualified_name"), F.col("name"))
+    f = stage(frames.select("instance_id", "path", "own").distinct().withColumns(sides[0]), "frames")
+    a = stage(anchors.withColumns(sides[1]), "anchors")
+    names = [*sides[0], *sides[1]]
+    return f.join(a, "instance_id").withColumn("score", _score({n: F.col(n) for n in names})).where("score is not null").drop(*names)
 
 
 def frame_scores(frames: DataFrame, anchors: DataFrame) -> DataFrame:
     """(instance_id, file_path, qualified_name, score): the best score of each distinct frame of an instance under its anchors."""
-    f = frames.select("instance_id", F.coalesce("file_path", F.lit("")).alias("path"), F.coalesce(_none_if_empty(F.col("qualified_name")), "func_name", F.lit("")).alias("own")).distinct()
-    a = anchors.select("instance_id", F.col("file_path").alias("p"), F.col("qualified_name").alias("q"), F.col("name").alias("n")).distinct()
-    scored = f.join(a, "instance_id").withColumn("score", match_score(F.col("path"), F.col("own"), F.col("p"), F.col("q"), F.col("n")))
-    return scored.where("score is not null").groupBy("instance_id", "path", "own").agg(F.max("score").alias("score"))
+    f = frames.select("instance_id", F.coalesce("file_path", F.lit("")).alias("path"), F.coalesce(_none_if_empty(F.col("qualified_name")), "func_name", F.lit("")).alias("own"))
+    return scored_pairs(f, anchors.select("instance_id", "file_path", "qualified_name", "name").distinct()).groupBy("instance_id", "path", "own").agg(F.max("score").alias("score"))
 
 
 def select_anchors(frames: DataFrame, anchors: DataFrame) -> DataFrame:
