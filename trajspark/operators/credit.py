@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.objects import let
 from ..functions.text import multiplier, rate
 
 
@@ -55,14 +56,42 @@ def _factor(parts: Column, i: Column) -> Column:
     return F.aggregate(parts, F.lit(1.0), lambda a, p: F.when(F.exists(p["spans"], lambda s: (s["start"] <= i) & (i < s["end"])), a * p["factor"]).otherwise(a))
 
 
+def _stretches(spans: Column, n: Column) -> Column:
+    """The places from 0 to ``n``, cut wherever a span starts or ends: array<struct<start, end>>; no span holds a part of a stretch."""
+    ends = F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"])))
+    inner = F.filter(ends, lambda e: (e > 0) & (e < n))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), inner, F.array(n))))
+    return let(cuts, lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda x, i: F.struct(x.alias("start"), c[i + 1].alias("end"))))
+
+
+def _swept(values: Column, mask: Column, parts: Column) -> Column:
+    """``values`` times the factors of the parts that hold their place, where the mask is set.
+
+    The sweep goes from one start or end of a span to the next: the product of factors is made once for each stretch between two,
+    in the order of the parts, so a token costs one multiplication and gives what a product of its own would give, to the bit.
+    """
+
+    def stretch(s: Column) -> Column:
+        own = lambda c: F.slice(c, s["start"] + 1, s["end"] - s["start"])
+        return let(_factor(parts, s["start"]), lambda f: F.transform(own(F.arrays_zip(values.alias("x"), F.slice(mask, F.lit(1), F.size(values)).alias("m"))), lambda t: F.when(t["m"] != 0, t["x"] * f).otherwise(t["x"])))
+
+    return F.flatten(F.transform(_stretches(F.flatten(F.transform(parts, lambda p: p["spans"])), F.size(values)), stretch))
+
+
 def apply(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """``rows`` with advantages and returns multiplied under the mask, and n_reshaped and multiplier_sum; a row without parts stays."""
     j = rows.join(parts.select("record_index", "parts"), "record_index", "left")
-    new = lambda c: F.when(F.col("parts").isNull(), F.col(c)).otherwise(F.transform(c, lambda x, i: F.when(F.get("response_mask", i) != 0, x * _factor(F.col("parts"), i)).otherwise(x)))
+    new = lambda c: F.when(F.col("parts").isNull() | (F.size(c) == 0), F.col(c)).otherwise(_swept(F.col(c), F.col("response_mask"), F.col("parts")))
     total = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["factor"])
     return j.withColumns({"advantages": new("advantages"), "returns": new("returns"), "n_reshaped": F.coalesce(F.size("parts"), F.lit(0)), "multiplier_sum": F.coalesce(total, F.lit(0.0))}).drop("parts")
 
 
+def _covered(mask: Column, spans: Column) -> Column:
+    """How many masked places lie in some of the spans, each once."""
+    held = F.filter(_stretches(spans, F.size(mask)), lambda t: F.exists(spans, lambda s: (s["start"] <= t["start"]) & (t["start"] < s["end"])))
+    return F.aggregate(held, F.lit(0), lambda a, t: a + F.size(F.filter(F.slice(mask, t["start"] + 1, t["end"] - t["start"]), lambda m: m != 0)))
+
+
 def whole_rows(rows: DataFrame, distances: DataFrame, m_max: float = 3.0) -> DataFrame:
     """Parts for rows without steps: one over the whole row, if its reads (record_index, distance) touch the graph."""
     s = _rows(rows).join(distances.where("distance is not null"), "record_index")
@@ -91,7 +120,7 @@ def block_metrics(blocks: DataFrame, reshaped: DataFrame) -> DataFrame:
     counts = blocks.agg(F.coalesce(F.sum("n_blocks"), F.lit(0)).alias("n_blocks"), F.coalesce(F.sum(F.size("parts")), F.lit(0)).alias("n_achieving"), F.coalesce(F.sum("n_wasted"), F.lit(0)).alias("n_wasted"), F.coalesce(F.sum("block_steps"), F.lit(0)).alias("_steps"))
     held = reshaped.join(blocks.select("record_index", "parts"), "record_index", "left")
     valid = F.size(F.filter("response_mask", lambda m: m != 0))
-    touched = F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(F.filter(F.transform("response_mask", lambda m, i: (m != 0) & F.exists(p["spans"], lambda s: (s["start"] <= i) & (i < s["end"]))), lambda x: x)))
+    touched = F.aggregate("parts", F.lit(0), lambda a, p: a + _covered(F.col("response_mask"), p["spans"]))
     tokens = held.agg(F.coalesce(F.sum(touched), F.lit(0)).alias("_touched"), F.coalesce(F.sum(valid), F.lit(0)).alias("_valid"))
     both = counts.crossJoin(tokens)  # one row each
     return both.select("n_blocks", "n_achieving", "n_wasted", rate(F.col("_steps"), F.greatest("n_blocks", F.lit(1))).alias("mean_len"), rate(F.col("_touched"), F.greatest("_valid", F.lit(1))).alias("reshaped_token_share"))

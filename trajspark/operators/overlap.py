@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEYS = ["instance_id", "file_path"]
 #: Lines of a bin in joins of ranges.
 BIN = 32
+#: Sizes of blocks that lines are looked up by: up to 2**32 lines.
+LEVELS = 32
 
 
 def _pairs(reads: DataFrame, nodes: DataFrame, width: int = BIN) -> DataFrame:
@@ -74,17 +76,55 @@ def precision_recall(reads: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("record_index", "precision", "recall", (2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).alias("f1"))
 
 
-def in_some_range(points: DataFrame, ranges: DataFrame) -> DataFrame:
+def _blocks(start: Column, end: Column) -> Column:
+    """The dyadic blocks that make up the lines from ``start`` to ``end``: array<struct<level, block>>, two of a level at most."""
+    begun = F.struct(start.cast("long").alias("l"), (end.cast("long") + 1).alias("r"), F.array().cast("array<struct<level:int,block:bigint>>").alias("out"))
+
+    def step(acc: Column, k: Column) -> Column:
+        block = lambda at: F.struct(k.cast("int").alias("level"), at.alias("block"))
+        l, r, open_ = acc["l"], acc["r"], acc["l"] < acc["r"]  # noqa: E741
+        low, high = open_ & (l.bitwiseAND(1) == 1), open_ & (r.bitwiseAND(1) == 1) & (l.bitwiseAND(1) + l < r)
+        found = F.filter(F.array(F.when(low, block(l)), F.when(high, block(r - 1))), lambda x: x.isNotNull())
+        # A block that ends a range is cut off it; what is left is a range of blocks of twice the size.
+        return F.struct(F.shiftright(l + l.bitwiseAND(1), 1).alias("l"), F.shiftright(r, 1).alias("r"), F.concat(acc["out"], found).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), begun, step, lambda acc: acc["out"])
+
+
+def stab(points: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct points (``keys``, line_no) with all columns of the ranges (``keys``, start_line, end_line, ...) that hold them.
+
+    A range is cut into dyadic blocks, and a line lies in one block of each size, so that each point meets each of its ranges
+    once, in some block, by an equi-join: a file of many points and ranges is many keys. A line is looked up once, however many
+    rows have it. Nulls, and ranges that end before they start, hold nothing.
+    """
+    r = ranges.where("start_line <= end_line").withColumn("_b", F.explode(_blocks(F.col("start_line"), F.col("end_line")))).select("*", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).drop("_b")
+    used = ranges.where("start_line <= end_line").agg(F.max(F.ceil(F.log2(F.col("end_line").cast("long") - F.col("start_line") + 1)))).first()[0] or 0
+    p = points.where("line_no is not null").select(*keys, "line_no").distinct().withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(int(used)))))
+    return p.withColumn("_block", F.expr("shiftright(cast(line_no as bigint), _level)")).join(r, [*keys, "_level", "_block"]).drop("_level", "_block")
+
+
+def in_some_range(points: DataFrame, ranges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``points`` (file_path, line_no, ...) that lie in some range of their file."""
-    r = ranges.select(F.col("file_path").alias("f"), F.col("start_line").alias("s"), F.col("end_line").alias("e")).distinct()
-    return points.join(r, (F.col("file_path") == F.col("f")) & F.col("line_no").between(F.col("s"), F.col("e")), "left_semi")
+    keys = keys or ["file_path"]
+    held = stab(points, ranges.select(*keys, "start_line", "end_line").distinct(), keys).select(*keys, "line_no").distinct()
+    return points.join(held, [*keys, "line_no"], "left_semi")
+
+
+def first_range(points: DataFrame, ranges: DataFrame, place: str, keys: list[str] | None = None) -> DataFrame:
+    """``points`` with ``first``, the range (a struct of its other columns) of the least ``place`` that holds each; null for none."""
+    keys = keys or ["file_path"]
+    own = [c for c in ranges.columns if c not in keys]
+    r = ranges.select(*keys, "start_line", "end_line", F.col(place).alias("_place"), F.struct(*own).alias("first"))
+    found = stab(points, r, keys).groupBy(*keys, "line_no").agg(F.min_by("first", "_place").alias("first"))
+    return points.join(found, [*keys, "line_no"], "left")
 
 
 def innermost(points: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
     """For each point of ``key``, the name of the range that holds it: an equal name first, then the shortest, then the one that starts last."""
-    r = ranges.select(F.col("file_path"), F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.col("qualified_name").alias("range_name"))
-    held = points.join(r, "file_path").where("line_no between s and e")
-    rank = F.struct((F.col("range_name") != F.col("qualified_name")).cast("int"), F.col("e") - F.col("s"), -F.col("s"), "range_name")
+    r = ranges.select("file_path", "start_line", "end_line", F.col("qualified_name").alias("range_name"))
+    held = points.join(stab(points, r, ["file_path"]), ["file_path", "line_no"])
+    rank = F.struct((F.col("range_name") != F.col("qualified_name")).cast("int"), F.col("end_line").cast("long") - F.col("start_line"), -F.col("start_line").cast("long"), "range_name")
     return held.groupBy(*key).agg(F.min_by("range_name", rank).alias("callable"))
 
 
