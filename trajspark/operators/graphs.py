@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -285,14 +285,30 @@ def chain(edges: DataFrame, anchors: DataFrame, roots: DataFrame) -> DataFrame:
     return edges.join(inside.withColumnRenamed("node_key", "caller"), [KEY, "caller"], "left_semi").join(inside.withColumnRenamed("node_key", "callee"), [KEY, "callee"], "left_semi")
 
 
+def _signature(frames: str, times: int) -> Column:
+    """A bit for each frame that stands at least so often in a trace: what a longer trace has to have, too."""
+    often = F.array_distinct(F.filter(frames, lambda x: F.size(F.filter(frames, lambda y: y == x)) >= times)) if times > 1 else F.array_distinct(frames)
+    return F.aggregate(often, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+
+
 def maximal_traces(traces: DataFrame) -> DataFrame:
     """Distinct traces (instance_id, frames array) of which none is a subsequence of a longer one of its instance.
 
-    Only pairs with a shared last frame of the shorter trace are compared.
+    A trace is looked for where the rarest of its frames stands: in the traces of its instance with that frame, of which only
+    those are gone through that are longer and have all its frames by two 64-bit signatures (frames; frames that stand twice).
+    Frames that all traces share, such as the patched function at the end, bring nothing together. A trace without frames is
+    part of any other; nulls in frames equal nothing.
     """
-    d = traces.select(KEY, "frames").distinct()
-    short = d.select(KEY, F.col("frames").alias("a"), F.element_at("frames", -1).alias("f")).where("size(frames) > 0")
-    long = d.select(KEY, F.col("frames").alias("b"), F.explode(F.array_distinct("frames")).alias("f"))
+    d = stage(traces.select(KEY, "frames").distinct().withColumns({"size": F.size("frames"), "once": _signature("frames", 1), "twice": _signature("frames", 2), "id": F.xxhash64(KEY, "frames")}), "traces")
+    at = d.select(KEY, "id", "size", "once", "twice", F.explode(F.array_distinct("frames")).alias("f")).where("f is not null")
+    common = at.groupBy(KEY, "f").agg(F.count("*").alias("n"))
+    rarest = at.join(common, [KEY, "f"]).groupBy(KEY, "id", "size", "once", "twice").agg(F.min_by("f", F.struct("n", "f")).alias("f"))
+    short, long = (x.select(KEY, "f", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "size", "once", "twice")]) for x, s in ((rarest, "a"), (at, "b")))
+    met = short.join(long, [KEY, "f"]).where("a_size < b_size and (a_once & ~b_once) = 0 and (a_twice & ~b_twice) = 0").select(KEY, "a_id", "b_id")
+    # Only pairs that may be carry their frames.
+    of = lambda s: d.select(KEY, F.col("id").alias(f"{s}_id"), F.col("frames").alias(s))
     inside = F.expr("aggregate(b, 0, (i, x) -> if(i < size(a) and get(a, i) = x, i + 1, i)) = size(a)")
-    dropped = short.join(long, [KEY, "f"]).where("size(a) < size(b)").where(inside).select(KEY, F.col("a").alias("frames")).distinct()
-    return d.join(dropped, [KEY, "frames"], "left_anti")
+    dropped = met.join(of("a"), [KEY, "a_id"]).join(of("b"), [KEY, "b_id"]).where(inside).select(KEY, F.col("a").alias("frames")).distinct()
+    longer = d.groupBy(KEY).agg(F.max("size").alias("most"))
+    empty = d.where("size = 0").join(longer.where("most > 0").select(KEY), KEY, "left_semi").select(KEY, "frames")
+    return d.select(KEY, "frames").join(dropped.unionByName(empty), [KEY, "frames"], "left_anti")
