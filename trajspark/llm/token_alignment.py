@@ -70,7 +70,9 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
 
-        self.a = Codec(a_path, specials=False)
+        self.a = Codec(a_path)
+        # Strings of special tokens in a text are plain text here.
+        self.a.special, self.a.lib.encode_special_tokens = [], True
         self.b = SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_piece = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
