@@ -36,3 +36,13 @@ def test_random_edits(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert found == want, (len(want - found), len(found - want), len(want))
+
+
+def test_windows_of_another_items_size(spark):
+    """An item is leaked by a window of its own size: what else is in the benchmark changes nothing."""
+    a = [f"a{k}" for k in range(40)]
+    rows = [(1, "x y z " * 30 + " ".join(a) + " u v w" * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(1, " ".join(a)), (2, " ".join([*a, *[f"b{k}" for k in range(6)]]))]
+    found = lambda own: {(r.item_id, r.n_words, round(r.similarity, 3)) for r in decontamination.leaks(docs, spark.createDataFrame(own, "item_id long, text string")).collect()}
+    assert found(items) == found(items[:1]) | found(items[1:]) == {(1, 40, 1.0)}

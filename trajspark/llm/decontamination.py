@@ -55,12 +55,12 @@ def fingerprint_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def shared_pairs(contents: DataFrame, items: DataFrame) -> DataFrame:
-    """(content, _item, similarity) of all contents (content, length, _s) and items (_key, _item, _iw, _is) of that length with a shingle in common."""
+    """(content, length, _item, similarity) of all contents (content, length, _s) and items (_key, _item, _iw, _is) of that length with a shingle in common."""
     bag = lambda c: F.expr(f"transform(array_distinct({c}), x -> named_struct('s', x, 'n', size(filter({c}, y -> y = x))))")
     left = contents.select("content", "length", F.size("_s").alias("_n"), F.explode(bag("_s")).alias("e")).select("content", "length", "_n", "e.s", F.col("e.n").alias("_c"))
     right = items.select("_key", "_item", F.size("_iw").alias("length"), F.size("_is").alias("_in"), F.explode(bag("_is")).alias("e")).select("_key", "_item", "length", "_in", "e.s", F.col("e.n").alias("_ic"))
-    common = left.join(broadcast_if_small(right), ["length", "s"]).groupBy("content", "_n", "_key", "_item", "_in").agg(F.sum(F.least("_c", "_ic")).alias("_common"))
-    return common.select("content", "_item", F.expr("_common / (_n + _in - _common)").alias("similarity"))
+    common = left.join(broadcast_if_small(right), ["length", "s"]).groupBy("content", "length", "_n", "_key", "_item", "_in").agg(F.sum(F.least("_c", "_ic")).alias("_common"))
+    return common.select("content", "length", "_item", F.expr("_common / (_n + _in - _common)").alias("similarity"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -87,14 +87,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     laid = texts.select("_rid", "_id", F.expr("if(size(_w) > 0, transform(_windows, v -> named_struct('start', v.start, 'size', v.size, 'length', v.length, 'content', array_join(slice(_w, v.start + 1, v.size), ' '))), null)").alias("v"))
     laid = materialise(laid.select("_rid", "_id", F.explode_outer("v").alias("v")).where("v is not null").select("_rid", "_id", "v.*"), "laid")
     contents = laid.select("content", "length").distinct().withColumn("_w", F.split("content", " ")).withColumn("_s", _shingles("_w"))
-    prints = contents.select("content", "_s").distinct().select("content", "_s", simhash("_s").alias("fp"))
-    pairs = fingerprint_pairs(prints, items.select("_item", "_is", "item_fp"))
+    prints = contents.select("content", "length", "_s", simhash("_s").alias("fp"))
+    # A window is as long as the item that it may leak: one laid for another item's size says nothing of this one.
+    pairs = fingerprint_pairs(prints, items.select("_item", F.size("_iw").alias("item_length"), "_is", "item_fp")).where("length = item_length")
     common = "aggregate(array_distinct(_s), 0, (a, x) -> a + least(size(filter(_s, y -> y = x)), size(filter(_is, y -> y = x))))"
     pairs = pairs.withColumn("_common", F.expr(common)).withColumn("similarity", F.expr("_common / (size(_s) + size(_is) - _common)"))
-    alike = pairs.where(F.col("similarity") >= similarity).select("content", "_item", "similarity")
+    alike = pairs.where(F.col("similarity") >= similarity).select("content", "length", "_item", "similarity")
     alike = alike.unionByName(shared_pairs(contents, items).where(F.col("similarity") >= similarity)).distinct()
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "size")).alias("b")
-    found = laid.join(alike, "content").groupBy("_rid", "_id", "_item").agg(best)
+    found = laid.join(alike, ["content", "length"]).groupBy("_rid", "_id", "_item").agg(best)
     return found.select("_rid", F.col("_id").alias(id_col), F.col("_item").alias(item_col), (-F.col("b.start")).alias("start_word"), F.col("b.size").alias("n_words"), "b.similarity")
 
 
