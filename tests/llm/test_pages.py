@@ -57,6 +57,29 @@ def test_section_under_a_name(name):
     assert main_text(f"<body><article><p>{WORDS}</p><div class='{name}'><a href='/a'>One</a> <a href='/b'>Two</a></div><p>The end.</p></article></body>") == TEXT
 
 
+@pytest.mark.parametrize("inner", ["<div>{}</div>", "<main><article>{}</article></main>", "<div class='content'>{}</div>", "<table><tr><td>{}</td></tr></table>"])
+def test_page_in_a_form(inner):
+    body = inner.format(f"<p>{WORDS}</p><p>The end.</p>")
+    page = f"<body><form id='aspnetForm' action='/'><input type=hidden name=v value=1><nav><a href='/'>Home</a></nav>{body}<footer>Foot</footer></form></body>"
+    assert main_text(page) == TEXT
+
+
+def test_form_beside_the_article():
+    form = "<form><label>Your name</label><input name=q><p>We never pass on what you write to us here.</p><button>Send</button></form>"
+    assert main_text(f"<body>{ARTICLE}{form}</body>") == TEXT
+    assert main_text(f"<body><article><p>{WORDS}</p>{form}<p>The end.</p></article></body>") == TEXT
+
+
+def test_names_that_hold_a_boiler_word():
+    assert main_text(f"<body><p>Another short one.</p><div id='research-search-tips'><p>{WORDS}</p><p>The end.</p></div></body>").removeprefix("Another short one. ") == TEXT
+    head = "<div class='article-header'><h1>Head line</h1><p>What it is about, in short.</p></div>"
+    assert main_text(f"<body><nav><a href='/'>Home</a></nav><div>{head}<div class='article-body'><p>{WORDS}</p><p>The end.</p></div></div></body>") == f"Head line What it is about, in short. {TEXT}"
+
+
+def test_equal_regions():
+    assert main_text(f"<body><div><p>{WORDS}</p></div><nav>{'<a href=x>Home page</a>' * 60}</nav><div><p>{WORDS.upper()}</p></div></body>") == WORDS
+
+
 def test_formula():
     formula = "<math><mi>x</mi><mo>+</mo><mn>1</mn><semantics><annotation>x+1</annotation></semantics></math>"
     assert main_text(f"<body><article><p>{WORDS}</p><p>Let {formula} be.</p></article></body>") == f"{WORDS} Let x+1 be."

@@ -33,7 +33,7 @@ RAW = "script style textarea title"
 DROPPED = frozenset("template noscript iframe object svg select canvas audio video annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mrow mtext msub msup msubsup mfrac msqrt mroot mover munder munderover mspace mstyle semantics".split())
-BOILER_TAGS = frozenset("nav footer aside form button dialog menu head fieldset input datalist".split())
+BOILER_TAGS = frozenset("nav footer aside button dialog menu head fieldset input datalist".split())
 #: Words of class, id or role that name a container without article text.
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adv banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar side aside widget widgets rail "
@@ -48,8 +48,10 @@ MODIFIERS = frozenset("with without no not has is".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks of text, which hold no other part of a page.
 TEXT_BLOCKS = HEADINGS | INLINE | frozenset("p li ul ol dl dt dd blockquote pre figure figcaption".split())
-#: Text under a name is the article if it scores so many times what the best other region does, after so much for the name itself.
-NAME_FACTOR, NAME_COST = 32, 16
+#: Names of what readers say, which can be longer than the article.
+TALK_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: Text under a name is the article if it scores so many times what the best other region does, after so much for the name itself; more if readers speak.
+NAME_FACTOR, TALK_FACTOR, NAME_COST = 4, 32, 16
 #: Tags that never end may be searched for so often; after that, any > ends a tag.
 OPEN_TAGS = 16
 TOKEN = re.compile(
@@ -67,24 +69,27 @@ WORD, LINK, BOILER, BLOCK_TAG, INLINE_TAG, BOILER_TAG = range(len(KINDS))
 
 
 @lru_cache(maxsize=4096)
-def _marks(attrs: str) -> tuple[bool, bool, bool]:
-    """Whether attributes hide an element, whether they name it as one without article text, and whether only by names of little weight."""
-    named = content = strong = False
+def _marks(attrs: str) -> tuple[bool, bool, bool, bool]:
+    """Whether attributes hide an element, whether they name it as one without article text, whether only by names of little weight, and whether readers speak there."""
+    named = content = strong = talk = False
     for name, a, b, c in ATTR.findall(attrs):
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True, False, False
+            return True, False, False, False
         if name in ("class", "id", "role"):
             for part in value.split():
                 words = [p.lower() for p in PARTS.findall(part)]
                 if len(words) > 1 and words[0] in MODIFIERS:
                     continue
-                if not BOILER_WORDS.isdisjoint(words):
+                if len(words) > 1 and words[0] in CONTENT_WORDS and words[-1] in ("head", "header"):
+                    content = True  # the head of an article, not of the page
+                elif not BOILER_WORDS.isdisjoint(words):
                     named = True
+                    talk = talk or not TALK_WORDS.isdisjoint(words)
                     strong = strong or not BOILER_WORDS.isdisjoint(set(words) - WEAK_WORDS)
                 elif words and words[-1] in CONTENT_WORDS:
                     content = True
-    return False, named and not content, not strong
+    return False, named and not content, not strong, talk
 
 
 def _closed(page: str, name: str) -> dict[int, int]:
@@ -107,6 +112,8 @@ class Tree:
         self.hard, self.named, self.link, self.article = [False], [0], [False], [False]
         #: Named elements inside an article whose names are of little weight.
         self.weak: set[int] = set()
+        #: Elements in which readers speak.
+        self.talk: set[int] = set()
 
     def add(self, parent: int, name: str, hard: bool, named: int) -> int:
         e = len(self.parent)
@@ -182,15 +189,21 @@ def parse(page: str, spared: frozenset[int] = frozenset(), under: dict[int, list
             bad, mark = tree.hard[here], tree.named[here]
         else:
             new = len(tree.parent)
-            hides, names_it, weak = _marks(attrs) if attrs and name not in ("html", "body", "main") else (False, False, False)
+            hides, names_it, weak, talk = _marks(attrs) if attrs and name not in ("html", "body", "main") else (False, False, False, False)
+            # A form can hold a page, as some servers wrap all of it in one; so it is a mark like a name, which an article inside lifts.
+            names_it = names_it or name == "form"
             bad = tree.hard[here] or name in BOILER_TAGS or hides or name == "header" and not tree.article[here]
             mark = tree.named[here]
+            if mark and tree.name[mark] == "form" and name in ("article", "main") and not names_it:
+                mark = 0
             if names_it and name not in HEADINGS and new not in spared and (name != "article" or articles):
                 mark = new
             articles += name == "article" and not mark and not bad
             if name not in VOID and not attrs.rstrip().endswith("/"):
                 tree.add(here, name, bad, mark)
-                if mark == new and weak and tree.article[here]:
+                if mark == new and talk:
+                    tree.talk.add(new)
+                if mark == new and weak and name != "form" and tree.article[here]:
                     tree.weak.add(new)
                 stack.append(new)
                 open_names[name] += 1
@@ -237,7 +250,7 @@ def _best(score: tuple[float, ...], steps: Iterable[tuple[int, int]]) -> tuple[f
 
 
 def main_text(page: str | None, score: tuple[float, ...] | None = None) -> str:
-    """The article's text; empty for an empty or null page, or one without a word outside other containers."""
+    """The article's text; empty for an empty or null page, or one without a word outside other containers. Of equal regions the first counts."""
     if not page:
         return ""
     score = score or weights()
@@ -252,8 +265,9 @@ def main_text(page: str | None, score: tuple[float, ...] | None = None) -> str:
             spared |= running
             continue
         best, low, high = _best(score, (e[:2] for e in events))
-        rival, e = max(((_best(score, steps)[0], e) for e, steps in under.items()), default=(0.0, 0))
-        if rival - NAME_COST <= NAME_FACTOR * best:
+        rivals = ((_best(score, steps)[0] - NAME_COST, TALK_FACTOR if e in tree.talk else NAME_FACTOR, e) for e, steps in under.items())
+        _, e = max(((s, e) for s, factor, e in rivals if s > factor * best), default=(0.0, 0))
+        if not e:
             break
         # Names of the elements around it, too; each round spares one more at least.
         around = set()
