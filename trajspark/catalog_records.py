@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .catalog import ORACLE_SQL, R4, query
 from .functions import anchors, tasks, text
 from .operators import credit, graphs, overlap
-from .plans import cache, callgraph, rollout, roots, summary
+from .plans import cache, callgraph, casetype, rollout, roots, summary
 from .plans.testdata import sql
 from .sources import registry
 
@@ -423,6 +423,25 @@ def skip_registry(t):
     return registry.merge_gates(old, gates, "gate", drop_passed_seeds=True, expected=1).drop("evidence")
 
 
+# --- callables of two versions of a source: documents, a word to a line, of which one is exchanged
+
+
+@query(r"WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), n AS (SELECT doc_id, w, len(w) AS n, doc_id % len(w) + 1 AS p FROM d WHERE len(w) >= 12), r AS (SELECT *, n // 4 AS a, n // 2 AS b, n // 3 AS c, n // 2 - 1 AS e FROM n) SELECT doc_id, CASE WHEN p BETWEEN c AND e THEN 'f.g.h' WHEN p BETWEEN a AND b THEN 'f.g' ELSE 'f' END AS qualified_name, p::INT AS changed_line FROM r WHERE w[p] <> 'changed'")
+def own_changes(t):
+    """The innermost callable around the exchanged line, of three nested ones."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    d = t.documents.select("doc_id", words.alias("w")).where(F.size("w") >= 12).withColumn("n", F.size("w")).withColumn("p", (F.col("doc_id") % F.col("n") + 1).cast("int"))
+    part = lambda k, c=0: F.floor(F.col("n") / k).cast("int") - c
+    ranges = F.array(*[F.struct(F.lit(q).alias("q"), a.alias("a"), b.alias("b")) for q, a, b in (("f", F.lit(1), F.col("n")), ("f.g", part(4), part(2)), ("f.g.h", part(3), part(2, 1)))])
+
+    def version(w):
+        r = d.withColumn("w", w).withColumn("r", F.explode(ranges))
+        return r.select(F.col("doc_id").alias("file_path"), F.col("r.q").alias("qualified_name"), F.col("r.a").alias("start_line"), F.col("r.b").alias("end_line"), F.array_join(F.slice("w", F.col("r.a"), F.col("r.b") - F.col("r.a") + 1), "\n").alias("source"), F.col("p").alias("changed_line"))
+
+    new = version(F.transform("w", lambda x, i: F.when(i + 1 == F.col("p"), "changed").otherwise(x)))
+    return casetype.modified_callables(version(F.col("w")), new).select(F.col("file_path").alias("doc_id"), "qualified_name", "changed_line")
+
+
 # --- credit: a record's steps are its tokens, four to a step
 
 CREDIT_SQL = "toks AS (SELECT s.record_index, s.trace_idx, family, o, s.trace_idx * 4 + o AS pos, CASE WHEN o = 3 THEN 0 ELSE 1 END AS m, CASE WHEN s.record_index % 2 = 0 THEN -1.0 ELSE 1.0 END * (1 + s.trace_idx) AS adv FROM steps s, range(0, 4) t(o)), dist AS (SELECT record_index, trace_idx, min(d) AS d FROM reads q LEFT JOIN nodes n ON n.file_path = q.file_path AND rewardable AND start_line <= node_end AND end_line >= node_start GROUP BY ALL)"

@@ -73,10 +73,29 @@ def token_usage(calls: DataFrame, key: str = "run_id") -> DataFrame:
     return calls.groupBy(key).agg(total("input_tokens", "prompt_tokens").alias("input_tokens"), total("output_tokens", "completion_tokens").alias("output_tokens"), total("cache_hit_tokens").alias("cache_hit_tokens"), total("cost").alias("cost"))
 
 
-def modified_callables(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Callables (file_path, qualified_name, source ...) that are in both versions with another source."""
-    keys = ["file_path", "qualified_name"]
-    return new.join(old.select(*keys, F.col("source").alias("_old")), keys).where("source <> _old").drop("_old")
+def own_sources(callables: DataFrame, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
+    """``callables`` (keys, qualified_name, start_line, end_line, source ...) with ``own``: their lines without those of callables inside them.
+
+    A callable is inside another of its file if it starts after it and does not end after it. The ranges of a file are gathered
+    once, in order, and those inside are taken out of the text line by line. Of equal names in a file the one that starts last counts.
+    Tables without ranges have whole sources as their own.
+    """
+    if not {"start_line", "end_line"} <= set(callables.columns):
+        return callables.withColumn("own", F.col("source"))
+    last = F.max(F.struct("start_line", "end_line", *[c for c in callables.columns if c not in (*keys, "qualified_name", "start_line", "end_line")])).alias("c")
+    one = callables.groupBy(*keys, "qualified_name").agg(last).select(*keys, "qualified_name", "c.*")
+    ranges = one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line"))).alias("_all"))
+    inside = F.filter("_all", lambda r: (r["start_line"] > F.col("start_line")) & (r["end_line"] <= F.col("end_line")))
+    out = one.join(ranges, list(keys)).withColumn("_inner", inside)
+    at = lambda i: F.col("start_line") + i
+    lines = F.filter(F.split("source", "\n"), lambda x, i: ~F.exists("_inner", lambda r: at(i).between(r["start_line"], r["end_line"])))
+    return out.withColumn("own", F.array_join(lines, "\n")).select(*callables.columns, "own")
+
+
+def modified_callables(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
+    """Callables of the old version that the new one has, too, with other lines of their own: a change inside an inner callable is that one's alone."""
+    other = own_sources(new, keys).select(*keys, "qualified_name", F.col("own").alias("_new"))
+    return own_sources(old, keys).join(other, [*keys, "qualified_name"]).where(~F.equal_null("own", "_new")).select(*old.columns)
 
 
 def new_callables(old: DataFrame, new: DataFrame) -> DataFrame:
