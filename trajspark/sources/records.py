@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import objects
@@ -22,20 +24,59 @@ def unwrap(raw: Column) -> Column:
     return F.filter(out, lambda x: F.trim(x).startswith("{"))
 
 
+def numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(file, line, value) of the text files under a path whose names match, blank lines too; lines are numbered from 1 in each file.
+
+    A split of a file has its lines in a row. They are counted first, split by split, which reads the files but parses nothing;
+    a line's number is its place in its split and the lines of the splits before, of which there is one small row each.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), "value")
+    splits = rows.groupBy("file", "_split").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(splits.select("file", "_split", "_first", before.alias("_before")), ["file", "_split"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line"), "value")
+
+
 def scan_records(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
-    """(file, line, record_index_in_file, raw) of the .jsonl and .json files under a path; a bad JSONL line stops the scan if ``strict``.
+    """(file, line, place, raw) of the .jsonl and .json files under a path; a bad JSONL line stops the scan if ``strict``, named by path and number.
 
-    Records stay JSON text; callers project what they need. Order within a file is by line, then place.
+    Records stay JSON text; callers project what they need. ``line`` counts from 1 in a JSONL file and is 0 in a JSON file;
+    ``in_order`` sorts by file, line and place.
     """
-    read = lambda glob, whole: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", whole).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("line"), "value")
-    lines = read("*.[jJ][sS][oO][nN][lL]", False).where(F.trim("value") != "")
+    lines = numbered_lines(spark, path, "*.[jJ][sS][oO][nN][lL]").where(F.trim("value") != "")
     ok = F.expr("try_parse_json(value) is not null")
     if strict:
-        lines = lines.withColumn("value", F.when(ok, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed JSONL: "), "file", F.lit(": "), F.substring("value", 1, 80)))))
+        name = F.regexp_replace("file", "^file:/+", "/")
+        lines = lines.withColumn("value", F.when(ok, F.col("value")).otherwise(F.raise_error(F.concat(name, F.lit(":"), F.col("line").cast("string"), F.lit(": malformed JSONL: "), F.substring("value", 1, 80)))))
     else:
         lines = lines.where(ok)
-    both = lines.unionByName(read("*.[jJ][sS][oO][nN]", True))
-    return both.select("file", "line", F.posexplode(unwrap(F.col("value"))).alias("place", "raw"))
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]").option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("line"), "value")
+    return lines.unionByName(whole).select("file", "line", F.posexplode(unwrap(F.col("value"))).alias("place", "raw"))
+
+
+def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, place, raw) of the Parquet files under a path, a row to a record, as ``scan_records`` gives them for JSON; none without such a file.
+
+    ``line`` numbers a file's rows from 1, by the place that the reader gives them.
+    """
+    try:
+        df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.createDataFrame([], "file string, line long, place int, raw string")
+    raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.row_index") + 1).alias("line"), F.lit(0).alias("place"), raw.alias("raw"))
+
+
+def scan(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
+    """Records of all files under a path, read as their suffix says: .parquet, .jsonl or .json, in any case; others are passed over."""
+    return scan_records(spark, path, strict=strict).unionByName(scan_parquet(spark, path))
+
+
+def in_order(records: DataFrame) -> DataFrame:
+    """Records sorted by path, line and place: the order in which one reader would meet them."""
+    return records.orderBy("file", "line", "place")
 
 
 def text_at(raw: Column, path: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .records import scan_parquet  # noqa: F401  also found here
+
 ENTRY = "id string, repo string, reason string, source string, evidence string"
 GATE = "instance_id string, gate_pass boolean, error string, buggy_shim struct<n_parsed:bigint,resolved:boolean>, fixed struct<n_parsed:bigint,resolved:boolean>"
 
@@ -101,10 +103,3 @@ def capped_lines(spark: SparkSession, path: str, cap: int | None = None) -> Data
     """(place, value) of a file's lines, the first ``cap`` of them if one is given; the cap is the operator's feature."""
     lines = spark.read.text(path).withColumn("place", F.monotonically_increasing_id())
     return lines.select("place", "value") if cap is None else lines.orderBy("place").limit(cap).select("place", "value")
-
-
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, place, raw) of the Parquet files under a path, as ``scan_records`` gives them for JSON."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(path)
-    raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    return df.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.lit(0).alias("place"), raw.alias("raw"))
