@@ -35,6 +35,11 @@ class CallGraph:
     summary: DataFrame
 
 
+def without_internals(callables: DataFrame) -> DataFrame:
+    """``callables`` without the columns that only serve their tracing: those named ``instr_...``, and the source."""
+    return callables.drop("source", *[c for c in callables.columns if c.startswith("instr_")])
+
+
 def node_key(path: str = "file_path", qualified: str = "qualified_name", func: str = "func_name") -> Column:
     return F.concat_ws("::", path, F.coalesce(qualified, func))
 
@@ -129,7 +134,7 @@ def build(frames: DataFrame, modified: DataFrame, issues: DataFrame | None = Non
     nodes = stage(node_table(f, starts, roots), "nodes")
     edges = edge_metadata(call_edges(f), nodes)
     observed = f.where("is_patched").select(KEY, "node_key").distinct()
-    unobserved = modified.withColumn("node_key", F.concat_ws("::", "file_path", "qualified_name")).join(observed, [KEY, "node_key"], "left_anti")
+    unobserved = without_internals(modified).withColumn("node_key", F.concat_ws("::", "file_path", "qualified_name")).join(observed, [KEY, "node_key"], "left_anti")
     n = lambda c: F.count_if(c)
     per = nodes.groupBy(KEY).agg(F.max("hop_max").alias("hop_max"), F.max("raw_hop_distance").alias("raw_hop_max"), n(F.col("rewardable")).alias("rewardable_node_count"), n(~F.col("rewardable")).alias("excluded_non_rewardable_node_count"), n(F.col("node_role") == "test_harness").alias("excluded_test_harness_node_count"), n(F.col("node_role") == "pre_symptom").alias("excluded_pre_symptom_node_count"), F.bool_or(F.col("rewardable") & (F.col("hop_distance") == 0)).alias("traceable"))
     source = starts.groupBy(KEY).agg(F.when(F.count("start_idx") > 0, "issue_anchor").otherwise("test_filtered_fallback").alias("reward_start_source"))

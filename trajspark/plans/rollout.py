@@ -147,8 +147,8 @@ def system_error_summary(records: DataFrame) -> DataFrame:
     return rows.where("n_records > 0 and fine = 0").select("n_records", counts("k", "kind").alias("error_kinds"), counts("s", "stage").alias("error_stages"), "example_error")
 
 
-def write_analysis(details: DataFrame, folder: str, *, config: dict | None = None) -> dict:
-    """Details as JSON lines, and a summary and a report beside them; the summary is one row, and is returned."""
+def write_analysis(details: DataFrame, folder: str, *, config: dict | None = None, show: bool = False) -> dict:
+    """Details as JSON lines, and a summary and a report beside them; the summary is one row, is returned, and printed as JSON with ``show``."""
     from .report import markdown
     from .summary import by_case_type, summarize
 
@@ -156,6 +156,8 @@ def write_analysis(details: DataFrame, folder: str, *, config: dict | None = Non
     summary = summarize(details)
     out = {"config": config or {}, "summary": summary.first().asDict(), "by_case_type": [r.asDict() for r in by_case_type(details).collect()]}
     spark = details.sparkSession
+    if show:
+        print(json.dumps(out, default=str, indent=2))
     spark.createDataFrame([(json.dumps(out, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/summary")
     spark.createDataFrame([(markdown(summary, details),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/report")
     return out
@@ -166,8 +168,7 @@ def write_maps(results: DataFrame, folder: str) -> None:
     from .casetype import is_complete
 
     done = results.where(is_complete(F.col("case_type"), F.col("reason_code")))
-    results.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    done.repartition("instance_id").write.mode("overwrite").partitionBy("instance_id").json(folder)
+    done.repartition("instance_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instance_id").json(folder)
     retry = results.where(~is_complete(F.col("case_type"), F.col("reason_code"))).select("instance_id").distinct()
     for row in retry.toLocalIterator():
         path = results.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/instance_id={row.instance_id}")

@@ -143,9 +143,16 @@ def append_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_sidecar(traces: DataFrame, path: str, limit: int) -> None:
-    """Traces cut to ``limit`` for each instance, with how many there were, as gzip JSON."""
-    traces.withColumn("n_traces", F.size("traces")).withColumn("traces", F.slice("traces", 1, limit)).write.mode("overwrite").option("compression", "gzip").json(path)
+def write_sidecar(sets: DataFrame, path: str, limit: int) -> None:
+    """Trace sets (instance_id, and an array of traces for each set) cut to ``limit`` each, as gzip JSON.
+
+    ``counts`` tells of each set how many traces there were, how many are kept and whether any was cut; a null set has none.
+    """
+    names = [c for c, kind in sets.dtypes if kind.startswith("array")]
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    counts = F.struct(*[F.struct(n(c).alias("total"), F.least(n(c), F.lit(limit)).alias("saved"), (n(c) > limit).alias("truncated")).alias(c) for c in names])
+    out = sets.withColumn("counts", counts).withColumns({c: F.coalesce(F.slice(c, 1, limit), F.array().cast(sets.schema[c].dataType)) for c in names})
+    out.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def write_with_skips(rows: DataFrame, skips: DataFrame, path: str, key: str = "instance_id") -> None:
