@@ -5,9 +5,9 @@ Graphs are many and small, one for each instance; all operators work on all of t
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,6 +57,48 @@ def _split(edges: DataFrame, others: DataFrame, limit: int, small, large) -> Dat
     return small(*part("left_anti")).unionByName(large(*part("left_semi")))
 
 
+def _by_instance(edges: DataFrame, nodes: DataFrame, settle: Callable[[list, list], Iterable[tuple]], shape: str) -> DataFrame:
+    """Rows (instance_id, *row) for each row of ``settle(edges, nodes)`` of each instance. ``edges``: instance_id, a, b; ``nodes``: instance_id, a.
+
+    Instances are many and small: a task streams over its own, sorted, and holds one at a time.
+    """
+    rows = edges.select(KEY, F.col(edges.columns[1]).alias("a"), F.col(edges.columns[2]).alias("b"), F.lit(True).alias("edge"))
+    none = F.lit(None).cast(rows.schema["b"].dataType)
+    rows = rows.unionAll(nodes.select(KEY, F.col(nodes.columns[1]).cast(rows.schema["a"].dataType), none, F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ways, own = (), [], []
+        kinds = None
+
+        def settled(out: list[tuple]) -> None:
+            if now:
+                out += [(now[0], *row) for row in settle(ways, own)]
+
+        def given(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) if out else [()] * (1 + len(names))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [kinds[0]] + [kinds[1]] * len(names), strict=True)], names=[KEY, *names])
+
+        for batch in batches:
+            kinds = batch.schema.types
+            out: list[tuple] = []
+            for key, a, b, edge in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not now or key != now[0]:
+                    settled(out)
+                    now, ways, own = (key,), [], []
+                if edge:
+                    ways.append((a, b))
+                else:
+                    own.append(a)
+            yield given(out)
+        if now:
+            out = []
+            settled(out)
+            yield given(out)
+
+    names = [c.split()[0] for c in shape.split(", ")[1:]]
+    return rows.repartition(KEY).sortWithinPartitions(KEY).mapInArrow(run, shape)
+
+
 def reachable(edges: DataFrame, starts: DataFrame, *, forward: bool = True, limit: int = GROUP_EDGES) -> DataFrame:
     """(instance_id, node_key) that can be reached from ``starts``, those included; backwards against the edges.
 
@@ -67,21 +109,21 @@ def reachable(edges: DataFrame, starts: DataFrame, *, forward: bool = True, limi
     s = starts.select(KEY, "node_key").distinct()
     shape = f"{KEY} {s.schema[KEY].dataType.simpleString()}, node_key {s.schema['node_key'].dataType.simpleString()}"
 
-    def spread(key: tuple, ways: pd.DataFrame, begun: pd.DataFrame) -> pd.DataFrame:
+    def spread(ways: list, begun: list) -> Iterable[tuple]:
         out: dict = {}
-        for a, b in zip(ways["node_key"].tolist(), ways["next"].tolist(), strict=True):
+        for a, b in ways:
             out.setdefault(a, []).append(b)
-        seen = set(begun["node_key"].tolist())
+        seen = set(begun)
         todo = list(seen)
         while todo:
             for b in out.get(todo.pop(), ()):
                 if b not in seen:
                     seen.add(b)
                     todo.append(b)
-        return pd.DataFrame({KEY: [key[0]] * len(seen), "node_key": list(seen)})
+        return [(n,) for n in seen]
 
     def small(e: DataFrame, s: DataFrame) -> DataFrame:
-        return e.groupBy(KEY).cogroup(s.groupBy(KEY)).applyInPandas(spread, shape)
+        return _by_instance(e, s, spread, shape)
 
     return _split(e, s, limit, small, _by_rounds)
 
@@ -125,14 +167,14 @@ def _settled(edges: DataFrame) -> DataFrame:
     """(instance_id, node_key, component) of the nodes of edges, one group for each instance."""
     key, node = edges.schema[KEY].dataType.simpleString(), edges.schema["caller"].dataType.simpleString()
 
-    def settle(name: tuple, ways: pd.DataFrame) -> pd.DataFrame:
-        part = parts([], zip(ways["caller"].tolist(), ways["callee"].tolist(), strict=True))
+    def settle(ways: list, own: list) -> Iterable[tuple]:
+        part = parts([], ways)
         least: dict = {}
         for node, p in part.items():
             least[p] = min(node, least.get(p, node))
-        return pd.DataFrame({KEY: [name[0]] * len(part), "node_key": list(part), "component": [least[p] for p in part.values()]})
+        return [(node, least[p]) for node, p in part.items()]
 
-    return edges.groupBy(KEY).applyInPandas(settle, f"{KEY} {key}, node_key {node}, component {node}")
+    return _by_instance(edges.select(KEY, "caller", "callee"), edges.select(KEY, "caller").limit(0), settle, f"{KEY} {key}, node_key {node}, component {node}")
 
 
 def _shrunk(edges: DataFrame, limit: int) -> DataFrame:
@@ -208,12 +250,8 @@ def terminal_nodes(nodes: DataFrame, edges: DataFrame, *, limit: int = GROUP_EDG
     e = stage(edges.select(KEY, "caller", "callee").distinct(), "edges")
     shape = f"{KEY} {n.schema[KEY].dataType.simpleString()}, node_key {n.schema['node_key'].dataType.simpleString()}"
 
-    def settle(key: tuple, ways: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        found = sinks(own["node_key"].tolist(), zip(ways["caller"].tolist(), ways["callee"].tolist(), strict=True))
-        return pd.DataFrame({KEY: [key[0]] * len(found), "node_key": found})
-
     def small(e: DataFrame, n: DataFrame) -> DataFrame:
-        return e.groupBy(KEY).cogroup(n.groupBy(KEY)).applyInPandas(settle, shape)
+        return _by_instance(e, n, lambda ways, own: [(x,) for x in sinks(own, ways)], shape)
 
     return _split(e, n, limit, small, lambda e, n: _by_components(e, n, limit))
 
