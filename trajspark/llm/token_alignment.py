@@ -179,16 +179,29 @@ def _aligned(a_path: str, b_path: str, digest: bool, id_type: pa.DataType, batch
 
 
 class _Block:
-    """A stripe's part of the count matrix: a row for each of its ids of the first tokenizer."""
+    """A stripe's part of the count matrix: a row for each of its ids of the first tokenizer. Rows without a count are never looked at."""
 
     def __init__(self, a_ids: int, b_ids: int):
-        self.counts = np.zeros((a_ids // STRIPES + 1, b_ids), np.int64)
+        self.counts, self.used = np.zeros((a_ids // STRIPES + 1, b_ids), np.int64), np.zeros(a_ids // STRIPES + 1, bool)
 
     def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
         np.add.at(self.counts, (a // STRIPES, b), n)
+        self.used[a // STRIPES] = True
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = np.flatnonzero(self.used)
+        own = self.counts[rows]
+        row, b = np.nonzero(own)
+        return rows[row], b, own[row, b]
+
+    def maxima(self) -> np.ndarray:
+        most, rows = np.zeros(len(self.used), np.int64), np.flatnonzero(self.used)
+        most[rows] = self.counts[rows].max(axis=1, initial=0)
+        return most
 
     def clear(self) -> None:
-        self.counts[self.counts.any(axis=1)] = 0
+        self.counts[self.used] = 0
+        self.used[:] = False
 
 
 def _numbers(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
@@ -200,8 +213,8 @@ def _matrix(a_ids: int, b_ids: int, batches: Iterable[pa.RecordBatch]) -> Iterat
     block, now = _Block(a_ids, b_ids), None
 
     def entries() -> Iterator[pa.RecordBatch]:
-        row, b = np.nonzero(block.counts)
-        a, n = row * STRIPES + now, block.counts[row, b]
+        row, b, n = block.entries()
+        a = row * STRIPES + now
         for i in range(0, len(a), ENTRIES):
             own = slice(i, i + ENTRIES)
             cols = [pa.array([now], pa.int32()), pa.array([a[own].astype(np.int32)], pa.list_(pa.int32())), pa.array([b[own].astype(np.int32)], pa.list_(pa.int32())), pa.array([n[own]], pa.list_(pa.int64())), pa.array([int(n[own].sum())])]
@@ -233,7 +246,7 @@ def _scored(a_ids: int, b_ids: int, batches: Iterable[pa.RecordBatch]) -> Iterat
                 block.add(a, b, n)
                 continue
             if most is None:
-                most = block.counts.max(axis=1)
+                most = block.maxima()
             count = block.counts[a // STRIPES, b]
             at, which = np.unique(_numbers(batch, "at", i), return_inverse=True)
             best, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
