@@ -278,4 +278,4 @@ def test_pipeline(spark):
 def test_registered():
     import __spark_entry__ as e
 
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {q.split("_")[0] for q in e.queries() if q.startswith("op") and q[2].isdigit() or q == "pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {q.split("_")[0] for q in e.queries() if q.startswith("op") and q[2].isdigit() or q == "pipeline"}
