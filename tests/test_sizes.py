@@ -16,3 +16,11 @@ def test_step_details_by_class(spark):
     got = {(r.record_index, r.trace_idx): r for r in callgraph.step_details(steps, reads, nodes.unionByName(far)).collect()}
     assert {k: (r.n_reads, r.n_hit, r.nearest, r.min_distance) for k, r in got.items()} == {(1, 0): (3, 1001, 0, 0.5), (1, 1): (1, 0, None, None), (1, 2): (0, 0, None, None), (2, 0): (1, 1, 2000, 1.0)}
     assert [(c.d, c.nearest, c.start_line, c.end_line, c.n) for c in got[1, 0].hit_classes] == [(0.5, 0, 5, 9, 1000), (1.0, 2000, 9, 20, 1)] and got[1, 1].hit_classes == []
+
+
+def test_topology_by_hit(spark):
+    """A record has a row with its hits in the listing, not one for each node of it."""
+    nodes = spark.range(500).select(F.lit("i").alias("instance_id"), F.col("id").alias("node_key"), F.lit("a").alias("file_path"), F.col("id").cast("int").alias("start_line"), F.lit(0.5).alias("normalized_distance"))
+    hits = spark.createDataFrame([(1, "i", 7, 4), (1, "i", 7, 2), (1, "i", 3, 5), (2, "i", 9, 0), (3, "none", 9, 0), (4, "i", 900, 0)], "record_index int, instance_id string, node_key long, trace_idx int")
+    got = {r.record_index: r for r in callgraph.topology(nodes, hits).collect()}
+    assert {k: (r.n_nodes, [tuple(h) for h in r.hits]) for k, r in got.items()} == {1: (500, [(3, 3, 5), (7, 7, 2)]), 2: (500, [(9, 9, 0)])}
