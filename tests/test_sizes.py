@@ -24,3 +24,24 @@ def test_topology_by_hit(spark):
     hits = spark.createDataFrame([(1, "i", 7, 4), (1, "i", 7, 2), (1, "i", 3, 5), (2, "i", 9, 0), (3, "none", 9, 0), (4, "i", 900, 0)], "record_index int, instance_id string, node_key long, trace_idx int")
     got = {r.record_index: r for r in callgraph.topology(nodes, hits).collect()}
     assert {k: (r.n_nodes, [tuple(h) for h in r.hits]) for k, r in got.items()} == {1: (500, [(3, 3, 5), (7, 7, 2)]), 2: (500, [(9, 9, 0)])}
+
+
+def test_hits_by_record(spark):
+    """Reads go to their record in one row each, whatever they touch, and classes read twice count once, at their first step."""
+    from trajspark.operators import overlap, sequences
+
+    nodes = spark.createDataFrame([("i", k, "a", k % 40, k % 40 + 1, (k % 4) / 4, k % 10 > 0) for k in range(800)], "instance_id string, node_key int, file_path string, start_line int, end_line int, normalized_distance double, rewardable boolean")
+    reads = spark.createDataFrame([(1, "i", 0, "a", 5, 9), (1, "i", 2, "a", 0, 60), (1, "i", 1, "a", 7, 12), (1, "i", 3, "a", 5, 9), (2, "i", 0, "a", 0, 60), (3, "i", 0, "b", 1, 2)], READS)
+    hit = lambda s, e: {k for k in range(800) if k % 10 and s <= k % 40 + 1 and e >= k % 40}
+    first = {}
+    for step, (s, e) in enumerate([(5, 9), (7, 12), (0, 60)]):
+        for k in hit(s, e):
+            first.setdefault(k, step)
+    rows = overlap.hit_classes(reads, nodes)
+    assert {r.record_index: r.n for r in rows.groupBy("record_index").agg(F.sum("n").alias("n")).collect()} == {1: 720, 2: 720}
+    pairs = [((k % 4 > j % 4) - (k % 4 < j % 4)) for k in first for j in first if first[k] < first[j] and k % 4 != j % 4]
+    score = {r.record_index: r.order_score for r in sequences.order_score(rows).collect()}
+    assert set(score) == {1} and abs(score[1] - sum(pairs) / len(pairs)) < 1e-12
+    assert {r.record_index: (r.precision, r.recall) for r in overlap.precision_recall(reads, nodes).collect()} == {1: (1.0, 1.0), 2: (1.0, 1.0)}
+    plan = overlap.hit_classes(reads, nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") and plan.index("Generate explode") < plan.index("Aggregate [record_index")

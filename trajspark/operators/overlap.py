@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.objects import let
+from .staging import stage
+
 KEYS = ["instance_id", "file_path"]
+RANGE = [*KEYS, "start_line", "end_line"]
 #: Lines of a bin in joins of ranges.
 BIN = 32
 #: Sizes of blocks that lines are looked up by: up to 2**32 lines.
@@ -55,24 +59,53 @@ def hit_nodes(reads: DataFrame, nodes: DataFrame, *, rewardable_only: bool = Tru
     return seen.join(pairs, [*KEYS, "start_line", "end_line"]).groupBy("record_index", "node_key").agg(F.min("normalized_distance").alias("normalized_distance"), F.min("trace_idx").alias("trace_idx"))
 
 
+def _classes(nodes: DataFrame) -> DataFrame:
+    """Rewardable nodes of one range and distance, with their number ``n``."""
+    return nodes.where(F.coalesce("rewardable", F.lit(True))).groupBy(*KEYS, "start_line", "end_line", "normalized_distance").agg(F.count("*").alias("n"))
+
+
+def _touched(reads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(instance_id, range, hits): each distinct read range with an array of the classes that it touches, each under a number of its own."""
+    # Numbers have to last, as rows are told apart by them: the classes are written once.
+    c = stage(_classes(nodes).withColumn("c", F.monotonically_increasing_id()), "classes")
+    return _pairs(reads, c).groupBy(*RANGE).agg(F.collect_list(F.struct("c", F.col("normalized_distance").alias("d"), "n")).alias("hits"))
+
+
+def _first_of_class(rows: Column) -> Column:
+    """The first of array<struct<c, ...>> for each ``c``, by the fields behind it."""
+    return let(F.sort_array(rows), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["c"] != x["c"])))
+
+
 def hit_classes(reads: DataFrame, nodes: DataFrame) -> DataFrame:
     """(record_index, normalized_distance, trace_idx of the first step that reads it, n): the rewardable nodes that a record hits, as classes.
 
     A class holds the ``n`` nodes of one range and distance, which any read hits or misses together; so a record has a row for
-    each range, not for each node. Nodes have one row each.
+    each range, not for each node. Nodes have one row each. Reads go to their record with their classes in an array, where the
+    first read of each class is found.
     """
+    met = reads.select("record_index", *RANGE, "trace_idx").join(_touched(reads, nodes), RANGE)
+    per = met.groupBy("record_index").agg(F.collect_list(F.struct("trace_idx", "hits")).alias("x"))
+    rows = F.flatten(F.transform("x", lambda r: F.transform(r["hits"], lambda h: F.struct(h["c"].alias("c"), r["trace_idx"].alias("trace_idx"), h["d"].alias("d"), h["n"].alias("n")))))
+    seen = per.select("record_index", F.explode(_first_of_class(rows)).alias("h"))
+    return seen.select("record_index", F.col("h.d").alias("normalized_distance"), "h.trace_idx", "h.n")
+
+
+def first_levels(reads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(record_index, normalized_distance, trace_idx): the first step of each record at each distance; no class is told from another."""
     n = nodes.where(F.coalesce("rewardable", F.lit(True))).groupBy(*KEYS, "start_line", "end_line", "normalized_distance").agg(F.count("*").alias("n"))
-    seen = reads.groupBy("record_index", *KEYS, "start_line", "end_line").agg(F.min("trace_idx").alias("trace_idx"))
-    met = seen.join(_pairs(reads, n), [*KEYS, "start_line", "end_line"])
-    return met.groupBy("record_index", *KEYS, "node_start", "node_end", "normalized_distance").agg(F.min("trace_idx").alias("trace_idx"), F.first("n").alias("n")).select("record_index", "normalized_distance", "trace_idx", "n")
+    levels = _pairs(reads, n).groupBy(*RANGE).agg(F.collect_set("normalized_distance").alias("levels"))
+    met = reads.select("record_index", *RANGE, "trace_idx").join(levels, RANGE)
+    rows = met.select("record_index", "trace_idx", F.explode("levels").alias("normalized_distance"))
+    return rows.groupBy("record_index", "normalized_distance").agg(F.min("trace_idx").alias("trace_idx"))
 
 
 def precision_recall(reads: DataFrame, nodes: DataFrame) -> DataFrame:
     """(record_index, precision, recall, f1) of the records that touch a node: reads that hit, rewardable nodes hit, of all."""
     total = nodes.where(F.coalesce("rewardable", F.lit(True))).groupBy("instance_id").agg(F.countDistinct("node_key").alias("n_nodes"))
-    hits = hit_classes(reads, nodes).groupBy("record_index").agg(F.sum("n").alias("n_hit"))
-    ratio = read_distances(reads, nodes).groupBy("record_index", "instance_id").agg((F.count("distance") / F.count("*")).alias("precision"))
-    out = ratio.join(hits, "record_index").join(total, "instance_id").withColumn("recall", F.col("n_hit") / F.col("n_nodes"))
+    met = reads.select("record_index", *RANGE).join(_touched(reads, nodes), RANGE, "left")
+    per = met.groupBy("record_index", "instance_id").agg((F.count("hits") / F.count("*")).alias("precision"), F.collect_list("hits").alias("x"))
+    n_hit = F.aggregate(_first_of_class(F.flatten("x")), F.lit(0).cast("long"), lambda acc, h: acc + h["n"])
+    out = per.where("size(x) > 0").withColumn("n_hit", n_hit).join(total, "instance_id").withColumn("recall", F.col("n_hit") / F.col("n_nodes"))
     return out.select("record_index", "precision", "recall", (2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).alias("f1"))
 
 

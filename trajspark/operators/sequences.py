@@ -46,11 +46,19 @@ def order_score(first_hits: DataFrame, key: str = "record_index") -> DataFrame:
     """
     size = F.sum("n") if "n" in first_hits.columns else F.count("*")
     g = first_hits.groupBy(key, "trace_idx", "normalized_distance").agg(size.alias("n"))
-    a, b = g.alias("a"), g.alias("b")
-    pairs = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).where("a.trace_idx < b.trace_idx and a.normalized_distance <> b.normalized_distance")
-    sign = F.signum(F.col("a.normalized_distance") - F.col("b.normalized_distance"))
-    n = F.col("a.n") * F.col("b.n")
-    return pairs.groupBy(F.col(f"a.{key}").alias(key)).agg((F.sum(sign * n) / F.sum(n)).alias("order_score"))
+    # A record with one step, or one distance, has no pair.
+    ends = [f(c).alias(f"{s}_{c}") for c in ("trace_idx", "normalized_distance") for s, f in (("low", F.min), ("high", F.max))]
+    listed = g.groupBy(key).agg(F.collect_list(F.struct("trace_idx", "normalized_distance", "n")).alias("x"), *ends).where("low_trace_idx < high_trace_idx and low_normalized_distance < high_normalized_distance")
+    apart = lambda a, b: (a["trace_idx"] < b["trace_idx"]) & (a["normalized_distance"] != b["normalized_distance"])
+    sign = lambda a, b: F.signum(a["normalized_distance"] - b["normalized_distance"])
+
+    def total(part) -> Column:
+        own = lambda a: lambda acc, b: F.when(apart(a, b), acc + part(a, b)).otherwise(acc)
+        return F.aggregate("x", F.lit(0.0), lambda acc, a: acc + F.aggregate("x", F.lit(0.0), own(a)))
+
+    size = lambda a, b: a["n"].cast("double") * b["n"]
+    score = total(lambda a, b: sign(a, b) * size(a, b)) / F.nullif(total(size), F.lit(0.0))
+    return listed.select(key, F.explode(F.filter(F.array(score), lambda v: v.isNotNull())).alias("order_score"))
 
 
 def miracles(first_hits: DataFrame, levels: int, key: str = "record_index") -> DataFrame:
