@@ -7,6 +7,7 @@ of the table with the new rows; nothing is updated in place.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import rate
@@ -173,14 +174,22 @@ def ranked(metrics: DataFrame) -> DataFrame:
     return metrics.orderBy(F.desc_nulls_last("resolved_rate"), F.desc_nulls_last("ground_truth_hit_rate"), "model_label")
 
 
+def placed(instances: DataFrame, order: str, limit: int) -> DataFrame:
+    """The first ``limit`` instances by ``order``, with ``place``. Partitions keep their own first ones, and only those are put in order together."""
+    return instances.orderBy(order).limit(limit).withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order)) - 1)
+
+
 def planned_runs(models: DataFrame, instances: DataFrame, cells: DataFrame, limit: int | None) -> DataFrame:
     """The cells that a batch still has to run, by phase: one instance of each model first (smoke), then up to ``limit`` of them (full).
 
     ``models``: experiment_id, provider_source, model_api_name, model_label, dataset. ``instances``: dataset, instance_id,
     place (their order). Finished cells are left out; a limit of None means all.
     """
+    done = cells.where("status = 'done'").select(*KEY)
     plan = models.join(instances, "dataset")
     if limit is not None:
         plan = plan.where(F.col("place") < limit)
-    open_ = plan.join(cells.where("status = 'done'").select(*KEY), KEY, "left_anti")
+        # At most ``limit`` rows for each model: the cells are met by them, not the other way round.
+        done = done.join(F.broadcast(plan.select(*KEY)), KEY, "left_semi")
+    open_ = plan.join(done, KEY, "left_anti")
     return open_.withColumn("phase", F.when(F.col("place") == 0, "smoke").otherwise("full")).select("phase", *KEY, "model_label", "place")
