@@ -45,3 +45,49 @@ def test_hits_by_record(spark):
     assert {r.record_index: (r.precision, r.recall) for r in overlap.precision_recall(reads, nodes).collect()} == {1: (1.0, 1.0), 2: (1.0, 1.0)}
     plan = overlap.hit_classes(reads, nodes)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") and plan.index("Generate explode") < plan.index("Aggregate [record_index")
+
+
+def test_planned_runs_order_only_the_first(spark):
+    """Instances are numbered within the limit alone, and cells meet the plan, not all instances."""
+    from trajspark.plans import cache
+
+    inst = spark.range(1000).select(F.lit("d").alias("dataset"), F.concat(F.lit("i"), F.col("id").cast("string")).alias("instance_id"), (999 - F.col("id")).alias("at"))
+    models = spark.createDataFrame([("e", "p", m, m, "d") for m in ("m0", "m1")], "experiment_id string, provider_source string, model_api_name string, model_label string, dataset string")
+    cells = inst.select(F.lit("e").alias("experiment_id"), F.lit("p").alias("provider_source"), F.lit("m1").alias("model_api_name"), "dataset", "instance_id", F.when(F.col("at") % 2 == 0, "done").otherwise("error").alias("status"))
+    runs = cache.planned_runs(models, cache.placed(inst, "at", 5), cells, 5)
+    want = {("smoke" if k == 0 else "full", m, f"i{999 - k}") for k in range(5) for m in ("m0", "m1") if m == "m0" or k % 2}
+    assert {(r.phase, r.model_api_name, r.instance_id) for r in runs.collect()} == want
+    plan = cache.placed(inst, "at", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+
+
+FRAMES = "instance_id int, trace_idx int, frame_idx int, file_path string, line_no int, func_name string, qualified_name string, is_patched boolean"
+
+
+def test_unobserved_reads_patched_frames_alone(spark, monkeypatch):
+    """No table of the call graph is made for it."""
+    f = spark.createDataFrame([(1, 0, 0, "a.py", 1, "f", "f", True), (1, 0, 1, "a.py", 5, "g", "g", False)], FRAMES)
+    m = spark.createDataFrame([(1, "a.py", "f", 1, 2), (1, "a.py", "g", 5, 6), (2, "a.py", "f", 1, 2)], "instance_id int, file_path string, qualified_name string, start_line int, end_line int")
+    monkeypatch.setattr(callgraph, "stage", lambda *_: 1 / 0)
+    assert {(r.instance_id, r.node_key) for r in callgraph.unobserved(f, m).collect()} == {(1, "a.py::g"), (2, "a.py::f")}
+
+
+def test_anchors_are_scored_once(spark, monkeypatch):
+    """Both walks of the root counts share the scores of frames."""
+    from trajspark.functions import anchors
+    from trajspark.plans import roots
+
+    calls, whole = [], anchors.frame_scores
+    monkeypatch.setattr(anchors, "frame_scores", lambda *a: calls.append(1) or whole(*a))
+    f = spark.createDataFrame([(1, 0, 0, "a.py", 1, "make", "make", False), (1, 0, 1, "a.py", 5, "g", "g", True)], FRAMES)
+    issues = spark.createDataFrame([(1, "It fails in `make`")], "instance_id int, issue_text string")
+    assert roots.select_roots(f, issues).counts.count() == 1 and len(calls) == 1
+
+
+def test_plain_paths_need_no_cleaning(spark):
+    from trajspark.functions.anchors import anchor_path
+    from trajspark.functions.testout import test_file_reason as reason
+
+    paths = ["a/b-c.py", "./a.py", "a.py:3", "a.py\n", "\\a\\tests\\b.py", "'a.py'", "a.py#L3", "tests/a.py", "x/my_runner.py", "src/contest.py", "a/conftest.py", "", None]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select(anchor_path(F.col("p")), reason(F.col("p")))
+    assert [tuple(r) for r in df.collect()] == [("a/b-c.py", None), ("a.py", None), ("a.py", None), ("a.py", None), ("a/tests/b.py", "a/tests/**"), ("a.py", None), ("a.py", None), ("tests/a.py", "tests/**"), ("x/my_runner.py", "*_runner.py"), ("src/contest.py", None), ("a/conftest.py", "conftest.py"), ("", None), (None, None)]

@@ -27,7 +27,9 @@ def _none_if_empty(c: Column) -> Column:
 def anchor_path(path: Column) -> Column:
     """A path with forward slashes, without quotes, fragment, line number and leading dots and slashes."""
     p = F.regexp_replace(F.regexp_replace(F.translate(path, "\\", "/"), r"(?U)^\s+|\s+$", ""), r"^[\"']+|[\"']+$", "")
-    return F.regexp_replace(F.regexp_replace(F.substring_index(p, "#", 1), r":\d+(?::\d+)?$", ""), r"^[./]+", "")
+    cleaned = F.regexp_replace(F.regexp_replace(F.substring_index(p, "#", 1), r":\d+(?::\d+)?$", ""), r"^[./]+", "")
+    # A path of these characters has nothing to clean.
+    return F.when(path.rlike(r"\A[A-Za-z0-9_][A-Za-z0-9_./-]*\z"), path).otherwise(cleaned)
 
 
 def _bare(c: Column) -> Column:

@@ -59,8 +59,10 @@ def select_roots(frames: DataFrame, issues: DataFrame | None = None) -> RootSele
     marked = seen.join(roots.withColumn("root", F.lit(True)), [KEY, "node_key"], "left").withColumn("selected_root_seed", F.coalesce("root", F.lit(False)))
     marked = marked.withColumn("trace_terminal", F.size("downstream") == 0).withColumn("upstream_adapter", ~F.col("selected_root_seed")).drop("root")
 
+    scored = None if issues is None else stage(callgraph.anchor_frames(f, issues), "anchors")
+
     def walked(seeds: DataFrame, prefix: str) -> DataFrame:
-        n = callgraph.node_table(f, callgraph.reward_starts(f, seeds, issues), seeds)
+        n = callgraph.node_table(f, callgraph.reward_starts(f, seeds, issues, scored), seeds)
         zero, top = F.count_if(F.col("rewardable") & (F.col("raw_hop_distance") == 0)), F.max("hop_max")
         return n.groupBy(KEY).agg(zero.alias(f"{prefix}distance_zero_node_count"), top.alias(f"{prefix}hop_max"))
 
