@@ -91,3 +91,21 @@ def test_plain_paths_need_no_cleaning(spark):
     paths = ["a/b-c.py", "./a.py", "a.py:3", "a.py\n", "\\a\\tests\\b.py", "'a.py'", "a.py#L3", "tests/a.py", "x/my_runner.py", "src/contest.py", "a/conftest.py", "", None]
     df = spark.createDataFrame([(p,) for p in paths], "p string").select(anchor_path(F.col("p")), reason(F.col("p")))
     assert [tuple(r) for r in df.collect()] == [("a/b-c.py", None), ("a.py", None), ("a.py", None), ("a.py", None), ("a/tests/b.py", "a/tests/**"), ("a.py", None), ("a.py", None), ("tests/a.py", "tests/**"), ("x/my_runner.py", "*_runner.py"), ("src/contest.py", None), ("a/conftest.py", "conftest.py"), ("", None), (None, None)]
+
+
+def test_equal_steps_are_parsed_once(spark, monkeypatch):
+    """Each distinct text of a step goes through the patterns once, nulls and empty lists included, and a range is one row for its record."""
+    from trajspark.plans import scoring
+
+    kept, whole = {}, scoring.stage
+    monkeypatch.setattr(scoring, "stage", lambda df, name: kept.setdefault(name, whole(df, name)))
+    view = '{"tool_calls": [{"function": {"name": "str_replace_editor", "arguments": "{\\"command\\": \\"view\\", \\"path\\": \\"a.py\\", \\"view_range\\": [1, 5]}"}}], "observation": "it failed"}'
+    raw = '{"p2a_step_traces": [' + ", ".join([view, "null", '{"tool_calls": []}', view]) + "]}"
+    records = spark.range(50).select(F.col("id").alias("record_index"), F.when(F.col("id") == 7, '{"p2a_step_traces": []}').otherwise(raw).alias("raw"))
+    got = scoring.parse(records)
+    assert kept["steps"].count() == 3
+    rows = {r.record_index: ([s.family for s in r.steps], r.errors) for r in got.collect()}
+    assert rows.pop(7) == ([], []) and len(rows) == 49
+    assert all(r == (["read", "other", "other", "read"], [True, False, False, True]) for r in rows.values())
+    reads = scoring._listed_reads(got.withColumn("map_id", F.lit("i"))).where("record_index = 1").collect()
+    assert [(r.file_path, r.start_line, r.end_line, r.read, r.step, r.block, r.box, sorted(r.places)) for r in reads] == [("a.py", 1, 5, True, 0, 0, False, [0, 3])]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .objects import let
 from .text import normalize_path
 
 READ = "array<struct<file_path:string,start_line:int,end_line:int>>"
@@ -96,11 +97,14 @@ def reads_in_tool_calls(calls: Column) -> Column:
     none = F.array().cast(READ)
 
     def one(c: Column) -> Column:
-        a = F.from_json(c["arguments"], VIEW_ARGS)
+        return let(F.from_json(c["arguments"], VIEW_ARGS), lambda a: of(c, a))
+
+    def of(c: Column, a: Column) -> Column:
         ranged = F.size(a["view_range"]) == 2
         view = F.array(_read(a["path"], F.when(ranged, a["view_range"][0]).otherwise(1), F.when(ranged & (a["view_range"][1] > 0), a["view_range"][1]).otherwise(WHOLE))).cast(READ)
         editor = (c["name"] == "str_replace_editor") & (a["command"] == "view") & a["path"].isNotNull()
-        shell = (c["name"] == "execute_bash") & (F.get_json_object(c["arguments"], "$.command") != "")
-        return F.when(editor, view).when(shell, reads_in_command(F.get_json_object(c["arguments"], "$.command")).cast(READ)).otherwise(none)
+        command = F.get_json_object(c["arguments"], "$.command")
+        shell = (c["name"] == "execute_bash") & (command != "")
+        return F.when(editor, view).when(shell, let(command, lambda x: reads_in_command(x).cast(READ))).otherwise(none)
 
     return F.flatten(F.transform(F.coalesce(calls, F.array().cast("array<struct<name:string,arguments:string>>")), one))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -108,6 +110,11 @@ def said_by(raw: Column, o: Column) -> Column:
     return let(_agent_messages(o["messages"]), of)
 
 
+def may_speak(o: Column) -> Column:
+    """Whether an opened object has a key with which it could say or call something; without one there is nothing to be looked through."""
+    return reduce(or_, [o[k].isNotNull() for k in (*TEXT_FIELDS, "messages", "tool_calls")])
+
+
 def distinct_reads(reads: Column) -> Column:
     return F.array_distinct(F.filter(reads, lambda r: r["file_path"].isNotNull() & (r["file_path"] != "")))
 
