@@ -109,3 +109,10 @@ def test_equal_steps_are_parsed_once(spark, monkeypatch):
     assert all(r == (["read", "other", "other", "read"], [True, False, False, True]) for r in rows.values())
     reads = scoring._listed_reads(got.withColumn("map_id", F.lit("i"))).where("record_index = 1").collect()
     assert [(r.file_path, r.start_line, r.end_line, r.read, r.step, r.block, r.box, sorted(r.places)) for r in reads] == [("a.py", 1, 5, True, 0, 0, False, [0, 3])]
+
+
+def test_items_are_counted_in_pieces(spark):
+    """Adaptive execution merges no pieces of the count into large tasks."""
+    from trajspark import catalog
+
+    assert catalog.QUERIES["first_range_whole"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == catalog.PIECES
