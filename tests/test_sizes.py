@@ -116,3 +116,15 @@ def test_items_are_counted_in_pieces(spark):
     from trajspark import catalog
 
     assert catalog.QUERIES["first_range_whole"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == catalog.PIECES
+
+
+def test_blocks_are_made_once(spark, monkeypatch):
+    """Counts and tokens read the same blocks."""
+    from trajspark.operators import credit
+
+    made, whole = [], credit.stage
+    monkeypatch.setattr(credit, "stage", lambda df, name: made.append(name) or whole(df, name))
+    rows = spark.createDataFrame([(1, [1.0, 1.0], [1, 1])], "record_index int, advantages array<double>, response_mask array<int>")
+    spans = spark.createDataFrame([(1, 0, 0, 0, 1, 0.0, True), (1, 1, 1, 1, 2, None, True)], "record_index int, trace_idx int, block_index int, response_start int, response_end int, distance double, is_read boolean")
+    got = credit.block_metrics(credit.block_factors(rows, spans), rows).first()
+    assert made == ["blocks"] and tuple(got) == (2, 1, 1, 1.0, 0.5)

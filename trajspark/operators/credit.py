@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.objects import let
 from ..functions.text import multiplier, rate
+from .staging import stage
 
 
 def masked_mean_sign(advantages: Column, mask: Column) -> Column:
@@ -117,6 +118,7 @@ def trainer_metrics(reshaped: DataFrame) -> DataFrame:
 
 def block_metrics(blocks: DataFrame, reshaped: DataFrame) -> DataFrame:
     """One row over ``block_factors`` and the reshaped rows: blocks, achieving and wasted ones, mean length, share of reshaped tokens."""
+    blocks = stage(blocks, "blocks")
     counts = blocks.agg(F.coalesce(F.sum("n_blocks"), F.lit(0)).alias("n_blocks"), F.coalesce(F.sum(F.size("parts")), F.lit(0)).alias("n_achieving"), F.coalesce(F.sum("n_wasted"), F.lit(0)).alias("n_wasted"), F.coalesce(F.sum("block_steps"), F.lit(0)).alias("_steps"))
     held = reshaped.join(blocks.select("record_index", "parts"), "record_index", "left")
     valid = F.size(F.filter("response_mask", lambda m: m != 0))
