@@ -162,3 +162,20 @@ def test_order_scores_of_a_batch(spark, monkeypatch):
         return sum(s * n for s, n in pairs) / sum(n for _, n in pairs) if pairs else None
 
     assert scoring.order_scores(rows).to_pylist() == [score(x) for x in lists] and any(score(x) for x in lists)
+
+
+def test_frames_are_made_and_walked_once(spark, monkeypatch):
+    """Frames that are prepared and staged are not written once more, and anchors come of the walk itself, not of another join of all frames."""
+    made, whole = [], callgraph.stage
+    monkeypatch.setattr(callgraph, "stage", lambda df, name: made.append(name) or whole(df, name))
+    f = spark.createDataFrame([(1, 0, 0, "a.py", 1, "make", "make", False), (1, 0, 1, "a.py", 5, "g", "g", True), (1, 1, 0, "a.py", 1, "make", "make", False)], FRAMES)
+    m = spark.createDataFrame([(1, "a.py", "g", 5, 6)], "instance_id int, file_path string, qualified_name string, start_line int, end_line int")
+    issues = spark.createDataFrame([(1, "It fails in `make`")], "instance_id int, issue_text string")
+    p = callgraph.prepared(f)
+    got = callgraph.build(p, m, issues)
+    assert made == ["roots", "starts", "nodes"]
+    assert {(r.node_key, r.node_role) for r in got.nodes.collect()} == {("a.py::make", "symptom"), ("a.py::g", "root_cause")}
+    roots = spark.createDataFrame([(1, "a.py::g")], "instance_id int, node_key string")
+    starts = callgraph.reward_starts(p, roots, issues).localCheckpoint()
+    plan = callgraph.node_table(p, starts, roots)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
