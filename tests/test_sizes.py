@@ -179,3 +179,19 @@ def test_frames_are_made_and_walked_once(spark, monkeypatch):
     starts = callgraph.reward_starts(p, roots, issues).localCheckpoint()
     plan = callgraph.node_table(p, starts, roots)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2
+
+
+def test_edges_are_made_in_pieces(spark):
+    """A task holds one of many pieces of the edges, whatever the session's number of partitions, and steps are sorted once."""
+    from trajspark.catalog import QUERIES
+    from trajspark.operators import graphs
+    from trajspark.plans.testdata import PIECES, Tables
+
+    assert Tables(spark, "/root/testdata/sf0.001").all_edges().rdd.getNumPartitions() == PIECES
+    plan = QUERIES["node_roles_whole"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip("+-: ").startswith("Window") for line in plan.splitlines()) == 1
+    edges = spark.createDataFrame([("i", 1, 2), ("j", 2, 1)], "instance_id string, caller int, callee int")
+    everywhere = spark.createDataFrame([(1, "symptom"), (2, "test_harness")], "node_key int, node_role string")
+    by_instance = everywhere.crossJoin(edges.select("instance_id")).select("instance_id", "node_key", "node_role")
+    want = {("i", 1, 2, "symptom", "test_harness", "symptom->test_harness", True), ("j", 2, 1, "test_harness", "symptom", "test_harness->symptom", False)}
+    assert {tuple(r) for r in graphs.edge_roles(edges, everywhere).collect()} == {tuple(r) for r in graphs.edge_roles(edges, by_instance).collect()} == want

@@ -311,9 +311,13 @@ def _by_components(edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
 
 
 def edge_roles(edges: DataFrame, roles: DataFrame) -> DataFrame:
-    """``edges`` with the roles of both ends and the transition between them."""
-    r = roles.select(KEY, "node_key", "node_role")
-    out = edges.join(r.select(KEY, F.col("node_key").alias("caller"), F.col("node_role").alias("caller_role")), [KEY, "caller"]).join(r.select(KEY, F.col("node_key").alias("callee"), F.col("node_role").alias("callee_role")), [KEY, "callee"])
+    """``edges`` with the roles of both ends and the transition between them.
+
+    ``roles``: instance_id, node_key, node_role; without instance_id where a node has one role in all instances.
+    """
+    keys = [c for c in roles.columns if c == KEY]
+    of = lambda end: roles.select(*keys, F.col("node_key").alias(end), F.col("node_role").alias(f"{end}_role"))
+    out = edges.join(of("caller"), [*keys, "caller"]).join(of("callee"), [*keys, "callee"]).select(KEY, "caller", "callee", *[c for c in edges.columns if c not in (KEY, "caller", "callee")], "caller_role", "callee_role")
     return out.withColumn("role_transition", F.concat_ws("->", "caller_role", "callee_role")).withColumn("reward_path_edge", ~F.col("caller_role").isin("test_harness", "pre_symptom"))
 
 
